@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, sharding, simhash, site_style, token_files, toxicity
+from . import bpe, cross_polytope, pii, sharding, simhash, site_style, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.by_bytes(table(spark, sf_dir, "documents"), 40)
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op7_toxicity, op8_pii, op10_token_files)}
+    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op6_cross_polytope, op7_toxicity, op8_pii, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
