@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cross_polytope, pii, sharding, simhash, site_style, token_files, toxicity
+from . import bpe, cross_polytope, decontamination, pii, sharding, simhash, site_style, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op6_cross_polytope, op7_toxicity, op8_pii, op10_token_files)}
+    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op6_cross_polytope, op7_toxicity, op8_pii, op9_decontamination, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
