@@ -29,8 +29,9 @@ from .common import fresh_path, materialize, text_batches
 
 MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
-MEMO_LIMIT = 400_000
-MEMO_CHARS = 64
+MEMO_LIMIT = 500_000
+MEMO_BYTES = 64  # longer chunks are forgotten after a batch
+CALL = 128  # chunks in one string: the library takes longer for each in long ones
 
 
 class EliasFano:
@@ -149,32 +150,58 @@ class WordEncoder:
     """The tokenizers library behind a memory of white-space separated chunks.
 
     Its normalizer and splitter never join characters over ASCII white space, so a text's ids are those of its chunks in
-    turn. Chunks that aren't remembered are encoded by the library, all of a batch at once.
+    turn. Chunks that aren't remembered are encoded by the library in one call, with a mark between them: a zero byte that
+    stands alone is a token of its own. Chunks with a zero byte in them are encoded one by one.
     """
 
+    MARK = "\0"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, list[int]] = {}
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        mark = self._ids(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.memo: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember the ids of these chunks."""
+        memo = self.memo
+        plain = [w for w in new if self.mark is not None and b"\0" not in w]
+        for w in new if self.mark is None else [w for w in new if b"\0" in w]:
+            memo[w] = np.array(self._ids(w.decode()), dtype=self.dtype).tobytes()
+        parts = [plain[at : at + CALL] for at in range(0, len(plain), CALL)]
+        joined = [f" {self.MARK} ".encode().join(part).decode() for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=self.dtype)
+            cuts = np.nonzero(ids == self.mark)[0]
+            if len(cuts) != len(part) - 1:
+                raise ValueError("marks were joined with chunks")
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            begin = 0
+            for w, end in zip(part, [*(cuts * width).tolist(), len(raw)]):
+                memo[w] = raw[begin:end]
+                begin = end + width
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as bytes of ``dtype``."""
         memo = self.memo
-        if len(memo) >= MEMO_LIMIT:
+        if len(memo) > MEMO_LIMIT:
             memo.clear()
-        split = [(t or "").split() for t in texts]
-        new = list({w for words in split for w in words if w not in memo})
-        found = {w: e.ids for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_CHARS)
-        out = []
+        split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
+        self._learn(list(set().union(*split).difference(memo)))
+        out = [b"".join(map(memo.__getitem__, words)) for words in split]
         for words in split:
-            ids: list[int] = []
-            extend = ids.extend
-            for w in words:
-                extend(memo.get(w) or found.get(w) or ())
-            out.append(ids)
+            if any(len(w) > MEMO_BYTES for w in words):
+                for w in words:
+                    if len(w) > MEMO_BYTES:
+                        memo.pop(w, None)
         return out
 
 
@@ -212,24 +239,25 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         e = encoder(path)
-        file, keys, rows, held = 0, [], [], 0
+        end = np.array([end_id], dtype=e.dtype).tobytes()
+        file, keys, rows, lengths, held = 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(rows)
-            _put(to, f"{part:06d}-{file:06d}.tok", pack(np.array(keys, dtype=np.int64), np.array([len(x) for x in rows]), ids))
+            ids = np.frombuffer(b"".join(rows), dtype=e.dtype)
+            _put(to, f"{part:06d}-{file:06d}.tok", pack(np.array(keys, dtype=np.int64), np.array(lengths), ids))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "documents", "ids"]
             )
 
         for b in batches:
             for k, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist())):
-                ids.append(end_id)
                 keys.append(NO_ID if k is None else k)
-                rows.append(np.array(ids, dtype=np.uint32))
-                held += len(ids)
+                rows.append(ids + end)
+                lengths.append(len(rows[-1]) // e.dtype.itemsize)
+                held += lengths[-1]
                 if held >= FILE_IDS:
                     yield close()
-                    file, keys, rows, held = file + 1, [], [], 0
+                    file, keys, rows, lengths, held = file + 1, [], [], [], 0
         if keys:
             yield close()
 
