@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import lru_cache
@@ -43,3 +44,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Bound the Arrow batches of the next Python operators. Planning reads this setting, so call it before each of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def put_file(base: str, name: str, raw: bytes) -> None:
+    """Write whole, then rename: a task that runs twice writes the same bytes under the same name."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(base)
+    store.create_dir(root, recursive=True)
+    part = f"{root}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
+    with store.open_output_stream(part) as f:
+        f.write(raw)
+    store.move(part, f"{root}/{name}")

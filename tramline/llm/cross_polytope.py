@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_batches
 from .components import connected_components
-from .simhash import _forest
+from .runs import forest, runs, survivors, whole_runs
 
 BLOCK = 1024
 PROBES = 3
@@ -110,46 +110,6 @@ def _plan(n: int, dim: int) -> tuple[int, int]:
     return 8 * 2 ** (width - 2), width
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    return starts, np.diff(np.concatenate([starts, [len(keys)]]))
-
-
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Regroups sorted batches so that no run of equal first columns is split."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(0).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(k, k[-1], side="left"))
-        if k[0] == last and cut == 0:
-            held.append(b)
-            continue
-        if cut or last is not None:
-            whole = [*held, b.slice(0, cut)] if cut else held
-            if whole:
-                yield pa.Table.from_batches(whole).combine_chunks()
-            held = []
-        held.append(b.slice(cut))
-        last = k[-1]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (key, cid, own) -> (key, cid, n): members of buckets with two members or more, one of them at home, with a
-    bucket's size. A bucket is scanned as it streams: all it holds are two numbers a member."""
-    for t in _whole_runs(batches):
-        keys = t.column(0).to_numpy()
-        starts, sizes = _runs(keys)
-        own = np.maximum.reduceat(t.column(2).to_numpy().astype(np.int8), starts)
-        keep = np.repeat((sizes > 1) & (own > 0), sizes)
-        n = np.repeat(sizes, sizes)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(t.column(1).to_numpy()[keep]), pa.array(n, pa.int64())], names=["key", "cid", "n"])
-
-
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For pairs of (tables, 1 + probes) bucket lists, the key where they meet first (0: nowhere)."""
     out = np.zeros(len(a), dtype=np.uint64)
@@ -168,7 +128,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cut: float, tables: int, probes:
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["kind", "a", "b"])
 
-    for t in _whole_runs(batches):
+    for t in whole_runs(batches):
         group = t.column(0).to_numpy()
         key = t.column(1).to_numpy().view(np.uint64)
         side, across = t.column(2).to_numpy(), t.column(3).to_numpy(zero_copy_only=False)
@@ -192,7 +152,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cut: float, tables: int, probes:
                 lefts.append(a)
                 rights.append(b)
 
-        starts, sizes = _runs(group)
+        starts, sizes = runs(group)
         size_of = np.repeat(sizes, sizes)
         rows = np.nonzero((size_of > 1) & (size_of <= SMALL))[0]
         for d in range(1, int(sizes[sizes <= SMALL].max(initial=1))):
@@ -217,7 +177,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cut: float, tables: int, probes:
             hit = links > 0
             yield out(0, cid[hit], links[hit])
             left, right = np.concatenate(lefts), np.concatenate(rights)
-            root = _forest(len(group), left, right)
+            root = forest(len(group), left, right)
             apart = root != np.arange(len(group))
             yield out(1, cid[apart], cid[root[apart]])
 
@@ -308,7 +268,7 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
     text_batches(spark, ROWS)
     posts = hashed.mapInArrow(post, "key long, cid long, own boolean")
     text_batches(spark, 16 * ROWS)
-    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(_survivors, "key long, cid long, n long"), "met")
+    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(survivors, "key long, cid long, n long"), "met")
     full = met.join(hashed, "cid").join(classes.select("cid", "label", "copies", "vec"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

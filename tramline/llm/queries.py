@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cross_polytope, decontamination, pii, sharding, simhash, site_style, token_files, toxicity
+from . import bpe, cross_polytope, decontamination, pii, sharding, simhash, site_style, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.by_bytes(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op6_cross_polytope, op7_toxicity, op8_pii, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op5_warc_derivatives, op6_cross_polytope, op7_toxicity, op8_pii, op9_decontamination, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

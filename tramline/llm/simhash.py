@@ -13,6 +13,7 @@ by looking up each member's neighbours at up to three flipped bits. Lists give a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import NARROW_BATCH_ROWS, materialize, text_batches
 from .components import connected_components
+from .runs import forest, runs, survivors, whole_runs
 
 SEED = 42
 LIST_LIMIT = 2048
@@ -107,20 +109,6 @@ def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node reachable through the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _link_blocks(fps: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     left, right = [], []
     for i in range(0, len(fps), block):
@@ -150,7 +138,7 @@ def _link_flips(fps: np.ndarray, free: list[int]) -> np.ndarray:
         held += len(held_l[-1])
         if held > 2_000_000 or k == len(masks) - 1:
             left, right = np.concatenate(held_l), np.concatenate(held_r)
-            root = _forest(len(order), np.concatenate([np.arange(len(order)), left]), np.concatenate([root, right]))
+            root = forest(len(order), np.concatenate([np.arange(len(order)), left]), np.concatenate([root, right]))
             held_l, held_r, held = [], [], 0
     return order[root]
 
@@ -185,7 +173,7 @@ def _scan(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.R
         for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
             run = fps[s : s + n]
             if n <= LIST_LIMIT:
-                root = run[_forest(n, *_link_blocks(run))]
+                root = run[forest(n, *_link_blocks(run))]
             else:
                 mask = int(keys[s]) >> 40
                 run = np.sort(run)
@@ -293,12 +281,131 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, n: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id; of wholly repeated rows one.
+def wide_fingerprint(text: str | None, n: int, words: int) -> np.ndarray:
+    """``words`` 64-bit SimHashes of the text's ``n``-word shingles under independent mixes of one hash; no words: zeros."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(words, dtype=np.uint64)
+    shingles = [b" ".join(tokens)] if len(tokens) < n else map(b" ".join, zip(*(tokens[i:] for i in range(n))))
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), dtype=">u8").astype(np.uint64)
+    out = np.empty(words, dtype=np.uint64)
+    for w in range(words):
+        bits = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(h), CHUNK):
+            x = h[at : at + CHUNK] * np.uint64(2 * (0x9E3779B97F4A7C15 * (w + 1) >> 1 & (1 << 62) - 1) + 1)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            bits += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+#: Any five of a word's eight bytes hold three of one half: the triples within either half.
+TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
-    An id names one document: rows that share it stay or go together unless their texts are equal too. Rows with a null
-    id can't be told apart and stay.
+
+def _wide_posts(cids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of the fingerprints (rows, words): word, triple and the three bytes there."""
+    raw = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), fps.shape[1], 8).astype(np.int64)
+    keys = np.stack([raw[:, :, a] | raw[:, :, b] << 8 | raw[:, :, c] << 16 for a, b, c in TRIPLES], axis=2)
+    keys |= np.arange(keys.shape[1] * keys.shape[2]).reshape(keys.shape[1:]) << 24
+    return keys.reshape(len(fps), -1).ravel(), np.repeat(cids, keys.shape[1] * keys.shape[2])
+
+
+def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (group, side, across, cid, fp) -> (a, b): a forest of the pairs at ``most`` or fewer differing bits."""
+    for t in whole_runs(batches):
+        group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
+        across, cid = t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
+        x = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint64).reshape(len(group), words)
+        starts, sizes = runs(group)
+        size_of = np.repeat(sizes, sizes)
+        lefts, rights = [], []
+        rows = np.nonzero((size_of > 1) & (size_of <= MATRIX))[0]
+        for d in range(1, int(sizes[sizes <= MATRIX].max(initial=1))):
+            i, j = rows[:-d], rows[d:]
+            same = (group[i] == group[j]) & (~across[i] | (side[i] != side[j]))
+            i, j = i[same], j[same]
+            for s in range(0, len(i), 100_000):
+                a, b = i[s : s + 100_000], j[s : s + 100_000]
+                ok = np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= most
+                lefts.append(a[ok])
+                rights.append(b[ok])
+        for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
+            own = np.arange(s, s + n)
+            for p in range(0, n, 512):
+                for q in range(p, n, 512):
+                    i, j = own[p : p + 512], own[q : q + 512]
+                    far = np.zeros((len(i), len(j)), dtype=np.int32)
+                    for w in range(words):
+                        far += np.bitwise_count(x[i, w][:, None] ^ x[j, w][None, :])
+                    r, c = np.nonzero(far <= most)
+                    r, c = i[r], j[c]
+                    ok = (r < c) & (~across[r] | (side[r] != side[c]))
+                    lefts.append(r[ok])
+                    rights.append(c[ok])
+        if lefts:
+            root = forest(len(group), np.concatenate(lefts), np.concatenate(rights))
+            apart = root != np.arange(len(group))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[apart]), pa.array(cid[root[apart]])], names=["a", "b"])
+
+
+WIDE_WORDS = 12
+LIST_BLOCK = 1024
+
+
+def differing_share(similarity: float) -> float:
+    """The share of SimHash bits that differ between texts at this Jaccard similarity of equally many shingles."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = WIDE_WORDS) -> DataFrame:
+    """(doc_id, component_id) by estimated similarity of ``n``-word shingles: for thresholds that 64 bits can't tell.
+
+    The fingerprint is ``words`` times 64 bits; the share of differing bits estimates the angle between the shingle counts,
+    and so the similarity (with 768 bits to about 0.03). A pair is a candidate if it shares three bytes within one half of
+    one of the words; all candidates are verified over all bits. Above 0.85 nearly all similar pairs are candidates, at 0.8
+    four in five. Nulls, empty texts, repeated rows and null ids are as in ``components``.
+    """
+    spark = docs.sparkSession
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array([wide_fingerprint(t, n, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(b.num_rows, words)
+            keys, cids = _wide_posts(b.column(0).to_numpy(), fps)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cids), pa.array(np.ones(len(keys), dtype=bool))], names=["key", "cid", "own"])
+
+    text_batches(spark)
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fp binary"), "wide")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    text_batches(spark, 2048)
+    posts = classes.select("cid", "fp").mapInArrow(post, "key long, cid long, own boolean")
+    text_batches(spark, NARROW_BATCH_ROWS)
+    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(survivors, "key long, cid long, n long"), "met")
+    split = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
+    split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("side", "other"), F.greatest("side", "other")
+    grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp")
+    most = int(differing_share(similarity) * 64 * words)
+    text_batches(spark, 4 * LIST_BLOCK)
+    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _wide_verify(it, words, most), "a long, b long")
+    roots = connected_components(edges)
+    rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
+    ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
+    return rows.join(ids, "fp").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each of the ``groups`` (doc_id, component_id): that with the smallest id; of wholly repeated rows one.
+
+    An id names one document: rows that share it stay or go together unless their texts are equal too. Rows with a null id
+    can't be told apart and stay.
     """
-    ids = materialize(components(docs, n).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    ids = materialize(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     kept = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))

@@ -94,8 +94,8 @@ def _signature(name: str, raw: str) -> tuple[str, bool]:
     return shown, skip or not SKIP_WORDS.isdisjoint(words)
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks outside marked furniture, in page order, with white space and character references resolved."""
+def blocks(page: str, everything: bool = False) -> list[Block]:
+    """The blocks outside marked furniture (or all visible ones), in page order, with white space and character references resolved."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, signature, skipped, within an article or main
     parts: list[str] = []
@@ -215,6 +215,8 @@ def blocks(page: str) -> list[Block]:
         skipped = (over[2] and name != "main") or name in SKIP or (name == "header" and not over[3])
         if marked and name not in ("html", "body", "main"):
             skipped = True
+        if everything:
+            skipped = over[2] or name == "head"
         if name == "a":
             anchor += 1
         stack.append((name, shown, skipped, within and not skipped))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, text_batches
+from .common import fresh_path, materialize, put_file, text_batches
 
 MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
@@ -210,18 +210,6 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _put(base: str, name: str, raw: bytes) -> None:
-    """Write whole, then rename: a task that runs twice writes the same bytes under the same name."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(base)
-    store.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
-    with store.open_output_stream(part) as f:
-        f.write(raw)
-    store.move(part, f"{root}/{name}")
-
-
 NO_ID = -(1 << 63)  # stands for a null document id in a file; sorts before all others
 
 
@@ -244,7 +232,7 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(rows), dtype=e.dtype)
-            _put(to, f"{part:06d}-{file:06d}.tok", pack(np.array(keys, dtype=np.int64), np.array(lengths), ids))
+            put_file(to, f"{part:06d}-{file:06d}.tok", pack(np.array(keys, dtype=np.int64), np.array(lengths), ids))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "documents", "ids"]
             )
