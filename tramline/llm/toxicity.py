@@ -34,8 +34,8 @@ MIN_WEIGHT = 0.25
 RIDGE = 0.2
 #: Bound of the lexicon: the stems with the largest weights.
 MAX_STEMS = 20_000
-#: Bound of the rows on which the regression is fitted (a sample by hash if there are more).
-FIT_ROWS = 200_000
+#: Bound of the labelled rows that the model is fitted on (those with the smallest hashes of their ids if there are more).
+FIT_ROWS = 50_000
 #: Stem counts a task holds before it hands them on.
 HELD_COUNTS = 400_000
 MEMO_LIMIT = 300_000
@@ -232,14 +232,18 @@ def _fold():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fold; an id with several labels counts once, by the largest."""
+    """(text, label) of at most ``FIT_ROWS`` labelled ids outside the held-out fold; an id with several labels counts once, by the largest.
+
+    The labels are bounded before the join, so they are broadcast, and no text is shuffled.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    own = own.where(_fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_fold() != 1).join(own, "doc_id").select("doc_id", "text", "label")
+    own = own.where(_fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(own), "doc_id").select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn stems from all training rows and the regression from at most ``FIT_ROWS`` of them.
+    """Learn stems and the regression from the bounded training rows.
 
     Without training rows of both labels the model scores everything by the share of toxic ones (none: 0).
     """
@@ -288,9 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [s.features(t, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    sample = rows if n <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
     text_batches(spark)
-    table = sample.select("text", "label").mapInArrow(featurize, "x array<double>, y int").toArrow()
+    table = rows.select("text", "label").mapInArrow(featurize, "x array<double>, y int").toArrow()
     y = table.column("y").to_numpy().astype(float)
     x = np.array(table.column("x").combine_chunks().flatten()).reshape(len(y), N_FEATURES)
     model.beta = fit_logistic(x, y).tolist()
