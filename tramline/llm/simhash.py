@@ -172,6 +172,9 @@ def _scan(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.R
                 yield out(0, a[ok], b[ok])
         for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
             run = fps[s : s + n]
+            if limit and n > limit:
+                yield out(1, run, np.full(n, keys[s], dtype=np.int64))
+                continue
             if n <= LIST_LIMIT:
                 root = run[forest(n, *_link_blocks(run))]
             else:
