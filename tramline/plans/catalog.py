@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import frame_queries  # noqa: F401
+from . import frame_queries, join_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
