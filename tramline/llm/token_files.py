@@ -15,8 +15,10 @@ from a sampled set bit by popcounts, so that no table of 64-bit offsets is neede
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +31,7 @@ from .common import fresh_path, materialize, put_file, text_batches
 
 MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 800_000
 MEMO_BYTES = 64  # longer chunks are forgotten after a batch
 CALL = 128  # chunks in one string: the library takes longer for each in long ones
 
@@ -150,11 +152,14 @@ class WordEncoder:
     """The tokenizers library behind a memory of white-space separated chunks.
 
     Its normalizer and splitter never join characters over ASCII white space, so a text's ids are those of its chunks in
-    turn. Chunks that aren't remembered are encoded by the library in one call, with a mark between them: a zero byte that
-    stands alone is a token of its own. Chunks with a zero byte in them are encoded one by one.
+    turn. Of chunks that aren't remembered, Latin words with at most punctuation after them have two pre-tokens that need no
+    normalizing but lower case, so the library's model is asked for each alone. The others are encoded by the library in one
+    call, with a mark between them: a zero byte that stands alone is a token of its own. Chunks with a zero byte in them are
+    encoded one by one.
     """
 
     MARK = "\0"
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -163,18 +168,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+
+    def _part(self, part: str) -> bytes:
+        """The ids of one pre-token."""
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
+        found = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return found
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         """Remember the ids of these chunks."""
-        memo = self.memo
-        plain = [w for w in new if self.mark is not None and b"\0" not in w]
-        for w in new if self.mark is None else [w for w in new if b"\0" in w]:
+        memo, parts, part, rest = self.memo, self.parts, self._part, []
+        if len(parts) > MEMO_LIMIT:
+            parts.clear()
+            parts[""] = b""
+        for w in new:
+            m = self.PLAIN(w.decode()) if len(w) <= MEMO_BYTES else None
+            if m is None:
+                rest.append(w)
+                continue
+            word, after = m[1].lower(), m[2]
+            ids = parts.get(word)
+            more = parts.get(after)
+            memo[w] = (part(word) if ids is None else ids) + (part(after) if more is None else more)
+        plain = [w for w in rest if self.mark is not None and b"\0" not in w]
+        for w in rest if self.mark is None else [w for w in rest if b"\0" in w]:
             memo[w] = np.array(self._ids(w.decode()), dtype=self.dtype).tobytes()
         parts = [plain[at : at + CALL] for at in range(0, len(plain), CALL)]
         joined = [f" {self.MARK} ".encode().join(part).decode() for part in parts]
@@ -189,19 +219,18 @@ class WordEncoder:
                 memo[w] = raw[begin:end]
                 begin = end + width
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as bytes of ``dtype``."""
+    def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """Each text's ids as bytes of ``dtype``; UTF-8 if bytes."""
         memo = self.memo
         if len(memo) > MEMO_LIMIT:
             memo.clear()
-        split = [(t or "").encode().split() for t in texts]  # bytes split at ASCII white space only
-        self._learn(list(set().union(*split).difference(memo)))
+        split = [(t.encode() if isinstance(t, str) else t or b"").split() for t in texts]  # bytes split at ASCII white space only
+        new = set().union(*split).difference(memo)
+        self._learn(new)
+        long = [w for w in new if len(w) > MEMO_BYTES]
         out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for words in split:
-            if any(len(w) > MEMO_BYTES for w in words):
-                for w in words:
-                    if len(w) > MEMO_BYTES:
-                        memo.pop(w, None)
+        for w in long:
+            del memo[w]
         return out
 
 
@@ -238,7 +267,7 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
             )
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist())):
+            for k, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).cast(pa.binary()).to_pylist())):
                 keys.append(NO_ID if k is None else k)
                 rows.append(ids + end)
                 lengths.append(len(rows[-1]) // e.dtype.itemsize)
@@ -253,7 +282,7 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
     text_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text"), F.length("text")]
-    files = materialize(own.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "part int, file int, documents long, ids long"), "files")
+    files = materialize(own.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, "part int, file int, documents long, ids long"), "files")
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("ids").over(Window.partitionBy("part").orderBy("file")) - F.col("ids")
