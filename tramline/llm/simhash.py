@@ -315,15 +315,16 @@ def _wide_posts(cids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys.reshape(len(fps), -1).ravel(), np.repeat(cids, keys.shape[1] * keys.shape[2])
 
 
-def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (group, side, across, cid, fp) -> (a, b): a forest of the pairs at ``most`` or fewer differing bits."""
+def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (group, side, across, cid, fp) -> (a, b, doubtful): a forest of the pairs at ``sure`` or fewer differing bits,
+    and those up to ``most`` between its trees, as doubtful."""
     for t in whole_runs(batches):
         group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
         across, cid = t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
         x = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint64).reshape(len(group), words)
         starts, sizes = runs(group)
         size_of = np.repeat(sizes, sizes)
-        lefts, rights = [], []
+        lefts, rights, bits = [], [], []
         rows = np.nonzero((size_of > 1) & (size_of <= MATRIX))[0]
         for d in range(1, int(sizes[sizes <= MATRIX].max(initial=1))):
             i, j = rows[:-d], rows[d:]
@@ -331,9 +332,11 @@ def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, most: int) -> It
             i, j = i[same], j[same]
             for s in range(0, len(i), 100_000):
                 a, b = i[s : s + 100_000], j[s : s + 100_000]
-                ok = np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= most
+                far = np.bitwise_count(x[a] ^ x[b]).sum(axis=1)
+                ok = far <= most
                 lefts.append(a[ok])
                 rights.append(b[ok])
+                bits.append(far[ok])
         for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
             own = np.arange(s, s + n)
             for p in range(0, n, 512):
@@ -343,17 +346,26 @@ def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, most: int) -> It
                     for w in range(words):
                         far += np.bitwise_count(x[i, w][:, None] ^ x[j, w][None, :])
                     r, c = np.nonzero(far <= most)
+                    bits_here = far[r, c]
                     r, c = i[r], j[c]
                     ok = (r < c) & (~across[r] | (side[r] != side[c]))
                     lefts.append(r[ok])
                     rights.append(c[ok])
+                    bits.append(bits_here[ok])
         if lefts:
-            root = forest(len(group), np.concatenate(lefts), np.concatenate(rights))
+            left, right, far = np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits)
+            near = far <= sure
+            root = forest(len(group), left[near], right[near])
             apart = root != np.arange(len(group))
-            yield pa.RecordBatch.from_arrays([pa.array(cid[apart]), pa.array(cid[root[apart]])], names=["a", "b"])
+            between = ~near & (root[left] != root[right])
+            a, b = np.concatenate([cid[apart], cid[left[between]]]), np.concatenate([cid[root[apart]], cid[right[between]]])
+            doubtful = np.concatenate([np.zeros(int(apart.sum()), bool), np.ones(int(between.sum()), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doubtful)], names=["a", "b", "doubtful"])
 
 
-WIDE_WORDS = 12
+WIDE_WORDS = 20
+#: Standard errors around the threshold within which an estimate is checked against the shingles themselves.
+DOUBT = 3.5
 LIST_BLOCK = 1024
 
 
@@ -366,9 +378,9 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
     """(doc_id, component_id) by estimated similarity of ``n``-word shingles: for thresholds that 64 bits can't tell.
 
     The fingerprint is ``words`` times 64 bits; the share of differing bits estimates the angle between the shingle counts,
-    and so the similarity (with 768 bits to about 0.03). A pair is a candidate if it shares three bytes within one half of
-    one of the words; all candidates are verified over all bits. Above 0.85 nearly all similar pairs are candidates, at 0.8
-    four in five. Nulls, empty texts, repeated rows and null ids are as in ``components``.
+    and so the similarity. A pair is a candidate if it shares three bytes within one half of one of the words: nearly all
+    pairs over 0.85, nine in ten at 0.8. All candidates are verified over all bits; those near the threshold, if between
+    components of clear pairs, by the similarity of their shingle sets. Nulls, empty texts, repeated rows and null ids are as in ``components``.
     """
     spark = docs.sparkSession
 
@@ -394,15 +406,56 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
     split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
     grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp")
-    most = int(differing_share(similarity) * 64 * words)
+    share = differing_share(similarity)
+    doubt = DOUBT * math.sqrt(share * (1 - share) / (64 * words))
+    sure, most = int((share - doubt) * 64 * words), int((share + doubt) * 64 * words)
     text_batches(spark, 4 * LIST_BLOCK)
-    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _wide_verify(it, words, most), "a long, b long")
-    roots = connected_components(edges)
+    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _wide_verify(it, words, sure, most), "a long, b long, doubtful boolean")
+    edges = materialize(edges, "wide_edges")
+    clear = edges.where("not doubtful").select("a", "b")
+    first = materialize(connected_components(clear), "first")
+    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    open_ = edges.where("doubtful").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    open_ = materialize(open_.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "doubtful")
+    roots = connected_components(clear.unionByName(_similar_pairs(docs, open_, classes.select("cid", "least"), n, similarity)))
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
     return rows.join(ids, "fp").select("doc_id", "component_id")
 
 
+def _similar_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts' shingle sets reach the similarity. Classes are read by their smallest id's text."""
+    if pairs.isEmpty():
+        return pairs
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column(1).to_pylist():
+                words = (t or "").encode().lower().split()
+                parts = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n))))
+                sets.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), dtype=">u8").astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "s"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    spark = docs.sparkSession
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").where("least is not null"), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
+    text_batches(spark)
+    sets = materialize(texts.select("cid", "text").mapInArrow(shingles, "cid long, s binary"), "sets")
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    text_batches(spark)
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
+
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` with one row of each of the ``groups`` (doc_id, component_id): that with the smallest id; of wholly repeated rows one.
 
