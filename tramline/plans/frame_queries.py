@@ -179,7 +179,7 @@ def _(spark, d):
 @query(
     "speed_episodes",
     f"""WITH {STATES}, sm AS (SELECT *, median(speed) OVER (PARTITION BY agent ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth, frame * 0.1 AS t FROM states),
-    ac AS (SELECT *, CASE WHEN valid AND lag(valid) OVER w AND lead(valid) OVER w THEN (lead(smooth) OVER w - lag(smooth) OVER w) / (lead(t) OVER w - lag(t) OVER w) END AS accel FROM sm WINDOW w AS (PARTITION BY agent ORDER BY frame)),
+    ac AS (SELECT *, CASE WHEN valid AND lag(valid) OVER w AND lead(valid) OVER w THEN round((lead(smooth) OVER w - lag(smooth) OVER w) / (lead(t) OVER w - lag(t) OVER w), 6) END AS accel FROM sm WINDOW w AS (PARTITION BY agent ORDER BY frame)),
     sg AS (SELECT *, CASE WHEN accel >= 20 THEN 'accelerate' WHEN accel <= -20 THEN 'decelerate' END AS trend FROM ac)"""
     + _RUN.format(v="trend", gap="", src="sg")
     + " SELECT agent, trend, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS n, round(max(abs(accel)), 4) AS peak FROM numbered WHERE trend IS NOT NULL GROUP BY agent, run, trend HAVING count(*) >= 2",
@@ -187,7 +187,7 @@ def _(spark, d):
 def speed_episodes(spark, d):
     """The flagship: smoothed speed, centred acceleration, thresholds, runs."""
     s = states(spark, d).withColumn("smooth", fr.rolling_median(F.col("speed"), A, "frame", 2)).withColumn("t", F.col("frame") * 0.1)
-    s = s.withColumn("accel", fr.valid_acceleration("smooth", "valid", "t", A, "frame"))
+    s = s.withColumn("accel", F.round(fr.valid_acceleration("smooth", "valid", "t", A, "frame"), 6))
     s = s.withColumn("trend", F.when(F.col("accel") >= 20, "accelerate").when(F.col("accel") <= -20, "decelerate"))
     r = fr.run_ids(s, A, "frame", "trend").where("trend is not null")
     g = r.groupBy("agent", "run", "trend").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"), F.round(F.max(F.abs("accel")), 4).alias("peak"))
