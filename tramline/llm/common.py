@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch for operators over whole texts: keeps a Python worker's memory bounded by 256 texts.
@@ -17,7 +25,9 @@ NARROW_BATCH_ROWS = 50_000
 
 @lru_cache(maxsize=1)
 def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tramline-")
+    path = tempfile.mkdtemp(prefix="tramline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +39,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tramline/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them can't be computed after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tramline/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -46,6 +62,22 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(run):
+    """``run`` over Arrow batches, and when its task ends, free memory goes back to the system: workers outlive many tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def put_file(base: str, name: str, raw: bytes) -> None:
     """Write whole, then rename: a task that runs twice writes the same bytes under the same name."""
     from pyarrow import fs

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, put_file, text_batches
+from .common import fresh_path, materialize, put_file, text_batches, tidy
 
 MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
@@ -143,6 +143,11 @@ class TokenFile:
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
+    def spans(self) -> list[tuple[int, int]]:
+        """All documents' places, one select each."""
+        ends = [self.ends.select(i) for i in range(len(self))]
+        return list(zip([0, *ends], ends))
+
     def document(self, i: int) -> np.ndarray:
         a, b = self.span(i)
         return self.ids[a:b]
@@ -245,7 +250,7 @@ NO_ID = -(1 << 63)  # stands for a null document id in a file; sorts before all
 def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
     """Encode all texts and write their ids, ``end_id`` after each document, as files under ``to`` in ascending id order.
 
-    Null ids come first; ties go by the text's CRC and length. Null texts count as empty and have the end id only. Rows
+    Null ids come first; ties go by the text's CRC. Null texts count as empty and have the end id only. Rows
     repeat as they do. An empty table writes no file. The rows are range-partitioned by id, so that a part is a range of
     ids; a part is closed into several files as it streams. Returns the manifest, materialized: (part, file, documents,
     ids, first), one row a file, where ``first`` counts the ids of all files before it.
@@ -281,8 +286,8 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.crc32("text"), F.length("text")]
-    files = materialize(own.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, "part int, file int, documents long, ids long"), "files")
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
+    files = materialize(own.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(tidy(run), "part int, file int, documents long, ids long"), "files")
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("ids").over(Window.partitionBy("part").orderBy("file")) - F.col("ids")
@@ -294,10 +299,10 @@ def read_files(spark: SparkSession, at: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, file, t in _opened(batches):
-            spans = [t.span(i) for i in range(len(t))]
+            spans = t.spans()
             yield _rows(part, file, t, pa.array([a for a, _ in spans], pa.int64()), pa.array([t.ids[a:b] for a, b in spans], pa.list_(pa.int32())), names=["begin", "ids"])
 
-    return _files(spark, at).mapInArrow(run, "part int, file int, doc_id long, begin long, ids array<int>")
+    return _files(spark, at).mapInArrow(tidy(run), "part int, file int, doc_id long, begin long, ids array<int>")
 
 
 def _files(spark: SparkSession, at: str) -> DataFrame:
@@ -328,10 +333,10 @@ def digests(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, file, t in _opened(batches):
-            spans = [t.span(i) for i in range(len(t))]
+            spans = t.spans()
             crc = [zlib.crc32(t.ids[a:b].astype("<u4").tobytes()) for a, b in spans]
             yield _rows(part, file, t, pa.array([a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(crc, pa.int64()), names=["begin", "n_tokens", "ids_crc32"])
 
-    read = _files(spark, to).mapInArrow(run, "part int, file int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    read = _files(spark, to).mapInArrow(tidy(run), "part int, file int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     first = manifest.select("part", "file", "first")
     return read.join(first, ["part", "file"]).select("doc_id", (F.col("first") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
