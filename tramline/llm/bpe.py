@@ -19,9 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, tidy
 
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 300_000
 MEMO_BYTES = 64  # longer pre-tokens aren't remembered
 
 
@@ -170,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -183,7 +183,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), raw], names=["doc_id", "bytes"])
 
     text_batches(encoded.sparkSession)
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -208,5 +208,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

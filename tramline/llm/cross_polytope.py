@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches
+from .common import materialize, text_batches, tidy
 from .components import connected_components
 from .runs import forest, runs, survivors, whole_runs
 
@@ -202,7 +202,7 @@ def _digested(vectors: DataFrame) -> tuple[DataFrame, str]:
     text_batches(vectors.sparkSession, ROWS)
     cast = "array<float>" if dtype == "<f4" else "array<double>"
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(cast).alias("embedding"))
-    rows = own.mapInArrow(run, "vec_id long, label long, vec binary")
+    rows = own.mapInArrow(tidy(run), "vec_id long, label long, vec binary")
     vec = F.when(F.col("vec_id").isNotNull(), F.col("vec"))
     return rows.select("vec_id", "label", F.unhex(F.md5(vec)).alias("digest"), vec.alias("vec")), dtype
 
@@ -264,11 +264,11 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(own)], names=["key", "cid", "own"])
 
     text_batches(spark, ROWS)
-    hashed = materialize(classes.select("cid", "label", "vec").mapInArrow(hash_rows, "cid long, keys binary"), "hashed")
+    hashed = materialize(classes.select("cid", "label", "vec").mapInArrow(tidy(hash_rows), "cid long, keys binary"), "hashed")
     text_batches(spark, ROWS)
-    posts = hashed.mapInArrow(post, "key long, cid long, own boolean")
+    posts = hashed.mapInArrow(tidy(post), "key long, cid long, own boolean")
     text_batches(spark, 16 * ROWS)
-    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(survivors, "key long, cid long, n long"), "met")
+    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
     full = met.join(hashed, "cid").join(classes.select("cid", "label", "copies", "vec"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -278,5 +278,5 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "key", "side", (low != high).alias("across"), "cid", "label", "copies", "keys", "vec"
     )
     text_batches(spark, ROWS)
-    verified = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _verify(it, cut, tables, probes, dtype), "kind int, a long, b long")
+    verified = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _verify(it, cut, tables, probes, dtype)), "kind int, a long, b long")
     return materialize(verified, "links")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_BATCH_ROWS, materialize, text_batches
+from .common import NARROW_BATCH_ROWS, materialize, text_batches, tidy
 
 SEED_WORDS = 3
 #: A seed in so many documents or fewer is rare.
@@ -95,7 +95,7 @@ def item_seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(flat.view(np.int64))], names=["item", "h"])
 
     text_batches(items.sparkSession)
-    return items.select("item", "text").mapInArrow(run, "item long, h long")
+    return items.select("item", "text").mapInArrow(tidy(run), "item long, h long")
 
 
 def rare_seeds(docs: DataFrame, seeds: DataFrame, n: int = SEED_WORDS) -> DataFrame:
@@ -113,7 +113,7 @@ def rare_seeds(docs: DataFrame, seeds: DataFrame, n: int = SEED_WORDS) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], names=["h", "df"])
 
     text_batches(spark)
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
     counted = seeds.join(counts, "h", "left").select("item", "h", F.coalesce("df", F.lit(0)).alias("df"))
     counted = materialize(counted, "counted")
     limit = counted.where("df > 0").groupBy("item").agg(F.percentile_approx("df", 0.25).alias("q"))
@@ -142,7 +142,7 @@ def passages(docs: DataFrame, rare: DataFrame, pad: int, n: int = SEED_WORDS) ->
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(w, pa.string()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "at", "words", "hs"])
 
     text_batches(spark)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, at long, words string, hs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, at long, words string, hs array<long>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -193,7 +193,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     text_batches(spark)
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = own.mapInArrow(normal, "item_id long, text string, n long").where(F.col("n") >= n).distinct()
+    items = own.mapInArrow(tidy(normal), "item_id long, text string, n long").where(F.col("n") >= n).distinct()
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     empty = spark.createDataFrame([], "doc_id long, item_id long, score double, word_start long, word_end long")
     pad = items.agg(F.max("n")).first()[0]
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
 
     text_batches(spark, NARROW_BATCH_ROWS // 50)
-    scored = full.select("doc_id", "item_id", "at", "words", "text").mapInArrow(run, empty.schema)
+    scored = full.select("doc_id", "item_id", "at", "words", "text").mapInArrow(tidy(run), empty.schema)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("word_start")).alias("s"), F.col("word_end").alias("e"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.s")).alias("word_start"), F.col("b.e").alias("word_end"))
 

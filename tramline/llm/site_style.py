@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches
+from .common import materialize, text_batches, tidy
 
 #: Weight of the content below a node against its own styles.
 GAMMA = 0.9
@@ -283,7 +283,7 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: in
 
     text_batches(pages.sparkSession)
     own = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).where("host is not null and html is not null")
-    rows = own.mapInArrow(run, "host string, node long, up array<long>, content boolean, feature long")
+    rows = own.mapInArrow(tidy(run), "host string, node long, up array<long>, content boolean, feature long")
     counts = rows.groupBy("host", "node", "up", "content", "feature").agg(F.count("*").alias("f"))
     nodes = counts.groupBy("host", "node", "content").agg(
         F.max("up").alias("up"), F.sum("f").alias("m"), F.sum(F.col("f") * F.log("f")).alias("flogf"), F.sum(F.log("f")).alias("logf"), F.count("*").alias("l")
@@ -336,4 +336,4 @@ def extract(pages: DataFrame) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
     joined = own.join(furniture, "host", "left").select("page_id", "url", "html", "nodes")
     text_batches(pages.sparkSession)
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

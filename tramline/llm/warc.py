@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put_file, text_batches
+from .common import put_file, text_batches, tidy
 from .site_style import blocks
 
 VERSION = "WARC/1.1"
@@ -179,7 +179,7 @@ def responses(pages: DataFrame) -> DataFrame:
 
     text_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, record binary")
+    return own.mapInArrow(tidy(run), "page_id long, record binary")
 
 
 DERIVED = (
@@ -211,7 +211,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     text_batches(records.sparkSession)
-    return records.select(F.col("page_id").cast("long"), "record").mapInArrow(run, DERIVED)
+    return records.select(F.col("page_id").cast("long"), "record").mapInArrow(tidy(run), DERIVED)
 
 
 def write_files(records: DataFrame, to: str, prefix: str = "part") -> DataFrame:
@@ -241,7 +241,7 @@ def write_files(records: DataFrame, to: str, prefix: str = "part") -> DataFrame:
             yield close()
 
     text_batches(records.sparkSession)
-    return materialize(records.select("record").mapInArrow(run, "file string, records long"), "warc-files")
+    return materialize(records.select("record").mapInArrow(tidy(run), "file string, records long"), "warc-files")
 
 
 def read_files(spark: SparkSession, at: str) -> DataFrame:
@@ -255,4 +255,4 @@ def read_files(spark: SparkSession, at: str) -> DataFrame:
 
     text_batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(at).select("path", "content")
-    return files.mapInArrow(run, "file string, place long, record binary")
+    return files.mapInArrow(tidy(run), "file string, place long, record binary")
