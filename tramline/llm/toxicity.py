@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches
+from .common import materialize, text_batches, tidy
 
 #: Stems of words: so many characters, or the whole word.
 STEMS = range(3, 9)
@@ -34,11 +34,11 @@ MIN_WEIGHT = 0.25
 RIDGE = 0.2
 #: Bound of the lexicon: the stems with the largest weights.
 MAX_STEMS = 20_000
-#: Bound of the labelled rows that the model is fitted on (those with the smallest hashes of their ids if there are more).
+#: Bound of the labelled ids that the model is fitted on (a sample by their hash if there are more).
 FIT_ROWS = 50_000
 #: Stem counts a task holds before it hands them on.
-HELD_COUNTS = 400_000
-MEMO_LIMIT = 300_000
+HELD_COUNTS = 250_000
+MEMO_LIMIT = 150_000
 
 # Closed-class words of English, German, French and Spanish.
 NEGATION = frozenset("not no never none neither nor isn aren wasn don doesn didn won cannot without nicht kein keine keinen nie niemals ohne ne pas jamais sans non nunca jamás tampoco sin".split())
@@ -232,12 +232,16 @@ def _fold():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of at most ``FIT_ROWS`` labelled ids outside the held-out fold; an id with several labels counts once, by the largest.
+    """(text, label) of labelled ids outside the held-out fold; an id with several labels counts once, by the largest.
 
-    The labels are bounded before the join, so they are broadcast, and no text is shuffled.
+    With more than ``FIT_ROWS`` such ids, those under the quantile of a hash that leaves as many. The labels are bounded
+    before the join, so they are broadcast, and no text is shuffled.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    own = own.where(_fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    own = materialize(own.where(_fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label")), "labels")
+    n = own.count()
+    if n > FIT_ROWS:
+        own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * FIT_ROWS / n))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(own), "doc_id").select("text", "label")
 
@@ -276,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield out()
 
     text_batches(spark)
-    counts = rows.select("text", "label").mapInArrow(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.select("text", "label").mapInArrow(tidy(count), "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = F.col("pos"), F.col("neg")
     lcb = (
         F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (n - p + 1)) - CAUTION * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (p + 1) - 1 / (n - p + 1))
@@ -293,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     text_batches(spark)
-    table = rows.select("text", "label").mapInArrow(featurize, "x array<double>, y int").toArrow()
+    table = rows.select("text", "label").mapInArrow(tidy(featurize), "x array<double>, y int").toArrow()
     y = table.column("y").to_numpy().astype(float)
     x = np.array(table.column("x").combine_chunks().flatten()).reshape(len(y), N_FEATURES)
     model.beta = fit_logistic(x, y).tolist()
@@ -310,7 +314,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def predictions(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
@@ -330,4 +334,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFram
             yield b.filter(pa.array([s.score(t) < cut for t in b.column(text).to_pylist()], pa.bool_()))
 
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
