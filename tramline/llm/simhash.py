@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_BATCH_ROWS, materialize, text_batches
+from .common import NARROW_BATCH_ROWS, materialize, text_batches, tidy
 from .components import connected_components
 from .runs import forest, runs, survivors, whole_runs
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _byte(i: int):
@@ -233,7 +233,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     kinds = "kind int, a long, b long"
     posts = distinct.select(F.explode(F.array(*(_key(m) for m in QUADS))).alias("key"), "fp")
     text_batches(spark, NARROW_BATCH_ROWS)
-    first = posts.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _scan(it, LIST_LIMIT), kinds)
+    first = posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda it: _scan(it, LIST_LIMIT)), kinds)
     first = materialize(first, "lists")
     mask = F.shiftright("b", 32)
     wider = [
@@ -247,7 +247,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         .distinct()
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(lambda it: _scan(it, None), kinds)
+        .mapInArrow(tidy(lambda it: _scan(it, None)), kinds)
     )
     return first.where("kind = 0").select("a", "b").unionByName(again.select("a", "b"))
 
@@ -315,9 +315,20 @@ def _wide_posts(cids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys.reshape(len(fps), -1).ravel(), np.repeat(cids, keys.shape[1] * keys.shape[2])
 
 
+def _first_list(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of the first list that each pair of fingerprints meets in."""
+    out = np.zeros(len(left), dtype=np.int64)
+    raw = x.view(np.uint8).reshape(len(x), x.shape[1], 8)
+    for s in range(0, len(left), 20_000):
+        same = raw[left[s : s + 20_000]] == raw[right[s : s + 20_000]]
+        meets = np.stack([same[:, :, a] & same[:, :, b] & same[:, :, c] for a, b, c in TRIPLES], axis=2)
+        out[s : s + 20_000] = meets.reshape(len(meets), -1).argmax(axis=1)
+    return out
+
+
 def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (group, side, across, cid, fp) -> (a, b, doubtful): a forest of the pairs at ``sure`` or fewer differing bits,
-    and those up to ``most`` between its trees, as doubtful."""
+    """Sorted (group, side, across, cid, fp, key) -> (a, b, bits): a forest of the pairs at ``sure`` or fewer differing bits,
+    with bits 0, and the pairs up to ``most`` between its trees, with their bits. These come from the first list they meet in."""
     for t in whole_runs(batches):
         group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
         across, cid = t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
@@ -355,17 +366,22 @@ def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most:
         if lefts:
             left, right, far = np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits)
             near = far <= sure
-            root = forest(len(group), left[near], right[near])
-            apart = root != np.arange(len(group))
-            between = ~near & (root[left] != root[right])
-            a, b = np.concatenate([cid[apart], cid[left[between]]]), np.concatenate([cid[root[apart]], cid[right[between]]])
-            doubtful = np.concatenate([np.zeros(int(apart.sum()), bool), np.ones(int(between.sum()), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(doubtful)], names=["a", "b", "doubtful"])
-
-
-WIDE_WORDS = 20
-#: Standard errors around the threshold within which an estimate is checked against the shingles themselves.
-DOUBT = 3.5
+            own, row = np.unique(cid, return_inverse=True)  # a class has a row in each of its lists
+            root = forest(len(own), row[left[near]], row[right[near]])
+            apart = root != np.arange(len(own))
+            between = np.nonzero(~near & (root[row[left]] != root[row[right]]))[0]
+            place = t.column(5).to_numpy() >> 24
+            between = between[_first_list(x, left[between], right[between]) == place[left[between]]]
+            a, b = np.concatenate([own[apart], cid[left[between]]]), np.concatenate([own[root[apart]], cid[right[between]]])
+            count = np.concatenate([np.zeros(int(apart.sum()), np.int64), far[between].astype(np.int64)])
+            a, b, count = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), count]), axis=1)
+            count = count.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count)], names=["a", "b", "bits"])
+
+
+WIDE_WORDS = 16
+#: Standard errors below and above the threshold's differing bits within which a pair is checked against the shingles.
+DOUBT = (2.5, 1.5)
 LIST_BLOCK = 1024
 
 
@@ -396,37 +412,59 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cids), pa.array(np.ones(len(keys), dtype=bool))], names=["key", "cid", "own"])
 
     text_batches(spark)
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fp binary"), "wide")
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(prints), "doc_id long, fp binary"), "wide")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     text_batches(spark, 2048)
-    posts = classes.select("cid", "fp").mapInArrow(post, "key long, cid long, own boolean")
+    posts = classes.select("cid", "fp").mapInArrow(tidy(post), "key long, cid long, own boolean")
     text_batches(spark, NARROW_BATCH_ROWS)
-    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(survivors, "key long, cid long, n long"), "met")
+    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
     split = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
     split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp")
+    grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key")
     share = differing_share(similarity)
-    doubt = DOUBT * math.sqrt(share * (1 - share) / (64 * words))
-    sure, most = int((share - doubt) * 64 * words), int((share + doubt) * 64 * words)
+    error = math.sqrt(share * (1 - share) / (64 * words))
+    sure, most = int((share - DOUBT[0] * error) * 64 * words), int((share + DOUBT[1] * error) * 64 * words)
     text_batches(spark, 4 * LIST_BLOCK)
-    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(lambda it: _wide_verify(it, words, sure, most), "a long, b long, doubtful boolean")
+    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _wide_verify(it, words, sure, most)), "a long, b long, bits int")
     edges = materialize(edges, "wide_edges")
-    clear = edges.where("not doubtful").select("a", "b")
-    first = materialize(connected_components(clear), "first")
-    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    open_ = edges.where("doubtful").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    open_ = materialize(open_.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b"), "doubtful")
-    roots = connected_components(clear.unionByName(_similar_pairs(docs, open_, classes.select("cid", "least"), n, similarity)))
+    links = edges.where("bits = 0").select("a", "b")
+    roots = materialize(connected_components(links), "roots")
+    doubtful = edges.where("bits > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
+    left = materialize(doubtful, "doubtful")
+    if not left.isEmpty():
+        sets = _shingle_sets(docs, left, classes.select("cid", "least"), n)
+        for last in (False, False, True):
+            asked = left if last else _nearest_pairs(left)
+            # what is connected already goes on as one link a node
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
+            roots = materialize(connected_components(links), "roots")
+            if last:
+                break
+            left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
+            if left.isEmpty():
+                break
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
     return rows.join(ids, "fp").select("doc_id", "component_id")
 
 
-def _similar_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' shingle sets reach the similarity. Classes are read by their smallest id's text."""
-    if pairs.isEmpty():
-        return pairs
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those (a, b, bits) whose ends are in different components."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "bits")
+
+
+def _nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """The pair with the fewest bits of each end: as many as there are ends at most. Most others lie within a component once
+    these are checked."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+    best = both.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(cid, s binary): the sorted shingle hashes of the classes in ``pairs``, read from their smallest ids' texts."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -437,6 +475,15 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int
                 sets.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), dtype=">u8").astype(np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "s"])
 
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").where("least is not null"), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
+    text_batches(docs.sparkSession)
+    return materialize(texts.select("cid", "text").mapInArrow(tidy(shingles), "cid long, s binary"), "sets")
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose shingle sets reach the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -446,14 +493,9 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int
                 ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    spark = docs.sparkSession
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").where("least is not null"), "needed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
-    text_batches(spark)
-    sets = materialize(texts.select("cid", "text").mapInArrow(shingles, "cid long, s binary"), "sets")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    text_batches(spark)
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
+    text_batches(pairs.sparkSession)
+    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long")
 
 
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
