@@ -475,7 +475,7 @@ def _shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
                 sets.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), dtype=">u8").astype(np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "s"])
 
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").where("least is not null"), "needed")
+    needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes, "cid").where("least is not null"), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
     text_batches(docs.sparkSession)
     return materialize(texts.select("cid", "text").mapInArrow(tidy(shingles), "cid long, s binary"), "sets")
