@@ -172,3 +172,18 @@ def test_components_of_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
     got = {(r["node"], r["root"]) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 1) for i in range(2, 61)} | {(x, 100) for x in range(101, 160)}
+
+
+def test_wide_recall_near_the_threshold(spark):
+    rng = random.Random(11)
+    rows, pairs = [], 400
+    for i in range(pairs):  # k words changed, far apart: similarity (s - 5k) / (s + 5k) of s shingles, 0.80 to 0.82
+        k = rng.choice((4, 6, 8))
+        s = 45 * k + rng.randrange(5 * k)
+        base = [f"w{rng.getrandbits(40)}" for _ in range(s + 4)]
+        copy = list(base)
+        for j in range(k):
+            copy[6 + j * (s // k)] = f"x{rng.getrandbits(40)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, rows)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.92 * pairs

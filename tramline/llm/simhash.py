@@ -379,9 +379,9 @@ def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count)], names=["a", "b", "bits"])
 
 
-WIDE_WORDS = 16
+WIDE_WORDS = 20
 #: Standard errors below and above the threshold's differing bits within which a pair is checked against the shingles.
-DOUBT = (2.5, 1.5)
+DOUBT = (3.5, 3.5)
 LIST_BLOCK = 1024
 
 
