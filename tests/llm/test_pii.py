@@ -84,6 +84,17 @@ def test_context_discovers_unseen_identifier(spark):
     assert got[10].startswith("card:")
 
 
+def test_pattern_before_a_small_share_of_seeds(spark):
+    rows = [(i, f"alpha{'abcdefghij'[i % 10]}x beta{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} user{i}@mail.com") for i in range(900)]
+    rows += [(1000 + i, f"account no: 10.0.0.{i} is closed") for i in range(6)]
+    rows += [(1100 + i, f"some of the 10.0.1.{i}") for i in range(6)] + [(1200 + i, "some of the people") for i in range(60)]  # by chance
+    rows += [(2000, "the account no: ZX99-4411-AB is secret"), (2001, "all of the QQ99-4411-AB parts")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    at = rows[-2][1].index("ZX99")
+    assert got[2000] == f"context:{at}:{at + 12}"
+    assert got[2001] == ""
+
+
 def test_plan_is_native(spark):
     plan = pii.report(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

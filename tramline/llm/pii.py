@@ -20,10 +20,9 @@ from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-#: A pattern needs so many different seeds, and this share of all: by chance alone every pair of common words comes to stand
-#: before some number of seeds as a corpus grows, but its share of them stays as small as the pair is rare.
+#: A pattern needs so many different seeds. What stands before them by chance is told by its score: the share of its own
+#: occurrences that seeds or good instances follow, which doesn't depend on the corpus' size.
 MIN_SEEDS = 5
-MIN_SHARE = 0.01
 #: A pattern at this score or more finds identifiers.
 CONFIDENCE = 0.6
 ROUNDS = 4
@@ -99,12 +98,11 @@ def _candidate(x: Column) -> Column:
     return (F.char_length(x) >= 6) & (x.rlike("[0-9].*[0-9].*[0-9].*[0-9]") | (x.rlike("[0-9]") & x.rlike(r"\p{L}")))
 
 
-def seed_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE) -> DataFrame:
+def seed_patterns(found: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(pattern, seeds, seen): the two words before base entities, if before enough different ones."""
     before = found.select(F.explode("contexts").alias("c")).select(F.col("c.pattern").alias("pattern"), F.col("c.m").alias("m"))
-    pairs = materialize(before.groupBy("pattern", "m").agg(F.count("*").alias("n")), "contexts")
-    needed = max(min_seeds, min_share * pairs.count())
-    return pairs.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= needed)
+    pairs = before.where("pattern is not null").groupBy("pattern", "m").agg(F.count("*").alias("n"))
+    return pairs.groupBy("pattern").agg(F.count("*").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= min_seeds)
 
 
 def _contexts(text: Column, spans: Column) -> Column:
@@ -120,22 +118,33 @@ def _contexts(text: Column, spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def occurrences(keyed: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(key, doc_id, pattern, at, word): each occurrence of a pattern, and the word that follows it, the ``at``-th of its text."""
-    words = keyed.select("key", "doc_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w"))
-    pairs = words.select("key", "doc_id", F.posexplode(F.zip_with(F.col("w"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "p"), "w")
-    pairs = pairs.where("p.b is not null").select("key", "doc_id", F.concat_ws(" ", _word(F.col("p.a")), _word(F.col("p.b"))).alias("pattern"), (F.col("i") + 2).alias("at"), F.get("w", F.col("i") + 2).alias("word"))
-    return pairs.join(patterns.select("pattern"), "pattern")
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
 
 
-def score_graph(seen: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pattern_totals(keyed: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each pattern occurs in all texts. Word pairs are counted by hash before they meet the patterns."""
+    words = keyed.select(F.transform(_words(F.col("text")), _word).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.concat_ws(" ", a, b))))
+    counts = words.select(F.explode(pairs).alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("total"))
+    return patterns.select("pattern", F.xxhash64("pattern").alias("h")).join(counts, "h").select("pattern", "total")
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """(key, pattern, at, word): each word that may be an identifier, the ``at``-th of its text, and the two words before it."""
+    words = keyed.where(F.col("text").rlike("[0-9]")).select("key", _words(F.col("text")).alias("w"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i >= 2) & _candidate(F.get("w", i)))
+    found = F.transform(places, lambda i: F.struct(F.concat_ws(" ", _word(F.get("w", i - 2)), _word(F.get("w", i - 1))).alias("pattern"), i.alias("at"), F.get("w", i).alias("word")))
+    return words.select("key", F.explode(found).alias("c")).select("key", "c.*")
+
+
+def score_graph(totals: DataFrame, edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, score): rounds of scoring over the graph of patterns and instances.
 
-    ``seen``: (pattern, word, n), how often a word follows a pattern. ``seeds``: (pattern, seen), how often a base entity does.
+    ``totals``: (pattern, total), how often a pattern occurs. ``edges``: (pattern, word, n), how often a word that may be an
+    identifier follows it. ``seeds``: (pattern, seen), how often a base entity does.
     """
-    total = seen.groupBy("pattern").agg(F.sum("n").alias("total"))
-    known = total.join(seeds, "pattern").select("pattern", "total", F.least("seen", "total").alias("base"))
-    edges = materialize(seen.where(_candidate(F.col("word"))), "edges")
+    known = totals.join(seeds, "pattern").select("pattern", "total", F.least("seen", "total").alias("base"))
     patterns = materialize(known.select("pattern", "total", "base", (F.col("base") / F.col("total")).alias("score")), "patterns")
     for _ in range(rounds):
         instances = edges.join(patterns.select("pattern", "score"), "pattern").groupBy("word").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("good"))
@@ -154,12 +163,13 @@ def discovered(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
     seeds = materialize(seed_patterns(found.select(_contexts(F.col("text"), F.col("spans")).alias("contexts")), min_seeds), "seeds")
     if seeds.isEmpty():
         return None
-    seen = occurrences(keyed, seeds).groupBy("pattern", "word").agg(F.count("*").alias("n"))
-    scores = score_graph(materialize(seen, "seen"), seeds.select("pattern", "seen"))
+    may = materialize(candidates(keyed), "candidates")
+    edges = may.groupBy("pattern", "word").agg(F.count("*").alias("n")).join(seeds.select("pattern"), "pattern")
+    scores = score_graph(pattern_totals(keyed, seeds), materialize(edges, "edges"), seeds.select("pattern", "seen"))
     good = materialize(scores.where(F.col("score") >= confidence).select("pattern"), "good")
     if good.isEmpty():
         return None
-    hits = occurrences(keyed, good).where(_candidate(F.col("word"))).select("key", "at").distinct()
+    hits = may.join(good, "pattern").select("key", "at").distinct()
     hits = materialize(hits.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats")), "hits")  # a text's own, as many as it has
     return hits
 
