@@ -57,6 +57,27 @@ def test_planted_copies(spark):
     assert kept == {i for i, _ in rows} - set(range(20)) - set(range(5000, 5300)) | set(range(9000, 9000 + len(ODD)))
 
 
+def test_edited_copies_beside_one_exact_copy(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"wort{rng.randrange(2000)}" for _ in range(n)]
+    item = [f"item{i}" for i in range(20)]
+    copy = list(item)
+    copy[6], copy[13] = "neu", "anders"
+    rows = [(0, " ".join(text(30) + item + text(30)))] + [(1 + i, " ".join(text(30) + copy + text(30))) for i in range(60)]
+    rows += [(100 + i, " ".join(text(30) + item[:3] + text(30))) for i in range(60)]  # a seed in common, no copy
+    got = {r["doc_id"]: r["score"] for r in d.matches(documents(spark, rows), items(spark, [(1, " ".join(item))])).collect()}
+    assert set(got) == set(range(61))
+    assert got[0] == 1.0 and all(0.8 <= got[i] < 1.0 for i in range(1, 61))
+
+
+def test_too_few_shared_words_never_reach_the_threshold():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = (" ".join(str(rng.randrange(30)) for _ in range(n)) for n in (20, 60))
+        whole, bounded = d.score_pair(a, b), d.score_pair(a, b, 0.5)
+        assert bounded == whole or (whole[0] < 0.5 and bounded == (0.0, 0, 0))
+
+
 def test_empty_tables(spark):
     assert d.matches(documents(spark, []), items(spark, [(1, "a b c d e")])).collect() == []
     assert d.matches(documents(spark), items(spark, [])).collect() == []

@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman scores the pairs.
-
-Texts are compared as lower-case words without punctuation. Seeds are an item's word n-grams, less those that are common:
-an item keeps every seed that is in few documents, and always those about as rare as its rarest quarter, so that items which
-leaked into many documents keep theirs. Two passes read the documents. The first counts in how many documents each seed is;
-the second cuts the passages around rare seeds. Both look n-grams up in a bit table of fixed size first, and join what
-passes it with the seeds exactly. A passage and an item with a common seed are aligned; the score is the local alignment's
-over that of the item with itself.
+"""Benchmark decontamination: shared n-grams join training passages to test items, Smith-Waterman scores the pairs.
+
+Texts are compared as lower-case words without punctuation. Seeds are all of an item's word n-grams, common ones too. One
+pass reads the documents and cuts the passages around seeds: it looks n-grams up in a bit table of fixed size first, and
+joins what passes it with the seeds exactly. A passage and an item with a common seed are aligned, unless they share too few
+words for any alignment to reach the threshold; the score is the local alignment's over that of the item with itself.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +20,6 @@ from pyspark.sql import functions as F
 from .common import NARROW_BATCH_ROWS, materialize, text_batches, tidy
 
 SEED_WORDS = 3
-#: A seed in so many documents or fewer is rare.
-RARE_DOCS = 50
-#: A seed is also kept if it isn't over so many times as common as the item's rarest quarter.
-RARE_TIMES = 4
 #: Score at which a document holds a copy of an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -98,34 +93,11 @@ def item_seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
     return items.select("item", "text").mapInArrow(tidy(run), "item long, h long")
 
 
-def rare_seeds(docs: DataFrame, seeds: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """(item, h): the seeds that are rare in ``docs``, counted over all of them."""
+def passages(docs: DataFrame, seeds: DataFrame, pad: int, n: int = SEED_WORDS) -> DataFrame:
+    """(doc_id, at, words, hs): stretches of the texts around seeds with ``pad`` words on either side; ``at`` their first word's place."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_table(seeds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t in b.column(0).to_pylist():
-                h = gram_hashes(words_of(t), n)
-                found.append(np.unique(h[table.value.places(h)]))
-            h, df = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df.astype(np.int64))], names=["h", "df"])
-
-    text_batches(spark)
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    counted = seeds.join(counts, "h", "left").select("item", "h", F.coalesce("df", F.lit(0)).alias("df"))
-    counted = materialize(counted, "counted")
-    limit = counted.where("df > 0").groupBy("item").agg(F.percentile_approx("df", 0.25).alias("q"))
-    kept = counted.join(limit, "item").where((F.col("df") > 0) & (F.col("df") <= F.greatest(F.lit(RARE_DOCS), RARE_TIMES * F.col("q"))))
-    return materialize(kept.select("item", "h"), "rare")
-
-
-def passages(docs: DataFrame, rare: DataFrame, pad: int, n: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, at, words, hs): stretches of the texts around rare seeds with ``pad`` words on either side; ``at`` their first word's place."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_table(rare))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -164,9 +136,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def score_pair(item: str, passage: str) -> tuple[float, int, int]:
-    """(score, first word, place after the last word) of the best local alignment; the score is 1 for a whole copy."""
+def score_pair(item: str, passage: str, threshold: float = 0.0) -> tuple[float, int, int]:
+    """(score, first word, place after the last word) of the best local alignment; the score is 1 for a whole copy.
+
+    The score is at most the share of the item's words, with their repeats, that the passage has: under ``threshold`` zeros.
+    """
     a, b = item.split(), passage.split()
+    if (Counter(a) & Counter(b)).total() < threshold * len(a):
+        return 0.0, 0, 0
     number = {w: i for i, w in enumerate(dict.fromkeys(a))}
     x = np.array([number[w] for w in a])
     y = np.array([number.get(w, -1) for w in b])
@@ -199,16 +176,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     pad = items.agg(F.max("n")).first()[0]
     if pad is None:
         return empty
-    rare = rare_seeds(docs, materialize(item_seeds(items, n), "seeds"), n)
-    found = materialize(passages(docs, rare, pad, n).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    pairs = found.select("passage", F.explode("hs").alias("h")).join(rare, "h").select("passage", "item").distinct()
+    seeds = materialize(item_seeds(items, n), "seeds")
+    found = materialize(passages(docs, seeds, pad, n).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    pairs = found.select("passage", F.explode("hs").alias("h")).join(seeds, "h").select("passage", "item").distinct()
     full = pairs.join(found.select("passage", "doc_id", "at", "words"), "passage").join(items.select("item", "item_id", "text"), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, item, at, words, text in zip(*(b.column(i).to_pylist() for i in range(5))):
-                s, a, z = score_pair(text, words)
+                s, a, z = score_pair(text, words, threshold)
                 if s >= threshold:
                     rows.append((doc, item, s, at + a, at + z))
             cols = list(zip(*rows)) if rows else [()] * 5
