@@ -51,6 +51,14 @@ def test_copies_on_a_host_keep_their_text(spark):
     assert set(texts(spark, rows).values()) == {"Title\nSame text here"}
 
 
+def test_equal_pages_of_a_host_count_once(spark):
+    page = lambda i, more="": f'<body><div class="story"><p>Story {i} says {"w%d " % i * 30}</p>{more}</div></body>'
+    rows = [(i, f"https://equal.test/{i}", page(i)) for i in range(12)]
+    rows += [(100 + i, f"https://equal.test/copy?v={i}", page(50, "<blockquote>Said once, on a page with copies</blockquote>")) for i in range(8)]
+    got = texts(spark, rows)
+    assert all(got[100 + i].endswith("Said once, on a page with copies") for i in range(8))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a</p>"), (2, "not a url", None), (None, "http://u@h.test:80/x", ""), (3, "http://h.test/", "<p>b</p>"), (3, "http://h.test/", "<p>b</p>"), (4, "http://h.test/", "<p>" + "long " * 50_000)]
     out = site_style.extract(frame(spark, rows))

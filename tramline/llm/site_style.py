@@ -281,9 +281,14 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: in
                 names=["host", "node", "up", "content", "feature"],
             )
 
-    text_batches(pages.sparkSession)
     own = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).where("host is not null and html is not null")
-    rows = own.mapInArrow(tidy(run), "host string, node long, up array<long>, content boolean, feature long")
+    own = own.withColumn("digest", F.sha2("html", 256))
+    page = ["host", "digest"]
+    copied = materialize(own.groupBy(page).agg(F.count("*").alias("n")).where("n > 1").select(page), "copied")
+    # pages without copies stay where they are
+    once = own.join(copied, page, "left_anti").unionByName(own.join(copied, page, "left_semi").dropDuplicates(page))
+    text_batches(pages.sparkSession)
+    rows = once.select("host", "html").mapInArrow(tidy(run), "host string, node long, up array<long>, content boolean, feature long")
     counts = rows.groupBy("host", "node", "up", "content", "feature").agg(F.count("*").alias("f"))
     nodes = counts.groupBy("host", "node", "content").agg(
         F.max("up").alias("up"), F.sum("f").alias("m"), F.sum(F.col("f") * F.log("f")).alias("flogf"), F.sum(F.log("f")).alias("logf"), F.count("*").alias("l")
