@@ -59,6 +59,12 @@ def test_equal_pages_of_a_host_count_once(spark):
     assert all(got[100 + i].endswith("Said once, on a page with copies") for i in range(8))
 
 
+def test_small_branches_go_though_together_over_half(spark):
+    again = "".join(f'<div class="{c}"><p>{t}</p></div>' for c, t in (("site", "This site is run by a few people"), ("writer", "The author lives in a small town"), ("legal", "No warranty is given for any of it")))
+    rows = [(i, f"https://short.test/{i}", f'<body><div class="wrap"><div class="story"><p>Story {i} is short, w{i} x{i}</p></div>{again}</div></body>') for i in range(12)]
+    assert texts(spark, rows) == {i: f"Story {i} is short, w{i} x{i}" for i in range(12)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a</p>"), (2, "not a url", None), (None, "http://u@h.test:80/x", ""), (3, "http://h.test/", "<p>b</p>"), (3, "http://h.test/", "<p>b</p>"), (4, "http://h.test/", "<p>" + "long " * 50_000)]
     out = site_style.extract(frame(spark, rows))

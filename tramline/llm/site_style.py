@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -308,18 +309,24 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: in
 
 
 def main_text(page: str | None, furniture: list[int] | None) -> str:
-    """The page's blocks without the branches of its host's furniture, joined by a line feed."""
+    """The page's blocks without the branches of its host's furniture, joined by a line feed.
+
+    A branch with over ``MAX_SHARE`` of the text doesn't go, but branches within it may. If no block but headings would be
+    left, all stay.
+    """
     found = content(page)
     if furniture and found:
         low = set(furniture)
-        total = sum(len(b.text) for b in found)
-        go = []
-        for i, b in enumerate(found):
-            if not b.heading and any(node(b.path[:d]) in low for d in range(1, len(b.path) + 1)):
-                go.append(i)
-        if sum(len(found[i].text) for i in go) <= MAX_SHARE * total:
-            gone = set(go)
-            found = [b for i, b in enumerate(found) if i not in gone]
+        nodes = {path: [node(path[:d]) for d in range(1, len(path) + 1)] for path in {b.path for b in found}}
+        held: Counter[int] = Counter()
+        for b in found:
+            for x in low.intersection(nodes[b.path]):
+                held[x] += len(b.text)
+        most = MAX_SHARE * sum(len(b.text) for b in found)
+        go = {x for x, size in held.items() if size <= most}
+        left = [b for b in found if b.heading or go.isdisjoint(nodes[b.path])]
+        if not all(b.heading for b in left):
+            found = left
     return "\n".join(b.text for b in found)
 
 
