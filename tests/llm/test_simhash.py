@@ -187,3 +187,12 @@ def test_wide_recall_near_the_threshold(spark):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, rows)).collect()}
     assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.92 * pairs
+
+
+def test_wide_repeats_dont_weigh(spark):
+    line = " ".join(f"l{i}" for i in range(10))
+    own = lambda x: " ".join(f"{x}{i}" for i in range(104))
+    body = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, " ".join([line] * 50) + " " + own("x")), (2, " ".join([line] * 50) + " " + own("y")), (3, " ".join([body] * 2)), (4, " ".join([body] * 2 + [body] * 30))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
