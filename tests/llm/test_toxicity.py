@@ -51,3 +51,9 @@ def test_contexts_are_told_apart():
         assert f[at] > 0 and sum(f[k] > 0 for k in (4, 5, 6)) == 1, text
     assert s.features("nice words only")[1] == 0 and s.features(None)[0] == 1
     assert s.features("they will kill you")[7] == 0 and s.features("kill the idiot")[4] > 0
+
+
+def test_a_clause_is_read_from_its_first_token():
+    s = toxicity.Scorer(toxicity.Model({"idiot$": (3.0, 3.0, 3.0)}, [0.0] * toxicity.N_FEATURES))
+    f = s.features('"' + "so it goes on and on " * 20 + 'idiot" again')
+    assert f[6] > 0 and f[4] == f[5] == 0

@@ -184,7 +184,7 @@ class Scorer:
             if i <= done:
                 continue
             a = i
-            while a > 0 and found[a - 1] is not None and i - a < 64:
+            while a > 0 and found[a - 1] is not None:
                 a -= 1
             b, state = a, 0
             while b < len(found) and found[b] is not None:
