@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, tidy
+from .common import bound_batches, tidy
 
 MEMO_LIMIT = 300_000
 MEMO_BYTES = 64  # longer pre-tokens aren't remembered
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ids = pa.array([c.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
 
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
@@ -182,7 +182,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), raw], names=["doc_id", "bytes"])
 
-    text_batches(encoded.sparkSession)
+    bound_batches(encoded.sparkSession)
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
@@ -206,7 +206,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -8,6 +8,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for operators over whole texts: keeps a Python worker's memory bounded by 256 texts.
-TEXT_BATCH_ROWS = 256
-#: Rows per Arrow batch for operators over short fixed-width rows.
-NARROW_BATCH_ROWS = 50_000
+#: Bounds of an Arrow batch, the same for every operator, so that a lazy result has them whenever it runs: bytes for whole
+#: texts (a batch is over by one row at most), rows for short ones.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 50_000
 
 
 @lru_cache(maxsize=1)
@@ -31,8 +32,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``; an own one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder for intermediate tables: ``spark.checkpoint.dir``; where that is unset, an own one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or _own_dir()).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -57,9 +61,10 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the next Python operators. Planning reads this setting, so call it before each of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session's Python operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def tidy(run):

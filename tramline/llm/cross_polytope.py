@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches, tidy
+from .common import bound_batches, materialize, tidy
 from .components import connected_components
 from .runs import forest, runs, survivors, whole_runs
 
@@ -199,7 +199,7 @@ def _digested(vectors: DataFrame) -> tuple[DataFrame, str]:
                 vec.append(raw)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vec, pa.binary())], names=["vec_id", "label", "vec"])
 
-    text_batches(vectors.sparkSession, ROWS)
+    bound_batches(vectors.sparkSession)
     cast = "array<float>" if dtype == "<f4" else "array<double>"
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(cast).alias("embedding"))
     rows = own.mapInArrow(tidy(run), "vec_id long, label long, vec binary")
@@ -263,11 +263,11 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
             own = np.tile(np.arange(keys.shape[1]) % (1 + probes) == 0, b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(own)], names=["key", "cid", "own"])
 
-    text_batches(spark, ROWS)
+    bound_batches(spark)
     hashed = materialize(classes.select("cid", "label", "vec").mapInArrow(tidy(hash_rows), "cid long, keys binary"), "hashed")
-    text_batches(spark, ROWS)
+    bound_batches(spark)
     posts = hashed.mapInArrow(tidy(post), "key long, cid long, own boolean")
-    text_batches(spark, 16 * ROWS)
+    bound_batches(spark)
     met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
     full = met.join(hashed, "cid").join(classes.select("cid", "label", "copies", "vec"), "cid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -277,6 +277,6 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
     grouped = split.select(
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "key", "side", (low != high).alias("across"), "cid", "label", "copies", "keys", "vec"
     )
-    text_batches(spark, ROWS)
+    bound_batches(spark)
     verified = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _verify(it, cut, tables, probes, dtype)), "kind int, a long, b long")
     return materialize(verified, "links")

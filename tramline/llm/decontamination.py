@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_BATCH_ROWS, materialize, text_batches, tidy
+from .common import bound_batches, materialize, tidy
 
 SEED_WORDS = 3
 #: Score at which a document holds a copy of an item.
@@ -89,7 +89,7 @@ def item_seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
             flat = np.concatenate(h) if h else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(flat.view(np.int64))], names=["item", "h"])
 
-    text_batches(items.sparkSession)
+    bound_batches(items.sparkSession)
     return items.select("item", "text").mapInArrow(tidy(run), "item long, h long")
 
 
@@ -113,7 +113,7 @@ def passages(docs: DataFrame, seeds: DataFrame, pad: int, n: int = SEED_WORDS) -
             k, a, w, s = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(w, pa.string()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "at", "words", "hs"])
 
-    text_batches(spark)
+    bound_batches(spark)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, at long, words string, hs array<long>")
 
 
@@ -168,7 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             rows = [b" ".join(words_of(t)).decode() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.string()), pa.array([len(r.split()) for r in rows], pa.int64())], names=["item_id", "text", "n"])
 
-    text_batches(spark)
+    bound_batches(spark)
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = own.mapInArrow(tidy(normal), "item_id long, text string, n long").where(F.col("n") >= n).distinct()
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
@@ -192,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
 
-    text_batches(spark, NARROW_BATCH_ROWS // 50)
+    bound_batches(spark)
     scored = full.select("doc_id", "item_id", "at", "words", "text").mapInArrow(tidy(run), empty.schema)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("word_start")).alias("s"), F.col("word_end").alias("e"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.s")).alias("word_start"), F.col("b.e").alias("word_end"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NARROW_BATCH_ROWS, materialize, text_batches, tidy
+from .common import bound_batches, materialize, tidy
 from .components import connected_components
 from .runs import forest, runs, survivors, whole_runs
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
             fps = pa.array([_signed(fingerprint(t, n)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["doc_id", "fp"])
 
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
@@ -232,7 +232,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     kinds = "kind int, a long, b long"
     posts = distinct.select(F.explode(F.array(*(_key(m) for m in QUADS))).alias("key"), "fp")
-    text_batches(spark, NARROW_BATCH_ROWS)
+    bound_batches(spark)
     first = posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda it: _scan(it, LIST_LIMIT)), kinds)
     first = materialize(first, "lists")
     mask = F.shiftright("b", 32)
@@ -411,12 +411,12 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
             keys, cids = _wide_posts(b.column(0).to_numpy(), fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cids), pa.array(np.ones(len(keys), dtype=bool))], names=["key", "cid", "own"])
 
-    text_batches(spark)
+    bound_batches(spark)
     rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(prints), "doc_id long, fp binary"), "wide")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    text_batches(spark, 2048)
+    bound_batches(spark)
     posts = classes.select("cid", "fp").mapInArrow(tidy(post), "key long, cid long, own boolean")
-    text_batches(spark, NARROW_BATCH_ROWS)
+    bound_batches(spark)
     met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
     split = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
     split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -425,7 +425,7 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
     share = differing_share(similarity)
     error = math.sqrt(share * (1 - share) / (64 * words))
     sure, most = int((share - DOUBT[0] * error) * 64 * words), int((share + DOUBT[1] * error) * 64 * words)
-    text_batches(spark, 4 * LIST_BLOCK)
+    bound_batches(spark)
     edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _wide_verify(it, words, sure, most)), "a long, b long, bits int")
     edges = materialize(edges, "wide_edges")
     links = edges.where("bits = 0").select("a", "b")
@@ -477,7 +477,7 @@ def _shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
 
     needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes, "cid").where("least is not null"), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return materialize(texts.select("cid", "text").mapInArrow(tidy(shingles), "cid long, s binary"), "sets")
 
 
@@ -494,7 +494,7 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    text_batches(pairs.sparkSession)
+    bound_batches(pairs.sparkSession)
     return both.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches, tidy
+from .common import bound_batches, materialize, tidy
 
 #: Weight of the content below a node against its own styles.
 GAMMA = 0.9
@@ -288,7 +288,7 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: in
     copied = materialize(own.groupBy(page).agg(F.count("*").alias("n")).where("n > 1").select(page), "copied")
     # pages without copies stay where they are
     once = own.join(copied, page, "left_anti").unionByName(own.join(copied, page, "left_semi").dropDuplicates(page))
-    text_batches(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     rows = once.select("host", "html").mapInArrow(tidy(run), "host string, node long, up array<long>, content boolean, feature long")
     counts = rows.groupBy("host", "node", "up", "content", "feature").agg(F.count("*").alias("f"))
     nodes = counts.groupBy("host", "node", "content").agg(
@@ -347,5 +347,5 @@ def extract(pages: DataFrame) -> DataFrame:
     furniture = low_importance(pages)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
     joined = own.join(furniture, "host", "left").select("page_id", "url", "html", "nodes")
-    text_batches(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     return joined.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

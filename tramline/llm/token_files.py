@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, put_file, text_batches, tidy
+from .common import bound_batches, fresh_path, materialize, put_file, tidy
 
 MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
@@ -284,7 +284,7 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
             yield close()
 
     spark = docs.sparkSession
-    text_batches(spark)
+    bound_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
     files = materialize(own.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(tidy(run), "part int, file int, documents long, ids long"), "files")
@@ -306,7 +306,7 @@ def read_files(spark: SparkSession, at: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, at: str) -> DataFrame:
-    text_batches(spark, 4)
+    bound_batches(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(at).select("path", "content")
 
 

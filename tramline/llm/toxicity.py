@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_batches, tidy
+from .common import bound_batches, materialize, tidy
 
 #: Stems of words: so many characters, or the whole word.
 STEMS = range(3, 9)
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 held.clear()
         yield out()
 
-    text_batches(spark)
+    bound_batches(spark)
     counts = rows.select("text", "label").mapInArrow(tidy(count), "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = F.col("pos"), F.col("neg")
     lcb = (
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [s.features(t, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    text_batches(spark)
+    bound_batches(spark)
     table = rows.select("text", "label").mapInArrow(tidy(featurize), "x array<double>, y int").toArrow()
     y = table.column("y").to_numpy().astype(float)
     x = np.array(table.column("x").combine_chunks().flatten()).reshape(len(y), N_FEATURES)
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
@@ -333,5 +333,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFram
         for b in batches:
             yield b.filter(pa.array([s.score(t) < cut for t in b.column(text).to_pylist()], pa.bool_()))
 
-    text_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import put_file, text_batches, tidy
+from .common import bound_batches, put_file, tidy
 from .site_style import blocks
 
 VERSION = "WARC/1.1"
@@ -177,7 +177,7 @@ def responses(pages: DataFrame) -> DataFrame:
             rows = [response(*x) for x in zip(*(c.to_pylist() for c in b.columns))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["page_id", "record"])
 
-    text_batches(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(tidy(run), "page_id long, record binary")
 
@@ -210,7 +210,7 @@ def derivatives(records: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    text_batches(records.sparkSession)
+    bound_batches(records.sparkSession)
     return records.select(F.col("page_id").cast("long"), "record").mapInArrow(tidy(run), DERIVED)
 
 
@@ -240,7 +240,7 @@ def write_files(records: DataFrame, to: str, prefix: str = "part") -> DataFrame:
         if held:
             yield close()
 
-    text_batches(records.sparkSession)
+    bound_batches(records.sparkSession)
     return materialize(records.select("record").mapInArrow(tidy(run), "file string, records long"), "warc-files")
 
 
@@ -253,6 +253,6 @@ def read_files(spark: SparkSession, at: str) -> DataFrame:
                 for i, (fields, block) in enumerate(parse(raw)):
                     yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([i], pa.int64()), pa.array([build(fields, block)], pa.binary())], names=["file", "place", "record"])
 
-    text_batches(spark, 1)
+    bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(at).select("path", "content")
     return files.mapInArrow(tidy(run), "file string, place long, record binary")
