@@ -1,4 +1,7 @@
+import collections
 import hashlib
+import math
+import random
 import re
 
 import duckdb
@@ -95,6 +98,100 @@ def test_pattern_before_a_small_share_of_seeds(spark):
     assert got[2001] == ""
 
 
+OUTER = re.compile(r"(?<!\S)(?:[^\w:=#\s]|_)+|(?:[^\w:=#\s]|_)+(?!\S)")
+CORE = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def words(text):
+    return OUTER.sub("", re.sub("[0-9]+", "0", text.lower())).split()
+
+
+def brute_patterns(text, start, end):
+    left, right = words(text[:start]), words(text[end:])
+    found = [f"l {left[-1]}"] if left else []
+    found += [f"l {left[-2]} {left[-1]}"] if len(left) > 1 else []
+    found += [f"r {right[0]}"] if right else []
+    return [p for p in found if re.search(r"[^\W\d_]", p[2:])]
+
+
+def brute_discovered(texts):
+    """Each text's discovered spans, by plain counting and scoring."""
+    seeds, edges, places, totals = collections.defaultdict(collections.Counter), collections.Counter(), [], collections.Counter()
+    for k, text in enumerate(texts):
+        base = brute(text)
+        for a, _, z in base:
+            for p in brute_patterns(text, a, z):
+                seeds[p][text[a:z]] += 1
+        for m in re.finditer(r"(?<!\S)(?=\S*[0-9])\S{6,}", text):
+            core = CORE.sub("", m[0])
+            a = m.start() + len(m[0]) - len(re.sub(r"^[\W_]+", "", m[0]))
+            digits = sum(c.isdigit() for c in core)
+            if len(core) < 6 or not (digits >= 4 or (digits and re.search(r"[^\W\d_]", core))) or any(b < m.end() and m.start() < z for b, _, z in base):
+                continue
+            for p in brute_patterns(text, m.start(), m.end()):
+                edges[p, core] += 1
+                places.append((k, a, a + len(core), p))
+        w = words(text)
+        totals.update(w)
+        totals.update(f"{x} {y}" for x, y in zip(w, w[1:]))
+    base = {p: sum(c.values()) for p, c in seeds.items() if len(c) >= pii.MIN_SEEDS}
+    share = {p: min(n, totals[p[2:]]) / totals[p[2:]] for p, n in base.items()}
+    scores = dict(share)
+    for _ in range(pii.ROUNDS):
+        fail = collections.defaultdict(float)
+        for (p, w), _n in edges.items():
+            if p in scores:
+                fail[w] += math.log(max(1 - scores[p], 1e-9))
+        support = collections.Counter()
+        for (p, w), n in edges.items():
+            if p in scores:
+                support[p] += n * (1 - math.exp(fail[w]))
+        scores = {p: min(1.0, share[p] + support[p] * share[p] / totals[p[2:]]) for p in scores}
+    return {k: sorted({(a, z) for i, a, z, p in places if i == k and scores.get(p, 0) >= pii.CONFIDENCE}) for k in range(len(texts))}, scores
+
+
+def test_discovery_matches_brute_force(spark):
+    rnd = random.Random(5)
+    filler = [f"w{c}" for c in "abcdefghij"]
+    cues = [("card no:", ""), ("my ip is", "today"), ("user", "signed in"), ("account", ""), ("(ref", "closed)")]
+    texts = []
+    for i in range(160):
+        parts = rnd.choices(filler, k=rnd.randrange(3, 9))
+        for _ in range(rnd.randrange(4)):
+            before, after = rnd.choice(cues)
+            thing = rnd.choice([f"10.0.{i % 250}.{rnd.randrange(250)}", f"u{i}@mail.example", "4111111111111111", f"+1 555 010 {rnd.randrange(1000, 9999)}", f"ID-{rnd.randrange(30)}-7Q", f"{rnd.randrange(10**7, 10**7 + 20)}", "plain"])
+            parts += [before, thing + rnd.choice(["", "", ",", "."]), after] + rnd.choices(filler, k=rnd.randrange(3))
+        texts.append(" ".join(x for x in parts if x))
+    want, scores = brute_discovered(texts)
+    assert sum(map(bool, want.values())) > 20 and any(s < pii.CONFIDENCE for s in scores.values())
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    mine = {k: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("context")] for k, s in got.items()}
+    assert mine == want
+
+
+def test_patterns_on_the_right_and_of_one_word(spark):
+    rows = [(i, f"{'abcdefg'[i]}x bought from 10.1.1.{i} per router") for i in range(7)] + [(20 + i, f"q{i} from the shop per day") for i in range(2)]
+    rows += [(50, "seen ZX99-4411-AB per router"), (51, "hello AB12-CD34 there")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(documents(spark, rows)).collect()}
+    assert got[50] == "context:5:17" and got[51] == ""
+
+
+def test_long_chains_and_many_matches(spark):
+    rows = [(1, "a@" + "b." * 100_000 + "c"), (2, "-" * 200_000 + "1x" + "." * 200_000 + "y"), (3, "x@y.z " * 20_000), (4, "1." * 100_000), (5, "+1 " * 50_000), (6, "a1" * 100_000 + " " + "@" * 100_000)]
+    got = {r["doc_id"]: r for r in pii.report(documents(spark, rows)).collect()}
+    assert got[1]["spans"] == "email:0:200003" and got[2]["spans"] == got[5]["spans"] == got[6]["spans"] == ""
+    assert got[3]["spans"] == ",".join(f"email:{i}:{i + 5}" for i in range(0, 120_000, 6))
+    assert got[4]["spans"] == ",".join(f"ip:{i}:{i + 7}" for i in range(0, 200_000, 8))
+
+
+def test_bit_table_only_saves_work(spark, monkeypatch):
+    rows = [(i, f"account no: 10.0.0.{i} is closed") for i in range(6)] + [(9, "the account no: ZX99-4411-AB is secret")]
+    want = sorted(pii.report(documents(spark, rows)).collect())
+    monkeypatch.setattr(pii, "TABLE_BITS", 6)  # nearly full
+    assert sorted(pii.report(documents(spark, rows)).collect()) == want
+
+
 def test_plan_is_native(spark):
     plan = pii.report(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
