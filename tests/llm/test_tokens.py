@@ -17,7 +17,6 @@ from .cases import ODD, documents
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
 words = Tokenizer.from_file(WORDS)
-words.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)
@@ -67,6 +66,29 @@ def test_word_encoder_equals_library(texts):
     assert [np.frombuffer(x, dtype=e.dtype).tolist() for x in e.encode(texts)] == [words.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_encoder_knows_the_library_s_added_tokens():
+    added = [t.content for t in words.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f(t) for t in added for f in (str, "a {} b".format, "a{}b".format, "{0}{0} x".format, "É{}! end".format, lambda t: t.upper(), lambda t: f"{t[:-1]} {t}", lambda t: f"\0{t}")]
+    e = token_files.encoder(WORDS)
+    got = [np.frombuffer(x, dtype=e.dtype).tolist() for x in e.encode(texts)]
+    assert got == [words.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[1] == [320, 49406, 321]
+
+
+def test_ids_of_any_value_and_one_id_for_all(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(least, "a"), (most, "b"), (None, "c"), (0, None)]
+    got = sorted(token_files.digests(documents(spark, rows), WORDS).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, least, 0, most]
+    hot = documents(spark, [(7, f"t{i % 3}") for i in range(400)]).repartition(8)
+    to = fresh_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = token_files.write_files(hot, to, WORDS, 1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.agg({"documents": "sum"}).first()[0] == 400 and files.count() > 1
+
+
 def test_token_files(spark, monkeypatch):
     want, start = [], 0
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())))

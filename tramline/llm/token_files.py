@@ -2,7 +2,7 @@
 
 File layout, all little-endian::
 
-    "TLTK" u32 version | u64 documents n | u64 ids | u32 bytes an id | u32 low bits l
+    "TLTK" u32 version | u64 documents n | u64 ids | u32 bytes an id | u32 first documents without an id | u32 low bits l
     u32 words of the low part | u32 words of the high part | u32 select samples | u32 bytes of the document ids
     low part: n * l bits in u64 words | high part: u64 words | samples: u32 place of every 256th set bit
     document ids: i64 deltas, zlib | ids: u16 if all of the file's are below 65536, else u32
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh_path, materialize, put_file, tidy
 
-MAGIC, VERSION, SAMPLE = b"TLTK", 1, 256
+MAGIC, VERSION, SAMPLE = b"TLTK", 2, 256
 FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in memory and in a row
 MEMO_LIMIT = 800_000
 MEMO_BYTES = 64  # longer chunks are forgotten after a batch
@@ -109,15 +109,18 @@ class EliasFano:
         return 64 * (len(self.low) + len(self.high)) + 32 * len(self.samples)
 
 
-HEAD = struct.Struct("<4sIQQIIIIII")
+HEAD = struct.Struct("<4sIQQIIIIIII")
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A file's bytes."""
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A file's bytes. Documents without an id come first."""
     ef = EliasFano.build(np.cumsum(lengths, dtype=np.uint64))
-    keys = zlib.compress(np.diff(np.asarray(doc_ids, dtype="<i8"), prepend=np.int64(0)).astype("<i8").tobytes(), 1)
+    nulls = sum(k is None for k in doc_ids)
+    known = np.array(doc_ids[nulls:], dtype="<i8")
+    with np.errstate(over="ignore"):
+        keys = zlib.compress(np.diff(known, prepend=np.int64(0)).astype("<i8").tobytes(), 1)
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    head = HEAD.pack(MAGIC, VERSION, len(lengths), len(ids), width, ef.l, len(ef.low), len(ef.high), len(ef.samples), len(keys))
+    head = HEAD.pack(MAGIC, VERSION, len(lengths), len(ids), width, nulls, ef.l, len(ef.low), len(ef.high), len(ef.samples), len(keys))
     return b"".join([head, ef.low.astype("<u8").tobytes(), ef.high.astype("<u8").tobytes(), ef.samples.astype("<u4").tobytes(), keys, ids.astype(f"<u{width}").tobytes()])
 
 
@@ -125,7 +128,7 @@ class TokenFile:
     """Reads a packed file; documents by their place in it."""
 
     def __init__(self, raw: bytes):
-        magic, version, n, total, width, l, low, high, samples, keys = HEAD.unpack_from(raw)
+        magic, version, n, total, width, nulls, l, low, high, samples, keys = HEAD.unpack_from(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file")
         at = HEAD.size
@@ -134,7 +137,9 @@ class TokenFile:
             parts.append(np.frombuffer(raw, dtype=kind, count=k, offset=at))
             at += parts[-1].nbytes
         self.ends = EliasFano(n, l, *parts)
-        self.doc_ids = np.cumsum(np.frombuffer(zlib.decompress(raw[at : at + keys]), dtype="<i8"))
+        with np.errstate(over="ignore"):
+            known = np.cumsum(np.frombuffer(zlib.decompress(raw[at : at + keys]), dtype="<i8"))
+        self.doc_ids = [None] * nulls + known.tolist()
         self.ids = np.frombuffer(raw, dtype=f"<u{width}", count=total, offset=at + keys)
 
     def __len__(self) -> int:
@@ -171,7 +176,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         mark = self._ids(self.MARK)
@@ -244,15 +248,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-NO_ID = -(1 << 63)  # stands for a null document id in a file; sorts before all others
-
-
 def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
     """Encode all texts and write their ids, ``end_id`` after each document, as files under ``to`` in ascending id order.
 
     Null ids come first; ties go by the text's CRC. Null texts count as empty and have the end id only. Rows
-    repeat as they do. An empty table writes no file. The rows are range-partitioned by id, so that a part is a range of
-    ids; a part is closed into several files as it streams. Returns the manifest, materialized: (part, file, documents,
+    repeat as they do. An empty table writes no file. The rows are range-partitioned by id, then by what else orders them and
+    the part of the input that they come from, so that a part is a range of ids, and rows of one id spread; a part is closed into several files as it streams. Returns the manifest, materialized: (part, file, documents,
     ids, first), one row a file, where ``first`` counts the ids of all files before it.
     """
 
@@ -266,14 +267,14 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(rows), dtype=e.dtype)
-            put_file(to, f"{part:06d}-{file:06d}.tok", pack(np.array(keys, dtype=np.int64), np.array(lengths), ids))
+            put_file(to, f"{part:06d}-{file:06d}.tok", pack(keys, np.array(lengths), ids))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "documents", "ids"]
             )
 
         for b in batches:
             for k, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).cast(pa.binary()).to_pylist())):
-                keys.append(NO_ID if k is None else k)
+                keys.append(k)
                 rows.append(ids + end)
                 lengths.append(len(rows[-1]) // e.dtype.itemsize)
                 held += lengths[-1]
@@ -285,9 +286,9 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
 
     spark = docs.sparkSession
     bound_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
-    files = materialize(own.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(tidy(run), "part int, file int, documents long, ids long"), "files")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32("text").alias("crc"), F.spark_partition_id().alias("came"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("came")]
+    files = materialize(own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(tidy(run), "part int, file int, documents long, ids long"), "files")
     parts = files.groupBy("part").agg(F.sum("ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("ids").over(Window.partitionBy("part").orderBy("file")) - F.col("ids")
@@ -319,7 +320,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Token
 
 def _rows(part: int, file: int, t: TokenFile, *columns: pa.Array, names: list[str]) -> pa.RecordBatch:
     n = len(t)
-    keys = pa.array([None if k == NO_ID else k for k in t.doc_ids.tolist()], pa.int64())
+    keys = pa.array(t.doc_ids, pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, file, np.int32)), keys, *columns], names=["part", "file", "doc_id", *names])
 
 
