@@ -1,4 +1,6 @@
+import gzip
 import json
+import zlib
 
 from tramline.llm import warc
 from tramline.llm.common import fresh_path
@@ -31,7 +33,7 @@ def test_derivatives_link_and_preserve(spark):
     assert meta["source_digest"] == warc.sha1(PAGE.encode())
     assert text["block"] == "menu\nHällo link" and text["block_digest"] == warc.sha1(text["block"].encode())
     envelope = json.loads(meta["block"])
-    assert envelope["source"]["warc_headers"] == dict(fields) and envelope["source"]["http_status"] == 200
+    assert envelope["source"]["warc_headers"] == [list(f) for f in fields] and envelope["source"]["http_status"] == 200
     assert envelope["html"]["title"] == "A & B" and envelope["html"]["links"] == [{"element": "a", "url": "/x?a=1&b=2"}]
     assert envelope["payload"]["digest_matches"] and envelope["conversion"]["record_id"] == text["record_id"]
     assert all(r["content_length"] == len(r["block"].encode()) for r in out)
@@ -52,6 +54,43 @@ def test_other_records_and_bad_digests():
         raise AssertionError(bad)
 
 
+def payload_of(headers, body):
+    return warc.split_http("\r\n".join(["HTTP/1.1 200 OK", *headers]).encode() + b"\r\n\r\n" + body)[3]
+
+
+def test_codings():
+    text = b"<p>" + b"some text " * 200
+    chunked = b"".join(b"%x;a=b\r\n%s\r\n" % (len(text[i : i + 333]), text[i : i + 333]) for i in range(0, len(text), 333)) + b"0\r\nX: y\r\n\r\n"
+    assert payload_of(["Transfer-Encoding: chunked"], chunked) == text
+    assert payload_of(["transfer-encoding: Chunked", "Content-Encoding: gzip"], b"5\r\n" + gzip.compress(text)[:5] + b"\r\n%x\r\n" % (len(gzip.compress(text)) - 5) + gzip.compress(text)[5:] + b"\r\n0\r\n\r\n") == text
+    assert payload_of(["Content-Encoding: gzip"], gzip.compress(text[:9]) + gzip.compress(text[9:])) == text
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(text) + raw.flush()
+    assert payload_of(["Content-Encoding: deflate"], zlib.compress(text)) == payload_of(["Content-Encoding: deflate"], raw) == text
+    assert payload_of(["Content-Encoding: gzip, deflate"], zlib.compress(gzip.compress(text))) == text
+    assert payload_of(["Content-Encoding: br"], b"\x0b\x00x") == b"\x0b\x00x"
+    damaged = gzip.compress(text)[:10] + b"\xff" * 30
+    assert payload_of(["Content-Encoding: gzip"], damaged) == damaged
+    assert text.startswith(payload_of(["Content-Encoding: gzip"], gzip.compress(text)[:-12]))
+    assert payload_of(["Transfer-Encoding: chunked"], b"zz\r\nrest") == b"zz\r\nrest"
+    for charset in ("undefined", "idna", "no-such", "hex", "punycode"):
+        assert warc.decode_payload("aé".encode(), [("Content-Type", f"text/html; charset={charset}")])
+
+
+def test_repeated_headers_stay_and_damage_stays_with_its_record(spark):
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>")]
+    whole = warc.build(fields, b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n<p>x")
+    (_, _, meta), _ = warc.derive(*next(warc.parse(whole)))
+    source = json.loads(meta)["source"]
+    assert [v for k, v in source["warc_headers"] if k == "WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"] and len(source["http_headers"]) == 2
+    damaged = [b"nonsense", b"WARC/1.1\r\nContent-Length: -3\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n", b"WARC/1.1\r\nWARC-Type: response\r\n\r\n", whole[:-9], gzip.compress(whole)[:-12], gzip.compress(b"junk") + gzip.compress(whole)]
+    rows = [(i, raw) for i, raw in enumerate([*damaged, whole, None])]
+    got = {}
+    for r in warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect():
+        got.setdefault(r["page_id"], []).append(r["record_type"])
+    assert got == {**{i: ["damaged"] for i in range(6)}, 6: ["damaged", "metadata", "conversion"], 7: ["metadata", "conversion"]}
+
+
 def test_files(spark):
     rows = [(i, f"http://a.test/{i}", f"<p>{i}") for i in range(20)]
     records = warc.responses(frame(spark, rows))

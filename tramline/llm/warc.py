@@ -4,6 +4,11 @@ Each response gives two records. The conversion holds the page's plain text, the
 WARC and HTTP headers, title, links and digests. Both refer to the response's id (WARC-Refers-To) and carry its target, date,
 warcinfo id and payload digest; the metadata names the conversion as concurrent. Ids are derived from the source's, so that
 a task that runs again writes the same records. Everything is a map over single records: nothing is shuffled.
+
+Damage stays with its record. A payload whose coding is damaged or unknown (Brotli, for one) is read as it came, bytes that
+don't fit the charset are replaced, an unknown charset counts as UTF-8. Where a record's own frame is damaged, so that its
+headers or length can't be read, it gives one row of the type ``damaged`` with the reason, and what follows it in the same
+gzip member or plain file is not read.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -73,10 +79,25 @@ def get(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
-def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """The records of a file, plain or with gzip members: (headers, block). A record that ends early is an error."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def _members(raw: bytes) -> Iterator[bytes]:
+    """A plain file whole; of a compressed one each gzip member, one in memory at a time. A damaged member is an error."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    rest = memoryview(raw)
+    while rest[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        try:
+            out = stream.decompress(rest) + stream.flush()
+        except zlib.error as e:
+            raise ValueError(f"gzip member: {e}") from e
+        if not stream.eof:
+            raise ValueError("gzip member ends early")
+        rest = rest[len(rest) - len(stream.unused_data) :]
+        yield out
+
+
+def _records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     at = 0
     while at < len(raw):
         while raw[at : at + 2] == b"\r\n":
@@ -89,12 +110,37 @@ def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         if end < 0:
             raise ValueError("headers end early")
         _, fields = _headers(raw[at:end])
-        size = int(get(fields, "Content-Length") or 0)
+        size = get(fields, "Content-Length") or ""
+        if not re.fullmatch("[0-9]{1,18}", size):
+            raise ValueError(f"Content-Length is no number: {size[:40]!r}")
         at = end + 4
-        if at + size > len(raw):
+        if at + int(size) > len(raw):
             raise ValueError("block ends early")
-        yield fields, raw[at : at + size]
-        at += size
+        yield fields, raw[at : at + int(size)]
+        at += int(size)
+
+
+def parse(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """The records of a file, plain or with gzip members: (headers, block). A damaged frame raises ValueError."""
+    for member in _members(raw):
+        yield from _records(member)
+
+
+def parse_or_tell(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes] | str]:
+    """As ``parse``, but damage ends the member with its reason as text; whole members after it are read."""
+    members = _members(raw)
+    while True:
+        try:
+            member = next(members, None)
+        except ValueError as e:
+            yield str(e)
+            return
+        if member is None:
+            return
+        try:
+            yield from _records(member)
+        except ValueError as e:
+            yield str(e)
 
 
 def response(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> bytes:
@@ -112,19 +158,54 @@ def response(page_id: int | None, url: str | None, html: str | None, date: str =
     )
 
 
-def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
-    """(status, headers, payload) of an HTTP response; a block that is none is all payload."""
+def dechunk(body: bytes) -> bytes:
+    """A body without chunked transfer coding; from the first damaged chunk on as it came."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(b"[0-9A-Fa-f]{1,12}", size):
+            out.append(body[at:])
+            break
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return b"".join(out)
+
+
+def inflate(body: bytes, coding: str) -> bytes:
+    """A body without its content coding; as it came if that is unknown or damaged. A body that ends early gives what it has."""
+    kinds = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ())
+    for bits in kinds:
+        out, rest = [], body
+        try:
+            while rest:
+                stream = zlib.decompressobj(bits)
+                out.append(stream.decompress(rest) + stream.flush())
+                rest = stream.unused_data if stream.eof and bits == 31 and stream.unused_data[:2] == b"\x1f\x8b" else b""
+            return b"".join(out)
+        except zlib.error:
+            continue
+    return body
+
+
+def split_http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes, bytes]:
+    """(status, headers, body without transfer coding, payload without content coding) of an HTTP response; a block that is
+    none is all payload."""
     if not block.startswith(b"HTTP/"):
-        return None, [], block
-    head, _, payload = block.partition(b"\r\n\r\n")
+        return None, [], block, block
+    head, _, body = block.partition(b"\r\n\r\n")
     first, fields = _headers(head)
     status = first.split(" ")[1] if " " in first else ""
-    if (get(fields, "Content-Encoding") or "").lower() in ("gzip", "x-gzip"):
-        try:
-            payload = gzip.decompress(payload)
-        except (OSError, EOFError):
-            pass  # kept as it came
-    return (int(status) if status.isdigit() else None), fields, payload
+    codings = lambda name: [c.strip().lower() for k, v in fields if k.lower() == name for c in v.split(",") if c.strip()]
+    if "chunked" in codings("transfer-encoding"):
+        body = dechunk(body)
+    payload = body
+    for coding in reversed([*codings("content-encoding"), *(c for c in codings("transfer-encoding") if c != "chunked")]):
+        payload = inflate(payload, coding)
+    return (int(status) if re.fullmatch("[0-9]{1,9}", status) else None), fields, body, payload
 
 
 def decode_payload(payload: bytes, http: list[tuple[str, str]]) -> str:
@@ -132,7 +213,7 @@ def decode_payload(payload: bytes, http: list[tuple[str, str]]) -> str:
     m = _CHARSET.search(get(http, "Content-Type") or "") or _CHARSET.search(payload[:2048].decode("ascii", "replace"))
     try:
         return payload.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):  # no text coding, or one that takes no replacement
         return payload.decode("utf-8", "replace")
 
 
@@ -141,10 +222,10 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str, list[
     if (get(fields, "WARC-Type") or "").lower() != "response":
         return []
     source = get(fields, "WARC-Record-ID") or record_id("source", sha1(block))
-    status, http, payload = split_http(block)
+    status, http, body, payload = split_http(block)
     page = decode_payload(payload, http)
-    raw_payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-    stated, found = get(fields, "WARC-Payload-Digest"), sha1(raw_payload)
+    sent = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+    stated, found = get(fields, "WARC-Payload-Digest"), sha1(body)
     text = "\n".join(b.text for b in blocks(page, everything=True)).encode("utf-8", "replace")
     shared = [(k, v) for k, v in fields if k.lower() in ("warc-target-uri", "warc-date", "warc-warcinfo-id")]
     if get(shared, "WARC-Date") is None:
@@ -153,8 +234,8 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str, list[
     text_id, meta_id = record_id("conversion", source), record_id("metadata", source)
     title = _TITLE.search(page)
     envelope = {
-        "source": {"record_id": source, "warc_headers": dict(fields), "http_status": status, "http_headers": [list(h) for h in http]},
-        "payload": {"length": len(raw_payload), "digest": found, "digest_matches": stated in (None, found)},
+        "source": {"record_id": source, "warc_headers": [list(h) for h in fields], "http_status": status, "http_headers": [list(h) for h in http]},
+        "payload": {"length": len(body), "digest": found, "digest_matches": stated in (None, found) or stated == sha1(sent)},
         "html": {
             "title": " ".join(unescape(title[1]).split()) if title else None,
             "metas": [m[0] for m in _META.finditer(page)],
@@ -191,7 +272,8 @@ DERIVED = (
 def derivatives(records: DataFrame) -> DataFrame:
     """(page_id, record) -> two rows for each response record in it, with the headers that link them and the block as text.
 
-    Null records and records of other types give no rows. A record that is no WARC is an error.
+    Null records and records of other types give no rows; one whose frame is damaged gives a row of the type ``damaged``
+    with the reason as its block, and nulls for what links records.
     """
     names = [x.split(" ")[0] for x in DERIVED.split(", ")]
     kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in DERIVED.split(", ")]
@@ -200,7 +282,11 @@ def derivatives(records: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for page_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for fields, block in parse(raw or b""):
+                for record in parse_or_tell(raw or b""):
+                    if isinstance(record, str):
+                        rows.append((page_id, "damaged", *[None] * 6, len(raw), None, None, record))
+                        continue
+                    fields, block = record
                     for kind, head, out in derive(fields, block):
                         h = {k: v for k, v in head}
                         rows.append((
@@ -245,13 +331,18 @@ def write_files(records: DataFrame, to: str, prefix: str = "part") -> DataFrame:
 
 
 def read_files(spark: SparkSession, at: str) -> DataFrame:
-    """(file, place, record): the records of all .warc and .warc.gz files under ``at``, each with its headers."""
+    """(file, place, record): the records of all .warc and .warc.gz files under ``at``, each with its headers.
+
+    A file is one row of Spark's reader, which bounds it to 2 GB; its members are inflated one at a time. Where a frame is
+    damaged, the record is the reason as text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, (fields, block) in enumerate(parse(raw)):
-                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([i], pa.int64()), pa.array([build(fields, block)], pa.binary())], names=["file", "place", "record"])
+                for i, record in enumerate(parse_or_tell(raw)):
+                    whole = record.encode() if isinstance(record, str) else build(*record)
+                    yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[1]]), pa.array([i], pa.int64()), pa.array([whole], pa.binary())], names=["file", "place", "record"])
 
     bound_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(at).select("path", "content")
