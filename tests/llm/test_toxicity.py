@@ -42,6 +42,13 @@ def test_odd_rows(spark):
     assert kept.columns == documents(spark).columns and kept.count() == len(ODD)
 
 
+def test_an_id_of_many_rows_is_one_training_row(spark):
+    a, b, c, d = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1][:4]
+    rows = [(a, f"some text {i}") for i in range(50)] * 2 + [(b, "other words"), (c, None), (c, None), (d, "more")]
+    got = toxicity.training_rows(documents(spark, rows), labels(spark, [(a, 1), (a, 0), (b, 0), (c, 0), (d, 1)])).collect()
+    assert len(got) == 4 and [r["label"] for r in got if (r["text"] or "").startswith("some")] == [1]
+
+
 def test_contexts_are_told_apart():
     model = toxicity.Model({"idiot$": (3.0, 3.0, 3.0)}, [0.0] * toxicity.N_FEATURES)
     s = toxicity.Scorer(model)

@@ -32,9 +32,7 @@ MIN_SUPPORT = 3
 CAUTION = 1.5
 MIN_WEIGHT = 0.25
 RIDGE = 0.2
-#: Bound of the lexicon: the stems with the largest weights.
-MAX_STEMS = 20_000
-#: Bound of the labelled ids that the model is fitted on (a sample by their hash if there are more).
+#: Bound of the labelled rows that the model is fitted on (a sample by the ids' hash if there are more). It bounds the lexicon too.
 FIT_ROWS = 50_000
 #: Stem counts a task holds before it hands them on.
 HELD_COUNTS = 250_000
@@ -232,10 +230,11 @@ def _fold():
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of labelled ids outside the held-out fold; an id with several labels counts once, by the largest.
+    """(text, label) of labelled ids outside the held-out fold, a row for each id, materialized.
 
-    With more than ``FIT_ROWS`` such ids, those under the quantile of a hash that leaves as many. The labels are bounded
-    before the join, so they are broadcast, and no text is shuffled.
+    An id with several labels counts by the largest, one with several rows by one of those with the smallest hash of the text.
+    With more than ``FIT_ROWS`` such ids, those under the quantile of a hash that leaves as many. The labels are bounded before
+    the join, so they are broadcast, and no text is shuffled but those of ids with several rows.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     own = materialize(own.where(_fold() != 1).groupBy("doc_id").agg(F.max("label").alias("label")), "labels")
@@ -243,7 +242,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if n > FIT_ROWS:
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * FIT_ROWS / n))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(own), "doc_id").select("text", "label")
+    rows = materialize(texts.join(F.broadcast(own), "doc_id").withColumn("h", F.xxhash64("text")), "train")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1").select(F.col("doc_id").alias("again"), "least")
+    several = materialize(several, "several")
+    once = rows.join(several, rows["doc_id"] == several["again"], "left_anti").select("text", "label")
+    first = rows.join(several, (rows["doc_id"] == several["again"]) & (rows["h"] == several["least"])).dropDuplicates(["doc_id"]).select("text", "label")
+    return once if several.isEmpty() else materialize(once.unionByName(first), "train")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -252,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Without training rows of both labels the model scores everything by the share of toxic ones (none: 0).
     """
     spark = docs.sparkSession
-    rows = materialize(training_rows(docs, labels), "train")
+    rows = training_rows(docs, labels)
     n, p = rows.agg(F.count("*"), F.sum("label")).first()
     p = p or 0
     if not p or p == n:
@@ -285,10 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lcb = (
         F.log((a + 0.5) / (p + 1)) - F.log((b + 0.5) / (n - p + 1)) - CAUTION * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) - 1 / (p + 1) - 1 / (n - p + 1))
     )
-    chosen = counts.where(a >= MIN_SUPPORT).withColumn("w", lcb).where(F.col("w") > MIN_WEIGHT).orderBy(F.desc("w"), "stem").limit(MAX_STEMS).collect()
+    chosen = counts.where(a >= MIN_SUPPORT).withColumn("w", lcb).where(F.col("w") > MIN_WEIGHT).collect()
     stems = {r["stem"]: (r["w"], weight(r["pos"] - 1, r["neg"], p - 1, n - p), weight(r["pos"], r["neg"] - 1, p, n - p - 1) if r["neg"] else r["w"]) for r in chosen}
     model = Model(stems, [])
-    shipped = spark.sparkContext.broadcast(model)  # bounded by MAX_STEMS
+    shipped = spark.sparkContext.broadcast(model)  # bounded by FIT_ROWS
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(shipped.value)
