@@ -50,7 +50,9 @@ def test_planted_copies(spark):
     docs = documents(spark, [*rows, *((9000 + i, t) for i, (_, t) in enumerate(ODD))])
     got = d.matches(docs, items(spark, [(i, None if t is None else " ".join(t)) for i, t in bench])).collect()
     found = {(r["doc_id"], r["item_id"]): r for r in got}
-    assert set(found) == {(k, k) for k in range(20)} | {(5000 + i, 0) for i in range(300)}
+    pair = " ".join(bench[20][1])
+    short = {(i, 50) for i, t in rows if f" {pair} " in f" {' '.join(w.decode() for w in d.words_of(t))} "}
+    assert set(found) == {(k, k) for k in range(20)} | {(5000 + i, 0) for i in range(300)} | short
     assert all(found[(k, k)]["score"] == 1.0 and found[(k, k)]["word_start"] == 100 for k in range(0, 20, 2))
     assert all(0.5 <= found[(k, k)]["score"] < 1.0 for k in range(1, 20, 2))
     kept = {r["doc_id"] for r in d.drop_contaminated(docs, items(spark, [(i, None if t is None else " ".join(t)) for i, t in bench])).collect()}
@@ -70,6 +72,30 @@ def test_edited_copies_beside_one_exact_copy(spark):
     assert got[0] == 1.0 and all(0.8 <= got[i] < 1.0 for i in range(1, 61))
 
 
+def test_short_and_unspaced_items(spark):
+    chinese = "这是一个很长的中文句子，没有空格，但它仍然是测试集的一部分"
+    bench = [(1, "Xylophon!"), (2, "purple zebra"), (3, chinese), (4, "ภาษาไทยไม่มีช่องว่าง"), (5, "..."), (6, "")]
+    rows = [(1, "a xylophon here"), (2, "the purple, zebra"), (3, "purple and zebra"), (4, "前文。" + chinese.replace("，", "") + "。后文"), (5, "前文" + chinese.replace("很长", "特别短") + "后文"), (6, "这是别的句子"), (7, "xภาษาไทยไม่มีช่องว่างy"), (8, "nothing")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.matches(documents(spark, rows), items(spark, bench)).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3), (5, 3), (7, 4)}
+    assert got[(4, 3)] == 1.0 and 0.5 <= got[(5, 3)] < 1
+    kept = {r["doc_id"] for r in d.drop_contaminated(documents(spark, rows), items(spark, bench)).collect()}
+    assert kept == {1, 2, 3, 6, 8}
+
+
+def test_a_long_item_pads_its_own_passages_only(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"wort{rng.randrange(10**6)}" for _ in range(n)]
+    short, long = text(12), text(3000)
+    own = items(spark, [(1, " ".join(short)), (2, " ".join(long))]).selectExpr("item_id as item", "text", "size(split(text, ' ')) as n")
+    seeds = d.item_seeds(own)
+    rows = [(1, " ".join(text(5000) + short + text(5000))), (2, " ".join(text(100) + long + text(100)))]
+    found = {r["doc_id"]: r for r in d.passages(documents(spark, rows), seeds, {d.length_class(12): 12, d.length_class(3000): 3000}).collect()}
+    assert len(found[1]["words"].split()) == 36 and len(found[2]["words"].split()) == 3200
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in d.matches(documents(spark, rows), items(spark, [(1, " ".join(short)), (2, " ".join(long))])).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0}
+
+
 def test_too_few_shared_words_never_reach_the_threshold():
     rng = random.Random(8)
     for _ in range(300):

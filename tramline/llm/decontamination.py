@@ -1,13 +1,16 @@
 """Benchmark decontamination: shared n-grams join training passages to test items, Smith-Waterman scores the pairs.
 
-Texts are compared as lower-case words without punctuation. Seeds are all of an item's word n-grams, common ones too. One
-pass reads the documents and cuts the passages around seeds: it looks n-grams up in a bit table of fixed size first, and
-joins what passes it with the seeds exactly. A passage and an item with a common seed are aligned, unless they share too few
-words for any alignment to reach the threshold; the score is the local alignment's over that of the item with itself.
+Texts are compared as lower-case words without punctuation; a character of a script that isn't spaced is a word. Seeds are
+all of an item's word n-grams, common ones too, as an item's rare ones can all be edited away; of a shorter item all its words
+are the seed. One pass reads the documents and cuts the passages around seeds: it looks n-grams up in bit tables of fixed size
+first, and joins what passes them with the seeds exactly. Items are classed by length, with a table each, so that a passage is
+padded for items of about its seeds' items' length. A passage and an item with a common seed are aligned, unless they share
+too few words for any alignment to reach the threshold; the score is the local alignment's over that of the item with itself.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,15 +26,26 @@ SEED_WORDS = 3
 #: Score at which a document holds a copy of an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bits of the table, whatever the number of seeds.
+#: Bits of a class' table, whatever the number of seeds.
 TABLE_BITS = 24
+#: A document isn't dropped for items of fewer words: those are in too many texts by chance.
+EVIDENCE_WORDS = 3
 
 # ASCII punctuation parts words; apostrophes too.
 _PARTS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 
 
+# Blocks of Thai, Lao, Burmese, Khmer, kana and ideographs, which put no space between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+# Punctuation of these scripts.
+_WIDE_PARTS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u104a\u104b\u17d4-\u17d6]")
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_PARTS).split()
+    low = (text or "").lower()
+    if not low.isascii() and _UNSPACED.search(low):
+        low = _UNSPACED.sub(r" \g<0> ", _WIDE_PARTS.sub(" ", low))
+    return low.encode("utf-8", "replace").translate(_PARTS).split()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,12 +70,11 @@ class BitTable:
 
     MASK = (1 << TABLE_BITS) - 1
 
-    def __init__(self, slots: np.ndarray):
-        self.bits = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
-        np.bitwise_or.at(self.bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    def __init__(self):
+        self.bits = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
 
     def _has(self, slots: np.ndarray) -> np.ndarray:
-        return (self.bits[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 != 0
+        return (self.bits[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         mask = np.uint64(self.MASK)
@@ -69,52 +82,70 @@ class BitTable:
         return at[self._has((hashes[at] >> np.uint64(TABLE_BITS)) & mask)]
 
 
-def _table(seeds: DataFrame) -> BitTable:
-    """At most 2^24 slots come to the driver, whatever the number of seeds."""
+def length_class(words: int) -> int:
+    """Items of a class are of lengths within four times of each other; 1 and 2 are the items of so many words."""
+    return words if words < SEED_WORDS else SEED_WORDS + (words - 1).bit_length() // 2
+
+
+def _tables(seeds: DataFrame) -> dict[int, BitTable]:
+    """A table for each class of (cls, h). At most 2^18 numbers a class come to the driver, whatever the number of seeds."""
     mask = F.lit(BitTable.MASK).cast("long")
-    slots = seeds.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", TABLE_BITS).bitwiseAND(mask)).cast("array<int>")).alias("s")).distinct()
-    return BitTable(slots.toArrow().column("s").to_numpy().astype(np.int64))
+    slots = seeds.select("cls", F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", TABLE_BITS).bitwiseAND(mask))).alias("s"))
+    bits = slots.groupBy("cls", F.shiftright("s", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    out: dict[int, BitTable] = {}
+    cls = bits.column("cls").to_numpy()
+    for c in np.unique(cls):
+        out[int(c)] = BitTable()
+        out[int(c)].bits[bits.column("i").to_numpy()[cls == c]] = bits.column("bits").to_numpy()[cls == c].view(np.uint64)
+    return out
 
 
-def item_seeds(items: DataFrame, n: int = SEED_WORDS) -> DataFrame:
-    """(item, h): each item's distinct seeds. Items of fewer than ``n`` words have none and match nothing."""
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(item, cls, h): each item's distinct seeds. Items without a word have none and match nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            item, h = [], []
+            item, cls, h = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = np.unique(gram_hashes(words_of(t), n))
+                words = words_of(t)
+                own = np.unique(gram_hashes(words, min(SEED_WORDS, len(words)))) if words else np.zeros(0, np.uint64)
                 item += [k] * len(own)
+                cls += [length_class(len(words))] * len(own)
                 h.append(own)
             flat = np.concatenate(h) if h else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(flat.view(np.int64))], names=["item", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(cls, pa.int32()), pa.array(flat.view(np.int64))], names=["item", "cls", "h"])
 
     bound_batches(items.sparkSession)
-    return items.select("item", "text").mapInArrow(tidy(run), "item long, h long")
+    return items.select("item", "text").mapInArrow(tidy(run), "item long, cls int, h long")
 
 
-def passages(docs: DataFrame, seeds: DataFrame, pad: int, n: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, at, words, hs): stretches of the texts around seeds with ``pad`` words on either side; ``at`` their first word's place."""
+def passages(docs: DataFrame, seeds: DataFrame, pads: dict[int, int]) -> DataFrame:
+    """(doc_id, cls, at, words, hs): stretches of the texts around seeds of a class, with its longest item's length on either
+    side (``pads``); ``at`` their first word's place."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(_table(seeds))
+    tables = spark.sparkContext.broadcast(_tables(seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64()))
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(t)
-                h = gram_hashes(words, n)
-                at = table.value.places(h)
-                if not len(at):
-                    continue
-                for part in np.split(at, np.nonzero(np.diff(at) > pad)[0] + 1):
-                    a, z = max(0, int(part[0]) - pad), min(len(words), int(part[-1]) + n + pad)
-                    rows.append((k, a, b" ".join(words[a:z]).decode(), np.unique(h[part]).view(np.int64)))
-            k, a, w, s = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(w, pa.string()), pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "at", "words", "hs"])
+                grams: dict[int, np.ndarray] = {}
+                for cls, table in tables.value.items():
+                    n, pad = min(SEED_WORDS, cls), pads[cls]
+                    h = grams[n] if n in grams else grams.setdefault(n, gram_hashes(words, n))
+                    at = table.places(h)
+                    if not len(at):
+                        continue
+                    for part in np.split(at, np.nonzero(np.diff(at) > pad)[0] + 1):
+                        a, z = max(0, int(part[0]) - pad), min(len(words), int(part[-1]) + n + pad)
+                        rows.append((k, cls, a, b" ".join(words[a:z]).decode(), np.unique(h[part]).view(np.int64)))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["doc_id", "cls", "at", "words", "hs"])
 
     bound_batches(spark)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, at long, words string, hs array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, cls int, at long, words string, hs array<long>")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -154,11 +185,11 @@ def score_pair(item: str, passage: str, threshold: float = 0.0) -> tuple[float,
     return best / (MATCH * len(a)), end - (length if back == best else end), end
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = SEED_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least_words: int = 1) -> DataFrame:
     """(doc_id, item_id, score, word_start, word_end): the documents that hold a copy, and where its best one is.
 
-    One row for each pair of ids; of repeated rows and passages the best score, then the first place. Null texts and items of
-    fewer than ``n`` words match nothing, a null document id is reported as null, items with a null id are left out. Items
+    One row for each pair of ids; of repeated rows and passages the best score, then the first place. Null texts, items without
+    a word and those of fewer than ``least_words`` match nothing, a null document id is reported as null, items with a null id are left out. Items
     with the same id are alternatives. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
@@ -170,15 +201,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
     bound_batches(spark)
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    items = own.mapInArrow(tidy(normal), "item_id long, text string, n long").where(F.col("n") >= n).distinct()
+    items = own.mapInArrow(tidy(normal), "item_id long, text string, n long").where(F.col("n") >= max(1, least_words)).distinct()
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
     empty = spark.createDataFrame([], "doc_id long, item_id long, score double, word_start long, word_end long")
-    pad = items.agg(F.max("n")).first()[0]
-    if pad is None:
+    seeds = materialize(item_seeds(items), "seeds")
+    pads = {r["cls"]: r["n"] for r in seeds.select("item", "cls").distinct().join(items, "item").groupBy("cls").agg(F.max("n").alias("n")).collect()}  # a row a class
+    if not pads:
         return empty
-    seeds = materialize(item_seeds(items, n), "seeds")
-    found = materialize(passages(docs, seeds, pad, n).withColumn("passage", F.monotonically_increasing_id()), "passages")
-    pairs = found.select("passage", F.explode("hs").alias("h")).join(seeds, "h").select("passage", "item").distinct()
+    found = materialize(passages(docs, seeds, pads).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    pairs = found.select("passage", "cls", F.explode("hs").alias("h")).join(seeds, ["cls", "h"]).select("passage", "item").distinct()
     full = pairs.join(found.select("passage", "doc_id", "at", "words"), "passage").join(items.select("item", "item_id", "text"), "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +230,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that hold a copy of an item; columns as they were. Rows with a null id stay."""
-    bad = materialize(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct(), "bad")
+    """``docs`` without those that hold a copy of an item of ``EVIDENCE_WORDS`` or more; columns as they were. Rows with a null
+    id stay."""
+    bad = materialize(matches(docs, benchmark, threshold, EVIDENCE_WORDS).select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct(), "bad")
     return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
