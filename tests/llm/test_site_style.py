@@ -1,7 +1,11 @@
+import collections
 import html
+import math
+import os
 import re
 
 import duckdb
+import pytest
 
 from tramline.llm import site_style
 
@@ -65,6 +69,81 @@ def test_small_branches_go_though_together_over_half(spark):
     assert texts(spark, rows) == {i: f"Story {i} is short, w{i} x{i}" for i in range(12)}
 
 
+def brute_low(pages):
+    """Low-importance nodes of one host's pages, as paths: the definitions, page by page."""
+    shown, texts, styles, below = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.defaultdict(list)
+    for page in dict.fromkeys(pages):
+        children, seen = collections.defaultdict(list), set()
+        for b in site_style.blocks(page):
+            seen.add((b.path, b.text))
+            children[b.path]
+            for d in range(1, len(b.path)):
+                own = children[b.path[:d]]
+                if not own or own[-1] != b.path[d]:
+                    own.append(b.path[d])
+        for path, own in children.items():
+            shown[path] += 1
+            styles[path][tuple(own)] += 1
+        for path, text in seen:
+            texts[path][text] += 1
+    leaf = {p: 1 - sum(math.log(f) for f in c.values()) / len(c) / math.log(shown[p]) if shown[p] > 1 else 1.0 for p, c in texts.items()}
+    for p, x in leaf.items():
+        for d in range(1, len(p)):
+            below[p[:d]].append((len(texts[p]), x))
+    nodes = [(p, x) for p, x in leaf.items()]
+    for p, parts in below.items():
+        h = -sum(f / shown[p] * math.log(f / shown[p]) for f in styles[p].values()) / math.log(shown[p]) if shown[p] > 1 else 1.0
+        nodes.append((p, (1 - site_style.GAMMA) * h + site_style.GAMMA * sum(n * x for n, x in parts) / sum(n for n, _ in parts)))
+    return {p for p, x in nodes if 1 - (1 - x) * shown[p] / (shown[p] + 1) < site_style.THRESHOLD}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_l/pages.parquet"), reason="needs the large tables")
+def test_tree_matches_brute_force_and_needs_no_hints(spark):
+    """A host of check_l: its furniture is drawn from 57 variants, so it takes thousands of pages to tell."""
+    path = "/root/testdata/check_l/pages.parquet"
+    table = spark.read.parquet(path).withColumn("host", site_style._host()).where("host = 'blog.tionble.example.com'").select("page_id", "url", "html")
+    pages = [r["html"] for r in table.collect()]
+    low = brute_low(pages)
+    (got,) = site_style.low_importance(table).collect()
+    assert set(got["nodes"]) == {site_style.node(p) for p in low}
+    assert {p[2] for p in low} == {"nav", "div.ad", "footer"}
+    for page in pages[:200]:
+        assert site_style.main_text(page, got["nodes"], hints=False) == site_style.main_text(page, None)
+        assert site_style.main_text(page, None, hints=False) != site_style.main_text(page, None)
+
+
+def test_tree_matches_brute_force_on_made_pages(spark):
+    rows = []
+    for i in range(40):
+        legal = "<div class=legal><h2>Legal</h2><p>All rights kept</p></div>" if i % 5 else "<div class=legal><p>Other terms</p></div>"
+        side = f"<div class=side><p>Pick {i % 3}</p><span>of the day</span></div>"
+        body = f"<div class=story><h2>Summary</h2><p>Story {i} of w{i * 7}</p><p>Part {i // 2}</p><blockquote>Quote {i}</blockquote></div>"
+        rows.append((i, "https://made.test/x", f"<html><body>{side}{body}{legal}</body></html>"))
+    rows += rows[:4]
+    low = brute_low([r[2] for r in rows])
+    (got,) = site_style.low_importance(frame(spark, rows)).collect()
+    assert set(got["nodes"]) == {site_style.node(p) for p in low} and low
+    assert texts(spark, rows) == {i: f"Summary\nStory {i} of w{i * 7}\nPart {i // 2}\nQuote {i}" for i in range(40)}
+
+
+def test_text_that_only_looks_like_furniture_stays():
+    cases = {
+        '<p title="a hidden gem">one</p>': "one",
+        "<p data-hidden=x title='role=navigation'>two</p>": "two",
+        '<div class="social-history"><p>three</p></div>': "three",
+        '<div id="search-results"><p>four</p></div>': "four",
+        '<p>See <a href="/x">the whole long text of the link</a></p><p>five</p>': "See the whole long text of the link\nfive",
+        '<ul><li><a href="/x">one link</a></li><li>six</li></ul>': "one link\nsix",
+        "<p hidden>seven</p><p>eight</p>": "eight",
+        '<div class="social-links">a</div><div id="siteFooter">b</div><div class="x reader-comments">c</div><p>nine</p>': "nine",
+        "<ul><li><a href=/1>a</a><li><a href=/2>b</a><li><a href=/3>c</a></ul><p>ten</p>": "ten",
+        "<p>eleven <button>Share</button> words</p>": "eleven words",
+        "<article class='post has-sidebar'><p>twelve</p></article><p>thirteen</p>": "twelve",
+    }
+    for page, want in cases.items():
+        assert site_style.main_text(page, None) == want, page
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>a</p>"), (2, "not a url", None), (None, "http://u@h.test:80/x", ""), (3, "http://h.test/", "<p>b</p>"), (3, "http://h.test/", "<p>b</p>"), (4, "http://h.test/", "<p>" + "long " * 50_000)]
     out = site_style.extract(frame(spark, rows))

@@ -1,11 +1,14 @@
 """Main text of web pages by site style trees.
 
-The pages of one host are merged into a tree of element nodes (the path of tags and classes from the content root). A
-node's style features are the child sequences it is shown with; a block's content features are its texts. Node importance
-is the entropy of its styles, content importance is one minus the mean entropy of its features over the pages that have
-the node, and both are combined up the tree. Branches of low combined importance are the site's furniture and are removed
-from each page. What HTML itself marks as no content (menus, page headers, footers, asides, forms, scripts, adverts,
-comments) is left out before.
+The pages of one host are merged into a tree of element nodes (the path of tags and classes from the root), over all that a
+page shows. A node's presentation features are the child sequences it is shown with; a block's content features are its texts.
+Node importance is the entropy of its styles, content importance is one minus the mean entropy of its features over the pages
+that have the node, and both are combined up the tree. What few pages say counts less, by m / (m + 1) for m of them. Branches
+of low combined importance are the site's furniture and are removed from each page.
+
+What HTML says of an element (menus, page headers, footers, asides, forms, adverts, comments, and what is outside a page's
+article) is a hint that lowers the importance of its branch: a strong one, as comments and adverts differ from page to page
+and so look like content to any statistics.
 
 The host statistics are sums of counts per (host, node, feature), combined before any shuffle. The decisions, a few nodes
 a host, are joined back by host: as a broadcast only if the written table is under Spark's own size threshold.
@@ -15,8 +18,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -27,12 +30,12 @@ from .common import bound_batches, materialize, tidy
 
 #: Weight of the content below a node against its own styles.
 GAMMA = 0.9
-#: Branches under this combined importance go.
-THRESHOLD = 0.2
-#: With fewer pages an entropy says nothing.
-MIN_PAGES = 5
-#: A page keeps a branch that holds more than this share of its text.
-MAX_SHARE = 0.5
+#: Branches under this combined importance go: those whose typical text is on more pages than the root of the pages they are on.
+THRESHOLD = 0.5
+#: Importance of a branch that HTML marks as no content, by weight: under the threshold whatever its entropy.
+HINT = 0.15
+#: So many link blocks in a row of one list are a menu.
+MENU_LINKS = 3
 
 # HTML's element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,66 +55,87 @@ SKIP_WORDS = frozenset(
     "related recommended recommendations search searchform toolbar masthead skip".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# Words that stand beside those above in one class or id. With any other word ("social-history") it says nothing.
+BESIDE_WORDS = frozenset(
+    "site page main top bottom left right box bar list lists item items link links wrapper wrap container inner outer section area block slot unit zone "
+    "header head title post posts article articles icon icons button buttons btn primary secondary global local inline content text col column row group "
+    "panel module region holder reader readers user users more js id a b c".split()
+)
+PAGE_HEADERS = frozenset(("site-header", "global-header"))
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("article", "heading", "links", "path", "text")
+    """``text`` as it counts for a page's content, ``whole`` with what is marked within the block. ``marked``: no content, says
+    HTML. ``item``: of a list."""
+
+    __slots__ = ("article", "heading", "item", "links", "marked", "path", "text", "whole")
+
+    def __init__(self, path: tuple[str, ...], text: str, whole: str, links: int, article: bool, heading: bool, item: bool, marked: bool):
+        self.path, self.text, self.whole, self.links, self.article, self.heading, self.item, self.marked = path, text, whole, links, article, heading, item, marked
+
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int, article: bool, heading: bool):
-        self.path, self.text, self.links, self.article, self.heading = path, text, links, article, heading
+@lru_cache(maxsize=4096)
+def _furniture_name(token: str) -> bool:
+    """Whether a class or id names furniture: by a word for it, and no word that may mean something else."""
+    words = [x.lower() for x in _WORDS.findall(_CAMEL.sub(" ", token))]
+    return "-".join(words) in PAGE_HEADERS or (not SKIP_WORDS.isdisjoint(words) and all(w in SKIP_WORDS or w in BESIDE_WORDS for w in words))
 
 
 def _signature(name: str, raw: str) -> tuple[str, bool]:
     """A node's name in the tree, and whether its attributes mark it as no content."""
     if not raw or raw.isspace():
         return name, False
-    words: list[str] = []
-    skip, shown = False, name
+    marked, shown = False, name
     for m in _ATTR.finditer(raw):
         key = m[1].lower()
-        if m.start() and not raw[m.start() - 1].isspace() and raw[m.start() - 1] not in "\"'":
-            continue  # the end of a longer attribute name
         value = m[2] or m[3] or m[4] or ""
         if key == "role":
-            skip |= value.strip().lower() in SKIP_ROLES
+            marked |= value.strip().lower() in SKIP_ROLES
         elif key == "hidden":
-            skip = True
+            marked = True
         elif key == "aria-hidden":
-            skip |= value.strip().lower() == "true"
+            marked |= value.strip().lower() == "true"
         elif key == "style":
-            skip |= "display:none" in value.replace(" ", "").lower()
-        else:
-            for word in value.split():
-                words += [x.lower() for x in _WORDS.findall(_CAMEL.sub(" ", word))]
-            if key == "class":
-                shown += "." + re.sub(r"\d+", "", ".".join(sorted(value.split())))
-    return shown, skip or not SKIP_WORDS.isdisjoint(words)
+            marked |= "display:none" in value.replace(" ", "").lower()
+        elif key == "id" or key == "class":
+            tokens = value.split()
+            marked |= any(map(_furniture_name, tokens))
+            if key == "class" and tokens:
+                shown += "." + re.sub(r"\d+", "", ".".join(sorted(tokens)))
+    return shown, marked
 
 
-def blocks(page: str, everything: bool = False) -> list[Block]:
-    """The blocks outside marked furniture (or all visible ones), in page order, with white space and character references resolved."""
+def blocks(page: str) -> list[Block]:
+    """All blocks that the page shows, in its order, with white space and character references resolved."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, signature, skipped, within an article or main
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # name, signature, marked, within an article or main, in the head
     parts: list[str] = []
+    kept: list[str] = []  # of these, what isn't marked
     links = anchor = 0
     pos, n = 0, len(page)
 
     def flush() -> None:
-        nonlocal parts, links
+        nonlocal parts, kept, links
         if parts:
-            text = " ".join(html_lib.unescape("".join(parts)).split())
-            if text:
-                inner = next((s for s in reversed(stack) if s[0] in BLOCK), None)
+            whole = " ".join(html_lib.unescape("".join(parts)).split())
+            if whole:
+                text = whole if len(kept) == len(parts) else " ".join(html_lib.unescape("".join(kept)).split())
+                inner = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
                 path = tuple(s[1] for s in stack if s[0] in BLOCK)
-                out.append(Block(path, text, links, bool(stack) and stack[-1][3], bool(inner) and inner[0] in HEADINGS))
-            parts, links = [], 0
+                out.append(Block(path, text or whole, whole, links, bool(stack) and stack[-1][3], inner in HEADINGS, inner in ("li", "dd", "dt"), not text))
+            parts, kept, links = [], [], 0
+
+    def put(piece: str) -> None:
+        parts.append(piece)
+        if not (stack and stack[-1][2]):
+            kept.append(piece)
 
     def close(depth: int) -> None:
         nonlocal anchor
@@ -127,9 +151,9 @@ def blocks(page: str, everything: bool = False) -> list[Block]:
         at = page.find("<", pos)
         if at < 0:
             at = n
-        if at > pos and not (stack and stack[-1][2]):
+        if at > pos and not (stack and stack[-1][4]):
             piece = page[pos:at]
-            parts.append(piece)
+            put(piece)
             if anchor:
                 links += len(piece)
         if at == n:
@@ -153,15 +177,15 @@ def blocks(page: str, everything: bool = False) -> list[Block]:
                 end = page.find(">", at)
                 pos = n if end < 0 else end + 1
             else:
-                if not (stack and stack[-1][2]):
-                    parts.append("<")
+                if not (stack and stack[-1][4]):
+                    put("<")
                 pos = at + 1
             continue
         pos = m.end()
         name = m[2].lower()
         if m[1]:
             if name == "br":
-                parts.append(" ")
+                put(" ")
                 continue
             if name == "p" and not any(s[0] == "p" for s in stack):
                 flush()
@@ -177,20 +201,20 @@ def blocks(page: str, everything: bool = False) -> list[Block]:
                         del stack[d]
                     break
             if name in ("td", "th"):
-                parts.append(" ")
+                put(" ")
             continue
         raw = m[3]
         if name in RAW:
             end = _END[name].search(page, pos)
             if not raw.rstrip().endswith("/") or name not in ("svg", "math"):
                 pos = n if end is None else end.end()
-            parts.append(" ") if name in ("svg", "iframe", "textarea") else None
+            put(" ") if name in ("svg", "iframe", "textarea") else None
             continue
-        if name in ("br", "wbr", "img", "input", "hr") or name in VOID:
+        if name in VOID:
             if name == "hr":
                 flush()
             elif name == "br":
-                parts.append(" ")
+                put(" ")
             continue
         if name in CLOSES_P:
             for d in range(len(stack) - 1, -1, -1):
@@ -209,29 +233,41 @@ def blocks(page: str, everything: bool = False) -> list[Block]:
         if name in BLOCK:
             flush()
         elif name in ("td", "th"):
-            parts.append(" ")
-        over = stack[-1] if stack else ("", "", False, False)
-        shown, marked = _signature(name, raw)
-        within = over[3] or (name in ("article", "main") or "role=\"main\"" in raw)
-        skipped = (over[2] and name != "main") or name in SKIP or (name == "header" and not over[3])
-        if marked and name not in ("html", "body", "main"):
-            skipped = True
-        if everything:
-            skipped = over[2] or name == "head"
+            put(" ")
+        over = stack[-1] if stack else ("", "", False, False, False)
+        shown, named = _signature(name, raw)
+        within = over[3] or name in ("article", "main") or 'role="main"' in raw
+        marked = (over[2] and name != "main") or name in SKIP or (name == "header" and not over[3]) or (named and name not in ("html", "body", "main"))
         if name == "a":
             anchor += 1
-        stack.append((name, shown, skipped, within and not skipped))
+        stack.append((name, shown, marked, within and not marked, over[4] or name == "head"))
     close(0)
     flush()
     return out
 
 
-def content(page: str | None) -> list[Block]:
-    """The blocks of the content root: of the articles or main element if the page has one, else all but lists of links."""
+def content(page: str | None, hints: bool = True) -> list[Block]:
+    """The page's blocks with all hints: of a page with articles or a main element what is outside them, of another one the
+    menus, three or more list items in a row that are links, are marked too."""
     found = blocks(page or "")
-    if any(b.article for b in found):
-        return [b for b in found if b.article]
-    return [b for b in found if 2 * b.links <= len(b.text) or b.heading]
+    if not hints:
+        for b in found:
+            b.marked, b.text = False, b.whole
+    elif any(b.article and not b.marked for b in found):
+        for b in found:
+            b.marked |= not b.article
+    else:
+        run: list[Block] = []
+        for b in [*found, None]:
+            link = b is not None and b.item and 2 * b.links > len(b.whole)
+            if run and not (link and b.path[:-1] == run[-1].path[:-1]):
+                if len(run) >= MENU_LINKS:
+                    for x in run:
+                        x.marked = True
+                run = []
+            if link:
+                run.append(b)
+    return found
 
 
 def _hash(x: str) -> int:
@@ -267,15 +303,15 @@ def _host():
     return F.when(F.length(host) > 0, host)
 
 
-def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, nodes array<long>): for each host with any, the tree nodes whose branches are furniture.
+def low_importance(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, nodes array<long>): for each host with any, the tree nodes whose branches are furniture by their entropy.
 
     Pages without a host, and equal pages of a host beyond the first, don't count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, *f) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in features(content(page))]
+            rows = [(h, *f) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in features(blocks(page))]
             host, own, up, is_content, feature = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(host, pa.string()), pa.array(own, pa.int64()), pa.array(up, pa.list_(pa.int64())), pa.array(is_content, pa.bool_()), pa.array(feature, pa.int64())],
@@ -304,27 +340,22 @@ def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: in
     leaf = leaf.withColumn("importance", F.greatest("importance", F.lit(0.0)))
     below = leaf.select("host", F.explode("up").alias("node"), "l", "importance").groupBy("host", "node").agg((F.sum(F.col("l") * F.col("importance")) / F.sum("l")).alias("below"))
     inner = style.join(below, ["host", "node"]).select("host", "node", "m", ((1 - GAMMA) * F.col("style") + GAMMA * F.col("below")).alias("importance"))
-    low = leaf.select("host", "node", "m", "importance").unionByName(inner).where((F.col("importance") < threshold) & (F.col("m") >= min_pages))
+    low = leaf.select("host", "node", "m", "importance").unionByName(inner).where(1 - (1 - F.col("importance")) * F.col("m") / (F.col("m") + 1) < threshold)
     return materialize(low.groupBy("host").agg(F.collect_set("node").alias("nodes")), "furniture")
 
 
-def main_text(page: str | None, furniture: list[int] | None) -> str:
-    """The page's blocks without the branches of its host's furniture, joined by a line feed.
+def main_text(page: str | None, furniture: list[int] | None, threshold: float = THRESHOLD, hints: bool = True) -> str:
+    """The page's blocks in branches of enough importance, joined by a line feed.
 
-    A branch with over ``MAX_SHARE`` of the text doesn't go, but branches within it may. If no block but headings would be
-    left, all stay.
+    ``furniture``: the nodes of low importance on its host; any other node's importance is taken as one. A marked branch's is
+    ``HINT`` of that. A heading has the importance of the branch it heads: the same one on many pages is no furniture for that.
+    If nothing but headings is left, entropy doesn't count on this page, only hints do.
     """
-    found = content(page)
-    if furniture and found:
+    found = [b for b in content(page, hints) if not (b.marked and threshold > HINT)]
+    if furniture:
         low = set(furniture)
-        nodes = {path: [node(path[:d]) for d in range(1, len(path) + 1)] for path in {b.path for b in found}}
-        held: Counter[int] = Counter()
-        for b in found:
-            for x in low.intersection(nodes[b.path]):
-                held[x] += len(b.text)
-        most = MAX_SHARE * sum(len(b.text) for b in found)
-        go = {x for x, size in held.items() if size <= most}
-        left = [b for b in found if b.heading or go.isdisjoint(nodes[b.path])]
+        nodes = {path: {node(path[:d]) for d in range(1, len(path) + 1)} for path in {b.path[: -1 if b.heading else None] for b in found}}
+        left = [b for b in found if low.isdisjoint(nodes[b.path[: -1 if b.heading else None]])]
         if not all(b.heading for b in left):
             found = left
     return "\n".join(b.text for b in found)

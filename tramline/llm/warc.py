@@ -226,7 +226,7 @@ def derive(fields: list[tuple[str, str]], block: bytes) -> list[tuple[str, list[
     page = decode_payload(payload, http)
     sent = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
     stated, found = get(fields, "WARC-Payload-Digest"), sha1(body)
-    text = "\n".join(b.text for b in blocks(page, everything=True)).encode("utf-8", "replace")
+    text = "\n".join(b.whole for b in blocks(page)).encode("utf-8", "replace")
     shared = [(k, v) for k, v in fields if k.lower() in ("warc-target-uri", "warc-date", "warc-warcinfo-id")]
     if get(shared, "WARC-Date") is None:
         shared.append(("WARC-Date", DATE))
