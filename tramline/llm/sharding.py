@@ -1,9 +1,10 @@
 """Sharding by longest-processing-time scheduling: groups that stay together go, largest first, to the least-loaded shard.
 
-The heap runs over a bounded number of units. A group that is larger than ``1 / UNITS`` of all bytes is a unit of its own,
-of which there can be at most ``UNITS``; smaller groups fall by hash into ``UNITS`` bins, and each bin is a unit. So the
-driver schedules at most ``2 * UNITS`` sizes whatever the table, every group stays whole, and the shards end within about
-the size of the smallest units of each other, if no single group is larger than a shard's share.
+Every group is scheduled through the heap of shard loads. The driver doesn't hold the groups but their classes by size: a class
+holds the groups whose sizes agree in their ``DIGITS`` leading bits, so there are few, whatever the table. Within a class all
+groups count as its mean size, and are dealt in bulk to where the heap would put them one by one: first every shard is filled
+to a common level, then the heap deals the rest, of fewer groups than there are shards. A class of one group is exact. Which of a class'
+groups goes where follows from its number in the class, which is counted in chunks, so that no class lands in one task.
 """
 
 from __future__ import annotations
@@ -15,23 +16,56 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-UNITS = 65_536
+#: Leading bits of a size that its class keeps: sizes of a class are within a 512th of each other.
+DIGITS = 10
 OVERHEAD = 16
 ROWS_PER_CHUNK = 50_000
+#: A group of over one in so many of all rows is hot: its home is broadcast, with fewer than so many others.
+HOT_SHARE = 65_536
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """(unit, size) pairs -> shard of each unit: by size descending, ties by unit, to the least-loaded (lowest-numbered) shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, s = heap[0]
-        heapq.heapreplace(heap, (load + size, s))
-        out[unit] = s
-    return out
+def size_class(size: int) -> int:
+    """``size`` with all but its leading bits cleared."""
+    low = max(0, size.bit_length() - DIGITS)
+    return size >> low << low
 
 
-def assign(docs: DataFrame, shards: int = 40, units: int = UNITS) -> DataFrame:
+def deal(n: int, size: float, loads: list[float]) -> list[int]:
+    """How many of ``n`` groups of equal ``size`` the heap gives to each shard; adds them to ``loads``."""
+    counts = [0] * len(loads)
+    if n > len(loads):  # in bulk up to the highest level that all reach, less what is left to the heap
+        order = sorted(loads)
+        below, level = 0.0, 0.0
+        for k, x in enumerate(order, 1):
+            below += x
+            level = (n * size + below) / k
+            if k == len(order) or level <= order[k]:
+                break
+        for s, x in enumerate(loads):
+            counts[s] = max(0, int((level - x) / size) - 1)
+    heap = [(x + c * size, s) for s, (x, c) in enumerate(zip(loads, counts))]
+    heapq.heapify(heap)
+    for _ in range(n - sum(counts)):
+        x, s = heap[0]
+        heapq.heapreplace(heap, (x + size, s))
+        counts[s] += 1
+    for s, c in enumerate(counts):
+        loads[s] += c * size
+    return counts
+
+
+def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
+    """(class, groups, bytes) -> how many of each class' groups go to each shard: classes by size descending."""
+    loads = [0.0] * shards
+    return {c: deal(n, total / n, loads) for c, n, total in sorted(classes, reverse=True)}
+
+
+def _class_of(size):
+    low = F.greatest(F.lit(0), F.char_length(F.bin(size)) - DIGITS)
+    return F.call_function("shiftleft", F.call_function("shiftright", size, low), low)
+
+
+def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): one row for each row of ``docs``; rows with equal texts share a shard.
 
     A row's size is its UTF-8 bytes plus 16; a null text counts as an empty one, and is grouped with those. ``slot`` numbers
@@ -43,31 +77,31 @@ def assign(docs: DataFrame, shards: int = 40, units: int = UNITS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.unhex(F.md5("text")).alias("digest")
     )
-    rows = materialize(rows.withColumn("bin", F.pmod(F.xxhash64("digest"), F.lit(units)).cast("int")), "rows")
-    total = rows.agg(F.sum("size")).first()[0]
-    if total is None:
-        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long")
-    groups = rows.groupBy("digest", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    rows = materialize(rows, "rows")
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("copies")).withColumn("class", _class_of(F.col("size")))
     groups = materialize(groups, "groups")
-    big = F.col("size") > total / units
-    bins = groups.where(~big).groupBy("bin").agg(F.sum("size").alias("size"))  # at most UNITS rows
-    own = groups.where(big).select("digest", "bin", "size")  # fewer than UNITS rows, as each exceeds total / UNITS
-    small_units = [(r["bin"], r["size"]) for r in bins.toLocalIterator()]
-    big_units = [(units + i, r["size"], r["digest"]) for i, r in enumerate(sorted(own.toLocalIterator(), key=lambda r: (-r["size"], bytes(r["digest"]))))]
-    at = schedule(small_units + [x[:2] for x in big_units], shards)
-    bin_shards = spark.createDataFrame([(b, at[b]) for b, _ in small_units], "bin int, bin_shard int")
-    big_shards = spark.createDataFrame([(bytearray(d), at[u]) for u, _, d in big_units], "digest binary, own_shard int")
-    placed = (
-        rows.join(F.broadcast(bin_shards), "bin", "left")  # both tables are bounded by UNITS rows
-        .join(F.broadcast(big_shards), "digest", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bin_shard").alias("shard"), F.xxhash64("doc_id", "digest").alias("h"))
-    )
-    n = groups.agg(F.sum("n")).first()[0]
-    chunks = max(1, n // shards // ROWS_PER_CHUNK * 2, spark.sparkContext.defaultParallelism)
-    placed = placed.withColumn("chunk", F.pmod(F.col("h"), F.lit(chunks)))
+    classes = [tuple(r) for r in groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("size")).collect()]  # at most 2^9 for each bit of a size
+    if not classes:
+        return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long")
+    plan = schedule(classes, shards)
+    ends = {c: [sum(counts[: s + 1]) for s in range(shards)] for c, counts in plan.items()}
+    dealt = spark.createDataFrame(list(ends.items()), "class long, ends array<long>")
+    chunks = _chunks(sum(n for _, n, _ in classes), 1, spark)
+    numbered = number(groups.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.lit(chunks))), "class", "chunk", ["digest"])
+    # one row a class
+    homes = materialize(numbered.join(F.broadcast(dealt), "class").select("digest", "copies", F.size(F.filter("ends", lambda e: e <= F.col("slot"))).alias("shard")), "homes")
+    hot = F.col("copies") * HOT_SHARE > rows.count()
+    known = rows.join(F.broadcast(homes.where(hot).select("digest", "shard")), "digest", "left")
+    placed = known.where("shard is not null").unionByName(known.where("shard is null").drop("shard").join(homes.where(~hot).select("digest", "shard"), "digest"))
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "digest").alias("h"))
+    placed = placed.withColumn("chunk", F.pmod(F.col("h"), F.lit(_chunks(sum(n for _, n, _ in classes), shards, spark))))
     return number(placed, "shard", "chunk", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def _chunks(n: int, keys: int, spark) -> int:
+    return max(1, n // keys // ROWS_PER_CHUNK * 2, spark.sparkContext.defaultParallelism)
+
+
 def number(df: DataFrame, key: str, chunk: str, order: list[str]) -> DataFrame:
     """Adds ``slot``: each key's rows from 0 without gaps. A key's rows are spread over chunks, so none lands in one task."""
     df = materialize(df, "placed")
