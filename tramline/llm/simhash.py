@@ -7,8 +7,10 @@ shared positional bytes always meets in a posting list. In a list the shared byt
 the guaranteed minimum are dropped, and the rest is verified by their differing bits.
 
 Bounds: lists over ``LIST_LIMIT`` members are posted again under five positions (each pair that counts shares one of the
-four that were left out). Such a list holds at most 2^24 distinct fingerprints, and is linked in time linear in its size
-by looking up each member's neighbours at up to three flipped bits. Lists give a spanning forest, not all pairs.
+four that were left out) and a quarter of the other bits (three differing bits leave at least one quarter equal). So a member
+of a long list goes to sixteen shorter ones, of at most 2^18 distinct fingerprints, whose pairs share the guaranteed five bytes
+by their key. Those still over ``LIST_LIMIT`` are verified in time linear in their size, by looking up each member's neighbours
+at up to three flipped bits. Lists give a spanning forest, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ LIST_LIMIT = 2048
 MATRIX = 64  # lists up to here are paired by shifting the sorted rows
 MIN_SHARED = 5
 MAX_BITS = 3
+QUARTER = 6  # bits of a quarter of the three bytes that five positions leave
 CHUNK = 1 << 16
 
 
@@ -114,16 +117,24 @@ def _link_blocks(fps: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndar
     for i in range(0, len(fps), block):
         for j in range(i, len(fps), block):
             x = fps[i : i + block, None] ^ fps[None, j : j + block]
-            r, c = np.nonzero(np.bitwise_count(x) <= MAX_BITS)
-            keep = r + i < c + j
+            shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2, dtype=np.int8)
+            r, c = np.nonzero(shared >= MIN_SHARED)
+            keep = (r + i < c + j) & (np.bitwise_count(x[r, c]) <= MAX_BITS)
             left.append(r[keep] + i)
             right.append(c[keep] + j)
     return np.concatenate(left), np.concatenate(right)
 
 
+def _free_bits(key: int) -> list[int]:
+    """The bits in which members of the list with this wider key may differ."""
+    mask, quarter = key >> 48, key >> 6 & 3
+    free = [8 * p + k for p in reversed(range(8)) if not mask >> p & 1 for k in range(8)]
+    return [b for j, b in enumerate(free) if j // QUARTER != quarter]
+
+
 def _link_flips(fps: np.ndarray, free: list[int]) -> np.ndarray:
-    """Roots in a list whose members differ in the ``free`` byte positions only: look up all neighbours of each member."""
-    bits = [np.uint64(1 << (8 * p + k)) for p in free for k in range(8)]
+    """Roots in a list whose members differ in the ``free`` bits only: look up all neighbours of each member."""
+    bits = [np.uint64(1 << b) for b in free]
     order = np.sort(fps)
     root = np.arange(len(order))
     held_l, held_r, held = [], [], 0
@@ -146,7 +157,7 @@ def _link_flips(fps: np.ndarray, free: list[int]) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) sorted by key -> (kind, a, b): kind 0 a link, kind 1 a member a of a long list with position set b.
 
-    ``limit`` None: long lists are linked here (their key has five positions).
+    ``limit`` None: long lists are linked here (their key has five positions and a quarter).
     """
 
     def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -178,9 +189,8 @@ def _scan(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[pa.R
             if n <= LIST_LIMIT:
                 root = run[forest(n, *_link_blocks(run))]
             else:
-                mask = int(keys[s]) >> 40
                 run = np.sort(run)
-                root = _link_flips(run, [p for p in range(8) if not mask >> p & 1])
+                root = _link_flips(run, _free_bits(int(keys[s])))
             ok = run != root
             if ok.any():
                 yield out(0, run[ok], root[ok])
@@ -236,10 +246,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     first = posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda it: _scan(it, LIST_LIMIT)), kinds)
     first = materialize(first, "lists")
     mask = F.shiftright("b", 32)
-    wider = [
-        F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) == 0, _wider_key(i))
-        for i in range(8)
-    ]
+    wider = [F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) == 0, _wider_key(i, q)) for i in range(8) for q in range(4)]
     again = (
         first.where("kind = 1")
         .select(F.col("a").alias("fp"), F.col("b"))
@@ -252,14 +259,17 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return first.where("kind = 0").select("a", "b").unionByName(again.select("a", "b"))
 
 
-def _wider_key(extra: int):
-    """The five-position key of a member (fp, b = four-position key) with position ``extra`` added."""
+def _wider_key(extra: int, quarter: int):
+    """The key of a member (fp, b = four-position key) with position ``extra`` added: position set, the bytes there, the number
+    of a quarter of the other bits, and that quarter."""
     mask = F.shiftright("b", 32).bitwiseOR(F.lit(1 << extra).cast("long"))
-    out = mask
+    out, free = mask, F.lit(0).cast("long")
     for i in range(8):
         has = mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0
         out = F.when(has, F.shiftleft(out, 8).bitwiseOR(_byte(i))).otherwise(out)
-    return out
+        free = F.when(has, free).otherwise(F.shiftleft(free, 8).bitwiseOR(_byte(i)))
+    part = F.shiftright(free, QUARTER * quarter).bitwiseAND(F.lit((1 << QUARTER) - 1).cast("long"))
+    return F.shiftleft(out, 8).bitwiseOR(F.lit(quarter << QUARTER).cast("long")).bitwiseOR(part)
 
 
 def components(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
