@@ -66,7 +66,33 @@ def test_blocks_split_large_buckets(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_recall_at_the_threshold():
+    """Pairs at 0.93 to 0.94, for each number of hashes that tables up to 10^8 rows get."""
+    rng = np.random.default_rng(1)
+    for dim, count, least in ((64, 1500, 0.99), (128, 1000, 0.98), (768, 300, 0.95)):
+        a, b = rng.normal(size=(2, count, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        cos = rng.uniform(0.93, 0.94, size=(count, 1))
+        b = cos * a + np.sqrt(1 - cos**2) * b
+        label = np.zeros(count, dtype=np.int64)
+        for tables, width in sorted({cross_polytope._plan(10**k, dim) for k in range(1, 9)}):
+            rotations = cross_polytope.Rotations(dim, tables * width)
+            one, two = (cross_polytope.buckets(x, label, rotations, tables, width) for x in (a, b))
+            met = np.stack([cross_polytope._meeting(one[:, t], two[:, t]) for t in range(tables)], axis=1)
+            assert (met != 0).any(axis=1).mean() >= least, (dim, tables, width)
+            # each pair that meets counts in one bucket only
+            at, where = np.nonzero(met)
+            assert cross_polytope.meets_first(one[at], two[at], where, met[at, where]).sum() == (met != 0).any(axis=1).sum()
+
+
+def test_planted_groups_at_three_hashes(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "_plan", lambda n, dim: (12, 3))
+    test_planted_groups(spark)
+
+
 def test_hadamard_is_orthogonal():
-    x = np.random.default_rng(0).normal(size=(5, 32))
+    x = np.random.default_rng(0).normal(size=(32, 5))
     y = cross_polytope.hadamard(x)
-    assert np.allclose((y * y).sum(1), 32 * (x * x).sum(1)) and np.allclose(cross_polytope.hadamard(y) / 32, x)
+    assert np.allclose((y * y).sum(0), 32 * (x * x).sum(0)) and np.allclose(cross_polytope.hadamard(y) / 32, x)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +29,19 @@ BLOCK = 1024
 PROBES = 3
 SMALL = 24  # buckets up to here are paired by shifting the sorted rows
 SEED = 20_240_229
-ROWS = 4096
+COLUMNS = 1024  # vectors that are hashed at a time
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows; their length is a power of two."""
-    n, d = x.shape
+    """Fast Walsh-Hadamard transform of the columns; their length is a power of two."""
+    d, n = x.shape
     h = 1
     while h < d:
-        y = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack((y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]), axis=2).reshape(n, d)
+        pairs = x.reshape(d // (2 * h), 2, h, n)
+        y = np.empty_like(pairs)
+        np.add(pairs[:, 0], pairs[:, 1], out=y[:, 0])
+        np.subtract(pairs[:, 0], pairs[:, 1], out=y[:, 1])
+        x = y.reshape(d, n)
         h *= 2
     return x
 
@@ -47,16 +51,31 @@ class Rotations:
 
     def __init__(self, dim: int, count: int, seed: int = SEED):
         self.d = 1 << max(1, (dim - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(count, 3, self.d))
+        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(count, 3, self.d, 1))
 
-    def __call__(self, x: np.ndarray, i: int) -> np.ndarray:
-        y = np.zeros((len(x), self.d))
-        y[:, : x.shape[1]] = x
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        """The rows of ``x`` as columns of the rotations' length."""
+        y = np.zeros((self.d, len(x)), dtype=np.float32)
+        y[: x.shape[1]] = x.T
+        return y
+
+    def __call__(self, y: np.ndarray, i: int) -> np.ndarray:
         for s in self.signs[i]:
             y = hadamard(y * s)
         return y
 
 
+def _top_two(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each column the hash (place and sign of the largest component), the runner-up's, and by how much that is less."""
+    at = np.arange(y.shape[1])
+    a = np.abs(y)
+    one = a.argmax(axis=0)
+    most = a[one, at]
+    a[one, at] = -1
+    two = a.argmax(axis=0)
+    return one * 2 + (y[one, at] < 0), two * 2 + (y[two, at] < 0), most - a[two, at]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -66,23 +85,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def buckets(x: np.ndarray, label: np.ndarray, rotations: Rotations, tables: int, width: int, probes: int = PROBES) -> np.ndarray:
     """(rows, tables, 1 + probes) bucket keys: a row's own bucket first, then probes by loss."""
     n = len(x)
+    if n > COLUMNS:
+        return np.concatenate([buckets(x[i : i + COLUMNS], label[i : i + COLUMNS], rotations, tables, width, probes) for i in range(0, n, COLUMNS)])
     out = np.empty((n, tables, 1 + probes), dtype=np.uint64)
+    columns = rotations.columns(x)
     base = _mix(label.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     with np.errstate(over="ignore"):
         for t in range(tables):
-            first, second, loss = [], [], []
-            for w in range(width):
-                y = rotations(x, t * width + w)
-                a = np.abs(y)
-                top = np.argpartition(-a, 1, axis=1)[:, :2]
-                v = np.take_along_axis(a, top, axis=1)
-                swap = v[:, 1] > v[:, 0]
-                top[swap] = top[swap][:, ::-1]
-                v[swap] = v[swap][:, ::-1]
-                code = top * 2 + (np.take_along_axis(y, top, axis=1) < 0)
-                first.append(code[:, 0])
-                second.append(code[:, 1])
-                loss.append(v[:, 0] - v[:, 1])
+            first, second, loss = zip(*(_top_two(rotations(columns, t * width + w)) for w in range(width)))
             first, second, loss = np.stack(first, 1), np.stack(second, 1), np.stack(loss, 1)
             # every choice of hashes to replace, by the sum of losses
             choices = [[bool(c >> w & 1) for w in range(width)] for c in range(1, 1 << width)][: 4 * probes + 4]
@@ -104,21 +114,31 @@ def buckets(x: np.ndarray, label: np.ndarray, rotations: Rotations, tables: int,
 
 
 def _plan(n: int, dim: int) -> tuple[int, int]:
-    """(tables, hashes a table): buckets about as many as classes; more tables where a bucket takes more hashes."""
+    """(tables, hashes a table): four buckets a class or more, so that those who meet are mostly near; more tables where a
+    bucket takes more hashes."""
     d = 1 << max(1, (dim - 1).bit_length())
-    width = max(2, math.ceil(math.log(max(2, n / 4)) / math.log(2 * d)))
-    return 8 * 2 ** (width - 2), width
-
-
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of (tables, 1 + probes) bucket lists, the key where they meet first (0: nowhere)."""
-    out = np.zeros(len(a), dtype=np.uint64)
-    for t in range(a.shape[1] - 1, -1, -1):
-        ha, hb = a[:, t, 0], b[:, t, 0]
-        at_a = (b[:, t, :] == ha[:, None]).any(axis=1)
-        at_b = (a[:, t, :] == hb[:, None]).any(axis=1)
-        both = at_a & at_b
-        out = np.where(both, np.minimum(ha, hb), np.where(at_a, ha, np.where(at_b, hb, out)))
+    width = max(2, math.ceil(math.log(max(2, 4 * n)) / math.log(2 * d)))
+    return (4 * width if width < 4 else 1 << width + 1), width
+
+
+def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For pairs of a table's (1 + probes) buckets, the key where they meet (0: nowhere): one that is a side's own."""
+    at_a, at_b = (b == a[:, :1]).any(axis=1), (a == b[:, :1]).any(axis=1)
+    both = np.minimum(a[:, 0], b[:, 0])
+    return np.where(at_a & at_b, both, np.where(at_a, a[:, 0], np.where(at_b, b[:, 0], np.uint64(0))))
+
+
+def meets_first(a: np.ndarray, b: np.ndarray, table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which pairs of (tables, 1 + probes) bucket lists meet nowhere before this bucket of this table. Most pairs are near and
+    meet in the first tables, so the others are looked at for few."""
+    left = np.arange(len(a))
+    for t in range(int(table.max(initial=0)) + 1):
+        later, here = left[table[left] > t], left[table[left] == t]
+        later = later[_meeting(a[later, t], b[later, t]) == 0]
+        here = here[_meeting(a[here, t], b[here, t]) == key[here]]
+        left = np.concatenate([left[table[left] < t], here, later])
+    out = np.zeros(len(a), dtype=bool)
+    out[left] = True
     return out
 
 
@@ -134,6 +154,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cut: float, tables: int, probes:
         side, across = t.column(2).to_numpy(), t.column(3).to_numpy(zero_copy_only=False)
         cid, label, copies = (t.column(i).to_numpy() for i in (4, 5, 6))
         lists = np.frombuffer(b"".join(t.column(7).to_pylist()), dtype=np.uint64).reshape(len(group), tables, 1 + probes)
+        table = (lists.reshape(len(group), -1) == key[:, None]).argmax(axis=1) // (1 + probes)
         x = np.frombuffer(b"".join(t.column(8).to_pylist()), dtype=dtype).reshape(len(group), -1).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -143,9 +164,9 @@ def _verify(batches: Iterator[pa.RecordBatch], cut: float, tables: int, probes:
         def take(i: np.ndarray, j: np.ndarray) -> None:
             ok = (label[i] == label[j]) & (key[i] == key[j])
             i, j = i[ok], j[ok]
-            for s in range(0, len(i), 500_000):
-                a, b = i[s : s + 500_000], j[s : s + 500_000]
-                ok = _first_meeting(lists[a], lists[b]) == key[a]
+            for s in range(0, len(i), 100_000):
+                a, b = i[s : s + 100_000], j[s : s + 100_000]
+                ok = meets_first(lists[a], lists[b], table[a], key[a])
                 a, b = a[ok], b[ok]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
@@ -189,15 +210,15 @@ def _digested(vectors: DataFrame) -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vec = []
-            for v, ok in zip(b.column(2).to_pylist(), b.column(1).is_valid().to_pylist()):
-                raw = None
-                if ok and v and None not in v:
-                    x = np.array(v, dtype=dtype)
-                    if np.isfinite(x).all() and x.any():
-                        raw = (x + 0).tobytes()
-                vec.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vec, pa.binary())], names=["vec_id", "label", "vec"])
+            lists = b.column(2)
+            flat, ends = lists.values, lists.offsets.to_numpy().astype(np.int64)
+            x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(dtype) + 0  # no negative zeros
+            before = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+            bad, some = (before(f)[ends] for f in (~np.isfinite(x) | ~flat.is_valid().to_numpy(zero_copy_only=False), x != 0))
+            ok = lists.is_valid().to_numpy(zero_copy_only=False) & b.column(1).is_valid().to_numpy(zero_copy_only=False) & (np.diff(bad) == 0) & (np.diff(some) > 0)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)])
+            vec = pc.if_else(pa.array(ok), raw, None).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vec], names=["vec_id", "label", "vec"])
 
     bound_batches(vectors.sparkSession)
     cast = "array<float>" if dtype == "<f4" else "array<double>"
@@ -251,10 +272,10 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=dtype).reshape(b.num_rows, dim).astype(np.float64)
+            x = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=dtype).reshape(b.num_rows, dim).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             keys = buckets(x, b.column(1).to_numpy(), rotations, tables, width, probes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.tobytes() for k in keys], pa.binary())], names=["cid", "keys"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=["cid", "label", "copies", "vec", "keys"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,12 +285,11 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cid), pa.array(own)], names=["key", "cid", "own"])
 
     bound_batches(spark)
-    hashed = materialize(classes.select("cid", "label", "vec").mapInArrow(tidy(hash_rows), "cid long, keys binary"), "hashed")
-    bound_batches(spark)
-    posts = hashed.mapInArrow(tidy(post), "key long, cid long, own boolean")
-    bound_batches(spark)
+    hashed = classes.select("cid", "label", "copies", "vec").mapInArrow(tidy(hash_rows), "cid long, label long, copies long, vec binary, keys binary")
+    hashed = materialize(hashed, "hashed")
+    posts = hashed.select("cid", "keys").mapInArrow(tidy(post), "key long, cid long, own boolean")
     met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
-    full = met.join(hashed, "cid").join(classes.select("cid", "label", "copies", "vec"), "cid")
+    full = met.join(hashed, "cid")  # buckets of one never meet a vector
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = full.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", other)
@@ -277,6 +297,5 @@ def _links(classes: DataFrame, dim: int, dtype: str, cut: float, probes: int) ->
     grouped = split.select(
         F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "key", "side", (low != high).alias("across"), "cid", "label", "copies", "keys", "vec"
     )
-    bound_batches(spark)
     verified = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _verify(it, cut, tables, probes, dtype)), "kind int, a long, b long")
     return materialize(verified, "links")
