@@ -4,7 +4,6 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import functions as F
 
 from tramline.llm import simhash
 from tramline.llm.components import connected_components
@@ -151,31 +150,20 @@ def test_flips_equal_blocks():
     assert pair(roots) == pair(blocks)
 
 
-def test_wider_keys_split_long_lists_and_keep_pairs(spark):
+def test_wider_keys_split_long_lists_and_keep_pairs():
     """Members of a long list: each pair at three bits meets under a wider key, whose free bits are those that may differ."""
     rng = random.Random(2)
     mask = simhash.QUADS[3]
     base = rng.getrandbits(64)
     free = [8 * p + k for p in range(8) if not mask >> p & 1 for k in range(8)]
-    pairs = []
+    key = mask << 32 | sum(((base >> 8 * p) & 255) << 8 * (3 - i) for i, p in enumerate(p for p in range(8) if mask >> p & 1))
     for _ in range(300):
         f = base ^ sum(1 << b for b in rng.sample(free, 20))
-        flips = [b for b in rng.sample([b for b in free if b // 8 != free[0] // 8], 3)]
-        pairs.append((f, f ^ sum(1 << b for b in flips)))
-    key = mask << 32 | sum(((base >> 8 * p) & 255) << 8 * (3 - i) for i, p in enumerate(p for p in range(8) if mask >> p & 1))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    df = spark.createDataFrame([(i, side, signed(f), key) for i, two in enumerate(pairs) for side, f in enumerate(two)], "i int, side int, fp long, b long")
-    held = F.shiftright("b", 32)
-    wider = [F.when(held.bitwiseAND(F.lit(1 << i).cast("long")) == 0, simhash._wider_key(i, q)) for i in range(8) for q in range(4)]
-    rows = df.select("i", "side", F.explode(F.filter(F.array(*wider), lambda x: x.isNotNull())).alias("key")).collect()
-    lists = {}
-    for r in rows:
-        lists.setdefault((r["i"], r["side"]), set()).add(r["key"])
-    assert all(len(k) == 16 for k in lists.values())
-    for i, (f, g) in enumerate(pairs):
-        common = lists[i, 0] & lists[i, 1]
-        assert common
-        for k in common:
+        g = f ^ sum(1 << b for b in rng.sample([b for b in free if b // 8 != free[0] // 8], 3))
+        keys, fps = simhash.wider_posts(np.array([f, g], dtype=np.uint64), np.array([key, key]))
+        lists = [set(keys[fps == np.uint64(x)].tolist()) for x in (f, g)]
+        assert len(lists[0]) == len(lists[1]) == 16 and lists[0] & lists[1]
+        for k in lists[0] & lists[1]:
             assert len(simhash._free_bits(k)) == 18 and (f ^ g) & ~sum(1 << b for b in simhash._free_bits(k)) == 0
 
 

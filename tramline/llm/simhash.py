@@ -245,12 +245,16 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     bound_batches(spark)
     first = posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(lambda it: _scan(it, LIST_LIMIT)), kinds)
     first = materialize(first, "lists")
-    mask = F.shiftright("b", 32)
-    wider = [F.when(mask.bitwiseAND(F.lit(1 << i).cast("long")) == 0, _wider_key(i, q)) for i in range(8) for q in range(4)]
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, fps = wider_posts(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64))], names=["key", "fp"])
+
     again = (
         first.where("kind = 1")
-        .select(F.col("a").alias("fp"), F.col("b"))
-        .select(F.explode(F.filter(F.array(*wider), lambda x: x.isNotNull())).alias("key"), "fp")
+        .select("a", "b")
+        .mapInArrow(tidy(widen), "key long, fp long")
         .distinct()
         .repartition("key")
         .sortWithinPartitions("key")
@@ -259,17 +263,26 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return first.where("kind = 0").select("a", "b").unionByName(again.select("a", "b"))
 
 
-def _wider_key(extra: int, quarter: int):
-    """The key of a member (fp, b = four-position key) with position ``extra`` added: position set, the bytes there, the number
-    of a quarter of the other bits, and that quarter."""
-    mask = F.shiftright("b", 32).bitwiseOR(F.lit(1 << extra).cast("long"))
-    out, free = mask, F.lit(0).cast("long")
-    for i in range(8):
-        has = mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0
-        out = F.when(has, F.shiftleft(out, 8).bitwiseOR(_byte(i))).otherwise(out)
-        free = F.when(has, free).otherwise(F.shiftleft(free, 8).bitwiseOR(_byte(i)))
-    part = F.shiftright(free, QUARTER * quarter).bitwiseAND(F.lit((1 << QUARTER) - 1).cast("long"))
-    return F.shiftleft(out, 8).bitwiseOR(F.lit(quarter << QUARTER).cast("long")).bitwiseOR(part)
+def wider_posts(fps: np.ndarray, quads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sixteen wider keys of each member of a long list (its fingerprint, the list's four-position key): the position set
+    with one position more, the bytes there, the number of a quarter of the other bits, and that quarter."""
+    out, own = [], []
+    masks = quads >> 32
+    byte = lambda f, i: (f >> np.uint64(8 * i) & np.uint64(255)).astype(np.int64)
+    for mask in np.unique(masks):
+        f = fps[masks == mask]
+        for extra in (i for i in range(8) if not mask >> i & 1):
+            wide = int(mask) | 1 << extra
+            key, free = np.full(len(f), wide, dtype=np.int64), np.zeros(len(f), dtype=np.int64)
+            for i in range(8):
+                if wide >> i & 1:
+                    key = key << 8 | byte(f, i)
+                else:
+                    free = free << 8 | byte(f, i)
+            for q in range(4):
+                out.append(key << 8 | q << QUARTER | free >> QUARTER * q & (1 << QUARTER) - 1)
+                own.append(f)
+    return (np.concatenate(out), np.concatenate(own)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def components(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
