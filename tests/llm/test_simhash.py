@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -214,6 +216,59 @@ def test_wide_recall_near_the_threshold(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.92 * pairs
 
 
+def exact_pairs(rows, similarity=0.8, n=5):
+    """All pairs of texts with different shingle sets at this similarity or more, by a prefix filter; and each set's smallest id."""
+    first, of = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        w = (t or "").encode().lower().split()
+        of[i] = frozenset([b" ".join(w)] if len(w) < n else map(b" ".join, zip(*(w[k:] for k in range(n)))))
+        first.setdefault(of[i], i)
+    often = Counter(x for s in first for x in s)
+    index, pairs = defaultdict(list), []
+    for s in sorted(first, key=len):
+        near = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(similarity * len(s)) + 1]:
+            near.update(o for o in index[x] if len(o) >= similarity * len(s))
+            index[x].append(s)
+        pairs += [(first[s], first[o]) for o in near if len(s & o) >= similarity * len(s | o)]
+    return pairs
+
+
+def test_wide_recall_on_table(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    pairs = exact_pairs(duckdb.sql(f"select doc_id, text from '{path}'").fetchall())
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.read.parquet(path)).collect()}
+    assert len(pairs) > 30 and sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_wide_group_at_the_threshold(spark):
+    """Copies of one text, each with its own edits: most pairs lie about the threshold, so it takes all doubtful ones to tell."""
+    rng = random.Random(21)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(260):
+        copy = list(base)
+        for at in rng.sample(range(0, 400, 6), rng.randrange(3, 12)):
+            copy[at] = f"x{rng.getrandbits(30)}"
+        rows.append((i, " ".join(copy)))
+    fps = np.stack([simhash.wide_fingerprint(t, 5, simhash.WIDE_WORDS) for _, t in rows])
+    keys = simhash._wide_posts(np.arange(len(rows)), fps)[0].reshape(len(rows), -1)
+    pairs = [(a, b) for a, b in exact_pairs(rows) if (keys[a] == keys[b]).any()]  # those that the index holds
+    assert len(pairs) >= 0.9 * len(exact_pairs(rows))
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i, _ in rows}
+    assert 1 < len(set(want.values())) < 200
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_wide_repeats_dont_weigh(spark):
     line = " ".join(f"l{i}" for i in range(10))
     own = lambda x: " ".join(f"{x}{i}" for i in range(104))

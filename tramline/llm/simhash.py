@@ -349,9 +349,12 @@ def _first_list(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return out
 
 
-def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (group, side, across, cid, fp, key) -> (a, b, bits): a forest of the pairs at ``sure`` or fewer differing bits,
-    with bits 0, and the pairs up to ``most`` between its trees, with their bits. These come from the first list they meet in."""
+def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted (group, side, across, cid, fp, key, comp) -> (a, b, bits) of pairs in different components ``comp``.
+
+    With ``nearest`` a forest of the pairs at ``sure`` or fewer differing bits, with bits 0, and of the pairs up to ``most``
+    between its trees those with the fewest bits of either end; else all of the latter. These come from the first list they
+    meet in, with their bits."""
     for t in whole_runs(batches):
         group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
         across, cid = t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
@@ -391,10 +394,15 @@ def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most:
             near = far <= sure
             own, row = np.unique(cid, return_inverse=True)  # a class has a row in each of its lists
             root = forest(len(own), row[left[near]], row[right[near]])
-            apart = root != np.arange(len(own))
-            between = np.nonzero(~near & (root[row[left]] != root[row[right]]))[0]
+            apart = (root != np.arange(len(own))) & nearest
+            comp = t.column(6).to_numpy()
+            between = np.nonzero(~near & (root[row[left]] != root[row[right]]) & (comp[left] != comp[right]))[0]
             place = t.column(5).to_numpy() >> 24
             between = between[_first_list(x, left[between], right[between]) == place[left[between]]]
+            if nearest:
+                ends, both = np.concatenate([row[left[between]], row[right[between]]]), np.concatenate([between, between])
+                order = np.lexsort((both, far[both], ends))
+                between = np.unique(both[order[runs(ends[order])[0]]]) if len(ends) else between
             a, b = np.concatenate([own[apart], cid[left[between]]]), np.concatenate([own[root[apart]], cid[right[between]]])
             count = np.concatenate([np.zeros(int(apart.sum()), np.int64), far[between].astype(np.int64)])
             a, b, count = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), count]), axis=1)
@@ -441,37 +449,52 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
     posts = classes.select("cid", "fp").mapInArrow(tidy(post), "key long, cid long, own boolean")
     bound_batches(spark)
     met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
-    split = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
-    split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key")
     share = differing_share(similarity)
     error = math.sqrt(share * (1 - share) / (64 * words))
     sure, most = int((share - DOUBT[0] * error) * 64 * words), int((share + DOUBT[1] * error) * 64 * words)
-    bound_batches(spark)
-    edges = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _wide_verify(it, words, sure, most)), "a long, b long, bits int")
-    edges = materialize(edges, "wide_edges")
+
+    def meetings(posts: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
+        """(a, b, bits) of the lists of ``posts``; ``known``: (cid, fp, comp)."""
+        split = posts.join(known, "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
+        split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        low, high = F.least("side", "other"), F.greatest("side", "other")
+        grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key", "comp")
+        found = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _wide_verify(it, words, sure, most, nearest)), "a long, b long, bits int")
+        return materialize(found, "wide_edges")
+
+    edges = meetings(met, classes.select("cid", "fp", F.col("cid").alias("comp")), True)
     links = edges.where("bits = 0").select("a", "b")
     roots = materialize(connected_components(links), "roots")
-    doubtful = edges.where("bits > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
-    left = materialize(doubtful, "doubtful")
+    left = materialize(edges.where("bits > 0").distinct(), "doubtful")
     if not left.isEmpty():
         sets = _shingle_sets(docs, left, classes.select("cid", "least"), n)
-        for last in (False, False, True):
-            asked = left if last else _nearest_pairs(left)
-            # what is connected already goes on as one link a node
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
-            roots = materialize(connected_components(links), "roots")
-            if last:
-                break
-            left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
-            if left.isEmpty():
-                break
+        roots = _settled(left, roots, sets, similarity)
+        # each end of a doubtful pair is the end of a nearest one; all its pairs that still lie between components come now
+        ends = materialize(left.select(F.col("a").alias("cid")).union(left.select("b")).distinct(), "ends")
+        known = classes.join(ends, "cid", "left_semi").join(roots, F.col("cid") == roots["node"], "left").select("cid", "fp", F.coalesce("root", "cid").alias("comp"))
+        more = meetings(met.join(ends, "cid", "left_semi"), known, False)
+        left = materialize(more.join(left.select("a", "b"), ["a", "b"], "left_anti").distinct(), "doubtful")
+        roots = _settled(left, roots, sets, similarity)
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
     return rows.join(ids, "fp").select("doc_id", "component_id")
 
 
+def _settled(left: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``roots`` with what the doubtful pairs (a, b, bits) link: the nearest of each end are checked first, twice, then those
+    of the others that lie between components still."""
+    for last in (False, False, True):
+        if left.isEmpty():
+            break
+        asked = left if last else _nearest_pairs(left)
+        # what is connected already goes on as one link a node
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
+        roots = materialize(connected_components(links), "roots")
+        if not last:
+            left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
+    return roots
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those (a, b, bits) whose ends are in different components."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
