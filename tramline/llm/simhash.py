@@ -472,27 +472,28 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
         # each end of a doubtful pair is the end of a nearest one; all its pairs that still lie between components come now
         ends = materialize(left.select(F.col("a").alias("cid")).union(left.select("b")).distinct(), "ends")
         known = classes.join(ends, "cid", "left_semi").join(roots, F.col("cid") == roots["node"], "left").select("cid", "fp", F.coalesce("root", "cid").alias("comp"))
-        more = meetings(met.join(ends, "cid", "left_semi"), known, False)
-        left = materialize(more.join(left.select("a", "b"), ["a", "b"], "left_anti").distinct(), "doubtful")
-        roots = _settled(left, roots, sets, similarity)
+        roots = _linked(meetings(met.join(ends, "cid", "left_semi"), known, False).distinct(), roots, sets, similarity)
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
     return rows.join(ids, "fp").select("doc_id", "component_id")
 
 
+def _linked(asked: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``roots`` with what the pairs (a, b, bits) link. What is connected already goes on as one link a node."""
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
+    return materialize(connected_components(links), "roots")
+
+
 def _settled(left: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``roots`` with what the doubtful pairs (a, b, bits) link: the nearest of each end are checked first, twice, then those
     of the others that lie between components still."""
-    for last in (False, False, True):
+    for _ in range(2):
+        asked = _nearest_pairs(left)
+        roots = _linked(asked, roots, sets, similarity)
+        left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
         if left.isEmpty():
-            break
-        asked = left if last else _nearest_pairs(left)
-        # what is connected already goes on as one link a node
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
-        roots = materialize(connected_components(links), "roots")
-        if not last:
-            left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
-    return roots
+            return roots
+    return _linked(left, roots, sets, similarity)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
