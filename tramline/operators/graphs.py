@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.session import shared_path
+
 
 def mutual_best(edges: DataFrame, cost: str = "cost") -> DataFrame:
     """Edges (src, dst, cost) that are the cheapest both out of ``src`` and into ``dst``; ties go to the smaller other end."""
@@ -22,9 +24,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
     """
     spark = nodes.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-graph-"))
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "graph"))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("node", "other").distinct()
     labels = nodes.select("node", F.col("node").alias("group")).checkpoint()
     for _ in range(max_rounds):

@@ -50,13 +50,13 @@ def _(spark, d):
 
 @query(
     "fct_13_map_context",
-    f"WITH {STATES}, f AS (SELECT s_suppkey AS id, CAST(s_suppkey % 60 AS DOUBLE) / 2 AS fx, CASE s_suppkey % 4 WHEN 0 THEN 'branching' WHEN 1 THEN 'crosswalk' WHEN 2 THEN 'stop_sign' ELSE 'signal' END AS kind FROM supplier), j AS (SELECT s.agent, s.frame, bool_or(kind = 'branching' AND abs(x - fx) <= 0.5) AS br, bool_or(kind = 'crosswalk') AS cw, bool_or(kind = 'stop_sign') AS st, bool_or(kind = 'signal') AS sg FROM states s LEFT JOIN f ON abs(x - fx) <= 1 WHERE s.frame % 10 = 0 GROUP BY 1, 2) SELECT agent, frame, coalesce(br OR cw OR sg, false) AS near_intersection, coalesce(st, false) AS stop_sign FROM j",
+    f"WITH {STATES}, f AS (SELECT s_suppkey AS id, CAST(s_suppkey % 60 AS DOUBLE) / 2 AS fx, CASE s_suppkey % 4 WHEN 0 THEN 'branching' WHEN 1 THEN 'crosswalk' WHEN 2 THEN 'stop_sign' ELSE 'signal' END AS kind FROM supplier), j AS (SELECT s.agent, s.frame, bool_or(kind = 'branching' AND abs(x - fx) <= 0.5) AS br, bool_or(kind = 'crosswalk') AS cw, bool_or(kind = 'stop_sign') AS st, bool_or(kind = 'signal') AS sg FROM states s LEFT JOIN f ON abs(x - fx) <= 1 GROUP BY 1, 2) SELECT agent, frame, coalesce(br OR cw OR sg, false) AS near_intersection, coalesce(st, false) AS stop_sign FROM j",
 )
 def _(spark, d):
     k = F.col("s_suppkey")
     kind = F.when(k % 4 == 0, "branching").when(k % 4 == 1, "crosswalk").when(k % 4 == 2, "stop_sign").otherwise("signal")
     f = table(spark, d, "supplier").select((k % 60 / 2).alias("tx"), F.lit(0.0).alias("ty"), kind.alias("kind"))
-    s = states(spark, d).where("frame % 10 = 0").select("agent", "frame", "x").withColumn("y", F.lit(0.0))
+    s = states(spark, d).select("agent", "frame", "x").withColumn("y", F.lit(0.0))
     near = jn.grid_radius_join(s, f, 1.0)
     flags = near.groupBy("agent", "frame").agg(
         F.bool_or((F.col("kind") == "branching") & (F.col("distance") <= 0.5) | F.col("kind").isin("crosswalk", "signal")).alias("hit"), F.bool_or(F.col("kind") == "stop_sign").alias("stop")

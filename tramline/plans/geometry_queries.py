@@ -88,13 +88,13 @@ def _near(point: str, q: str) -> str:
     f"""WITH {POLYLINES}{_SEG}, c AS (SELECT s.line_id, ((s.bx - s.ax) * (t.ay - s.ay) - (s.by_ - s.ay) * (t.ax - s.ax)) * ((s.bx - s.ax) * (t.by_ - s.ay) - (s.by_ - s.ay) * (t.bx - s.ax)) < 0
       AND ((t.bx - t.ax) * (s.ay - t.ay) - (t.by_ - t.ay) * (s.ax - t.ax)) * ((t.bx - t.ax) * (s.by_ - t.ay) - (t.by_ - t.ay) * (s.bx - t.ax)) < 0 AS crossing,
       least({_near('s.ax,s.ay', 't.')}, {_near('s.bx,s.by_', 't.')}, {_near('t.ax,t.ay', 's.')}, {_near('t.bx,t.by_', 's.')}) AS apart
-      FROM seg s JOIN seg t ON t.line_id = s.line_id + 1 AND s.line_id % 5 = 0 AND s.seq < 8 AND t.seq < 8)
+      FROM seg s JOIN seg t ON t.line_id = s.line_id + 1)
     SELECT line_id, round(min(CASE WHEN crossing THEN 0 ELSE apart END), 5) AS distance FROM c GROUP BY line_id""",
 )
 def _(spark, d):
-    p = polylines(spark, d).select("line_id", F.slice("points", 1, 9).alias("points"))
+    p = polylines(spark, d)
     o = p.select((F.col("line_id") - 1).alias("line_id"), F.col("points").alias("other"))
-    return p.where("line_id % 5 = 0").join(o, "line_id").select("line_id", F.round(g.polyline_distance(F.col("points"), F.col("other")), 5).alias("distance"))
+    return p.join(o, "line_id").select("line_id", F.round(g.polyline_distance(F.col("points"), F.col("other")), 5).alias("distance"))
 
 
 @query(
@@ -149,14 +149,14 @@ def _(spark, d):
 
 @query(
     "geo_24_nearest_lane",
-    f"WITH {STATES}, l AS (SELECT s_suppkey AS lane_id, CAST(s_suppkey % 40 AS DOUBLE) / 2 AS lx, s_nationkey / 4.0 AS ly, CASE WHEN s_suppkey % 2 = 0 THEN 0.0 ELSE 1.5 END AS la FROM supplier), j AS (SELECT agent, frame, lane_id, sqrt(pow(x - lx, 2) + pow(y - ly, 2)) AS dist, cos(yaw - la) AS al FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 3 WHERE frame % 12 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY agent, frame ORDER BY round(dist + 1 - al, 9), lane_id) AS k FROM j WHERE al >= 0) SELECT agent, frame, lane_id FROM k WHERE k = 1",
+    f"WITH {STATES}, l AS (SELECT s_suppkey AS lane_id, CAST(s_suppkey % 40 AS DOUBLE) / 2 AS lx, s_nationkey / 4.0 AS ly, CASE WHEN s_suppkey % 2 = 0 THEN 0.0 ELSE 1.5 END AS la FROM supplier), j AS (SELECT agent, frame, lane_id, sqrt(pow(x - lx, 2) + pow(y - ly, 2)) AS dist, cos(yaw - la) AS al FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 3), k AS (SELECT *, row_number() OVER (PARTITION BY agent, frame ORDER BY round(dist + 1 - al, 9), lane_id) AS k FROM j WHERE al >= 0) SELECT agent, frame, lane_id FROM k WHERE k = 1",
 )
 def _(spark, d):
     from tramline.operators.joins import grid_radius_join
 
     k = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(k.alias("lane_id"), (k % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), F.when(k % 2 == 0, 0.0).otherwise(1.5).alias("la"))
-    j = grid_radius_join(states(spark, d).where("frame % 12 = 0").select("agent", "frame", "x", "y", "yaw"), lanes, 3.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0")
+    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", "yaw"), lanes, 3.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0")
     return j.groupBy("agent", "frame").agg(F.min(F.struct(F.round(F.col("distance") + 1 - F.col("al"), 9).alias("score"), "lane_id"))["lane_id"].alias("lane_id"))
 
 
@@ -225,7 +225,7 @@ def _(spark, d):
 @query(
     "grf_10_lane_scores",
     f"""WITH {STATES}, l AS (SELECT s_suppkey AS lane_id, CAST(s_suppkey % 40 AS DOUBLE) / 2 AS lx, s_nationkey / 4.0 AS ly, s_suppkey % 6 * 0.5 AS la FROM supplier),
-    j AS (SELECT agent, frame, lane_id, (0.2 + 0.8 * cos(yaw - la)) / (pow(x - lx, 2) + pow(y - ly, 2) + 0.25) AS score FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 2 WHERE frame % 12 = 0 AND cos(yaw - la) >= 0.25),
+    j AS (SELECT agent, frame, lane_id, (0.2 + 0.8 * cos(yaw - la)) / (pow(x - lx, 2) + pow(y - ly, 2) + 0.25) AS score FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 2 WHERE cos(yaw - la) >= 0.25),
     k AS (SELECT *, sum(score) OVER (PARTITION BY agent, frame) AS total, row_number() OVER (PARTITION BY agent, frame ORDER BY round(score, 9) DESC, lane_id) AS k FROM j) SELECT agent, frame, lane_id AS best, round(score / total, 4) AS confidence FROM k WHERE k = 1""",
 )
 def _(spark, d):
@@ -233,7 +233,7 @@ def _(spark, d):
 
     k = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(k.alias("lane_id"), (k % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), (k % 6 * 0.5).alias("la"))
-    j = grid_radius_join(states(spark, d).where("frame % 12 = 0").select("agent", "frame", "x", "y", "yaw"), lanes, 2.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0.25")
+    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", "yaw"), lanes, 2.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0.25")
     j = j.withColumn("score", (0.2 + 0.8 * F.col("al")) / (F.col("distance") * F.col("distance") + 0.25))
     best = F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("lane_id")).alias("n"), "score"))
     a = j.groupBy("agent", "frame").agg(best.alias("b"), F.sum("score").alias("total"))

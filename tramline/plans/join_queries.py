@@ -193,11 +193,11 @@ def _(spark, d):
 
 @query(
     "join_15_grid_radius",
-    f"WITH {STATES}, p AS (SELECT agent, frame, x, y FROM states WHERE frame % 10 = 0), t AS (SELECT s_suppkey AS lane_id, s_suppkey % 60 * 0.5 AS tx, s_nationkey * 0.25 AS ty FROM supplier) SELECT agent, frame, lane_id, round(sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)), 6) AS distance FROM p JOIN t ON sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= 1.5",
+    f"WITH {STATES}, p AS (SELECT agent, frame, x, y FROM states), t AS (SELECT s_suppkey AS lane_id, s_suppkey % 60 * 0.5 AS tx, s_nationkey * 0.25 AS ty FROM supplier) SELECT agent, frame, lane_id, round(sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)), 6) AS distance FROM p JOIN t ON sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= 1.5",
 )
 def _(spark, d):
     t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lane_id"), (F.col("s_suppkey") % 60 * 0.5).alias("tx"), (F.col("s_nationkey") * 0.25).alias("ty"))
-    p = states(spark, d).where("frame % 10 = 0").select("agent", "frame", "x", "y")
+    p = states(spark, d).select("agent", "frame", "x", "y")
     return jn.grid_radius_join(p, t, 1.5).select("agent", "frame", "lane_id", F.round("distance", 6).alias("distance"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -15,6 +13,7 @@ from tramline.functions import geometry as g
 from tramline.operators import kernels as k
 from tramline.operators import tracks
 from tramline.operators.joins import grid_radius_join
+from tramline.session import shared_path
 from tramline.sources import files
 
 from .registry import query, table
@@ -26,13 +25,13 @@ def _(spark, d):
     return files.resolve(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file")).where(F.col("file").rlike(r"^[a-z]+\.parquet$"))
 
 
-@query("src_12_batched_append", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 40")
+@query("src_12_batched_append", "SELECT s_suppkey, s_name FROM supplier")
 def _(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/tramline/src_12-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, "src_12")
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    for number in range(3):
-        files.append_batch(files.batch_of(s.where("s_suppkey < 40"), "s_suppkey", 0, 20, number), path)
+    size = 50
+    for number in range(s.agg(F.max("s_suppkey")).first()[0] // size + 1):
+        files.append_batch(files.batch_of(s, "s_suppkey", 0, size, number), path)
     return spark.read.parquet(path)
 
 
@@ -113,12 +112,12 @@ def _(spark, d):
 
 @query(
     "geo_07_local_lane_frame",
-    f"WITH {STATES}, l AS (SELECT s_suppkey AS lane_id, CAST(s_suppkey % 40 AS DOUBLE) / 2 AS lx, s_nationkey / 4.0 AS ly, s_suppkey % 6 * 0.5 AS la FROM supplier), j AS (SELECT agent, frame, x, y, coalesce(ax, 0) AS v, lx, ly, la, row_number() OVER (PARTITION BY agent, frame ORDER BY round(sqrt(pow(x - lx, 2) + pow(y - ly, 2)), 9), lane_id) AS k FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 2 WHERE frame % 12 = 0) SELECT agent, frame, round(v * cos(la), 5) AS v_long, round(-v * sin(la), 5) AS v_lat, round(-sin(la) * (x - lx) + cos(la) * (y - ly), 5) AS lateral FROM j WHERE k = 1",
+    f"WITH {STATES}, l AS (SELECT s_suppkey AS lane_id, CAST(s_suppkey % 40 AS DOUBLE) / 2 AS lx, s_nationkey / 4.0 AS ly, s_suppkey % 6 * 0.5 AS la FROM supplier), j AS (SELECT agent, frame, x, y, coalesce(ax, 0) AS v, lx, ly, la, row_number() OVER (PARTITION BY agent, frame ORDER BY round(sqrt(pow(x - lx, 2) + pow(y - ly, 2)), 9), lane_id) AS k FROM states JOIN l ON sqrt(pow(x - lx, 2) + pow(y - ly, 2)) <= 2) SELECT agent, frame, round(v * cos(la), 5) AS v_long, round(-v * sin(la), 5) AS v_lat, round(-sin(la) * (x - lx) + cos(la) * (y - ly), 5) AS lateral FROM j WHERE k = 1",
 )
 def _(spark, d):
     key = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(key.alias("lane_id"), (key % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), (key % 6 * 0.5).alias("la"))
-    j = grid_radius_join(states(spark, d).where("frame % 12 = 0").select("agent", "frame", "x", "y", F.coalesce("ax", F.lit(0.0)).alias("v")), lanes, 2.0)
+    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", F.coalesce("ax", F.lit(0.0)).alias("v")), lanes, 2.0)
     best = F.min(F.struct(F.round("distance", 9).alias("r"), "lane_id", "x", "y", "v", "tx", "ty", "la")).alias("b")
     b = j.groupBy("agent", "frame").agg(best).select("agent", "frame", "b.*")
     long, wide = b.v * F.cos("la"), -b.v * F.sin("la")
@@ -126,15 +125,14 @@ def _(spark, d):
     return b.select("agent", "frame", F.round(long, 5).alias("v_long"), F.round(wide, 5).alias("v_lat"), F.round(lateral, 5).alias("lateral"))
 
 
-@query("geo_15_lane_extrapolation", f"WITH {EDGES} SELECT s_suppkey AS lane, s_suppkey + least(3, (7 - s_suppkey % 7) % 7) AS last, least(3, (7 - s_suppkey % 7) % 7) AS hops FROM supplier WHERE s_suppkey <= (SELECT max(s_suppkey) - 7 FROM supplier)")
+@query("geo_15_lane_extrapolation", "WITH h AS (SELECT s_suppkey, least(3, (7 - s_suppkey % 7) % 7) AS hops FROM supplier) SELECT s_suppkey AS lane, s_suppkey + hops AS last, hops FROM h")
 def _(spark, d):
     e = edges(spark, d)
     out = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lane"), F.col("s_suppkey").alias("last"), F.lit(0).alias("hops"))
     for i in range(3):
         step = e.groupBy("src").agg(F.min("dst").alias("dst")).select(F.col("src").alias("_s"), "dst")
         out = out.join(step, F.col("last") == F.col("_s"), "left").select("lane", F.coalesce("dst", "last").alias("last"), (F.col("hops") + F.col("dst").isNotNull().cast("int")).alias("hops"))
-    top = table(spark, d, "supplier").agg((F.max("s_suppkey") - 7).alias("top"))
-    return out.join(F.broadcast(top)).where("lane <= top").select("lane", "last", F.col("hops").cast("long").alias("hops"))  # one row
+    return out.select("lane", "last", F.col("hops").cast("long").alias("hops"))
 
 
 _SQUARE = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])

@@ -9,14 +9,14 @@ from tramline.operators import joins as jn
 
 from .registry import query, table
 
-_D = "left(text, 4000)"
+_D = "text"
 _LOW = "lower(text)"
 
 
-@query("prj_01_split_ids", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(left(text, 200), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS ids FROM documents")
+@query("prj_01_split_ids", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS ids FROM documents")
 def _(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.array_join(tx.split_ids(F.left("text", F.lit(200)), ","), "|").alias("ids"))
+    return t.select("doc_id", F.array_join(tx.split_ids(F.col("text"), ","), "|").alias("ids"))
 
 
 @query("prj_02_parse_list", "SELECT s_suppkey, 'a' || s_suppkey || '|b' || s_nationkey AS ids FROM supplier")
@@ -106,7 +106,7 @@ def _(spark, d):
 
 @query("prj_14_line_upgrade", f"SELECT doc_id, array_to_string(list_filter(string_split({_D}, chr(10)), lambda l: NOT regexp_matches(l, '^(Licensed|Copyright)|token =')), chr(10)) AS body FROM documents")
 def _(spark, d):
-    kept = F.filter(F.split(F.left("text", F.lit(4000)), "\n"), lambda x: ~x.rlike("^(Licensed|Copyright)|token ="))
+    kept = F.filter(F.split(F.col("text"), "\n"), lambda x: ~x.rlike("^(Licensed|Copyright)|token ="))
     return table(spark, d, "documents").select("doc_id", F.array_join(kept, "\n").alias("body"))
 
 
@@ -146,9 +146,9 @@ def _(spark, d):
     return t.join(table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id")
 
 
-@query("txt_01_code_fences", "SELECT doc_id, trim(left(text, 100), ' ' || chr(9) || chr(10)) AS body FROM documents WHERE length(text) > 0")
+@query("txt_01_code_fences", "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10)) AS body FROM documents WHERE length(text) > 0")
 def _(spark, d):
-    fenced = F.concat(F.lit("```json\n"), F.trim(F.left("text", F.lit(100)), F.lit(" \t\n")), F.lit("\n```"))
+    fenced = F.concat(F.lit("```json\n"), F.trim(F.col("text"), F.lit(" \t\n")), F.lit("\n```"))
     return table(spark, d, "documents").where("length(text) > 0").select("doc_id", tx.strip_fences(fenced).alias("body"))
 
 

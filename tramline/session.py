@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +25,25 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="tramline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for written intermediates: ``spark.checkpoint.dir``; where that is unset, an own one in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or _own_dir()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tramline/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def local_session(app: str = "tramline", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and single-node benchmarks."""
     spark = (
