@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Wording rules of generated descriptions.
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"
-PAIR_VERBS = ("overtakes", "follows", "yields", "cuts", "merges", "passes", "leads", "crosses", "interacts")
+PAIR_RELATION = r"\b(?:follows?|followed|yields?|yielded|overtakes?|overtook|cuts?\s+in|cut\s+in|merges?\s+with|interacts?|gives?\s+way)\b"
+OTHER_VEHICLE = r"\bvehicle\s+(\d+)\b"
 FORBIDDEN = {"lane_id": r"lane[ _]?[0-9]+", "numbers": r"[0-9]{3,}", "hedging": r"\b(?:maybe|probably|seems)\b", "meta": r"\b(?:data|frame|json)\b"}
 
 
@@ -65,8 +66,9 @@ def word_count(c: Column) -> Column:
 
 def names_others(c: Column, own: Column) -> Column:
     """Whether the text speaks of a pair: a verb between two, or another vehicle's number."""
-    others = F.regexp_extract_all(F.lower(c), F.lit(r"vehicle ([0-9]+)"), F.lit(1))
-    return F.lower(c).rlike(r"\b(?:" + "|".join(PAIR_VERBS) + r")\b") | F.exists(others, lambda x: x != own.cast("string"))
+    low = F.lower(c)
+    others = F.transform(F.regexp_extract_all(low, F.lit(OTHER_VEHICLE), F.lit(1)), lambda x: F.coalesce(F.nullif(F.ltrim(x, F.lit("0")), F.lit("")), F.lit("0")))
+    return low.rlike(PAIR_RELATION) | F.exists(others, lambda x: x != own.cast("string"))
 
 
 def violations(c: Column) -> Column:

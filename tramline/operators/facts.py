@@ -43,14 +43,28 @@ def time_to_collision(gap: Column, side: Column, closing: Column, radius: float,
     return status, seconds
 
 
-def lane_changes(df: DataFrame, entity: list[str], order: str, lane: str, lateral: str, least: int, reach: int, shift: float) -> DataFrame:
-    """(entity, from_lane, to_lane, last_frame, direction): adjacent stable runs with a lateral shift between their means."""
+def adjacent_direction(from_lane: Column, to_lane: Column, left: Column, right: Column, to_left: Column, to_right: Column) -> Column:
+    """'left' or 'right' if either lane names the other on that side (arrays of neighbour ids); null if neither does."""
+    holds = lambda ids, x: F.coalesce(F.array_contains(ids, x), F.lit(False))
+    return F.when(holds(left, to_lane) | holds(to_right, from_lane), "left").when(holds(right, to_lane) | holds(to_left, from_lane), "right")
+
+
+def lane_changes(df: DataFrame, lanes: DataFrame, entity: list[str], order: str, lane: str, lateral: str, least: int, reach: int, shift: float) -> DataFrame:
+    """(entity, from_lane, to_lane, last_frame, direction): stable runs in a row on neighbouring lanes, with a lateral shift
+    between their means, at most ``reach`` frames apart.
+
+    ``lanes``: (lane_id, left, right, connected) with arrays of ids. A lane that goes on in the next one isn't changed.
+    """
     s = fr.run_ids(df, entity, order, lane, gaps=True)
     r = s.groupBy(*entity, "run", lane).agg(F.min(order).alias("s"), F.max(order).alias("e"), F.count("*").alias("n"), F.avg(lateral).alias("m")).where(F.col("n") >= least)
     w = Window.partitionBy(*entity).orderBy("s")
     r = r.withColumns({"to_lane": F.lead(lane).over(w), "ns": F.lead("s").over(w), "nm": F.lead("m").over(w)})
-    hit = (F.abs(F.col("to_lane") - F.col(lane)) == 1) & (F.col("ns") - F.col("e") <= reach) & (F.abs(F.col("nm") - F.col("m")) >= shift)
-    return r.where(hit).select(*entity, F.col(lane).alias("from_lane"), "to_lane", F.col("e").alias("last_frame"), F.when(F.col("nm") > F.col("m"), "left").otherwise("right").alias("direction"))
+    moved = (F.col("to_lane") != F.col(lane)) & (F.col("ns") - F.col("e") <= reach) & (F.abs(F.col("nm") - F.col("m")) >= shift)
+    of = lambda side: lanes.select(F.col("lane_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("left", "right", "connected")))
+    j = r.where(moved).join(of("a"), F.col(lane) == F.col("a_id")).join(of("b"), F.col("to_lane") == F.col("b_id"))
+    goes_on = F.coalesce(F.array_contains("a_connected", F.col("to_lane")), F.lit(False)) | F.coalesce(F.array_contains("b_connected", F.col(lane)), F.lit(False))
+    direction = adjacent_direction(F.col(lane), F.col("to_lane"), F.col("a_left"), F.col("a_right"), F.col("b_left"), F.col("b_right"))
+    return j.where(~goes_on).withColumn("direction", direction).where("direction is not null").select(*entity, F.col(lane).alias("from_lane"), "to_lane", F.col("e").alias("last_frame"), "direction")
 
 
 def interaction_kind(changers: Column, merging: Column, gap: Column, same_lane: Column) -> Column:
@@ -67,9 +81,15 @@ def passes(df: DataFrame, entity: list[str], order: str, side: str, least: int)
     return r.where((F.col(side) == 1) & (F.col("_n") == -1)).select(*entity, F.col("end_frame").alias("before_frame"), "after_frame")
 
 
-def rule_class(passed: Column, changed: Column, yielded: Column, merged: Column) -> Column:
-    """Tri-state facts; null counts as not shown."""
-    return F.when(passed & changed, "overtake").when(changed & yielded, "lane_change_with_yielding").when(merged, "merge").when(changed, "lane_change").otherwise("unknown")
+def rule_class(changed: Column, entered: Column, ahead: Column, slowed: Column) -> tuple[Column, Column, Column]:
+    """(type, modifiers, status) of a pair by what the first agent did: changed its lane, entered the other's, went from
+    behind to ahead; and whether the other slowed down. Facts are three-valued; null counts as not shown."""
+    changed, entered, ahead, slowed = (F.coalesce(x, F.lit(False)) for x in (changed, entered, ahead, slowed))
+    overtakes = entered & ahead
+    kind = F.when(overtakes, "overtake").when(entered & slowed, "lane_change_with_yielding").when(entered, "merge").when(changed, "lane_change").otherwise("unknown")
+    none = F.array().cast("array<string>")
+    modifiers = F.when(overtakes, F.concat(F.array(F.lit("with_lane_change")), F.when(slowed, F.array(F.lit("with_yielding"))).otherwise(none))).otherwise(none)
+    return kind, modifiers, F.when(kind == "unknown", "insufficient_evidence").otherwise("classified")
 
 
 def strength(distance: Column, pet: Column, ttc: Column, near: tuple[float, float], soon: tuple[float, float], ttc_strong: float) -> Column:

@@ -133,10 +133,22 @@ def _(spark, d):
 
 @query(
     "fct_23_lane_changes",
-    _LANE_RUNS + " SELECT agent, lane AS from_lane, next_lane AS to_lane, e AS last_frame, CASE WHEN next_my > my THEN 'left' ELSE 'right' END AS direction FROM (SELECT *, lead(lane) OVER w AS next_lane, lead(s) OVER w AS next_s, lead(my) OVER w AS next_my FROM runs WINDOW w AS (PARTITION BY agent ORDER BY s)) WHERE next_lane IS NOT NULL AND abs(next_lane - lane) = 1 AND next_s - e <= 4 AND abs(next_my - my) >= 0.05",
+    # lanes 3k go on in 3k + 1; others one apart are neighbours, each pair named by its even lane: the next one left, the last right
+    _LANE_RUNS + """, t AS (SELECT *, lead(lane) OVER w AS next_lane, lead(s) OVER w AS next_s, lead(my) OVER w AS next_my FROM runs WINDOW w AS (PARTITION BY agent ORDER BY s)),
+      c AS (SELECT *, greatest(lane, next_lane) AS hi, least(lane, next_lane) AS lo FROM t WHERE next_lane <> lane AND next_s - e <= 4 AND abs(next_my - my) >= 0.05)
+    SELECT agent, lane AS from_lane, next_lane AS to_lane, e AS last_frame, CASE WHEN next_lane > lane THEN 'left' ELSE 'right' END AS direction FROM c WHERE hi - lo = 1 AND NOT lo % 3 = 0""",
 )
 def _(spark, d):
-    return ft.lane_changes(states(spark, d).where("lane is not null"), A, "frame", "lane", "y", least=3, reach=4, shift=0.05)
+    s = states(spark, d).where("lane is not null")
+    lane = F.col("lane_id")
+    none = F.array().cast("array<long>")
+    lanes = s.select(F.col("lane").cast("long").alias("lane_id")).distinct().select(
+        "lane_id",
+        F.when(lane % 2 == 0, F.array(lane + 1)).otherwise(none).alias("left"),
+        F.when(lane % 2 == 0, F.array(lane - 1)).otherwise(none).alias("right"),
+        F.when(lane % 3 == 0, F.array(lane + 1)).otherwise(none).alias("connected"),
+    )
+    return ft.lane_changes(s, lanes, A, "frame", "lane", "y", least=3, reach=4, shift=0.05)
 
 
 @query("fct_24_interaction_classifier", "WITH c AS (SELECT l_orderkey AS scene, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS changers, bool_or(l_linestatus = 'O') AS gap, bool_or(l_discount > 0.08) AS merging, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT scene, CASE WHEN changers > 1 THEN 'unknown' WHEN changers = 1 AND merging THEN 'merge' WHEN changers = 1 AND gap THEN 'cut_in' WHEN changers = 1 THEN 'lane_change' WHEN n = 1 THEN 'same_lane_interaction' ELSE 'unknown' END AS kind FROM c")
@@ -209,13 +221,21 @@ def _(spark, d):
     return t.select("agent", distance.alias("distance_trend"), speed.alias("speed_relation"))
 
 
-@query("fct_31_rule_classification", "WITH f AS (SELECT c_custkey, bool_or(o_orderpriority = '1-URGENT') AS changed, bool_or(o_orderstatus = 'P') AS yielded, bool_or(o_totalprice > 250000) AS passed, count(o_orderkey) > 12 AS merged FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT c_custkey, CASE WHEN passed AND changed THEN 'overtake' WHEN changed AND yielded THEN 'lane_change_with_yielding' WHEN merged THEN 'merge' WHEN changed THEN 'lane_change' ELSE 'unknown' END AS kind FROM f")
+@query(
+    "fct_31_rule_classification",
+    """WITH f AS (SELECT c_custkey, bool_or(o_orderpriority = '1-URGENT') AS changed, bool_or(o_orderpriority = '5-LOW') AS entered, bool_or(o_totalprice > 350000) AS ahead, bool_or(o_orderstatus = 'P') AS slowed FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+    SELECT c_custkey, CASE WHEN entered THEN CASE WHEN ahead THEN 'overtake' WHEN slowed THEN 'lane_change_with_yielding' ELSE 'merge' END WHEN changed THEN 'lane_change' ELSE 'unknown' END AS kind,
+      CASE WHEN entered AND ahead THEN CASE WHEN slowed THEN 'with_lane_change,with_yielding' ELSE 'with_lane_change' END ELSE '' END AS modifiers,
+      CASE WHEN entered OR changed THEN 'classified' ELSE 'insufficient_evidence' END AS status FROM f""",
+)
 def _(spark, d):
     o = table(spark, d, "orders")
     f = table(spark, d, "customer").select("c_custkey").join(o, F.col("c_custkey") == o.o_custkey, "left").groupBy("c_custkey").agg(
-        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("changed"), F.bool_or(F.col("o_orderstatus") == "P").alias("yielded"), F.bool_or(F.col("o_totalprice") > 250000).alias("passed"), (F.count("o_orderkey") > 12).alias("merged")
+        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("changed"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("entered"),
+        F.bool_or(F.col("o_totalprice") > 350000).alias("ahead"), F.bool_or(F.col("o_orderstatus") == "P").alias("slowed"),
     )
-    return f.select("c_custkey", ft.rule_class(F.col("passed"), F.col("changed"), F.col("yielded"), F.col("merged")).alias("kind"))
+    kind, modifiers, status = ft.rule_class(*(F.col(c) for c in ("changed", "entered", "ahead", "slowed")))
+    return f.select("c_custkey", kind.alias("kind"), F.array_join(modifiers, ",").alias("modifiers"), status.alias("status"))
 
 
 @query("fct_32_interaction_strength", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 OR l_tax < 0.01 OR l_discount < 0.01 THEN 'strong' WHEN l_quantity < 15 OR l_tax < 0.03 THEN 'moderate' ELSE 'weak' END AS strength FROM lineitem")

@@ -125,7 +125,7 @@ def _(spark, d):
     return b.select("agent", "frame", F.round(long, 5).alias("v_long"), F.round(wide, 5).alias("v_lat"), F.round(lateral, 5).alias("lateral"))
 
 
-@query("geo_15_lane_extrapolation", "WITH h AS (SELECT s_suppkey, least(3, (7 - s_suppkey % 7) % 7) AS hops FROM supplier) SELECT s_suppkey AS lane, s_suppkey + hops AS last, hops FROM h")
+@query("geo_15_lane_extrapolation", "WITH h AS (SELECT s_suppkey, least(3, (7 - s_suppkey % 7) % 7, (SELECT max(s_suppkey) + 1 FROM supplier) - s_suppkey) AS hops FROM supplier) SELECT s_suppkey AS lane, s_suppkey + hops AS last, hops FROM h")
 def _(spark, d):
     e = edges(spark, d)
     out = table(spark, d, "supplier").select(F.col("s_suppkey").alias("lane"), F.col("s_suppkey").alias("last"), F.lit(0).alias("hops"))

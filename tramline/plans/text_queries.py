@@ -157,13 +157,18 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.word_count(F.col("text")).cast("long").alias("words"))
 
 
+def _by(which, *texts: str):
+    """The text of this number."""
+    return F.element_at(F.array(*map(F.lit, texts)), (which + 1).cast("int"))
+
+
 @query(
     "txt_03_pair_semantics",
-    "WITH c AS (SELECT o_orderkey AS k, 'vehicle ' || (o_orderkey % 7) || CASE o_orderkey % 3 WHEN 0 THEN ' follows the lane' WHEN 1 THEN ' near vehicle 3' ELSE ' stops' END AS t FROM orders) SELECT k, regexp_matches(t, 'follows') OR len(list_filter(regexp_extract_all(t, 'vehicle ([0-9]+)', 1), lambda x: x <> CAST(k % 7 AS VARCHAR))) > 0 AS pair FROM c",
+    "WITH c AS (SELECT o_orderkey AS k, 'vehicle ' || (o_orderkey % 7) || CASE o_orderkey % 8 WHEN 0 THEN ' followed the bus' WHEN 1 THEN ' near Vehicle 03' WHEN 2 THEN ' passes and leads' WHEN 3 THEN ' cut  in ahead' WHEN 4 THEN ' merges' WHEN 5 THEN ' merges with it' WHEN 6 THEN ' gives way' ELSE ' overtook' END AS t FROM orders) SELECT k, CASE k % 8 WHEN 1 THEN k % 7 <> 3 WHEN 2 THEN false WHEN 4 THEN false ELSE true END AS pair FROM c",
 )
 def _(spark, d):
     k = F.col("o_orderkey")
-    t = F.concat(F.lit("vehicle "), (k % 7).cast("string"), F.when(k % 3 == 0, " follows the lane").when(k % 3 == 1, " near vehicle 3").otherwise(" stops"))
+    t = F.concat(F.lit("vehicle "), (k % 7).cast("string"), _by(k % 8, " followed the bus", " near Vehicle 03", " passes and leads", " cut  in ahead", " merges", " merges with it", " gives way", " overtook"))
     return table(spark, d, "orders").select(k.alias("k"), tx.names_others(t, k % 7).alias("pair"))
 
 
