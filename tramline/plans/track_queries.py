@@ -156,10 +156,11 @@ def _(spark, d):
     a = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_quantity").alias("d1"))
     b = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_quantity").alias("d2"))
     j = a.join(b, "l_orderkey")
-    # pairs whose arrivals are apart already need no search
+    # equal arrivals are searched once, and those that are apart already need no search
+    cases = j.select("d1", "d2").distinct()
     apart = F.abs(F.col("d1") - F.col("d2")) / 10 >= 1.5
-    effort = F.when(apart, F.lit(0.0)).otherwise(tracks.separation_effort("d1", F.lit(10.0), "d2", F.lit(10.0)))
-    return j.select("l_orderkey", F.round(effort, 2).alias("effort"))
+    cases = cases.withColumn("effort", F.when(apart, F.lit(0.0)).otherwise(tracks.separation_effort("d1", F.lit(10.0), "d2", F.lit(10.0))))
+    return j.join(cases, ["d1", "d2"]).select("l_orderkey", F.round("effort", 2).alias("effort"))
 
 
 @query("fct_04_speed_episodes")
