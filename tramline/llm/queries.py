@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cross_polytope, decontamination, pii, sharding, simhash, site_style, token_files, toxicity, warc
+from . import bpe, cross_polytope, decontamination, filter_audit, lexical, pii, quality, sharding, simhash, site_style, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ALL = (
+    op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op5_warc_derivatives, op6_cross_polytope, op7_toxicity, op8_pii,
+    op9_decontamination, op10_token_files, op11_quality, op12_lexical_search, op13_filter_audit,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style, op2_simhash_near_dedup, op3_byte_bpe, op4_sharding, op5_warc_derivatives, op6_cross_polytope, op7_toxicity, op8_pii, op9_decontamination, op10_token_files)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_lexical_search": lexical.SQL, "op13_filter_audit": filter_audit.SQL}
