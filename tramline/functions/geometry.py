@@ -49,23 +49,39 @@ def tangents(points: Column) -> Column:
 
 
 def project(px: Column, py: Column, points: Column) -> Column:
-    """The nearest place of a polyline as (distance, segment, s, d): its arc length and signed offset, left positive."""
-    begin = F.struct(F.lit(float("inf")).alias("distance"), F.lit(-1).alias("segment"), F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), F.lit(0.0).alias("run"), F.lit(0).alias("i"))
+    """The nearest place of a polyline as (distance, segment, s, d, heading): its arc length, signed offset (left positive), direction.
 
-    def step(acc: Column, seg: Column) -> Column:
+    The first of equally near segments. Null where the position is, or without a segment.
+    """
+
+    def laid(seg: Column) -> Column:
         ax, ay = seg["a"]["x"], seg["a"]["y"]
-        dx, dy = seg["b"]["x"] - ax, seg["b"]["y"] - ay
-        h2 = dx * dx + dy * dy
-        t = F.when(h2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / h2))).otherwise(0.0)
-        h = F.sqrt(h2)
-        away = F.hypot(px - (ax + t * dx), py - (ay + t * dy))
-        side = F.when(cross(dx, dy, px - ax, py - ay) < 0, -away).otherwise(away)
-        better = away < acc["distance"]
-        pick = lambda new, old: F.when(better, new).otherwise(acc[old]).alias(old)
-        return F.struct(pick(away, "distance"), pick(acc["i"], "segment"), pick(acc["run"] + t * h, "s"), pick(side, "d"), (acc["run"] + h).alias("run"), (acc["i"] + 1).alias("i"))
+        return F.struct(ax.alias("ax"), ay.alias("ay"), (seg["b"]["x"] - ax).alias("dx"), (seg["b"]["y"] - ay).alias("dy"))
 
-    out = F.aggregate(segments(points), begin, step)
-    return F.when(out["segment"] >= 0, F.struct(out["distance"].alias("distance"), out["segment"].alias("segment"), out["s"].alias("s"), out["d"].alias("d")))
+    def placed(q: Column) -> Column:
+        h2 = q["dx"] * q["dx"] + q["dy"] * q["dy"]
+        t = F.when(h2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - q["ax"]) * q["dx"] + (py - q["ay"]) * q["dy"]) / h2))).otherwise(0.0)
+        return F.struct(*(q[c].alias(c) for c in ("ax", "ay", "dx", "dy")), t.alias("t"), F.hypot(q["dx"], q["dy"]).alias("h"))
+
+    def measured(q: Column, i: Column) -> Column:
+        away = F.hypot(px - (q["ax"] + q["t"] * q["dx"]), py - (q["ay"] + q["t"] * q["dy"]))
+        return F.struct(away.alias("distance"), i.alias("segment"), (q["t"] * q["h"]).alias("along"), cross(q["dx"], q["dy"], px - q["ax"], py - q["ay"]).alias("side"), F.atan2(q["dy"], q["dx"]).alias("heading"))
+
+    pieces = segments(points)
+    best = F.array_min(F.transform(F.transform(F.transform(pieces, laid), placed), measured))
+
+    def whole(b: Column) -> Column:
+        before = F.aggregate(F.slice(pieces, F.lit(1), b["segment"]), F.lit(0.0), lambda acc, s: acc + length(s))
+        return F.struct(b["distance"].alias("distance"), b["segment"].alias("segment"), (before + b["along"]).alias("s"), F.when(b["side"] < 0, -b["distance"]).otherwise(b["distance"]).alias("d"), b["heading"].alias("heading"))
+
+    known = px.isNotNull() & py.isNotNull()
+    return F.get(F.transform(F.filter(F.array(F.when(known, best)), lambda b: b.isNotNull() & ~F.isnan(b["distance"])), whole), 0)
+
+
+def arc_at(points: Column, index: Column) -> Column:
+    """Arc length up to a point, by its place from 0; places outside are cut to the ends."""
+    last = F.greatest(F.least(index, F.size(points) - 1), F.lit(0))
+    return arc_length(F.slice(points, F.lit(1), (last + 1).cast("int")))
 
 
 def segment_distance(s: Column, t: Column) -> Column:

@@ -106,31 +106,6 @@ def _(spark, d):
 _LANE_RUNS = f"WITH {STATES}, kept AS (SELECT * FROM states WHERE lane IS NOT NULL){_RUN.format(v='lane', gap='OR frame - lag(frame) OVER w > 1', src='kept')}, runs AS (SELECT agent, lane, min(frame) AS s, max(frame) AS e, count(*) AS n, avg(y) AS my FROM numbered GROUP BY agent, run, lane HAVING count(*) >= 3)"
 
 
-@query(
-    "fct_08_lane_chain",
-    _LANE_RUNS + " SELECT agent, lane, s AS start_frame, next_lane, CASE WHEN next_s - e > 3 THEN 'unknown' WHEN next_lane = lane + 1 THEN 'continuation' WHEN abs(next_lane - lane) = 2 THEN 'neighbor' WHEN next_lane = lane THEN 'same' ELSE 'unknown' END AS relation FROM (SELECT *, lead(lane) OVER w AS next_lane, lead(s) OVER w AS next_s FROM runs WINDOW w AS (PARTITION BY agent ORDER BY s)) WHERE next_lane IS NOT NULL",
-)
-def _(spark, d):
-    w = Window.partitionBy("agent").orderBy("start_frame")
-    r = fr.runs(states(spark, d).where("lane is not null"), A, "frame", "lane", gaps=True).where("n >= 3").withColumns({"next_lane": F.lead("lane").over(w), "next_s": F.lead("start_frame").over(w)})
-    step = F.col("next_lane") - F.col("lane")
-    relation = F.when(F.col("next_s") - F.col("end_frame") > 3, "unknown").when(step == 1, "continuation").when(F.abs(step) == 2, "neighbor").when(step == 0, "same").otherwise("unknown")
-    return r.where("next_lane is not null").select("agent", "lane", "start_frame", "next_lane", relation.alias("relation"))
-
-
-@query(
-    "fct_09_route_transition",
-    _LANE_RUNS + ", c AS (SELECT *, lead(lane) OVER w - lane AS step, lead(my) OVER w - my AS shift FROM runs WINDOW w AS (PARTITION BY agent ORDER BY s)), k AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY abs(round(shift, 6)) DESC, s) AS k FROM c WHERE step = 1) SELECT agent, lane, s AS start_frame, round(shift, 4) AS shift FROM k WHERE k = 1",
-)
-def _(spark, d):
-    s = fr.run_ids(states(spark, d).where("lane is not null"), A, "frame", "lane", gaps=True)
-    r = s.groupBy("agent", "run", "lane").agg(F.min("frame").alias("start_frame"), F.count("*").alias("n"), F.avg("y").alias("my")).where("n >= 3")
-    w = Window.partitionBy("agent").orderBy("start_frame")
-    c = r.withColumns({"step": F.lead("lane").over(w) - F.col("lane"), "shift": F.lead("my").over(w) - F.col("my")}).where("step = 1")
-    best = F.min(F.struct((-F.abs(F.round("shift", 6))).alias("m"), "start_frame", "lane", "shift")).alias("b")
-    return c.groupBy("agent").agg(best).select("agent", "b.lane", "b.start_frame", F.round("b.shift", 4).alias("shift"))
-
-
 @query(
     "fct_23_lane_changes",
     # lanes 3k go on in 3k + 1; others one apart are neighbours, each pair named by its even lane: the next one left, the last right

@@ -54,10 +54,8 @@ def _(spark, d):
 
 @query("geo_06_projection_gate", _PROJ + " SELECT line_id FROM k WHERE k = 1 AND round(away, 4) <= 2.25 AND abs(degrees(atan2(by_ - ay, bx - ax))) <= 30")
 def _(spark, d):
-    p = polylines(spark, d).withColumn("p", g.project(F.lit(1.5), F.lit(0.75), F.col("points")))
-    s = F.get(g.segments(F.col("points")), F.col("p.segment"))
-    angle = F.abs(F.degrees(F.atan2(s["b"]["y"] - s["a"]["y"], s["b"]["x"] - s["a"]["x"])))
-    return p.where((F.round("p.distance", 4) <= 2.25) & (angle <= 30)).select("line_id")
+    near = lambda p: (F.round(p["distance"], 4) <= 2.25) & (F.abs(F.degrees(p["heading"])) <= 30)
+    return polylines(spark, d).where(F.exists(F.array(g.project(F.lit(1.5), F.lit(0.75), F.col("points"))), near)).select("line_id")
 
 
 @query("geo_08_common_direction", f"WITH {STATES} SELECT a.agent, a.frame, CASE WHEN cos(a.yaw - b.yaw) >= cos(pi() / 4) THEN round(atan2(sin(a.yaw) + sin(b.yaw), cos(a.yaw) + cos(b.yaw)), 6) END AS direction FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1")

@@ -62,9 +62,9 @@ INTERVALS = """intervals AS (
 def polylines(spark: SparkSession, d: str) -> DataFrame:
     """(line_id, points array<struct<x, y>>): components in quarters, in pairs."""
     e = table(spark, d, "embeddings")
-    q = F.transform("embedding", lambda v: F.round(v * 64, 0).cast("double") / 4)
+    at = lambda i: F.round(F.get("embedding", i) * 64, 0).cast("double") / 4
     n = F.sequence(F.lit(0), F.lit(31))
-    return e.select(F.col("vec_id").alias("line_id"), q.alias("q")).select("line_id", F.transform(n, lambda i: F.struct(F.get("q", i * 2).alias("x"), F.get("q", i * 2 + 1).alias("y"))).alias("points"))
+    return e.select(F.col("vec_id").alias("line_id"), F.transform(n, lambda i: F.struct(at(i * 2).alias("x"), at(i * 2 + 1).alias("y"))).alias("points"))
 
 
 POLYLINES = """points AS (

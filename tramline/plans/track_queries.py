@@ -214,19 +214,6 @@ def _(spark, d):
     return s.select("agent", "frame", turn.alias("turn"))
 
 
-@query(
-    "fct_30_pair_timeline",
-    f"WITH {STATES}, c AS (SELECT agent, frame AS at_frame FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY conf DESC, frame) AS k FROM states WHERE lane IS NOT NULL) WHERE k = 1), p AS (SELECT s.agent, at_frame, CASE WHEN frame < at_frame THEN 'before' ELSE 'after' END AS phase, y FROM states s JOIN c ON s.agent = c.agent AND frame BETWEEN at_frame - 20 AND at_frame + 20 WHERE valid AND frame <> at_frame) SELECT agent, at_frame, round(avg(y) FILTER (WHERE phase = 'before'), 6) AS before_mean, round(avg(y) FILTER (WHERE phase = 'after'), 6) AS after_mean FROM p GROUP BY 1, 2",
-)
-def _(spark, d):
-    s = states(spark, d)
-    w = Window.partitionBy("agent")
-    best = F.min(F.when(F.col("lane").isNotNull(), F.struct((-F.col("conf")).alias("c"), "frame"))).over(w)
-    p = s.withColumn("at_frame", best["frame"]).where("valid and frame <> at_frame and frame between at_frame - 20 and at_frame + 20")
-    mean = lambda c: F.round(F.avg(F.when(c, F.col("y"))), 6)
-    return p.groupBy("agent", "at_frame").agg(mean(F.col("frame") < F.col("at_frame")).alias("before_mean"), mean(F.col("frame") > F.col("at_frame")).alias("after_mean"))
-
-
 @query("fct_33_semantic_graph", "SELECT l_orderkey, l_linenumber, l_returnflag AS behavior, CASE WHEN l_linestatus = 'O' THEN l_tax END AS position FROM lineitem WHERE l_returnflag IN ('R', 'A')")
 def _(spark, d):
     li = table(spark, d, "lineitem").where("l_returnflag in ('R', 'A')")
