@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"
 PAIR_RELATION = r"\b(?:follows?|followed|yields?|yielded|overtakes?|overtook|cuts?\s+in|cut\s+in|merges?\s+with|interacts?|gives?\s+way)\b"
 OTHER_VEHICLE = r"\bvehicle\s+(\d+)\b"
-FORBIDDEN = {"lane_id": r"lane[ _]?[0-9]+", "numbers": r"[0-9]{3,}", "hedging": r"\b(?:maybe|probably|seems)\b", "meta": r"\b(?:data|frame|json)\b"}
 
 
 def split_ids(c: Column, sep: str = ";") -> Column:
@@ -71,15 +70,6 @@ def names_others(c: Column, own: Column) -> Column:
     return low.rlike(PAIR_RELATION) | F.exists(others, lambda x: x != own.cast("string"))
 
 
-def violations(c: Column) -> Column:
-    """Names of the rules that the text breaks, in order."""
-    return F.filter(F.array(*(F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in FORBIDDEN.items())), lambda x: x.isNotNull())
-
-
-def missing(required: Column, matched: Column) -> Column:
-    return F.array_sort(F.array_except(required, matched))
-
-
 def prompt(template: Column, **values: Column) -> tuple[Column, Column]:
     """(text, SHA-256): the template with {name} placeholders filled."""
     text = template

@@ -172,38 +172,6 @@ def _(spark, d):
     return table(spark, d, "orders").select(k.alias("k"), tx.names_others(t, k % 7).alias("pair"))
 
 
-@query(
-    "txt_04_forbidden_wording",
-    f"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches({_LOW}, 'lane[ _]?[0-9]+') THEN 'lane_id' END, CASE WHEN regexp_matches({_LOW}, '[0-9]{{3,}}') THEN 'numbers' END, CASE WHEN regexp_matches({_LOW}, '\\b(?:maybe|probably|seems)\\b') THEN 'hedging' END, CASE WHEN regexp_matches({_LOW}, '\\b(?:data|frame|json)\\b') THEN 'meta' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents",
-)
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(tx.violations(F.col("text")), ",").alias("broken"))
-
-
-@query(
-    "txt_05_coverage",
-    "SELECT conv_id, array_to_string(list_filter(['assistant', 'system', 'user'], lambda r: NOT list_contains(roles, r)), ',') AS missing FROM (SELECT conv_id, list(DISTINCT role) AS roles FROM conversations GROUP BY 1)",
-)
-def _(spark, d):
-    need = F.array(F.lit("user"), F.lit("assistant"), F.lit("system"))
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
-    return g.select("conv_id", F.array_join(tx.missing(need, F.col("roles")), ",").alias("missing"))
-
-
-@query(
-    "txt_07_temporal_grounding",
-    """WITH i AS (SELECT o_orderkey AS id, o_custkey AS agent, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 10 AS BIGINT) AS e FROM orders)
-    SELECT a.id AS episode, b.id AS segment FROM i a JOIN i b ON a.agent = b.agent AND a.id % 2 = 0 AND b.id % 2 = 1 AND least(a.e, b.e) >= greatest(a.s, b.s) WHERE (least(a.e, b.e) - greatest(a.s, b.s) + 1) * 2 >= a.e - a.s + 1""",
-)
-def _(spark, d):
-    from .surrogates import intervals
-
-    i = intervals(spark, d).drop("kind")
-    j = jn.range_join(i.where("interval_id % 2 = 0"), i.where("interval_id % 2 = 1"), ["agent"], 0)
-    shared = jn.overlap(F.col("start_frame"), F.col("end_frame"), F.col("r_start_frame"), F.col("r_end_frame"))
-    return j.where(shared * 2 >= F.col("end_frame") - F.col("start_frame") + 1).select(F.col("interval_id").alias("episode"), F.col("r_interval_id").alias("segment"))
-
-
 @query("txt_08_result_schema", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 0 AND 90, false) AS ok FROM events")
 def _(spark, d):
     k = F.from_json("props", "k bigint")["k"]
