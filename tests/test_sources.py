@@ -69,13 +69,3 @@ def test_scenarios(spark):
         files.states_from_scenarios(twice).collect()
     with pytest.raises(Exception, match="no lanes"):
         files.lane_map(twice).collect()
-
-
-def test_feather(spark, tmp_path):
-    import pandas as pd
-    import pyarrow.feather as feather
-
-    feather.write_feather(pd.DataFrame({"agent_id": ["1"], "x": [2.0]}), str(tmp_path / "a.feather"))
-    assert files.arrow_scene(spark, str(tmp_path / "a.feather"), ["agent_id"]).first()["x"] == 2.0
-    with pytest.raises(ValueError, match="missing"):
-        files.arrow_scene(spark, str(tmp_path / "a.feather"), ["yaw"])

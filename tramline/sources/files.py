@@ -133,19 +133,5 @@ def lane_map(scenarios: DataFrame) -> DataFrame:
     return scenarios.select("scenario_id", F.explode(checked).alias("f")).where("f.lane is not null").select("scenario_id", F.col("f.id").alias("lane_id"), F.col("f.lane.polyline").alias("polyline"))
 
 
-def arrow_scene(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A feather file as a DataFrame: Spark has no reader for it, so Arrow reads the bytes that Spark brings."""
-    import pyarrow.feather as feather
-
-    raw = spark.read.format("binaryFile").load(path).select("content").first()
-    import io
-
-    t = feather.read_table(io.BytesIO(bytes(raw[0])))
-    lost = [c for c in required if c not in t.column_names]
-    if lost:
-        raise ValueError(f"columns are missing: {lost}")
-    return spark.createDataFrame(t.to_pandas())
-
-
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
