@@ -43,3 +43,10 @@ def test_pair_wording(spark):
     df = spark.createDataFrame([(t, 7) for t in yes + no], "t string, own int").select("t", tx.names_others(F.col("t"), F.col("own")).alias("pair"))
     got = {r["t"]: r["pair"] for r in df.collect()}
     assert [t for t in yes if not got[t]] == [] and [t for t in no if got[t]] == []
+
+
+def test_times_to_a_conflict_point_of_standing_agents(spark):
+    rows = [(10.0, 5.0, 9.0, 3.0, 1.0), (10.0, 0.0, 9.0, 3.0, 100.0), (10.0, 5.0, 9.0, 0.001, 100.0), (10.0, 5.0, 9.0, 0.0011, None), (10.0, None, 9.0, 3.0, None), (10.0, None, 9.0, 0.0, 100.0)]
+    df = spark.createDataFrame(rows, "d1 double, v1 double, d2 double, v2 double, want double")
+    got = [r[0] for r in df.select(ft.delta_time(*(F.col(c) for c in ("d1", "v1", "d2", "v2")))).collect()]
+    assert got[:3] == [1.0, 100.0, 100.0] and got[3] > 8000 and got[4:] == [None, 100.0]

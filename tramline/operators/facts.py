@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from . import frames as fr
 
-
-def track_quality(valid: DataFrame, entity: list[str], order: str, x: str, yaw: str, gap: int = 5, turn: float = 0.8660254037844387, jump: float = 1.75, most: int = 3) -> DataFrame:
-    """(entity, gaps, turns, jumps, status) over valid frames: long gaps or many jumps are suspicious, single ones a warning."""
-    w = Window.partitionBy(*entity).orderBy(order)
-    v = valid.withColumns({"_g": F.col(order) - F.lag(order).over(w), "_t": F.abs(F.cos(F.col(yaw) - F.lag(yaw).over(w))) < turn, "_j": F.abs(F.col(x) - F.lag(x).over(w)) > jump})
-    near = F.col("_g") == 1
-    q = v.groupBy(*entity).agg(F.count_if(F.col("_g") > gap).alias("gaps"), F.count_if(near & F.col("_t")).alias("turns"), F.count_if(near & F.col("_j")).alias("jumps"))
-    status = F.when((F.col("gaps") > 0) | (F.col("jumps") > most), "suspicious").when(F.col("turns") + F.col("jumps") > 0, "warning").otherwise("ok")
-    return q.withColumn("status", status)
+# The speed up to which an agent stands (m/s), and the difference of times that stands for never (s).
+STANDING = 0.001
+NEVER = 100.0
 
 
 def relation(longitudinal: Column, lateral: Column, channels: tuple[float, float], deadband: float) -> tuple[Column, Column]:
@@ -31,8 +25,9 @@ def heading_relation(degrees: Column) -> Column:
 
 
 def delta_time(d1: Column, v1: Column, d2: Column, v2: Column) -> Column:
-    """Difference of the times to a conflict point."""
-    return F.abs(d1 / v1 - d2 / v2)
+    """Difference of the times to a conflict point; 100 where either all but stands (up to 1 mm/s), null where a value is unknown."""
+    moving = (v1 > STANDING) & (v2 > STANDING)
+    return F.when(moving, F.abs(d1 / v1 - d2 / v2)).when(moving.isNotNull(), F.lit(NEVER))
 
 
 def time_to_collision(gap: Column, side: Column, closing: Column, radius: float, lateral: float, epsilon: float = 1e-3) -> tuple[Column, Column]:

@@ -151,14 +151,16 @@ def match_lanes(
                 if d <= reach and off <= turn:
                     near.append((weights[0] * d + weights[1] * off, name))
         cands.append(sorted(near, key=lambda c: c[0])[:top])
+    return choose_lanes(cands, lambda a, b: transition_cost(a, b, (a, b) in follows, (a, b) in beside or (b, a) in beside, costs))
 
-    def step(a: str, b: str) -> float:
-        if a == b:
-            return costs[0]
-        if (a, b) in follows:
-            return costs[1]
-        return costs[2] if (a, b) in beside or (b, a) in beside else costs[3]
 
+def transition_cost(a, b, follows: bool, beside: bool, costs: tuple[float, float, float, float] = (0.0, 0.25, 1.0, 20.0)) -> float:
+    return costs[0] if a == b else costs[1] if follows else costs[2] if beside else costs[3]
+
+
+def choose_lanes(cands: Sequence[Sequence[tuple]], step) -> list:
+    """The cheapest lane by frame from candidates (cost, lane, ...); ``step`` gives the cost between two lanes. A frame without candidates has
+    None and parts the track."""
     out: list = [None] * len(cands)
     i = 0
     while i < len(cands):
@@ -167,9 +169,9 @@ def match_lanes(
             j += 1
         if j > i:
             part = cands[i:j]
-            path = viterbi([np.array([c for c, _ in f]) for f in part], lambda t: np.array([[step(a, b) for _, b in part[t]] for _, a in part[t - 1]]))
+            path = viterbi([np.array([c[0] for c in f]) for f in part], lambda t: np.array([[step(a[1], b[1]) for b in part[t]] for a in part[t - 1]]))
             names = [part[k][p][1] for k, p in enumerate(path)]
-            out[i:j] = hold_excursions(names, [[n for _, n in f] for f in part])
+            out[i:j] = hold_excursions(names, [[c[1] for c in f] for f in part])
         i = max(j, i + 1)
     return out
 

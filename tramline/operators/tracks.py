@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from tramline.functions import geometry as g
+
 from . import kernels as k
 
 
@@ -42,24 +45,64 @@ def smoothed(df: DataFrame, entity: str, order: str, value: str, window: int = 7
     return df.select(entity, order, value).groupBy(entity).applyInPandas(run, f"{entity} long, {order} long, smooth double")
 
 
-def matched_lanes(df: DataFrame, lanes: DataFrame, scene: str, entity: str, order: str) -> DataFrame:
-    """(scene, entity, order, lane): Viterbi matching of each entity to the lanes of its scene.
+def lane_candidates(df: DataFrame, lanes: DataFrame, scene: str, entity: str, order: str, reach: float = 3.0, turn: float = math.pi / 8, top: int = 5, cell: float = 16.0) -> DataFrame:
+    """(scene, entity, order, candidates): for each frame the ``top`` lanes within ``reach`` whose nearest piece has about its heading.
 
-    ``lanes``: (scene, lane, points, next array, beside array). The lanes of a scene go to each of its entities by cogroup.
+    The pieces of the lanes are posted to the grid cells they come near, column by column, and meet the positions of their cell in
+    an equi-join; so a frame meets the pieces around it and not its scene's map. Candidates are (cost, lane, next, beside), cheapest
+    first, then by lane. Frames with an unknown or infinite position or heading have none and are absent.
+    """
+    point = F.transform("points", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    pieces = F.when(F.size("points") == 1, F.transform("_p", lambda p: F.struct(p.alias("a"), p.alias("b")))).otherwise(g.segments(F.col("_p")))
+    seg = lanes.withColumn("_p", point).select(scene, "lane", F.posexplode(pieces).alias("i", "s")).select(scene, "lane", "i", *[F.col(f"s.{e}.{c}").alias(e + c) for e in "ab" for c in "xy"])
+    column = F.sequence(F.floor((F.least("ax", "bx") - reach) / cell), F.floor((F.greatest("ax", "bx") + reach) / cell))
+    seg = seg.withColumn("_cx", F.explode(column))
+    slope = F.when(F.abs(F.col("bx") - F.col("ax")) > 1e-9, (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    left, right = (F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx")) for x in (F.col("_cx") * cell - reach, (F.col("_cx") + 1) * cell + reach))
+    at = lambda x: F.coalesce(F.col("ay") + (x - F.col("ax")) * slope, F.col("ay"))
+    low = F.when(slope.isNull(), F.least("ay", "by")).otherwise(F.least(at(left), at(right)))
+    high = F.when(slope.isNull(), F.greatest("ay", "by")).otherwise(F.greatest(at(left), at(right)))
+    posted = seg.withColumn("_cy", F.explode(F.sequence(F.floor((low - reach) / cell), F.floor((high + reach) / cell))))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    own = df.where(finite("x") & finite("y") & finite("heading")).select(scene, entity, order, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "heading")])
+    own = own.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
+    j = own.join(posted, [scene, "_cx", "_cy"])
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    n = dx * dx + dy * dy
+    t = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n))).otherwise(0.0)
+    away = F.hypot(F.col("x") - (F.col("ax") + t * dx), F.col("y") - (F.col("ay") + t * dy))
+    near = j.withColumn("d", away).where(F.col("d") <= reach)
+    best = near.groupBy(scene, entity, order, "lane").agg(F.min(F.struct("d", "i", F.atan2(dy, dx).alias("direction"), "heading")).alias("b"))
+    off = F.abs(g.wrap(F.col("b.heading") - F.col("b.direction")))
+    fit = best.withColumn("_off", off).where(F.col("_off") <= turn).select(scene, entity, order, "lane", (F.col("b.d") + 3.0 * F.col("_off")).alias("cost"))
+    fit = fit.withColumn("_r", F.row_number().over(Window.partitionBy(scene, entity, order).orderBy("cost", "lane"))).where(F.col("_r") <= top)
+    named = fit.join(lanes.select(scene, "lane", "next", "beside"), [scene, "lane"])
+    return named.groupBy(scene, entity, order).agg(F.sort_array(F.collect_list(F.struct("cost", "lane", "next", "beside"))).alias("candidates"))
+
+
+def matched_lanes(df: DataFrame, lanes: DataFrame, scene: str, entity: str, order: str, **near) -> DataFrame:
+    """(scene, entity, order, lane): Viterbi matching of each entity to the lanes of its scene; null where no lane is near.
+
+    ``lanes``: (scene, lane, points, next array, beside array). Candidates come from a join (``lane_candidates``); the dynamic program
+    runs over one track at a time, and its topology is what its few candidates name.
     """
-    def run(pdf: pd.DataFrame, ldf: pd.DataFrame) -> pd.DataFrame:
-        shape = {r.lane: np.array([[p["x"], p["y"]] for p in r.points], dtype=float) for r in ldf.itertuples()}
-        follows = {(r.lane, n) for r in ldf.itertuples() for n in r.next}
-        beside = {(r.lane, n) for r in ldf.itertuples() for n in r.beside}
-        out = []
-        for name, part in pdf.groupby(entity, sort=True):
-            part = part.sort_values(order)
-            found = k.match_lanes(part.x, part.y, part.heading, shape, follows, beside)
-            out.append(pd.DataFrame({scene: part[scene], entity: name, order: part[order], "lane": found}))
-        return pd.concat(out) if out else pd.DataFrame({scene: [], entity: [], order: [], "lane": []})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        follows, beside, cands = set(), set(), []
+        for frame in pdf.candidates:
+            frame = [] if frame is None else frame
+            cands.append([(c["cost"], c["lane"]) for c in frame])
+            for c in frame:
+                follows.update((c["lane"], n) for n in c["next"] if n is not None)
+                beside.update((c["lane"], n) for n in c["beside"] if n is not None)
+        found = k.choose_lanes(cands, lambda a, b: k.transition_cost(a, b, (a, b) in follows, (a, b) in beside or (b, a) in beside))
+        return pd.DataFrame({scene: pdf[scene], entity: pdf[entity], order: pdf[order], "lane": found})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.groupBy(scene).cogroup(lanes.groupBy(scene)).applyInPandas(run, f"{scene} {kinds[scene]}, {entity} {kinds[entity]}, {order} {kinds[order]}, lane string")
+    lane = lanes.schema["lane"].dataType.simpleString()
+    keys = [scene, entity, order]
+    return df.select(*keys).join(lane_candidates(df, lanes, scene, entity, order, **near), keys, "left").groupBy(scene, entity).applyInPandas(run, f"{scene} {kinds[scene]}, {entity} {kinds[entity]}, {order} {kinds[order]}, lane {lane}")
 
 
 @pandas_udf(T.DoubleType())

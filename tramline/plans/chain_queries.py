@@ -8,6 +8,7 @@ from tramline.operators import facts as ft
 from tramline.operators import frames as fr
 from tramline.operators import lane_chain as lc
 from tramline.operators import pair_timeline as pt
+from tramline.operators import track_quality as tq
 
 from .registry import query
 from .surrogates import STATES, states
@@ -176,3 +177,43 @@ def _(spark, d):
         F.col("a_before.relative_position").alias("before_position"), F.col("a_after.relative_position").alias("after_position"), "a_changed_lane", "b_maintained_lane", "a_entered_b_lane", "a_behind_to_ahead", "b_speed_reduced",
         F.round("b_speed_before", 6).alias("b_speed_before"), "b_speed_min", kind.alias("kind"),
     )
+
+
+_QUALITY = f"""WITH {STATES},
+s AS (SELECT agent, frame, event_id % 13 <> 0 AND event_id % 29 > 6 AS valid, frame * 0.125::DOUBLE AS time, x::DOUBLE AS x, y::DOUBLE AS y, (4 + (event_id % 3) * 0.25 + CASE WHEN event_id % 31 = 0 THEN 5 ELSE 0 END)::DOUBLE AS vx,
+    ((event_id % 5) * 0.25)::DOUBLE AS vy, CASE WHEN event_id % 61 <> 0 THEN yaw END::DOUBLE AS yaw FROM states),
+v AS (SELECT *, yaw IS NOT NULL AS finite, frame - lag(frame) OVER w - 1 AS gap, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(vx) OVER w AS pvx, lag(vy) OVER w AS pvy, lag(yaw) OVER w AS pyaw, time - lag(time) OVER w AS dt
+  FROM s WHERE valid WINDOW w AS (PARTITION BY agent ORDER BY frame)),
+d AS (SELECT *, gap = 0 AND finite AND pyaw IS NOT NULL AS checked, sqrt(vx * vx + vy * vy) AS v1, sqrt(pvx * pvx + pvy * pvy) AS v0, sqrt((x - px) ** 2 + (y - py) ** 2) AS step, (vx + pvx) / 2 AS mx, (vy + pvy) / 2 AS my FROM v),
+r AS (SELECT *, abs(degrees(atan2(sin(yaw - pyaw), cos(yaw - pyaw)))) AS turned, abs(v1 - v0) / dt AS rate, abs(step - (v0 + v1) / 2 * dt) AS error, (v0 + v1) / 2 * dt AS expected, sqrt(mx * mx + my * my) AS mean, (x - px) * mx + (y - py) * my AS along FROM d),
+e AS (SELECT agent, frame, unnest(list_filter([CASE WHEN NOT finite THEN 'nonfinite_state' END, CASE WHEN gap > 5 THEN 'long_validity_gap' END, CASE WHEN checked AND turned >= 30 THEN 'heading_jump' END,
+    CASE WHEN checked AND error >= greatest(2, 0.75 * expected) THEN 'position_velocity_mismatch' END,
+    CASE WHEN checked AND step >= 0.2 AND mean >= 0.5 AND degrees(acos(greatest(-1, least(1, along / (step * mean))))) >= 60 THEN 'position_velocity_direction_mismatch' END, CASE WHEN checked AND rate >= 8 THEN 'velocity_jump' END], lambda k: k IS NOT NULL)) AS kind, rate FROM r),
+n AS (SELECT *, kind = 'velocity_jump' AND frame - lag(frame) OVER (PARTITION BY agent, kind ORDER BY frame) <= 5 AS again FROM e),
+g AS (SELECT agent, count(*) FILTER (kind = 'nonfinite_state') AS nonfinite_state, count(*) FILTER (kind = 'long_validity_gap') AS long_validity_gap, count(*) FILTER (kind = 'heading_jump') AS heading_jump,
+    count(*) FILTER (kind = 'position_velocity_mismatch') AS position_velocity_mismatch, count(*) FILTER (kind = 'position_velocity_direction_mismatch') AS position_velocity_direction_mismatch, count(*) FILTER (kind = 'velocity_jump') AS velocity_jump,
+    coalesce(bool_or(again), false) OR bool_or(kind = 'velocity_jump' AND rate >= 30) OR bool_or(kind <> 'velocity_jump') AS bad FROM n GROUP BY agent),
+b AS (SELECT agent, count(*) AS valid_frames, count(*) FILTER (checked) AS checked_pairs FROM r GROUP BY agent)"""
+
+
+def _quality_states(spark, d):
+    i = F.col("event_id")
+    return states(spark, d).select(
+        "agent", "frame", ((i % 13 != 0) & (i % 29 > 6)).alias("valid"), (F.col("frame") * 0.125).alias("time"), "x", "y", (4 + (i % 3) * 0.25 + F.when(i % 31 == 0, 5).otherwise(0)).alias("vx"), ((i % 5) * 0.25).alias("vy"), F.when(i % 61 != 0, F.col("yaw")).alias("yaw")
+    )
+
+
+@query(
+    "fct_02_track_quality",
+    _QUALITY + """ SELECT a.agent, CASE WHEN bad THEN 'suspicious' WHEN velocity_jump > 0 THEN 'warning' ELSE 'clean' END AS status, coalesce(valid_frames, 0) AS valid_frames, coalesce(checked_pairs, 0) AS checked_pairs,
+    coalesce(nonfinite_state, 0) AS nonfinite_state, coalesce(long_validity_gap, 0) AS long_validity_gap, coalesce(heading_jump, 0) AS heading_jump, coalesce(position_velocity_mismatch, 0) AS position_velocity_mismatch,
+    coalesce(position_velocity_direction_mismatch, 0) AS position_velocity_direction_mismatch, coalesce(velocity_jump, 0) AS velocity_jump, CASE WHEN bad THEN 0 ELSE coalesce(velocity_jump, 0) END AS warnings
+    FROM (SELECT DISTINCT agent FROM states) a LEFT JOIN b ON b.agent = a.agent LEFT JOIN g ON g.agent = a.agent""",
+)
+def _(spark, d):
+    return tq.track_quality(_quality_states(spark, d), A)
+
+
+@query("fct_02_quality_events", _QUALITY + " SELECT kind AS type, frame // 10 AS tenth, count(*) AS n FROM e GROUP BY ALL")
+def _(spark, d):
+    return tq.quality_events(_quality_states(spark, d), A).groupBy("type", F.floor(F.col("frame") / 10).alias("tenth")).agg(F.count("*").alias("n"))

@@ -22,16 +22,6 @@ def _(spark, d):
     return states(spark, d).groupBy("agent").agg(F.count("*").alias("frames"), F.count_if("valid").alias("valid_frames")).withColumn("is_ego", F.col("agent") % 10 == 0)
 
 
-@query(
-    "fct_02_track_quality",
-    f"""WITH {STATES}, v AS (SELECT *, frame - lag(frame) OVER w AS gap, abs(cos(yaw - lag(yaw) OVER w)) < cos(pi() / 6) AS turned, abs(x - lag(x) OVER w) AS jump FROM states WHERE valid WINDOW w AS (PARTITION BY agent ORDER BY frame)),
-    q AS (SELECT agent, count(*) FILTER (WHERE gap > 5) AS gaps, count(*) FILTER (WHERE gap = 1 AND turned) AS turns, count(*) FILTER (WHERE gap = 1 AND jump > 1.75) AS jumps FROM v GROUP BY agent)
-    SELECT agent, gaps, turns, jumps, CASE WHEN gaps > 0 OR jumps > 3 THEN 'suspicious' WHEN turns + jumps > 0 THEN 'warning' ELSE 'ok' END AS status FROM q""",
-)
-def _(spark, d):
-    return ft.track_quality(states(spark, d).where("valid"), A, "frame", "x", "yaw")
-
-
 @query("fct_10_frame_relation", f"WITH {STATES}, r AS (SELECT a.agent, a.frame, b.x - a.x AS lo, b.y - a.y AS la FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1) SELECT agent, frame, CASE WHEN abs(la) <= 0.5 THEN 'same_channel' WHEN abs(la) <= 0.75 THEN 'adjacent' ELSE 'apart' END AS channel, CASE WHEN lo > 1 THEN 'ahead' WHEN lo < -1 THEN 'behind' ELSE 'alongside' END AS position FROM r")
 def _(spark, d):
     s = states(spark, d).select("agent", "frame", "x", "y")
@@ -80,10 +70,10 @@ def _(spark, d):
     return everyone.join(v, "agent", "left").select("agent", F.when(F.coalesce("n", F.lit(0)) < 2, "insufficient_data").otherwise("ok").alias("status"), "top")
 
 
-@query("fct_17_time_to_conflict", "SELECT l_orderkey, l_linenumber, round(abs(l_quantity / (l_linenumber + 1) - l_tax * 100 / (l_linenumber + 2)), 6) AS delta, CASE WHEN l_linenumber % 2 = 0 THEN round(l_quantity / 10 - l_tax * 10, 6) END AS pet FROM lineitem")
+@query("fct_17_time_to_conflict", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 AND l_linenumber % 3 > 0 THEN round(abs(l_quantity / (l_linenumber - 1) - l_tax * 100 / (l_linenumber % 3)), 6) ELSE 100.0::DOUBLE END AS delta, CASE WHEN l_linenumber % 2 = 0 THEN round(l_quantity / 10 - l_tax * 10, 6) END AS pet FROM lineitem")
 def _(spark, d):
     n = F.col("l_linenumber")
-    delta = ft.delta_time(F.col("l_quantity"), n + 1, F.col("l_tax") * 100, n + 2)
+    delta = ft.delta_time(F.col("l_quantity"), n - 1, F.col("l_tax") * 100, n % 3)  # agents that stand are among them
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(delta, 6).alias("delta"), F.when(n % 2 == 0, F.round(F.col("l_quantity") / 10 - F.col("l_tax") * 10, 6)).alias("pet"))
 
 
