@@ -43,11 +43,17 @@ _PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 _KEY = ["level", "g1", "g2"]
 
 
+def _paired(hashes: Column, apart: int) -> Column:
+    """Hashes of each element and the one ``apart`` places on, as far as there is one."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + apart), n), lambda x, y: F.xxhash64(x, y))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x0..x4).
 
     Null texts have no words, and null languages and sources are ''. Windows of eight words are told apart by 64-bit hashes of
-    their words' hashes. The vector is defined for texts with words.
+    their halves' hashes. The vector is defined for texts with words.
     """
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("t"))
@@ -57,11 +63,12 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"), F.size("lines").alias("_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h"),
     )
-    last = F.size("_h") - (WINDOW - 1)
-    windows = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    hashed = counted.withColumn("_w", windows).drop("_h")
+    hashed = counted
+    for width in (1, 2, 4):  # hashes of two words, then of four, then of eight
+        hashed = hashed.withColumn("_h", _paired(F.col("_h"), width))
+    hashed = hashed.withColumnRenamed("_h", "_w")
     told = hashed.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
-    again = F.filter("_s", lambda s, i: F.coalesce(F.get(F.col("_s.h"), i - 1) == s["h"], F.lit(False)) | F.coalesce(F.get(F.col("_s.h"), i + 1) == s["h"], F.lit(False)))
+    again = F.filter("_s", lambda s, i: F.coalesce(F.get("_s", i - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("_s", i + 1)["h"] == s["h"], F.lit(False)))
     at = told.drop("_w").withColumn("_p", F.sort_array(F.transform(again, lambda s: s["p"]))).drop("_s")
     spans = F.transform("_p", lambda p, i: F.least(F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
     n_repeat = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s), F.lit(0)).cast("long")
