@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions import wording
-from tramline.operators import grounding
+from tramline.operators import grounding, validation
 
 from .registry import query, table
 from .surrogates import INTERVALS, intervals
@@ -81,3 +81,49 @@ def _(spark, d):
     segments = i.where("interval_id % 2 = 1").select("record", n.alias("segment"), "start_frame", "end_frame", F.concat(_pick(PARTS, n), F.lit(" and "), _pick(PARTS, c)).alias("description"))
     episodes = i.where("interval_id % 2 = 0").select("record", n.alias("episode"), _pick(KINDS, n).alias("type"), F.when(n % 50 != 0, F.col("start_frame")).alias("start_frame"), "end_frame")
     return grounding.ground(segments, episodes, ["record"])
+
+
+_ROLE = '{"speed_change": {}, "lateral_motion_evidence": [], "heading_motion": {' + ", ".join(f'"{k}": 0' for k in validation.HEADING_MOTION) + '}, "route_transition": {"transitions": [{"transition_frame": 1, ' + ", ".join(f'"{k}": null' for k in validation.TRANSITION) + "}], " + ", ".join(f'"{k}": null' for k in validation.ROUTE_TRANSITION if k != "transitions") + "}}"
+_OBJECT = lambda keys: "{" + ", ".join(f'"{k}": null' for k in keys) + "}"
+#: A valid record; ORDER and CUSTOMER stand for the two agents.
+_RECORD = (
+    '{"schema_version": "pair_physical_facts_v1", "pair": {"agent_A": {"id": ORDER, "object_type": 1, "is_object_of_interest": true}, "agent_B": {"id": CUSTOMER, "object_type": 1, "is_object_of_interest": true}}, "physical_facts": {"agent_A": '
+    + _ROLE + ', "agent_B": ' + _ROLE + ', "pair_relation": {"common_valid_frame_count": 1, "travel_channel": {}, "longitudinal": {}, "per_frame": [' + _OBJECT(validation.FRAME)
+    + ']}, "pair_geometry": {"heading_relation": {"status": "s", "dominant": "d", "frame_counts": {}, "runs": [], "heading_difference_summary_deg": ' + _OBJECT(validation.SUMMARY)
+    + '}, "closest_approach": {"status": "none"}, "distance_evolution": {"status": "s", "overall": "o"}, "path_geometry": ' + _OBJECT(validation.PATH_GEOMETRY)
+    + '}, "map_context": {"near_intersection": null, "nearby_crosswalk": null, "nearby_stop_sign": null, "nearby_traffic_signal": null, "intersection_evidence": ' + _OBJECT(validation.INTERSECTION) + "}}}"
+)
+#: (every n-th order, text to change, text in its place, the errors that this gives)
+_DAMAGE = (
+    (5, '_facts_v1"', '_facts_v2"', ["schema_version='pair_physical_facts_v2'"]),
+    (7, '"id": CUSTOMER', '"id": -1', ["pair.agent_B.id mismatch"]),
+    (11, '"speed_change": {}', '"speed": {}', ["missing physical_facts.agent_A.speed_change", "missing physical_facts.agent_B.speed_change"]),
+    (13, '{"transition_frame": 1', '{"frame": 1', [f"missing physical_facts.{a}.route_transition.transitions[0].transition_frame" for a in ("agent_A", "agent_B")]),
+    (17, '"runs": []', '"runs": {}', ["pair_geometry.heading_relation.runs is not a list"]),
+    (19, '"status": "none"', '"status": "available", "frame": 3', ["missing pair_geometry.closest_approach.distance_m"]),
+    (23, '"lane_graph_branching": null, ', "", ["missing physical_facts.map_context.intersection_evidence.lane_graph_branching"]),
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_WANTED = " || ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN {_quoted(''.join(e + ';' for e in errors))} ELSE '' END" for n, _, _, errors in _DAMAGE)
+
+
+@query(
+    "prj_18_structural_validator",
+    # a record's errors come part by part: version, identities, agent_A, agent_B, the pair; so those of both agents are put in order by agent
+    f"""WITH w AS (SELECT o_orderkey, string_split({_WANTED}, ';') AS e FROM orders),
+    k AS (SELECT o_orderkey, list_filter(e, lambda x: x <> '') AS e FROM w),
+    s AS (SELECT o_orderkey, list_concat(list_filter(e, lambda x: starts_with(x, 'schema')), list_filter(e, lambda x: contains(x, 'agent_A')), list_filter(e, lambda x: contains(x, 'agent_B')), list_filter(e, lambda x: NOT starts_with(x, 'schema') AND NOT contains(x, 'agent_'))) AS e FROM k)
+    SELECT o_orderkey, len(e) = 0 AS valid, len(e) AS error_count, array_to_string(e, ';') AS errors FROM s""",
+)
+def _(spark, d):
+    text = F.replace(F.lit(_RECORD), F.lit("ORDER"), F.col("o_orderkey").cast("string"))
+    for n, old, new, _ in _DAMAGE:
+        text = F.when(F.col("o_orderkey") % n == 0, F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.replace(text, F.lit("CUSTOMER"), F.col("o_custkey").cast("string")).alias("text"))
+    e = o.select("o_orderkey", validation.pair_facts_errors(F.col("text"), F.col("o_orderkey"), F.col("o_custkey")).alias("e"))
+    return e.select("o_orderkey", (F.size("e") == 0).alias("valid"), F.size("e").cast("long").alias("error_count"), F.array_join("e", ";").alias("errors"))

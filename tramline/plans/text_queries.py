@@ -121,15 +121,6 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.safe_name(F.concat("p_name", F.lit(" / "), "p_type")).alias("file"))
 
 
-@query(
-    "prj_18_structural_validator",
-    "SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount > 0.09 THEN 'discount' END, CASE WHEN l_tax = 0 THEN 'tax' END], lambda x: x IS NOT NULL), ',') AS errors FROM lineitem",
-)
-def _(spark, d):
-    rules = F.array(F.when(F.col("l_quantity") > 45, F.lit("quantity")), F.when(F.col("l_discount") > 0.09, F.lit("discount")), F.when(F.col("l_tax") == 0, F.lit("tax")))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(F.filter(rules, lambda x: x.isNotNull()), ",").alias("errors"))
-
-
 @query(
     "prj_19_record_validator",
     "WITH t AS (SELECT conv_id, count(*) AS n, min(turn) AS lo, max(turn) AS hi, list(DISTINCT role ORDER BY role) AS roles FROM conversations GROUP BY 1) SELECT conv_id, n = hi - lo + 1 AND lo = 0 AS dense, len(list_filter(roles, lambda r: r NOT IN ('user', 'assistant', 'system'))) AS strange FROM t",
