@@ -103,7 +103,8 @@ def test_small_tables(spark, rows):
     assert quality.judge(cases.documents(spark, rows)).count() == len(rows)
 
 
-def test_null_languages_and_sources(spark):
+def test_null_languages_and_sources_with_parted_keys(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SMALL", 0)
     rng = random.Random(2)
     text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(99)) for _ in range(rng.randrange(30, 300)))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("x0", T.StringType()), T.StructField("level", T.StringType())])

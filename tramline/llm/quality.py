@@ -37,6 +37,9 @@ STEPS = 7
 #: Bins of a distance's logarithm to base two, and of a coordinate.
 DISTANCE_BINS = 16
 VALUE_BINS = 64
+#: Rows of an estimate that are broadcast at most, and the parts of a key beyond that.
+SMALL = 20_000
+SALTS = 64
 
 _X = [f"x{i}" for i in range(DIM)]
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
@@ -87,6 +90,17 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.select(*_X, F.explode(F.array(*[F.struct(F.lit(k).alias("level"), a.alias("g1"), b.alias("g2")) for k, a, b in keys])).alias("_k")).select("_k.*", *_X)
 
 
+def _with_estimates(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined with their key's rows of the written ``table``, never dealt out by the key alone, as one key has all rows.
+
+    A table of up to SMALL rows (a few hundred bytes each) is broadcast; of a larger one each row is repeated for SALTS parts of its key.
+    """
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), _KEY)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("x0", "x1"), F.lit(SALTS)).cast("int")).join(salted, [*_KEY, "_salt"]).drop("_salt")
+
+
 def _quartiles(rows: DataFrame) -> DataFrame:
     """(key, c0.., s0..): the median of each coordinate and its spread by the quartiles, from counts by bins of equal width."""
     cells = rows.select(*_KEY, F.posexplode(F.array(*[F.floor(F.col(x) * VALUE_BINS) for x in _X])).alias("i", "bin"))
@@ -126,7 +140,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     q = materialize(_quartiles(rows), "quartiles")
     centre = [f"c{i}" for i in range(DIM)]
     plain = q.selectExpr(*_KEY, "0 AS start", *centre, *[f"{f's{i} * s{i}' if i == j else '0D'} AS a{i}{j}" for i, j in _PAIRS])
-    z = rows.join(q, _KEY).selectExpr(*_KEY, *[f"(x{i} - c{i}) / s{i} AS z{i}" for i in range(DIM)])
+    z = _with_estimates(rows, q).selectExpr(*_KEY, *[f"(x{i} - c{i}) / s{i} AS z{i}" for i in range(DIM)])
     unit = z.withColumn("_r", F.expr("greatest(1e-12D, " + " + ".join(f"z{i} * z{i}" for i in range(DIM)) + ")"))
     signs = unit.groupBy(*_KEY).agg(*[F.expr(f"avg(z{i} * z{j} / _r) AS d{i}{j}") for i, j in _PAIRS])
     sign = q.join(signs, _KEY).selectExpr(*_KEY, "1 AS start", *centre, *[f"{DIM} * d{i}{j} * s{i} * s{j} + {RESOLUTION[i] ** 2 if i == j else 0.0}D AS a{i}{j}" for i, j in _PAIRS])
@@ -136,7 +150,7 @@ def _starts(rows: DataFrame) -> DataFrame:
 def _moments(rows: DataFrame, params: DataFrame) -> DataFrame:
     """(key, start, n, c0.., a_ij): mean and covariance of the half of a key's rows that is nearest by ``params``."""
     bins = F.floor(F.log2(F.greatest(squared_distance(), F.lit(0.0)) + 1e-9) * (DISTANCE_BINS / 2))
-    d = rows.join(params, _KEY).select(*_KEY, "start", bins.alias("bin"), *_X)
+    d = _with_estimates(rows, params).select(*_KEY, "start", bins.alias("bin"), *_X)
     sums = ["count(*) AS n", *[f"sum(x{i}) AS m{i}" for i in range(DIM)], *[f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in _PAIRS]]
     b = d.groupBy(*_KEY, "start", "bin").agg(*map(F.expr, sums))
     w = Window.partitionBy(*_KEY, "start")
