@@ -56,7 +56,7 @@ def test_sessions_and_late_rows(spark, tmp_path):
 def test_reviews_dedupe(spark, tmp_path):
     rows = [("k1", at(0), "a"), ("k1", at(1), "b"), ("k2", at(2), "c")]
     s = stream(spark, tmp_path, "r", rows, "key string, ts timestamp, v string")
-    assert drain(spark, streams.latest_reviews(s, "ts", ["key"]), "append", "reviews").count() == 2
+    assert drain(spark, streams.first_reviews(s, "ts", ["key"]), "append", "reviews").count() == 2
 
 
 def test_pair_join(spark, tmp_path):
@@ -69,11 +69,25 @@ def test_pair_join(spark, tmp_path):
 
 def test_debounce_equals_batch_fold(spark, tmp_path):
     lanes = [1, 1, 2, 1, 1, 2, 2, 2, None, None, 3, None, None, None, 3, 3, 3, 3]
-    rows = [(k, i, v) for k in (5, 6) for i, v in enumerate(lanes if k == 5 else lanes[::-1])]
-    df = spark.createDataFrame(rows, "agent long, frame long, lane long")
+    rows = [(k, i, v, at(i)) for k in (5, 6) for i, v in enumerate(lanes if k == 5 else lanes[::-1])]
+    df = spark.createDataFrame(rows, "agent long, frame long, lane long, ts timestamp")
     want = df.groupBy("agent").agg(fr.debounced(F.col("lane"), ["agent"], "frame", 3).alias("o")).select("agent", F.posexplode("o").alias("frame", "confirmed"))
-    s = stream(spark, tmp_path, "d", rows, "agent long, frame long, lane long")
-    got = drain(spark, streams.debounced(s, "agent", "frame", "lane", 3), "append", "debounced")
+    s = stream(spark, tmp_path, "d", rows, "agent long, frame long, lane long, ts timestamp")
+    got = drain(spark, streams.debounced(s, "agent", "frame", "lane", 3, "ts"), "append", "debounced")
     key = lambda r: tuple(-9 if v is None else v for v in r)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert [r["confirmed"] for r in want.where("agent = 5").orderBy("frame").collect()][:8] == [1, 1, 1, 1, 1, 1, 1, 2]
+
+
+def test_debounce_forgets_idle_keys(spark, tmp_path):
+    """Forty keys, one after the other, an hour apart: with a timer of two hours a few are held at a time; a key that comes back begins anew."""
+    rows = [(k, f, v, at(3600 * k + f)) for k in range(40) for f, v in enumerate([1, 1, 2])] + [(0, 3, 2, at(3600 * 60)), (99, 0, 1, at(3600 * 90))]
+    s = stream(spark, tmp_path, "idle", rows, "agent long, frame long, lane long, ts timestamp", 20)
+    df = streams.debounced(s, "agent", "frame", "lane", 3, "ts", "1 minute", "2 hours")
+    q = df.writeStream.format("memory").queryName("idle_keys").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    held = [int(p["stateOperators"][0]["numRowsTotal"]) for p in q.recentProgress if p["stateOperators"]]
+    assert held and max(held) < 20 and held[-1] <= 2
+    got = {(r.agent, r.frame): r.confirmed for r in spark.table("idle_keys").collect()}
+    assert len(got) == len(rows) and got[1, 2] == 1 and got[0, 3] == 2  # without the timer, 1 would stand yet

@@ -182,7 +182,7 @@ def deduped_segments(df: DataFrame, key: str, order: str) -> DataFrame:
 def generated(rows: DataFrame, client, schema: str, tries: int = 3, wait: float = 3.0) -> DataFrame:
     """Rows through a remote model: ``client()`` makes a callable per task, tried ``tries`` times with growing waits.
 
-    ``client`` is injected, so nothing here opens a connection. A row that fails every time gets status 'failed'.
+    ``client`` is injected, so nothing here opens a connection, and is told the number of the attempt. A row that fails every time gets status 'failed'.
     """
     import time
 
@@ -193,7 +193,7 @@ def generated(rows: DataFrame, client, schema: str, tries: int = 3, wait: float
             for row in pdf.to_dict("records"):
                 for attempt in range(1, tries + 1):
                     try:
-                        out.append({**row, "answer": call(row), "status": "ok", "attempts": attempt})
+                        out.append({**row, "answer": call({**row, "attempt": attempt}), "status": "ok", "attempts": attempt})
                         break
                     except Exception:
                         if attempt == tries:

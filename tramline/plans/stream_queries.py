@@ -35,12 +35,12 @@ def run_to_end(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFra
     SELECT user_id, event_id, cur AS confirmed FROM r""",
 )
 def _(spark, d):
-    return run_to_end(spark, d, lambda e: streams.debounced(e.select("user_id", "event_id", F.length("event_type").cast("long").alias("v")), "user_id", "event_id", "v", 3), "st_03")
+    return run_to_end(spark, d, lambda e: streams.debounced(e.select("user_id", "event_id", "ts", F.length("event_type").cast("long").alias("v")), "user_id", "event_id", "v", 3, "ts", idle="60 days"), "st_03")
 
 
 @query("st_04_first_of_key", "SELECT DISTINCT user_id, event_type FROM events")
 def _(spark, d):
-    return run_to_end(spark, d, lambda e: streams.latest_reviews(e, "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "st_04")
+    return run_to_end(spark, d, lambda e: streams.first_reviews(e, "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "st_04")
 
 
 @query(
@@ -67,12 +67,10 @@ def _(spark, d):
 
 
 def _unsteady() -> Callable[[dict], str]:
-    """A client that fails ``k % 4`` times for each row."""
-    seen: dict[int, int] = {}
+    """A client that fails ``k % 4`` times for each row, told by the attempt's number, so that a task that runs again sees the same."""
 
     def call(row: dict) -> str:
-        seen[row["k"]] = seen.get(row["k"], 0) + 1
-        if seen[row["k"]] <= row["k"] % 4:
+        if row["attempt"] <= row["k"] % 4:
             raise ConnectionError("busy")
         return row["name"].upper()
 

@@ -22,8 +22,8 @@ def session_episodes(events: DataFrame, time: str, keys: list[str], gap: str, la
     return events.withWatermark(time, late).groupBy(s, *keys).agg(F.count("*").alias("n")).select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def latest_reviews(reviews: DataFrame, time: str, key: list[str], late: str = "1 day") -> DataFrame:
-    """One row of each key within the watermark: the first that arrives."""
+def first_reviews(reviews: DataFrame, time: str, key: list[str], late: str = "1 day") -> DataFrame:
+    """One row of each key within the watermark: the first that arrives, whole."""
     return reviews.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
@@ -36,14 +36,20 @@ def frame_pairs(left: DataFrame, right: DataFrame, time: str, late: str = "1 min
     return j.select(a.scene, a.frame, F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("distance"))
 
 
-def debounced(states: DataFrame, key: str, order: str, value: str, dwell: int) -> DataFrame:
+def debounced(states: DataFrame, key: str, order: str, value: str, dwell: int, time: str, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
     """(key, order, confirmed): hysteresis as keyed state; the rows of a batch are taken in order.
 
-    The state is three numbers a key: the confirmed value, the candidate and how long it has stood.
+    The state is four numbers a key: the confirmed value, the candidate, how long it has stood and the last time. A key without a row for
+    ``idle`` behind the watermark is forgotten by an event-time timer, so the state holds the keys of that span only; what comes after begins
+    anew, like a first row. Rows behind the watermark are dropped.
     """
+    span = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, candidate, n = state.get if state.exists else (None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        current, candidate, n, last = state.get if state.exists else (None, None, 0, 0)
         started = state.exists
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
@@ -54,7 +60,10 @@ def debounced(states: DataFrame, key: str, order: str, value: str, dwell: int) -
             if not started or v == current or n >= dwell:
                 current, n, started = v, 0, True
             out.append(current)
-        state.update((current, candidate, n))
+        last = max(last, int(rows["_ms"].max()))
+        state.update((current, candidate, n, last))
+        state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), "confirmed": pd.array(out, dtype="Int64")})
 
-    return states.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, confirmed long", "cur long, cand long, n int", "append", GroupStateTimeout.NoTimeout)
+    timed = states.withWatermark(time, late).withColumn("_ms", F.unix_millis(time))
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, {order} long, confirmed long", "cur long, cand long, n int, last long", "append", GroupStateTimeout.EventTimeTimeout)
