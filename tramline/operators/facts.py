@@ -91,14 +91,6 @@ def strength(distance: Column, pet: Column, ttc: Column, near: tuple[float, floa
     return F.when((distance < near[0]) | (pet < soon[0]) | (ttc < ttc_strong), "strong").when((distance < near[1]) | (pet < soon[1]), "moderate").otherwise("weak")
 
 
-def select_facts(df: DataFrame, key: list[str], priority: str, order: list[str], per_class: int, budget: int) -> DataFrame:
-    """At most ``per_class`` facts of a priority and ``budget`` in all, by priority, then ``order``."""
-    c = Window.partitionBy(*key, priority).orderBy(*order)
-    k = Window.partitionBy(*key).orderBy(priority, *order)
-    kept = df.withColumn("_c", F.row_number().over(c)).where(F.col("_c") <= per_class)
-    return kept.withColumn("_k", F.row_number().over(k)).where(F.col("_k") <= budget).drop("_c", "_k")
-
-
 def window_of(start: Column, context: int, size: int, frames: int) -> tuple[Column, Column]:
     """A window of fixed size that begins ``context`` frames earlier; shifted, not shortened, at the ends."""
     first = F.greatest(F.lit(0), F.least(start - context, F.lit(frames - size)))

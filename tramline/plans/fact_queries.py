@@ -208,19 +208,6 @@ def _(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ft.strength(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), (5, 15), (0.01, 0.03), 0.01).alias("strength"))
 
 
-@query("fct_34_fact_selection", "WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS prio FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, prio ORDER BY l_linenumber) AS c, row_number() OVER (PARTITION BY l_orderkey ORDER BY prio, l_linenumber) AS k FROM p) SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY prio, l_linenumber) AS r FROM k WHERE c <= 2) WHERE r <= 3")
-def _(spark, d):
-    prio = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", prio.alias("prio"))
-    return ft.select_facts(li, ["l_orderkey"], "prio", ["l_linenumber"], per_class=2, budget=3).select("l_orderkey", "l_linenumber")
-
-
-@query("fct_35_caption", "SELECT o_orderkey, concat_ws(' ', 'Vehicle ' || o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'turned' ELSE 'kept its lane' END, CASE WHEN o_totalprice > 200000 THEN 'while yielding' END) || '.' AS caption FROM orders")
-def _(spark, d):
-    parts = F.concat_ws(" ", F.concat(F.lit("Vehicle "), F.col("o_custkey").cast("string")), F.when(F.col("o_orderstatus") == "F", "turned").otherwise("kept its lane"), F.when(F.col("o_totalprice") > 200000, "while yielding"))
-    return table(spark, d, "orders").select("o_orderkey", F.concat(parts, F.lit(".")).alias("caption"))
-
-
 @query("fct_36_stationary_gate", f"WITH {STATES}, m AS (SELECT agent, count(*) AS n, max(x) - min(x) AS span, max(y) - min(y) AS yspan FROM states WHERE valid GROUP BY agent) SELECT agent, CASE WHEN n < 5 THEN 'insufficient' WHEN span <= 1 AND yspan <= 1 THEN 'stationary' ELSE 'moving' END AS gate FROM m")
 def _(spark, d):
     m = states(spark, d).where("valid").groupBy("agent").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("span"), (F.max("y") - F.min("y")).alias("yspan"))

@@ -214,13 +214,6 @@ def _(spark, d):
     return s.select("agent", "frame", turn.alias("turn"))
 
 
-@query("fct_33_semantic_graph", "SELECT l_orderkey, l_linenumber, l_returnflag AS behavior, CASE WHEN l_linestatus = 'O' THEN l_tax END AS position FROM lineitem WHERE l_returnflag IN ('R', 'A')")
-def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag in ('R', 'A')")
-    node = F.struct(F.col("l_returnflag").alias("behavior"), F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("position"))
-    return li.select("l_orderkey", "l_linenumber", node.alias("node")).select("l_orderkey", "l_linenumber", "node.*")
-
-
 @query("fct_38_local_map_input", f"WITH {POLYLINES} SELECT line_id, count(*) AS n FROM points WHERE sqrt(x * x + y * y) <= 6 GROUP BY line_id HAVING count(*) >= 3")
 def _(spark, d):
     p = polylines(spark, d).withColumn("near", F.filter("points", lambda q: F.hypot(q["x"], q["y"]) <= 6)).where(F.size("near") >= 3)
