@@ -203,9 +203,3 @@ def generated(rows: DataFrame, client, schema: str, tries: int = 3, wait: float
             yield pd.DataFrame(out)
 
     return rows.mapInPandas(run, schema)
-
-
-def u_turn(net: Column, frames: Column, consistency: Column, edge_dot: Column, ratio: Column) -> Column:
-    """supported, partial or none, by the net turn in degrees and how steady it is."""
-    full = (F.abs(net) >= 135) & (frames >= 8) & (consistency >= 0.75) & (edge_dot <= -0.35) & (ratio >= 1.15)
-    return F.when(full, "supported").when(F.abs(net) >= 90, "partial").otherwise("none")

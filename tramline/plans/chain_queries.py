@@ -9,6 +9,7 @@ from tramline.operators import frames as fr
 from tramline.operators import lane_chain as lc
 from tramline.operators import pair_timeline as pt
 from tramline.operators import track_quality as tq
+from tramline.operators import u_turns as ut
 
 from .registry import query
 from .surrogates import STATES, states
@@ -217,3 +218,35 @@ def _(spark, d):
 @query("fct_02_quality_events", _QUALITY + " SELECT kind AS type, frame // 10 AS tenth, count(*) AS n FROM e GROUP BY ALL")
 def _(spark, d):
     return tq.quality_events(_quality_states(spark, d), A).groupBy("type", F.floor(F.col("frame") / 10).alias("tenth")).agg(F.count("*").alias("n"))
+
+
+_TURNS = f"""WITH {STATES},
+s AS (SELECT agent, frame, event_id % 41 <> 0 AS valid, (CASE WHEN frame < 30 THEN frame * 0.5 ELSE 30 - frame * 0.5 END + (event_id % 7) * 0.25)::DOUBLE AS x, ((event_id % 5) * 0.25)::DOUBLE AS y, (((frame * (agent % 5)) % 256) * 0.03125 - 4)::DOUBLE AS yaw FROM states),
+b AS (SELECT *, frame - row_number() OVER (PARTITION BY agent ORDER BY frame) AS island FROM s WHERE valid),
+r AS (SELECT agent, min(frame) AS f0, max(frame) AS f1, count(*) AS n FROM b GROUP BY agent, island HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY agent ORDER BY count(*) DESC, min(frame)) = 1),
+f AS (SELECT s.agent, s.frame - f0 AS i, x, y, yaw, n, f0, f1, yaw - lag(yaw) OVER w AS dy FROM s JOIN r ON s.agent = r.agent AND frame BETWEEN f0 AND f1 WINDOW w AS (PARTITION BY s.agent ORDER BY frame)),
+u AS (SELECT *, degrees(first_value(yaw) OVER w + sum(coalesce(((dy + pi()) - floor((dy + pi()) / (2 * pi())) * (2 * pi())) - pi(), 0)) OVER w) AS u FROM f WINDOW w AS (PARTITION BY agent ORDER BY i)),
+m AS (SELECT *, median(u) OVER (PARTITION BY agent ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM u),
+c AS (SELECT *, s - lag(s) OVER w AS inc, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step, least(5, greatest(1, (n - 1) // 3)) AS e, greatest(0, n - 1 - least(12, greatest(1, n - 1))) AS t FROM m WINDOW w AS (PARTITION BY agent ORDER BY i)),
+k AS (SELECT *, CASE WHEN inc >= 1 THEN 1 WHEN inc <= -1 THEN -1 ELSE 0 END AS sg FROM c),
+l AS (SELECT *, i - row_number() OVER (PARTITION BY agent, sg ORDER BY i) AS isle FROM k),
+len AS (SELECT agent, max(c) FILTER (sg > 0) AS ll, max(c) FILTER (sg < 0) AS lr FROM (SELECT agent, sg, count(*) AS c FROM l GROUP BY agent, sg, isle) GROUP BY agent),
+g AS (SELECT agent, f0, f1, max(u) FILTER (i = n - 1) - max(u) FILTER (i = 0) AS net, count(*) FILTER (sg > 0) AS nl, count(*) FILTER (sg < 0) AS nr, sum(step) AS path, max(x) FILTER (i = 0) AS x0, max(y) FILTER (i = 0) AS y0, max(x) FILTER (i = n - 1) AS x1, max(y) FILTER (i = n - 1) AS y1,
+    max(x) FILTER (i = e) AS xa, max(y) FILTER (i = e) AS ya, max(x) FILTER (i = n - 1 - e) AS xb, max(y) FILTER (i = n - 1 - e) AS yb, max(s) FILTER (i = n - 1) - max(s) FILTER (i = t) AS tail, avg(abs(sg)) FILTER (i > t) AS share FROM k GROUP BY agent, f0, f1),
+h AS (SELECT g.*, CASE WHEN nl >= nr THEN ll ELSE lr END AS longest, CASE WHEN nl + nr > 0 THEN greatest(nl, nr) / (nl + nr) ELSE 0 END AS cons, (nl >= nr) = (net > 0) AND nl + nr > 0 AS straight, sqrt((xa - x0) ** 2 + (ya - y0) ** 2) AS na, sqrt((x1 - xb) ** 2 + (y1 - yb) ** 2) AS nb,
+    sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) AS disp, f1 >= (SELECT max(frame) FROM s WHERE s.agent = g.agent AND valid) AS border FROM g JOIN len ON len.agent = g.agent),
+z AS (SELECT *, CASE WHEN na > 1e-6 AND nb > 1e-6 THEN ((xa - x0) * (x1 - xb) + (ya - y0) * (y1 - yb)) / (na * nb) END AS dot, CASE WHEN disp > 1e-6 THEN path / disp END AS ratio FROM h)"""
+
+
+@query(
+    "fct_06_u_turns",
+    _TURNS + """ SELECT agent, f0 AS start_frame, f1 AS end_frame, round(net, 3) AS heading_change, round(cons, 3) AS consistency, CAST(coalesce(longest, 0) AS BIGINT) AS longest_rotation, round(dot, 3) AS edge_dot, round(ratio, 3) AS path_ratio,
+    CASE WHEN abs(net) >= 135 AND nl + nr >= 8 AND cons >= 0.75 AND longest >= 8 AND straight AND coalesce(dot <= -0.35 AND ratio >= 1.15, false) THEN 'supported'
+      WHEN abs(net) >= 90 AND nl + nr >= 8 AND cons >= 0.7 AND longest >= 8 AND straight AND (coalesce(dot <= 0.55, false) OR coalesce(ratio >= 1.05, false)) AND border AND NOT (abs(tail) <= 8 AND coalesce(share, 0) <= 0.35) THEN 'partial_supported' ELSE 'not_supported' END AS status FROM z""",
+)
+def _(spark, d):
+    i, f = F.col("event_id"), F.col("frame")
+    x = F.when(f < 30, f * 0.5).otherwise(30 - f * 0.5) + (i % 7) * 0.25
+    s = states(spark, d).select("agent", "frame", (i % 41 != 0).alias("valid"), x.alias("x"), ((i % 5) * 0.25).alias("y"), (((f * (F.col("agent") % 5)) % 256) * 0.03125 - 4).alias("yaw"))
+    u = ut.u_turn_evidence(s, A).where("start_frame is not null")
+    return u.select("agent", "start_frame", "end_frame", "heading_change", "consistency", "longest_rotation", "edge_dot", "path_ratio", "status")

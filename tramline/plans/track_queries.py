@@ -188,12 +188,6 @@ def _(spark, d):
     return e.where("n >= 2 and moved >= 0.25").drop("run", "moved")
 
 
-@query("fct_06_u_turns", f"WITH {STATES}, t AS (SELECT agent, max(yaw) - min(yaw) AS net, count(*) AS n, sum(CASE WHEN ax > 1 THEN 1.0 ELSE 0 END) / count(*) AS steady FROM states GROUP BY agent) SELECT agent, CASE WHEN degrees(net) >= 135 AND n >= 8 AND steady >= 0.5 THEN 'supported' WHEN degrees(net) >= 90 THEN 'partial' ELSE 'none' END AS evidence FROM t")
-def _(spark, d):
-    t = states(spark, d).groupBy("agent").agg((F.max("yaw") - F.min("yaw")).alias("net"), F.count("*").alias("n"), F.avg(F.when(F.col("ax") > 1, 1.0).otherwise(0.0)).alias("steady"))
-    return t.select("agent", tracks.u_turn(F.degrees("net"), F.col("n"), F.col("steady") + 0.25, F.lit(-1.0), F.lit(2.0)).alias("evidence"))
-
-
 @query("fct_07_turn_gate", f"WITH {STATES}, t AS (SELECT agent, arg_max(yaw, frame) - arg_min(yaw, frame) AS net, arg_max(y, frame) - arg_min(y, frame) AS path FROM states WHERE valid GROUP BY agent) SELECT agent, CASE WHEN abs(degrees(net)) >= 25 AND abs(path) >= 0.25 AND sign(net) = sign(path) THEN CASE WHEN net > 0 THEN 'left' ELSE 'right' END ELSE 'none' END AS turn FROM t")
 def _(spark, d):
     f = F.col("frame")
