@@ -24,19 +24,6 @@ def test_rule_class_over_all_facts(spark):
         assert m == (["with_lane_change", *(["with_yielding"] if slowed else [])] if want == "overtake" else [])
 
 
-@pytest.mark.parametrize(
-    ("start", "to", "want"),
-    [("A", "B", "left"), ("B", "A", "right"), ("B", "C", "right"), ("C", "B", "left"), ("A", "C", None), ("A", "D", None), ("E", "F", None)],
-)
-def test_lane_change_needs_a_neighbour_that_is_no_successor(spark, start, to, want):
-    """A names B on its left, C names B on its left; D goes on from A though it is named a neighbour too; E and F know of nothing."""
-    lanes = spark.createDataFrame([("A", ["B", "D"], [], ["D"]), ("B", [], [], []), ("C", ["B"], None, []), ("D", [], [], []), ("E", None, None, None), ("F", [], [], [])], "lane_id string, left array<string>, right array<string>, connected array<string>")
-    rows = [(1, i, start, 0.0) for i in range(4)] + [(1, 4 + i, to, 2.0) for i in range(4)] + [(2, i, start, 0.0) for i in range(4)] + [(2, 4 + i, to, 0.1) for i in range(4)] + [(3, i, start, 0.0) for i in range(4)] + [(3, 40 + i, to, 2.0) for i in range(4)]
-    df = spark.createDataFrame(rows, "agent int, frame int, lane string, y double")
-    got = ft.lane_changes(df, lanes, ["agent"], "frame", "lane", "y", least=3, reach=4, shift=0.5).collect()
-    assert [tuple(r) for r in got] == ([] if want is None else [(1, start, to, 3, want)])
-
-
 def test_pair_wording(spark):
     yes = ["It follows closely", "it FOLLOWED", "yields", "yielded", "overtook it", "cuts  in", "cut in front", "merges with", "merge with", "interacts", "gives way", "give way", "near vehicle 12", "Vehicle  3"]
     no = ["passes on", "leads", "crosses", "merges", "cuts", "following", "vehicle 7 stops", "vehicle 07", "vehicles 3", ""]

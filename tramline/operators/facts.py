@@ -44,24 +44,6 @@ def adjacent_direction(from_lane: Column, to_lane: Column, left: Column, right:
     return F.when(holds(left, to_lane) | holds(to_right, from_lane), "left").when(holds(right, to_lane) | holds(to_left, from_lane), "right")
 
 
-def lane_changes(df: DataFrame, lanes: DataFrame, entity: list[str], order: str, lane: str, lateral: str, least: int, reach: int, shift: float) -> DataFrame:
-    """(entity, from_lane, to_lane, last_frame, direction): stable runs in a row on neighbouring lanes, with a lateral shift
-    between their means, at most ``reach`` frames apart.
-
-    ``lanes``: (lane_id, left, right, connected) with arrays of ids. A lane that goes on in the next one isn't changed.
-    """
-    s = fr.run_ids(df, entity, order, lane, gaps=True)
-    r = s.groupBy(*entity, "run", lane).agg(F.min(order).alias("s"), F.max(order).alias("e"), F.count("*").alias("n"), F.avg(lateral).alias("m")).where(F.col("n") >= least)
-    w = Window.partitionBy(*entity).orderBy("s")
-    r = r.withColumns({"to_lane": F.lead(lane).over(w), "ns": F.lead("s").over(w), "nm": F.lead("m").over(w)})
-    moved = (F.col("to_lane") != F.col(lane)) & (F.col("ns") - F.col("e") <= reach) & (F.abs(F.col("nm") - F.col("m")) >= shift)
-    of = lambda side: lanes.select(F.col("lane_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("left", "right", "connected")))
-    j = r.where(moved).join(of("a"), F.col(lane) == F.col("a_id")).join(of("b"), F.col("to_lane") == F.col("b_id"))
-    goes_on = F.coalesce(F.array_contains("a_connected", F.col("to_lane")), F.lit(False)) | F.coalesce(F.array_contains("b_connected", F.col(lane)), F.lit(False))
-    direction = adjacent_direction(F.col(lane), F.col("to_lane"), F.col("a_left"), F.col("a_right"), F.col("b_left"), F.col("b_right"))
-    return j.where(~goes_on).withColumn("direction", direction).where("direction is not null").select(*entity, F.col(lane).alias("from_lane"), "to_lane", F.col("e").alias("last_frame"), "direction")
-
-
 def interaction_kind(changers: Column, merging: Column, gap: Column, same_lane: Column) -> Column:
     return (
         F.when(changers > 1, "unknown").when((changers == 1) & merging, "merge").when((changers == 1) & gap, "cut_in").when(changers == 1, "lane_change").when(same_lane, "same_lane_interaction").otherwise("unknown")

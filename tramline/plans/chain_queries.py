@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tramline.operators import facts as ft
 from tramline.operators import frames as fr
 from tramline.operators import lane_chain as lc
+from tramline.operators import lane_change_events as lce
 from tramline.operators import pair_timeline as pt
 from tramline.operators import track_quality as tq
 from tramline.operators import u_turns as ut
@@ -250,3 +251,26 @@ def _(spark, d):
     s = states(spark, d).select("agent", "frame", (i % 41 != 0).alias("valid"), x.alias("x"), ((i % 5) * 0.25).alias("y"), (((f * (F.col("agent") % 5)) % 256) * 0.03125 - 4).alias("yaw"))
     u = ut.u_turn_evidence(s, A).where("start_frame is not null")
     return u.select("agent", "start_frame", "end_frame", "heading_change", "consistency", "longest_rotation", "edge_dot", "path_ratio", "status")
+
+
+@query(
+    "fct_23_lane_changes",
+    f"""WITH {STATES},
+    s AS (SELECT agent, frame, frame // 8 + CASE WHEN event_id % 43 = 0 THEN 1 ELSE 0 END AS lane, (0.5 + (event_id % 4) * 0.125)::DOUBLE AS conf, (abs(frame % 8 - 3.5) * 0.25 + (event_id % 4) * 0.125)::DOUBLE AS far FROM states WHERE event_id % 53 <> 0 AND event_id % 37 <> 0),
+    n AS (SELECT *, sum(new) OVER (PARTITION BY agent ORDER BY frame) AS run FROM (SELECT *, CASE WHEN lane IS DISTINCT FROM lag(lane) OVER w OR frame - lag(frame) OVER w > 1 THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY agent ORDER BY frame))),
+    k AS (SELECT *, row_number() OVER (PARTITION BY agent, run ORDER BY frame) AS h, row_number() OVER (PARTITION BY agent, run ORDER BY frame DESC) AS t FROM n),
+    r AS (SELECT agent, lane, min(frame) AS s, max(frame) AS e, count(*) AS n, arg_max(far, frame) FILTER (t <= 4) - arg_min(far, frame) FILTER (t <= 4) AS grew, arg_max(far, frame) FILTER (h <= 4) - arg_min(far, frame) FILTER (h <= 4) AS shrank,
+        sum(conf) FILTER (t <= 4) AS ct, sum(conf) FILTER (h <= 4) AS ch FROM k GROUP BY agent, run, lane HAVING count(*) >= 3),
+    p AS (SELECT *, lead(lane) OVER w AS to_lane, lead(s) OVER w AS ns, lead(n) OVER w AS nn, lead(shrank) OVER w AS nshrank, lead(ch) OVER w AS nch FROM r WINDOW w AS (PARTITION BY agent ORDER BY s))
+    SELECT agent, CAST(lane AS BIGINT) AS from_lane, CAST(to_lane AS BIGINT) AS to_lane, e - least(4, n) + 1 AS start_frame, ns AS transition_frame, ns + least(4, nn) - 1 AS end_frame, CASE WHEN lane % 4 < 2 THEN 'left' ELSE 'right' END AS direction,
+      round(0.4::DOUBLE * ((ct + nch) / (least(4, n) + least(4, nn))) + 0.2::DOUBLE * least(1, least(n, nn) / 5.0::DOUBLE) + 0.4::DOUBLE, 4) AS confidence
+    FROM p WHERE ns = e + 1 AND to_lane = lane + 1 AND lane % 6 <> 0 AND lane % 4 <> 3 AND grew >= 0.05 AND nshrank <= -0.05""",
+)
+def _(spark, d):
+    i, f = F.col("event_id"), F.col("frame")
+    far = F.abs(f % 8 - 3.5) * 0.25 + (i % 4) * 0.125
+    s = states(spark, d).select("agent", "frame", (i % 53 != 0).alias("valid"), (i % 37 != 0).alias("matched"), (F.floor(f / 8) + F.when(i % 43 == 0, 1).otherwise(0)).cast("long").alias("lane_id"), (0.5 + (i % 4) * 0.125).alias("confidence"), far.alias("centerline"), F.lit(None).cast("double").alias("offset"))
+    n = F.col("lane_id")
+    to = lambda c: F.when(c, F.array(n + 1)).otherwise(F.array().cast("array<bigint>"))
+    lanes = s.select("lane_id").distinct().select("lane_id", to(n % 4 < 2).alias("left"), to(n % 4 == 2).alias("right"), to(n % 6 == 0).alias("next"), to(F.lit(False)).alias("prev"))
+    return lce.lane_change_events(s, lanes, A).withColumn("confidence", F.round("confidence", 4))

@@ -96,26 +96,6 @@ def _(spark, d):
 _LANE_RUNS = f"WITH {STATES}, kept AS (SELECT * FROM states WHERE lane IS NOT NULL){_RUN.format(v='lane', gap='OR frame - lag(frame) OVER w > 1', src='kept')}, runs AS (SELECT agent, lane, min(frame) AS s, max(frame) AS e, count(*) AS n, avg(y) AS my FROM numbered GROUP BY agent, run, lane HAVING count(*) >= 3)"
 
 
-@query(
-    "fct_23_lane_changes",
-    # lanes 3k go on in 3k + 1; others one apart are neighbours, each pair named by its even lane: the next one left, the last right
-    _LANE_RUNS + """, t AS (SELECT *, lead(lane) OVER w AS next_lane, lead(s) OVER w AS next_s, lead(my) OVER w AS next_my FROM runs WINDOW w AS (PARTITION BY agent ORDER BY s)),
-      c AS (SELECT *, greatest(lane, next_lane) AS hi, least(lane, next_lane) AS lo FROM t WHERE next_lane <> lane AND next_s - e <= 4 AND abs(next_my - my) >= 0.05)
-    SELECT agent, lane AS from_lane, next_lane AS to_lane, e AS last_frame, CASE WHEN next_lane > lane THEN 'left' ELSE 'right' END AS direction FROM c WHERE hi - lo = 1 AND NOT lo % 3 = 0""",
-)
-def _(spark, d):
-    s = states(spark, d).where("lane is not null")
-    lane = F.col("lane_id")
-    none = F.array().cast("array<long>")
-    lanes = s.select(F.col("lane").cast("long").alias("lane_id")).distinct().select(
-        "lane_id",
-        F.when(lane % 2 == 0, F.array(lane + 1)).otherwise(none).alias("left"),
-        F.when(lane % 2 == 0, F.array(lane - 1)).otherwise(none).alias("right"),
-        F.when(lane % 3 == 0, F.array(lane + 1)).otherwise(none).alias("connected"),
-    )
-    return ft.lane_changes(s, lanes, A, "frame", "lane", "y", least=3, reach=4, shift=0.05)
-
-
 @query("fct_24_interaction_classifier", "WITH c AS (SELECT l_orderkey AS scene, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS changers, bool_or(l_linestatus = 'O') AS gap, bool_or(l_discount > 0.08) AS merging, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT scene, CASE WHEN changers > 1 THEN 'unknown' WHEN changers = 1 AND merging THEN 'merge' WHEN changers = 1 AND gap THEN 'cut_in' WHEN changers = 1 THEN 'lane_change' WHEN n = 1 THEN 'same_lane_interaction' ELSE 'unknown' END AS kind FROM c")
 def _(spark, d):
     c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg(
