@@ -119,23 +119,28 @@ def longest_run(df: DataFrame, entity: list[str], order: str, flag: str) -> Data
 def debounced(value: Column, entity: list[str], order: str, dwell: int) -> Column:
     """Hysteresis: a new value (null too) is taken over once it has stood for ``dwell`` frames. As an array by frame, in order.
 
-    A fold over the entity's own frames; use with ``groupBy(entity).agg(...)``.
+    A fold over the entity's own frames; use with ``groupBy(entity).agg(...)``. The fold keeps where the value changes, and the frames between
+    are filled afterwards, so its state doesn't grow with the frames.
     """
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"])
-    kind = "struct<cur:bigint,cand:bigint,n:int,started:boolean,out:array<bigint>>"
-    begin = F.from_json(F.lit('{"n":0,"started":false,"out":[]}'), kind)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda s: s["v"].cast("bigint"))
+    kind = "struct<cur:bigint,cand:bigint,n:int,i:int,out:array<struct<i:int,v:bigint>>>"
+    begin = F.from_json(F.lit('{"n":0,"i":0,"out":[]}'), kind)
 
     def step(acc: Column, v: Column) -> Column:
-        same = v.eqNullSafe(acc["cur"])
         n = F.when(v.eqNullSafe(acc["cand"]) & (acc["n"] > 0), acc["n"] + 1).otherwise(F.lit(1))
-        take = ~acc["started"] | same | (n >= dwell)
-        cur = F.when(take, v).otherwise(acc["cur"])
+        first = acc["i"] == 0
+        take = first | v.eqNullSafe(acc["cur"]) | (n >= dwell)
+        new = first | (take & ~v.eqNullSafe(acc["cur"]))
+        here = F.struct(acc["i"].alias("i"), v.alias("v"))
         return F.struct(
-            cur.cast("bigint").alias("cur"), v.cast("bigint").alias("cand"), F.when(take, F.lit(0)).otherwise(n).cast("int").alias("n"), F.lit(True).alias("started"),
-            F.concat(acc["out"], F.array(cur.cast("bigint"))).alias("out"),
+            F.when(take, v).otherwise(acc["cur"]).alias("cur"), v.alias("cand"), F.when(take, F.lit(0)).otherwise(n).cast("int").alias("n"), (acc["i"] + 1).alias("i"), F.when(new, F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(rows, begin, step)["out"]
+    def filled(acc: Column) -> Column:
+        length = lambda i: F.coalesce(F.get(acc["out"], i + 1)["i"], acc["i"]) - F.get(acc["out"], i)["i"]
+        return F.flatten(F.transform(acc["out"], lambda c, i: F.array_repeat(c["v"], length(i))))
+
+    return F.aggregate(rows, begin, step, filled)
 
 
 def switches(df: DataFrame, entity: list[str], order: str, value: str, dwell: int) -> DataFrame:

@@ -61,10 +61,18 @@ def _(spark, d):
     return states(spark, d).select("agent", "frame", fr.rolling_mode(F.col("lane"), A, "frame", 2).alias("lane_mode"))
 
 
-@query("win_09_hysteresis")
+@query(
+    "win_09_hysteresis",
+    f"""WITH RECURSIVE {STATES}, e AS (SELECT agent, frame, lane, row_number() OVER (PARTITION BY agent ORDER BY frame) AS k FROM states),
+    r AS (SELECT agent, frame, k, lane AS cand, lane AS cur, 0 AS n FROM e WHERE k = 1
+      UNION ALL
+      SELECT agent, frame, k, lane, CASE WHEN lane IS NOT DISTINCT FROM cur OR m >= 3 THEN lane ELSE cur END, CASE WHEN lane IS NOT DISTINCT FROM cur OR m >= 3 THEN 0 ELSE m END
+      FROM (SELECT e.agent, e.frame, e.k, e.lane, r.cur, CASE WHEN e.lane IS NOT DISTINCT FROM r.cand AND r.n > 0 THEN r.n + 1 ELSE 1 END AS m FROM r JOIN e ON e.agent = r.agent AND e.k = r.k + 1))
+    SELECT agent, CAST(k - 1 AS BIGINT) AS frame, cur AS confirmed FROM r""",
+)
 def _(spark, d):
     g = states(spark, d).groupBy("agent").agg(fr.debounced(F.col("lane"), A, "frame", 3).alias("out"))
-    return g.select("agent", F.posexplode("out").alias("frame", "confirmed"))
+    return g.select("agent", F.posexplode("out").alias("frame", "confirmed")).withColumn("frame", F.col("frame").cast("long"))
 
 
 @query(
