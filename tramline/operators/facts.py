@@ -44,12 +44,6 @@ def adjacent_direction(from_lane: Column, to_lane: Column, left: Column, right:
     return F.when(holds(left, to_lane) | holds(to_right, from_lane), "left").when(holds(right, to_lane) | holds(to_left, from_lane), "right")
 
 
-def interaction_kind(changers: Column, merging: Column, gap: Column, same_lane: Column) -> Column:
-    return (
-        F.when(changers > 1, "unknown").when((changers == 1) & merging, "merge").when((changers == 1) & gap, "cut_in").when(changers == 1, "lane_change").when(same_lane, "same_lane_interaction").otherwise("unknown")
-    )
-
-
 def passes(df: DataFrame, entity: list[str], order: str, side: str, least: int) -> DataFrame:
     """(entity, before_frame, after_frame): a stable run behind followed by a stable run ahead."""
     r = fr.runs(df, entity, order, side).where(F.col("n") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.operators import frames as fr
 from tramline.operators import facts as ft
+from tramline.operators import interaction_class as ic
 from tramline.operators import joins as jn
 
 from .frame_queries import _RUN
@@ -96,12 +97,30 @@ def _(spark, d):
 _LANE_RUNS = f"WITH {STATES}, kept AS (SELECT * FROM states WHERE lane IS NOT NULL){_RUN.format(v='lane', gap='OR frame - lag(frame) OVER w > 1', src='kept')}, runs AS (SELECT agent, lane, min(frame) AS s, max(frame) AS e, count(*) AS n, avg(y) AS my FROM numbered GROUP BY agent, run, lane HAVING count(*) >= 3)"
 
 
-@query("fct_24_interaction_classifier", "WITH c AS (SELECT l_orderkey AS scene, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS changers, bool_or(l_linestatus = 'O') AS gap, bool_or(l_discount > 0.08) AS merging, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT scene, CASE WHEN changers > 1 THEN 'unknown' WHEN changers = 1 AND merging THEN 'merge' WHEN changers = 1 AND gap THEN 'cut_in' WHEN changers = 1 THEN 'lane_change' WHEN n = 1 THEN 'same_lane_interaction' ELSE 'unknown' END AS kind FROM c")
+@query(
+    "fct_24_interaction_classifier",
+    # an order's first three lines are an agent before and after a change and the pair's frames; x, speed and group come from a line's numbers
+    """WITH l AS (SELECT l_orderkey AS scene, l_linenumber AS n, l_quantity AS x, l_suppkey % 3 AS grp, l_tax * 100 AS v, l_partkey % 20 AS f FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1),
+    j AS (SELECT a.scene, a.x AS x0, b.x AS r0, c.x AS x1, d.x AS r1, c.grp AS g1, d.grp AS gr1, b.v AS v0, d.v AS v1, least(a.f, 2) AS changers, a.f % 4 = 0 AS merges, a.f <> 7 AS event, b.f AS frames, least(b.f, c.f) AS shared, d.f % 2 = 0 AS meaningful
+      FROM l a JOIN l b ON b.scene = a.scene AND a.n = 1 AND b.n = 2 JOIN l c ON c.scene = a.scene AND c.n = 3 JOIN l d ON d.scene = a.scene AND d.n = 4),
+    k AS (SELECT *, CASE WHEN changers > 1 AND scene % 2 = 0 THEN 1 WHEN scene % 3 = 0 THEN 0 ELSE changers END AS ch, g1 = gr1 AS entered, abs(x1 - r1) <= 15 AS small, abs(x0 - r0) - abs(x1 - r1) >= 1 AS shrank, v0 - v1 >= 1 AS slowed FROM j)
+    SELECT scene, CASE WHEN ch > 1 THEN 'unknown' WHEN ch = 0 AND merges THEN 'merge' WHEN ch = 1 AND NOT event THEN 'unknown' WHEN ch = 1 AND entered AND (small OR shrank OR slowed) THEN 'cut_in' WHEN ch = 1 THEN 'lane_change'
+        WHEN shared >= 3 AND shared >= 0.5 * frames AND meaningful THEN 'same_lane_interaction' ELSE 'unknown' END AS kind,
+      CASE WHEN ch > 1 THEN NULL WHEN ch = 0 AND merges THEN 0.75 WHEN ch = 1 AND NOT event THEN NULL WHEN ch = 1 AND entered AND (small OR shrank OR slowed) THEN round(0.9::DOUBLE * ((2 + small::INT + shrank::INT + slowed::INT) / 5::DOUBLE), 6) WHEN ch = 1 THEN 0.9
+        WHEN shared >= 3 AND shared >= 0.5 * frames AND meaningful THEN round(least(1, 0.5::DOUBLE * (shared / frames::DOUBLE) + 0.5::DOUBLE * least(1, shared / 10::DOUBLE)), 6) END::DOUBLE AS confidence,
+      CASE WHEN ch > 1 THEN 'classified' WHEN ch = 0 AND merges THEN 'labeled' WHEN ch = 1 AND NOT event THEN 'insufficient_evidence' WHEN ch = 1 THEN 'labeled' WHEN shared >= 3 AND shared >= 0.5 * frames AND meaningful THEN 'labeled' WHEN frames < 3 THEN 'insufficient_evidence' ELSE 'classified' END AS status FROM k""",
+)
 def _(spark, d):
-    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scene")).agg(
-        F.countDistinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("changers"), F.bool_or(F.col("l_linestatus") == "O").alias("gap"), F.bool_or(F.col("l_discount") > 0.08).alias("merging"), F.countDistinct("l_suppkey").alias("n")
-    )
-    return c.select("scene", ft.interaction_kind(F.col("changers"), F.col("merging"), F.col("gap"), F.col("n") == 1).alias("kind"))
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    li = table(spark, d, "lineitem").where("l_linenumber <= 4").withColumn("_r", first).where("_r = 1")
+    state = F.struct(F.col("l_quantity").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"), (F.col("l_tax") * 100).alias("speed"), (F.col("l_suppkey") % 3).alias("group"))
+    line = lambda n, c: F.max(F.when(F.col("l_linenumber") == n, c))
+    g = li.groupBy(F.col("l_orderkey").alias("scene")).agg(*[line(n, state).alias(f"s{n}") for n in (1, 2, 3, 4)], *[line(n, F.col("l_partkey") % 20).alias(f"f{n}") for n in (1, 2, 3, 4)])
+    g = g.where("s1 is not null and s2 is not null and s3 is not null and s4 is not null").withColumn("c", F.least("f1", F.lit(2)))
+    changers = F.when((F.col("c") > 1) & (F.col("scene") % 2 == 0), 1).when(F.col("scene") % 3 == 0, 0).otherwise(F.col("c"))
+    e = ic.change_evidence(*(F.col(c) for c in ("s1", "s2", "s3", "s4")))
+    k = ic.interaction_class(changers, F.col("f1") % 4 == 0, F.col("f1") != 7, e, F.lit(0.9), F.lit("left"), F.least("f2", "f3"), F.col("f2"), F.col("f4") % 2 == 0)
+    return g.select("scene", k.alias("k")).select("scene", F.col("k.type").alias("kind"), "k.confidence", "k.status")
 
 
 _FOLLOW = f"WITH {STATES}, r AS (SELECT a.agent, a.frame, a.lane = b.lane AND b.x - a.x BETWEEN 0.25 AND 30 AND abs(coalesce(a.ax, 0) - coalesce(b.ax, 0)) <= 3 AND a.valid AND b.valid AS follows FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1)"
