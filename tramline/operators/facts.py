@@ -20,10 +20,6 @@ def relation(longitudinal: Column, lateral: Column, channels: tuple[float, float
     return channel, position
 
 
-def heading_relation(degrees: Column) -> Column:
-    return F.when(degrees <= 10, "aligned").when(degrees <= 45, "roughly_aligned").when(degrees >= 135, "opposing").otherwise("crossing")
-
-
 def delta_time(d1: Column, v1: Column, d2: Column, v2: Column) -> Column:
     """Difference of the times to a conflict point; 100 where either all but stands (up to 1 mm/s), null where a value is unknown."""
     moving = (v1 > STANDING) & (v2 > STANDING)

@@ -8,6 +8,7 @@ from tramline.operators import facts as ft
 from tramline.operators import frames as fr
 from tramline.operators import lane_chain as lc
 from tramline.operators import lane_change_events as lce
+from tramline.operators import pair_geometry as pg
 from tramline.operators import pair_timeline as pt
 from tramline.operators import track_quality as tq
 from tramline.operators import u_turns as ut
@@ -274,3 +275,37 @@ def _(spark, d):
     to = lambda c: F.when(c, F.array(n + 1)).otherwise(F.array().cast("array<bigint>"))
     lanes = s.select("lane_id").distinct().select("lane_id", to(n % 4 < 2).alias("left"), to(n % 4 == 2).alias("right"), to(n % 6 == 0).alias("next"), to(F.lit(False)).alias("prev"))
     return lce.lane_change_events(s, lanes, A).withColumn("confidence", F.round("confidence", 4))
+
+
+@query(
+    "fct_12_distance_evolution",
+    f"""WITH {STATES}, r AS (SELECT a.agent AS a, a.frame, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 3) AS distance FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1 WHERE a.valid AND b.valid),
+    c AS (SELECT a, frame AS c0, distance AS d0 FROM r QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, frame) = 1),
+    n AS (SELECT * FROM (SELECT r.*, c0, frame < c0 AS early, row_number() OVER (PARTITION BY r.a, frame < c0 ORDER BY abs(frame - c0)) AS k FROM r JOIN c ON r.a = c.a WHERE frame <> c0) WHERE k <= 10),
+    m AS (SELECT *, count(*) OVER (PARTITION BY a, early) AS m, row_number() OVER (PARTITION BY a, early ORDER BY frame) AS up, row_number() OVER (PARTITION BY a, early ORDER BY frame DESC) AS down FROM n),
+    e AS (SELECT a, early, median(distance) FILTER (down <= least(3, m // 2)) - median(distance) FILTER (up <= least(3, m // 2)) AS delta FROM m WHERE m >= 5 GROUP BY a, early),
+    l AS (SELECT a, early, round(delta, 3) AS delta, CASE WHEN delta <= -0.3 THEN 'approaching' WHEN delta >= 0.3 THEN 'separating' ELSE 'roughly_stable' END AS label FROM e)
+    SELECT c.a, c0 AS closest_frame, d0 AS minimum_distance, x.delta AS delta_before, y.delta AS delta_after, CASE WHEN x.a IS NULL AND y.a IS NULL THEN 'insufficient_data' ELSE 'available' END AS status,
+      CASE WHEN x.label = 'approaching' AND y.label = 'separating' THEN 'approaching_then_separating' WHEN x.label = 'approaching' THEN 'approaching_only' WHEN y.label = 'separating' THEN 'separating_only' WHEN x.label = 'roughly_stable' AND y.label = 'roughly_stable' THEN 'roughly_stable' ELSE 'uncertain' END AS overall
+    FROM c LEFT JOIN l x ON x.a = c.a AND x.early LEFT JOIN l y ON y.a = c.a AND NOT y.early""",
+)
+def _(spark, d):
+    s = states(spark, d).where("valid").select("agent", "frame", "x", "y")
+    o = s.select((F.col("agent") - 1).alias("agent"), "frame", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    j = s.join(o, ["agent", "frame"]).select(F.col("agent").alias("a"), "frame", F.round(F.sqrt(dx * dx + dy * dy), 3).alias("distance"))
+    return pg.distance_evolution(j, ["a"]).select("a", "closest_frame", "minimum_distance", F.col("before.delta").alias("delta_before"), F.col("after.delta").alias("delta_after"), "status", "overall")
+
+
+@query(
+    "fct_11_heading_relation",
+    f"""WITH {STATES}, r AS (SELECT a.agent AS a, abs(degrees(atan2(sin(a.yaw - b.yaw), cos(a.yaw - b.yaw)))) AS d FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1 WHERE a.valid AND b.valid),
+    k AS (SELECT a, CASE WHEN d <= 10 THEN 'aligned' WHEN d <= 45 THEN 'roughly_aligned' WHEN d >= 135 THEN 'opposing' ELSE 'cross_direction' END AS relation, count(*) AS n FROM r GROUP BY ALL),
+    b AS (SELECT a, relation, n, sum(n) OVER (PARTITION BY a) AS frames, row_number() OVER (PARTITION BY a ORDER BY n DESC, relation DESC) AS k FROM k)
+    SELECT b.a, CASE WHEN frames >= 2 THEN 'available' ELSE 'insufficient_data' END AS status, CASE WHEN frames >= 2 THEN relation END AS dominant, CASE WHEN frames >= 2 THEN round(n / frames, 4) END AS share, CAST(frames AS BIGINT) AS frames, m.least, m.most
+    FROM b JOIN (SELECT a, round(min(d), 3) AS least, round(max(d), 3) AS most FROM r GROUP BY a) m ON m.a = b.a WHERE k = 1""",
+)
+def _(spark, d):
+    s = states(spark, d).where("valid").select("agent", "frame", "yaw")
+    o = s.select((F.col("agent") - 1).alias("agent"), "frame", F.col("yaw").alias("other_yaw"))
+    return pg.heading_relations(s.join(o, ["agent", "frame"]).withColumnRenamed("agent", "a"), ["a"]).drop("median")

@@ -31,14 +31,6 @@ def _(spark, d):
     return s.join(o, ["agent", "frame"]).select("agent", "frame", channel.alias("channel"), position.alias("position"))
 
 
-@query("fct_11_heading_relation", f"WITH {STATES} SELECT a.agent, a.frame, CASE WHEN degrees(acos(greatest(-1, least(1, round(cos(a.yaw - b.yaw), 9))))) <= 10 THEN 'aligned' WHEN degrees(acos(greatest(-1, least(1, round(cos(a.yaw - b.yaw), 9))))) <= 45 THEN 'roughly_aligned' WHEN degrees(acos(greatest(-1, least(1, round(cos(a.yaw - b.yaw), 9))))) >= 135 THEN 'opposing' ELSE 'crossing' END AS relation FROM states a JOIN states b ON a.frame = b.frame AND b.agent = a.agent + 1")
-def _(spark, d):
-    s = states(spark, d).select("agent", "frame", "yaw")
-    o = s.select((F.col("agent") - 1).alias("agent"), "frame", F.col("yaw").alias("o"))
-    deg = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(F.cos(F.col("yaw") - F.col("o")), 9)))))
-    return s.join(o, ["agent", "frame"]).select("agent", "frame", ft.heading_relation(deg).alias("relation"))
-
-
 @query(
     "fct_13_map_context",
     f"WITH {STATES}, f AS (SELECT s_suppkey AS id, CAST(s_suppkey % 60 AS DOUBLE) / 2 AS fx, CASE s_suppkey % 4 WHEN 0 THEN 'branching' WHEN 1 THEN 'crosswalk' WHEN 2 THEN 'stop_sign' ELSE 'signal' END AS kind FROM supplier), j AS (SELECT s.agent, s.frame, bool_or(kind = 'branching' AND abs(x - fx) <= 0.5) AS br, bool_or(kind = 'crosswalk') AS cw, bool_or(kind = 'stop_sign') AS st, bool_or(kind = 'signal') AS sg FROM states s LEFT JOIN f ON abs(x - fx) <= 1 GROUP BY 1, 2) SELECT agent, frame, coalesce(br OR cw OR sg, false) AS near_intersection, coalesce(st, false) AS stop_sign FROM j",

@@ -284,26 +284,3 @@ def _(spark, d):
     best = F.min(F.struct("distance", "frame"))
     g = frame_pairs(spark, d).where("ok").groupBy("a", "b")
     return g.agg(F.min("distance").alias("min_distance"), best["frame"].alias("min_frame"), F.max(F.when(F.col("frame") == 10, F.col("distance"))).alias("at_start"), F.min_by("distance", "frame").alias("initial"))
-
-
-@query(
-    "fct_12_distance_evolution",
-    _FRAME_PAIRS
-    + """, c AS (SELECT a, b, frame AS c0 FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY distance, frame) AS k FROM r WHERE ok) WHERE k = 1),
-    n AS (SELECT r.*, c0, row_number() OVER (PARTITION BY r.a, r.b, frame < c0 ORDER BY abs(frame - c0) DESC) AS k, count(*) OVER (PARTITION BY r.a, r.b, frame < c0) AS m FROM r JOIN c ON r.a = c.a AND r.b = c.b WHERE ok AND frame BETWEEN c0 - 10 AND c0 + 10 AND frame <> c0),
-    e AS (SELECT a, b, median(distance) FILTER (WHERE frame < c0 AND m >= 5 AND k <= 3) AS far_before, median(distance) FILTER (WHERE frame > c0 AND m >= 5 AND k <= 3) AS far_after FROM n GROUP BY a, b),
-    z AS (SELECT a, b, min(distance) AS d0 FROM r WHERE ok GROUP BY a, b)
-    SELECT e.a, e.b, CASE WHEN far_before - d0 > 0.3 AND far_after - d0 > 0.3 THEN 'approaching_then_separating' WHEN far_before - d0 > 0.3 THEN 'approaching' WHEN far_after - d0 > 0.3 THEN 'separating' WHEN far_before IS NULL AND far_after IS NULL THEN 'insufficient_data' ELSE 'steady' END AS evolution FROM e JOIN z ON e.a = z.a AND e.b = z.b""",
-)
-def _(spark, d):
-    p = frame_pairs(spark, d).where("ok")
-    w = Window.partitionBy("a", "b")
-    p = p.withColumn("m0", F.min(F.struct("distance", "frame")).over(w)).select("a", "b", "frame", "distance", F.col("m0.frame").alias("c0"), F.col("m0.distance").alias("d0"))
-    n = p.where("frame between c0 - 10 and c0 + 10 and frame <> c0").withColumn("side", F.col("frame") < F.col("c0"))
-    side = Window.partitionBy("a", "b", "side")
-    n = n.withColumns({"k": F.row_number().over(side.orderBy(F.desc(F.abs(F.col("frame") - F.col("c0"))))), "m": F.count("*").over(side)})
-    far = lambda s: F.median(F.when((F.col("side") == s) & (F.col("m") >= 5) & (F.col("k") <= 3), F.col("distance")))
-    g = n.groupBy("a", "b").agg(F.first("d0").alias("d0"), far(True).alias("fb"), far(False).alias("fa"))
-    near, away = F.col("fb") - F.col("d0") > 0.3, F.col("fa") - F.col("d0") > 0.3
-    c = F.when(near & away, "approaching_then_separating").when(near, "approaching").when(away, "separating").when(F.col("fb").isNull() & F.col("fa").isNull(), "insufficient_data").otherwise("steady")
-    return g.select("a", "b", c.alias("evolution"))
