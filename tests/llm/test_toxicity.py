@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from tramline.llm import toxicity
@@ -49,18 +50,51 @@ def test_an_id_of_many_rows_is_one_training_row(spark):
     assert len(got) == 4 and [r["label"] for r in got if (r["text"] or "").startswith("some")] == [1]
 
 
+IDIOT = {"idiot$": (3.0, 3.0, 3.0)}
+
+
 def test_contexts_are_told_apart():
-    model = toxicity.Model({"idiot$": (3.0, 3.0, 3.0)}, [0.0] * toxicity.N_FEATURES)
-    s = toxicity.Scorer(model)
-    kinds = {"you are an idiot": 4, "he is not an idiot": 5, "she said idiot there": 6, 'the word "idiot" again': 6, "an idiot. not here": 4}
+    s = toxicity.Scorer(toxicity.Model(IDIOT, [0.0] * toxicity.N_FEATURES))
+    kinds = {"you are an idiot": (4, 5), "what an idiot": (4,), "he is not an idiot": (4, 6), "she said idiot there": (4, 7), 'the word "idiot" again': (4, 7), "an idiot. not here": (4,)}
     for text, at in kinds.items():
         f = s.features(text)
-        assert f[at] > 0 and sum(f[k] > 0 for k in (4, 5, 6)) == 1, text
+        assert tuple(k for k in range(4, 10) if f[k]) == at, text
     assert s.features("nice words only")[1] == 0 and s.features(None)[0] == 1
-    assert s.features("they will kill you")[7] == 0 and s.features("kill the idiot")[4] > 0
+
+
+def test_threats_weigh_by_verb_and_target():
+    s = toxicity.Scorer(toxicity.Model(IDIOT, [0.0] * toxicity.N_FEATURES))
+    threats = {"nice weather tomorrow ok": (0, 0), "to kill time": (2, 0), "i will kill you tomorrow": (2, 2), "they burn": (0, 1), "i kill the man": (2, 0),
+               "ich werde dich töten": (0, 2), "i will not kill you": (0, 0), "he said i kill you": (0, 0), '"kill you"': (0, 0), "die you": (0, 0)}
+    for text, (bare, aimed) in threats.items():
+        f = s.features(text)
+        assert math.isclose(math.expm1(f[8]), bare, abs_tol=1e-9) and math.isclose(math.expm1(f[9]), aimed, abs_tol=1e-9), text
+    assert s.features("kill the idiot")[4] > 0
+
+
+def test_every_transducer_moves_scores(spark):
+    """Each context is taken out in turn, with the model fitted on sf0.1 held: targets and threats raise scores, the others lower them.
+
+    The table's texts hold targets, negations and quotes beside insults, but no report or threat; those stand in sentences of its texts' own insult.
+    """
+    path = "/root/testdata/sf0.1"
+    docs, own = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = toxicity.fit(docs, own)
+    insult = max((w for w in model.stems if w.endswith("$")), key=lambda w: model.stems[w][0])[:-1]
+    texts = [r["text"] for r in docs.select("text").collect()]
+    made = {"threat": "we will kill you tomorrow", "report": f"somebody said {insult} there", "quote": f'the word "{insult}" again', "negation": f"he is not {insult} again", "target": f"you are {insult} again"}
+    full = toxicity.Scorer(model)
+    for name in toxicity.CONTEXTS:
+        less = toxicity.Scorer(model, frozenset([name]))
+        sign = 1 if name in ("target", "threat") else -1
+        assert sign * (full.score(made[name]) - less.score(made[name])) > 0, name
+        if name in ("target", "negation"):
+            moved = [sign * (full.score(t) - less.score(t)) for t in texts]
+            up, down = sum(m > 1e-12 for m in moved), sum(m < -1e-12 for m in moved)
+            assert up > 20 and down * 10 <= up, (name, up, down)
 
 
 def test_a_clause_is_read_from_its_first_token():
-    s = toxicity.Scorer(toxicity.Model({"idiot$": (3.0, 3.0, 3.0)}, [0.0] * toxicity.N_FEATURES))
+    s = toxicity.Scorer(toxicity.Model(IDIOT, [0.0] * toxicity.N_FEATURES))
     f = s.features('"' + "so it goes on and on " * 20 + 'idiot" again')
-    assert f[6] > 0 and f[4] == f[5] == 0
+    assert f[7] < 0 and f[1] == f[5] == f[6] == 0

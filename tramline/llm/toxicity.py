@@ -2,10 +2,12 @@
 
 A lexicon transducer maps words to classes (insult, threat, target, negation, report, quote, boundary, other). Insult
 arcs are stems with weights learned from labelled documents: the log odds of the label given the stem, less its standard
-error. Context transducers for negation, reported speech, quotation and targets rewrite insults to their kind, and are
-composed into one deterministic machine. It runs over the clauses that hold an insult or a threat; what it emits for a
-clause, the kind and weight of each match, is summed to the document's features. A logistic regression on these gives the
-score. Labels are only used for rows of the training fold, and a training row's stems are weighed without the row itself.
+error. Threats are verbs with fixed weights, and count for more where a target stands before or after them. Context
+transducers for targets, threats, negation, reported speech and quotation rewrite matches to their kind, and are composed
+into one deterministic machine. It runs over the clauses that hold an insult or a threat; what it emits for a clause, the
+kind and weight of each match, is summed to the document's features, one for each kind. A logistic regression on these gives
+the score; a target or a threat never lowers it, negation and report never raise it (``PRIOR``, ``LEAST``). Labels are only used for rows of the
+training fold, and a training row's stems are weighed without the row itself.
 """
 
 from __future__ import annotations
@@ -42,10 +44,15 @@ MEMO_LIMIT = 150_000
 NEGATION = frozenset("not no never none neither nor isn aren wasn don doesn didn won cannot without nicht kein keine keinen nie niemals ohne ne pas jamais sans non nunca jamás tampoco sin".split())
 REPORT = frozenset("said says say saying told wrote writes claimed claims quoted quote called reported according sagte sagt schrieb laut zitiert dit disait écrit selon dijo dice escribió según".split())
 TARGET = frozenset("you your yours yourself u ya he she him her they them their this these those people everyone du dich dir dein deine ihr euch sie er tu toi te ton vous vos votre il elle ils elles tú usted ustedes ellos ellas él ella".split())
-THREAT = frozenset("kill murder destroy hurt beat shoot stab burn hang die töten umbringen schlagen vernichten sterben tuer détruire frapper mourir crever matar destruir golpear morir".split())
-
-OTHER, INSULT, TARGETS, NEGATES, REPORTS, QUOTES, THREATENS = range(7)
-PLAIN, TARGETED, NEGATED, REPORTED, THREATENED = range(5)  # kinds of a match
+# Threat verbs by weight. The English "die" isn't among them, as it is the commonest German article.
+GRAVE = frozenset("kill murder shoot stab töten umbringen ermorden erschießen tuer assassiner matar asesinar".split())
+HARSH = frozenset("destroy hurt beat burn hang schlagen vernichten sterben détruire frapper mourir crever destruir golpear morir".split())
+THREAT = {**dict.fromkeys(GRAVE, 2.0), **dict.fromkeys(HARSH, 1.0)}
+
+OTHER, INSULT, TARGETS, NEGATES, REPORTS, QUOTES, THREATENS, MENACED = range(8)  # MENACED: a target that a threat verb reaches
+PLAIN, TARGETED, NEGATED, REPORTED = range(4)  # kinds of a match
+CONTEXTS = ("target", "threat", "negation", "report", "quote")
+MATCHES = (INSULT, THREATENS, MENACED)
 _TOKEN = re.compile(r"\w+|[.!?;\n\"“”«»„]")
 _BOUNDARY = frozenset(".!?;\n")
 _QUOTE = frozenset("\"“”«»„")
@@ -90,7 +97,7 @@ def _within(cue: int, kind: int, reach: int) -> Transducer:
         cls, had = symbol
         if cls == cue:
             return reach, symbol
-        out = (cls, kind) if left and cls in (INSULT, THREATENS) else symbol
+        out = (cls, kind) if left and cls in MATCHES else symbol
         return max(0, left - 1), out
 
     return Transducer(0, step)
@@ -103,17 +110,45 @@ def _after(cue: int, kind: int, toggles: bool) -> Transducer:
         cls, had = symbol
         if cls == cue:
             return (not on if toggles else True), symbol
-        return on, ((cls, kind) if on and cls in (INSULT, THREATENS) else symbol)
+        return on, ((cls, kind) if on and cls in MATCHES else symbol)
 
     return Transducer(False, step)
 
 
-@lru_cache(maxsize=1)
-def grammar() -> list[dict]:
-    """Targets, then negation, then reports and quotation: the last context that applies names the match."""
-    machine = _within(TARGETS, TARGETED, 4).compose(_within(NEGATES, NEGATED, 3)).compose(_after(REPORTS, REPORTED, False)).compose(_after(QUOTES, REPORTED, True))
-    symbols = [(c, PLAIN) for c in range(7)]
-    return machine.table(symbols)[0]
+def _object(reach: int) -> Transducer:
+    """The first target within ``reach`` tokens after a threat verb becomes a match of its own."""
+
+    def step(left, symbol):
+        cls, had = symbol
+        if cls == THREATENS:
+            return reach, symbol
+        if left and cls == TARGETS:
+            return 0, (MENACED, PLAIN)
+        return max(0, left - 1), symbol
+
+    return Transducer(0, step)
+
+
+def _silent() -> Transducer:
+    """Threat verbs are words like others."""
+    return Transducer(0, lambda state, symbol: (state, (OTHER, PLAIN) if symbol[0] == THREATENS else symbol))
+
+
+@lru_cache(maxsize=16)
+def grammar(without: frozenset[str] = frozenset()) -> list[dict]:
+    """Targets and threats, then negation, then reports and quotation: the last context that applies names the match.
+
+    ``without``: contexts of ``CONTEXTS`` to leave out, to see what each of them does.
+    """
+    parts = [
+        ("target", _within(TARGETS, TARGETED, 4)), ("threat", _object(2)), ("negation", _within(NEGATES, NEGATED, 4)),
+        ("report", _after(REPORTS, REPORTED, False)), ("quote", _after(QUOTES, REPORTED, True)),
+    ]
+    machine = _silent() if "threat" in without else Transducer(0, lambda state, symbol: (state, symbol))
+    for name, part in parts:
+        if name not in without:
+            machine = machine.compose(part)
+    return machine.table([(c, PLAIN) for c in range(7)])[0]
 
 
 @dataclass
@@ -139,16 +174,21 @@ def weight(pos: float, neg: float, p: float, n: float) -> float:
     return w - CAUTION * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) - 1 / (p + 1) - 1 / (n + 1))
 
 
-N_FEATURES = 10
+#: Intercept; three largest stems; sums of all and of targeted matches; what negated and reported ones hold of the first (as
+#: minus); bare and targeted threats; length; largest stem by length.
+N_FEATURES = 12
+#: What the regression believes of a feature before any label (others: 0), and the least it may come to.
+PRIOR = {5: 0.5, 6: 0.5, 7: 0.5, 8: 0.5, 9: 2.0}
+LEAST = {5: 0.1, 6: 0.1, 7: 0.1, 8: 0.1, 9: 0.2}
 
 
 class Scorer:
     """Runs the lexicon and the grammar over texts."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, without: frozenset[str] = frozenset()):
         self.model = model
         self.memo: dict[str, tuple] = {}
-        self.arcs = grammar()
+        self.arcs = grammar(without)
 
     def classify(self, word: str) -> tuple[int, tuple[float, float, float]]:
         if word in TARGET:
@@ -175,7 +215,7 @@ class Scorer:
         which = 0 if label is None else 1 if label else 2
         found = [memo[w] for w in tokens]
         marked = [i for i, x in enumerate(found) if x is not None and (x[0] == INSULT or x[0] == THREATENS)]
-        sums, hits = [0.0] * 5, 0
+        sums, threats = [0.0] * 4, [0.0] * 2
         top: dict[str, float] = {}
         done = -1
         for i in marked:
@@ -184,24 +224,30 @@ class Scorer:
             a = i
             while a > 0 and found[a - 1] is not None:
                 a -= 1
-            b, state = a, 0
+            b, state, verb = a, 0, 0.0
             while b < len(found) and found[b] is not None:
                 cls, w = found[b]
                 state, (out, kind) = self.arcs[state][(cls, PLAIN)]
-                if b >= i and out in (INSULT, THREATENS):
+                if out == THREATENS:
+                    verb = THREAT[tokens[b]]
+                if b >= i and out in MATCHES:
+                    active = kind in (PLAIN, TARGETED)
+                    if out == MENACED:
+                        threats[1] += verb if active else 0.0
+                    elif out == THREATENS and active:
+                        threats[kind == TARGETED] += verb
                     x = max(0.0, w[which])
-                    if out == THREATENS:
-                        kind = THREATENED
-                    if x > 0 or out == THREATENS:
-                        hits += 1
-                        sums[kind] += x
-                        if kind in (PLAIN, TARGETED, THREATENED) and x > top.get(tokens[b], -1.0):
-                            top[tokens[b]] = x
+                    sums[kind] += x
+                    if active and x > top.get(tokens[b], 0.0):
+                        top[tokens[b]] = x
                 b += 1
             done = b
         best = sorted(top.values(), reverse=True)[:3] + [0.0] * 3
         size = math.log1p(len(tokens))
-        return [1.0, best[0], best[1], best[2], math.log1p(sums[PLAIN] + sums[TARGETED]), math.log1p(sums[NEGATED]), math.log1p(sums[REPORTED]), math.log1p(sums[THREATENED]), size / 10, best[0] * size / 10]
+        active = math.log1p(sums[PLAIN] + sums[TARGETED])
+        denied = math.log1p(sums[PLAIN] + sums[TARGETED] + sums[NEGATED])
+        whole = math.log1p(sum(sums))
+        return [1.0, *best[:3], whole, math.log1p(sums[TARGETED]), active - denied, denied - whole, *map(math.log1p, threats), size / 10, best[0] * size / 10]
 
     def score(self, text: str | None) -> float:
         z = sum(b * f for b, f in zip(self.model.beta, self.features(text)))
@@ -209,20 +255,29 @@ class Scorer:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the rarer label weighs more, by the root of its rarity."""
-    beta = np.zeros(x.shape[1])
+    """Ridge logistic regression by Newton's method, drawn to ``PRIOR``; the rarer label weighs more, by the root of its rarity.
+
+    A coefficient that comes out under its ``LEAST`` is held there, and the others are fitted again.
+    """
+    prior = np.array([PRIOR.get(i, 0.0) for i in range(x.shape[1])])
     each = np.where(y > 0, math.sqrt((len(y) - y.sum()) / max(1.0, y.sum())), 1.0)
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        g = x.T @ (each * (y - p)) - penalty @ beta
-        h = (x * (each * p * (1 - p))[:, None]).T @ x + penalty
-        d = np.linalg.solve(h, g)
-        beta += d
-        if np.abs(d).max() < 1e-8:
-            break
-    return beta
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    beta, free = prior.copy(), np.ones(x.shape[1], dtype=bool)
+    while True:
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            g = (x.T @ (each * (y - p)) - penalty * (beta - prior))[free]
+            own = x[:, free]
+            d = np.linalg.solve((own * (each * p * (1 - p))[:, None]).T @ own + np.diag(penalty[free]), g)
+            beta[free] += d
+            if np.abs(d).max() < 1e-8:
+                break
+        low = [i for i, least in LEAST.items() if free[i] and beta[i] < least]
+        if not low:
+            return beta
+        for i in low:
+            beta[i], free[i] = LEAST[i], False
 
 
 def _fold():
