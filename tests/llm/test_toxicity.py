@@ -75,7 +75,7 @@ def test_threats_weigh_by_verb_and_target():
 def test_every_transducer_moves_scores(spark):
     """Each context is taken out in turn, with the model fitted on sf0.1 held: targets and threats raise scores, the others lower them.
 
-    The table's texts hold targets, negations and quotes beside insults, but no report or threat; those stand in sentences of its texts' own insult.
+    Targets and negations are taken over all the table's texts, every context in a made sentence around the texts' own insult.
     """
     path = "/root/testdata/sf0.1"
     docs, own = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
