@@ -117,9 +117,12 @@ def _(spark, d):
 def _(spark, d):
     key = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(key.alias("lane_id"), (key % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), (key % 6 * 0.5).alias("la"))
-    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", F.coalesce("ax", F.lit(0.0)).alias("v")), lanes, 2.0)
-    best = F.min(F.struct(F.round("distance", 9).alias("r"), "lane_id", "x", "y", "v", "tx", "ty", "la")).alias("b")
-    b = j.groupBy("agent", "frame").agg(best).select("agent", "frame", "b.*")
+    # of lanes at one place the first is the nearest, and states at one place have one lane
+    lanes = lanes.groupBy("tx", "ty").agg(F.min(F.struct("lane_id", "la")).alias("l")).select("tx", "ty", "l.*")
+    s = states(spark, d).select("agent", "frame", "x", "y", F.coalesce("ax", F.lit(0.0)).alias("v"))
+    j = grid_radius_join(s.select("x", "y").distinct(), lanes, 2.0)
+    best = j.groupBy("x", "y").agg(F.min(F.struct(F.round("distance", 9).alias("r"), "lane_id", "tx", "ty", "la")).alias("b")).select("x", "y", "b.*")
+    b = s.join(best, ["x", "y"])
     long, wide = b.v * F.cos("la"), -b.v * F.sin("la")
     lateral = g.cross(F.cos("la"), F.sin("la"), b.x - b.tx, b.y - b.ty)
     return b.select("agent", "frame", F.round(long, 5).alias("v_long"), F.round(wide, 5).alias("v_lat"), F.round(lateral, 5).alias("lateral"))
