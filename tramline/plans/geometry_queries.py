@@ -154,8 +154,12 @@ def _(spark, d):
 
     k = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(k.alias("lane_id"), (k % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), F.when(k % 2 == 0, 0.0).otherwise(1.5).alias("la"))
-    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", "yaw"), lanes, 3.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0")
-    return j.groupBy("agent", "frame").agg(F.min(F.struct(F.round(F.col("distance") + 1 - F.col("al"), 9).alias("score"), "lane_id"))["lane_id"].alias("lane_id"))
+    # lanes that lie alike differ by their number only, and states that lie alike have one lane
+    lanes = lanes.groupBy("tx", "ty", "la").agg(F.min("lane_id").alias("lane_id"))
+    s, pose = states(spark, d).select("agent", "frame", "x", "y", "yaw"), ["x", "y", "yaw"]
+    j = grid_radius_join(s.select(*pose).distinct(), lanes, 3.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0")
+    best = j.groupBy(*pose).agg(F.min(F.struct(F.round(F.col("distance") + 1 - F.col("al"), 9).alias("score"), "lane_id"))["lane_id"].alias("lane_id"))
+    return s.join(best, pose).select("agent", "frame", "lane_id")
 
 
 @query("math_01_bankers_round", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey // 4 WHEN s_suppkey % 4 = 3 THEN s_suppkey // 4 + 1 WHEN s_suppkey % 4 = 0 THEN s_suppkey // 4 ELSE s_suppkey // 4 + (s_suppkey // 4) % 2 END AS DOUBLE) AS r FROM supplier")
