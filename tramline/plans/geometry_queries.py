@@ -235,8 +235,12 @@ def _(spark, d):
 
     k = F.col("s_suppkey")
     lanes = table(spark, d, "supplier").select(k.alias("lane_id"), (k % 40 / 2).alias("tx"), (F.col("s_nationkey") / 4).alias("ty"), (k % 6 * 0.5).alias("la"))
-    j = grid_radius_join(states(spark, d).select("agent", "frame", "x", "y", "yaw"), lanes, 2.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0.25")
+    # lanes that lie alike have one score and count as often as there are, and states that lie alike have the same scores
+    lanes = lanes.groupBy("tx", "ty", "la").agg(F.min("lane_id").alias("lane_id"), F.count("*").alias("n"))
+    s, pose = states(spark, d).select("agent", "frame", "x", "y", "yaw"), ["x", "y", "yaw"]
+    j = grid_radius_join(s.select(*pose).distinct(), lanes, 2.0).withColumn("al", F.cos(F.col("yaw") - F.col("la"))).where("al >= 0.25")
     j = j.withColumn("score", (0.2 + 0.8 * F.col("al")) / (F.col("distance") * F.col("distance") + 0.25))
     best = F.max(F.struct(F.round("score", 9).alias("r"), (-F.col("lane_id")).alias("n"), "score"))
-    a = j.groupBy("agent", "frame").agg(best.alias("b"), F.sum("score").alias("total"))
-    return a.select("agent", "frame", (-F.col("b.n")).alias("best"), F.round(F.col("b.score") / F.col("total"), 4).alias("confidence"))
+    a = j.groupBy(*pose).agg(best.alias("b"), F.sum(F.col("score") * F.col("n")).alias("total"))
+    a = a.select(*pose, (-F.col("b.n")).alias("best"), F.round(F.col("b.score") / F.col("total"), 4).alias("confidence"))
+    return s.join(a, pose).select("agent", "frame", "best", "confidence")
