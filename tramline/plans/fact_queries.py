@@ -40,12 +40,13 @@ def _(spark, d):
     kind = F.when(k % 4 == 0, "branching").when(k % 4 == 1, "crosswalk").when(k % 4 == 2, "stop_sign").otherwise("signal")
     f = table(spark, d, "supplier").select((k % 60 / 2).alias("tx"), F.lit(0.0).alias("ty"), kind.alias("kind"))
     s = states(spark, d).select("agent", "frame", "x").withColumn("y", F.lit(0.0))
-    near = jn.grid_radius_join(s, f, 1.0)
-    flags = near.groupBy("agent", "frame").agg(
+    # features of a kind at one place count once, and states at one place see the same
+    near = jn.grid_radius_join(s.select("x", "y").distinct(), f.distinct(), 1.0)
+    flags = near.groupBy("x").agg(
         F.bool_or((F.col("kind") == "branching") & (F.col("distance") <= 0.5) | F.col("kind").isin("crosswalk", "signal")).alias("hit"), F.bool_or(F.col("kind") == "stop_sign").alias("stop")
     )
     no = F.lit(False)
-    return s.select("agent", "frame").join(flags, ["agent", "frame"], "left").select("agent", "frame", F.coalesce("hit", no).alias("near_intersection"), F.coalesce("stop", no).alias("stop_sign"))
+    return s.select("agent", "frame", "x").join(flags, "x", "left").select("agent", "frame", F.coalesce("hit", no).alias("near_intersection"), F.coalesce("stop", no).alias("stop_sign"))
 
 
 @query("fct_14_pair_record", _FRAME_PAIRS + " SELECT a, b, count(*) AS common, min(distance) AS closest, CASE WHEN count(*) < 2 THEN 'insufficient' WHEN min(distance) <= 2 THEN 'overlap' ELSE 'apart' END AS geometry FROM r WHERE ok GROUP BY a, b")
