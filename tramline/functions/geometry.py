@@ -51,7 +51,8 @@ def tangents(points: Column) -> Column:
 def project(px: Column, py: Column, points: Column) -> Column:
     """The nearest place of a polyline as (distance, segment, s, d, heading): its arc length, signed offset (left positive), direction.
 
-    The first of equally near segments. Null where the position is, or without a segment.
+    The first of equally near segments: distances count as equal to nine decimals, as two segments at their common point differ by
+    the rounding of their parts. Null where the position is, or without a segment.
     """
 
     def laid(seg: Column) -> Column:
@@ -65,7 +66,7 @@ def project(px: Column, py: Column, points: Column) -> Column:
 
     def measured(q: Column, i: Column) -> Column:
         away = F.hypot(px - (q["ax"] + q["t"] * q["dx"]), py - (q["ay"] + q["t"] * q["dy"]))
-        return F.struct(away.alias("distance"), i.alias("segment"), (q["t"] * q["h"]).alias("along"), cross(q["dx"], q["dy"], px - q["ax"], py - q["ay"]).alias("side"), F.atan2(q["dy"], q["dx"]).alias("heading"))
+        return F.struct(F.round(away, 9).alias("near"), i.alias("segment"), away.alias("distance"), (q["t"] * q["h"]).alias("along"), cross(q["dx"], q["dy"], px - q["ax"], py - q["ay"]).alias("side"), F.atan2(q["dy"], q["dx"]).alias("heading"))
 
     pieces = segments(points)
     best = F.array_min(F.transform(F.transform(F.transform(pieces, laid), placed), measured))
