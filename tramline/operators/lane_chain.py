@@ -155,12 +155,12 @@ def circular_median(degrees: Column) -> Column:
     return F.when(n > 0, F.round(F.pmod(middle, F.lit(360.0)), 3))
 
 
-def route_transitions(stable: DataFrame, changes: DataFrame, lanes: DataFrame, entity: list[str], group: str = "stable_group") -> DataFrame:
+def route_transitions(stable: DataFrame, changes: DataFrame, lanes: DataFrame, entity: list[str], group: str = "stable_group", digits: int = 3) -> DataFrame:
     """(entity, transition_frame, lane_before, lane_after, incoming, outgoing, change, primary): continuations only.
 
     The headings are circular medians over up to HEADING_FRAMES frames before and from the transition, in its two runs, where the frame is
     valid, surely matched and in the run's continuous lane (also by ``group``, the stabilised one of ``stable``). The primary one
-    has the largest change of heading; the earliest of equals.
+    has the largest change of heading, as rounded to ``digits``; the earliest of equals.
     """
     c = changes.where("relation = 'continuation'").select(*entity, "transition_frame", "from_frame", "to_frame", F.col("from_group").alias("lane_before"), F.col("to_group").alias("lane_after"))
     side = F.explode(F.array(F.struct(F.lit("in").alias("side"), F.col("lane_before").alias("want")), F.struct(F.lit("out").alias("side"), F.col("lane_after").alias("want"))))
@@ -172,6 +172,6 @@ def route_transitions(stable: DataFrame, changes: DataFrame, lanes: DataFrame, e
     heading = hit.select(*entity, "transition_frame", "side", "_k", lane_heading(F.col("x"), F.col("y"), F.col("points")).alias("h"))
     of = lambda s: circular_median(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("_k", "h")))), lambda v: v["h"]))
     found = heading.groupBy(*entity, "transition_frame").agg(of("in").alias("incoming"), of("out").alias("outgoing"))
-    j = c.join(found, [*entity, "transition_frame"], "left").withColumn("change", F.round(F.degrees(g.wrap(F.radians(F.col("outgoing") - F.col("incoming")))), 3))
+    j = c.join(found, [*entity, "transition_frame"], "left").withColumn("change", F.round(F.degrees(g.wrap(F.radians(F.col("outgoing") - F.col("incoming")))), digits))
     best = F.row_number().over(Window.partitionBy(*entity).orderBy(F.coalesce(F.abs("change"), F.lit(-1.0)).desc(), "transition_frame")) == 1
     return j.select(*entity, "transition_frame", "lane_before", "lane_after", "incoming", "outgoing", "change", best.alias("primary"))
