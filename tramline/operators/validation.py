@@ -135,10 +135,15 @@ def pair_facts_errors(text: Column, agent_a: Column, agent_b: Column) -> Column:
 
     Text that is null or no JSON (NaN is none) has the one error not_json_safe. Parts that are missing are told, and so is what they lack.
     """
-    r = _Record(F.try_parse_json(text))
-    version, value = r.get("schema_version", "string"), r.get("schema_version")
-    shown = F.when(version.isNull(), "None").when(F.schema_of_variant(value) == "STRING", F.concat(F.lit("'"), version, F.lit("'"))).otherwise(version)
-    head = [F.when(~F.coalesce(version == SCHEMA_VERSION, F.lit(False)), F.concat(F.lit("schema_version="), shown)), *[F.when(~r.is_object(k), f"missing {k}") for k in ("pair", "physical_facts")]]
-    part = lambda messages: F.array_compact(F.array(*messages))
-    found = F.concat(part(head), part(_agent(r, "agent_A", agent_a)), _transitions(r, "agent_A"), part(_agent(r, "agent_B", agent_b)), _transitions(r, "agent_B"), part(_pair(r)))
-    return F.when(F.try_parse_json(text).isNull(), F.array(F.lit("not_json_safe"))).otherwise(found)
+
+    def told(value: Column) -> Column:
+        r = _Record(value)
+        version, found = r.get("schema_version", "string"), r.get("schema_version")
+        shown = F.when(version.isNull(), "None").when(F.schema_of_variant(found) == "STRING", F.concat(F.lit("'"), version, F.lit("'"))).otherwise(version)
+        head = [F.when(~F.coalesce(version == SCHEMA_VERSION, F.lit(False)), F.concat(F.lit("schema_version="), shown)), *[F.when(~r.is_object(k), f"missing {k}") for k in ("pair", "physical_facts")]]
+        part = lambda messages: F.array_compact(F.array(*messages))
+        errors = F.concat(part(head), part(_agent(r, "agent_A", agent_a)), _transitions(r, "agent_A"), part(_agent(r, "agent_B", agent_b)), _transitions(r, "agent_B"), part(_pair(r)))
+        return F.when(value.isNull(), F.array(F.lit("not_json_safe"))).otherwise(errors)
+
+    # a function's argument is evaluated once, an expression as often as it is named
+    return F.get(F.transform(F.array(F.try_parse_json(text)), told), 0)
