@@ -49,15 +49,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage with files that survive the loss of executors, and gives Catalyst the real size, so that a join
-    with it is broadcast only if that size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    with it is broadcast only if that size is under ``spark.sql.autoBroadcastJoinThreshold``. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,9 @@ from .common import bound_batches, materialize, tidy
 BLOCK_DOCS = 64
 #: Bytes of query text that one search pass takes, and one query more.
 QUERY_BYTES = 4 << 20
+#: Blocks of a row group of the written index. Writers hold a row group and readers decode up to 4,096 rows of one at once; a block may
+#: have a megabyte, so without this bound a task's memory grows with its share of the documents.
+GROUP = {"parquet.block.row.count.limit": "16", "parquet.block.size": str(8 << 20)}
 #: The scale of impacts, and the parameters of the length norm, in hundredths.
 SCALE, SATURATION, FLAT, LENGTH = 1_000_000_000, 12, 75, 25
 
@@ -101,6 +104,10 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(build), INDEX)
 
 
+def written_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+    return materialize(build_index(docs, n_docs, n_terms), "lexical", **GROUP)
+
+
 def _query_blocks(queries: DataFrame) -> Iterator[list[tuple]]:
     """Distinct (item_id, text) with a term, in lists of QUERY_BYTES and one more at most: read partition by partition."""
     held, size = [], 0
@@ -282,7 +289,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     n_docs, n_terms = corpus_size(docs)
     found = None
     if n_docs:
-        index = materialize(build_index(docs, n_docs, n_terms), "lexical")
+        index = written_index(docs, n_docs, n_terms)
         for block in _query_blocks(queries):
             part = _search_block(spark, index, block, n_docs, k)
             found = part if found is None else found.unionByName(part)
