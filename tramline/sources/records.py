@@ -330,9 +330,13 @@ def scenario_places(records: DataFrame, number: int = SCENARIO_ID) -> DataFrame:
     return ids.groupBy("scenario_id").agg(F.max(F.struct("source_file", "record_index", "offset")).alias("p")).select("scenario_id", "p.*")
 
 
-class _Batch(InputPartition):
-    def __init__(self, path: str, batch: int):
-        self.path, self.batch = path, batch
+#: Bytes of record batches that a task reads, one after the other, or a batch that has more.
+PARTITION_BYTES = 4 << 20
+
+
+class _Batches(InputPartition):
+    def __init__(self, path: str, first: int, last: int):
+        self.path, self.first, self.last = path, first, last
 
 
 def _scene_of(path: str) -> str:
@@ -351,24 +355,28 @@ class _SceneReader(DataSourceReader):
         for p in first.values():
             store, name = _open(p)
             with store.open_input_file(name) as f:
-                out += [_Batch(p, i) for i in range(pa.ipc.open_file(f).num_record_batches)]
+                n = pa.ipc.open_file(f).num_record_batches
+                step = max(1, PARTITION_BYTES * n // f.size())
+            out += [_Batches(p, i, min(i + step, n)) for i in range(0, n, step)]
         return out
 
     def read(self, partition):
-        store, name = _open(partition.path)
-        with store.open_input_file(name) as f:
-            batch = pa.ipc.open_file(f).get_batch(partition.batch)
-        own = [n for n in self.schema.names if n not in ("scene", "source_file")]
-        lost = sorted(set(own) - set(batch.schema.names))
-        if lost:
-            raise ValueError(f"{partition.path}: columns are missing: {lost}")
-        n = batch.num_rows
-        arrays = {c: batch.column(c) for c in own} | {"scene": pa.array([_scene_of(partition.path)] * n, pa.string()), "source_file": pa.array([partition.path] * n, pa.string())}
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(self.schema)
+        own = [n for n in self.schema.names if n not in ("scene", "source_file")]
         cast = lambda a, t: a.dictionary_decode().cast(t) if pa.types.is_dictionary(a.type) else a.cast(t)
-        yield pa.RecordBatch.from_arrays([cast(arrays[c], kinds.field(c).type) for c in self.schema.names], names=self.schema.names)
+        store, name = _open(partition.path)
+        with store.open_input_file(name) as f:
+            file = pa.ipc.open_file(f)
+            lost = sorted(set(own) - set(file.schema.names))
+            if lost:
+                raise ValueError(f"{partition.path}: columns are missing: {lost}")
+            for i in range(partition.first, partition.last):
+                batch = file.get_batch(i)
+                n = batch.num_rows
+                arrays = {c: batch.column(c) for c in own} | {"scene": pa.array([_scene_of(partition.path)] * n, pa.string()), "source_file": pa.array([partition.path] * n, pa.string())}
+                yield pa.RecordBatch.from_arrays([cast(arrays[c], kinds.field(c).type) for c in self.schema.names], names=self.schema.names)
 
 
 class SceneFiles(DataSource):
