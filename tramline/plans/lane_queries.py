@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -29,10 +28,8 @@ def _(spark, d):
 def _(spark, d):
     path = shared_path(spark, "src_12")
     s = table(spark, d, "supplier").select("s_suppkey", "s_name")
-    size = 50
-    for number in range(s.agg(F.max("s_suppkey")).first()[0] // size + 1):
-        files.append_batch(files.batch_of(s, "s_suppkey", 0, size, number), path)
-    return spark.read.parquet(path)
+    files.append_batches(s, "s_suppkey", 0, 50, path)
+    return spark.read.schema(s.schema).parquet(path)
 
 
 @query("grf_01_lane_map", "SELECT s_nationkey AS scenario_id, s_suppkey AS lane_id, 2 AS points FROM supplier WHERE s_suppkey % 3 <> 0 AND s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 <> 0)")
@@ -142,14 +139,18 @@ _SQUARE = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.D
 
 
 @pandas_udf(_SQUARE)
-def _hits(lines: pd.Series, edge: pd.Series) -> pd.DataFrame:
+def _flat_hits(lines: pd.Series, edge: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(lines, edge):
-        p = k.crossings(np.array([[q["x"], q["y"]] for q in a], dtype=float), np.array([[q["x"], q["y"]] for q in b], dtype=float))
+        p = k.crossings(tracks.pairs_of(a), tracks.pairs_of(b))
         out.append((len(p), *(p[0].tolist() if len(p) else (None, None))))
     return pd.DataFrame(out, columns=["n", "x", "y"])
 
 
+def _hits(lines: str, edge):
+    return _flat_hits(tracks.flat(F.col(lines)), tracks.flat(edge))
+
+
 def _edge(y: float):
     return F.array(F.struct(F.lit(-1e4).alias("x"), F.lit(y).alias("y")), F.struct(F.lit(1e4).alias("x"), F.lit(y).alias("y")))
 

@@ -95,6 +95,17 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_batches(df: DataFrame, ordinal: str, start: int, size: int, path: str) -> None:
+    """All batches of ``size`` contiguous ordinals from ``start``, each a folder ``batch=n``, in one job over ``df``.
+
+    Rows go to their batch by one shuffle and a task holds one file at a time; so the work grows with the rows and not with
+    rows times batches. Ordinals before ``start`` or unknown are in no batch.
+    """
+    number = F.floor((F.col(ordinal) - start) / size)
+    b = df.where(F.col(ordinal) >= start).withColumn("batch", number).repartition("batch").sortWithinPartitions("batch", ordinal)
+    b.write.mode("append").partitionBy("batch").parquet(path)
+
+
 def unfinished(work: DataFrame, done: DataFrame, key: str, expected: str) -> DataFrame:
     """Work items whose output doesn't hold as many rows as expected."""
     complete = done.groupBy(key).agg(F.count("*").alias("_n"))
