@@ -108,22 +108,34 @@ def matched_lanes(df: DataFrame, lanes: DataFrame, scene: str, entity: str, orde
 @pandas_udf(T.DoubleType())
 def box_overlap(ax: pd.Series, ay: pd.Series, ah: pd.Series, bx: pd.Series, by: pd.Series, bh: pd.Series, length: pd.Series, width: pd.Series) -> pd.Series:
     """Shared area of two oriented boxes of one size."""
-    rows = zip(ax, ay, ah, bx, by, bh, length, width)
-    return pd.Series([k.overlap_area(k.box(x, y, h, n, w), k.box(u, v, g, n, w)) if np.hypot(x - u, y - v) <= np.hypot(n, w) else 0.0 for x, y, h, u, v, g, n, w in rows])
+    rows = pd.DataFrame({"ax": ax, "ay": ay, "ah": ah, "bx": bx, "by": by, "bh": bh, "n": length, "w": width}).astype(float)
+    place, cases = pd.factorize(pd.MultiIndex.from_frame(rows), use_na_sentinel=False)  # boxes that lie alike are cut once
+    found = [k.overlap_area(k.box(x, y, h, n, w), k.box(u, v, g, n, w)) if np.hypot(x - u, y - v) <= np.hypot(n, w) else 0.0 for x, y, h, u, v, g, n, w in cases]
+    return pd.Series(np.array(found, dtype=float)[place])
 
 
-def _points(v) -> np.ndarray:
-    return np.array([[p["x"], p["y"]] for p in v], dtype=float).reshape(-1, 2)
+def flat(points: Column) -> Column:
+    """The coordinates of a polyline as one array x, y, x, y: a Python task gets it as numbers and not as an object a point."""
+    return F.flatten(F.transform(points, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
 
 
-@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "way_a", "way_b")]))
-def conflict(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+def pairs_of(v) -> np.ndarray:
+    """The points of ``flat``; an unknown coordinate is NaN."""
+    return np.asarray(v, dtype=float).reshape(-1, 2)
+
+
+def conflict(a: Column | str, b: Column | str) -> Column:
     """Where two paths meet, and how far along each; nulls where they don't."""
-    out = []
-    for p, q in zip(a, b):
-        hit = k.conflict_point(_points(p), _points(q))
-        out.append((None,) * 4 if hit is None else (float(hit[0][0]), float(hit[0][1]), hit[1], hit[2]))
-    return pd.DataFrame(out, columns=["x", "y", "way_a", "way_b"])
+
+    @pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "way_a", "way_b")]))
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, q in zip(a, b):
+            hit = k.conflict_point(pairs_of(p), pairs_of(q))
+            out.append((None,) * 4 if hit is None else (float(hit[0][0]), float(hit[0][1]), hit[1], hit[2]))
+        return pd.DataFrame(out, columns=["x", "y", "way_a", "way_b"])
+
+    return run(*(flat(F.col(c) if isinstance(c, str) else c) for c in (a, b)))
 
 
 @pandas_udf(T.DoubleType())
@@ -169,14 +181,24 @@ def speed_episodes(df: DataFrame, entity: str, order: str, speed: str, dt: float
     return df.select(entity, order, speed).groupBy(entity).applyInPandas(run, f"{entity} long, start_frame long, end_frame long, sign int")
 
 
-def deduped_segments(df: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, start_frame, end_frame, kind) rows that the greedy duplicate rule keeps, in ``order``."""
+def deduped_segments(df: DataFrame, key: str, order: str, share: float = 0.8) -> DataFrame:
+    """The rows (key, order, start_frame, end_frame, kind) that the greedy duplicate rule keeps, in ``order``: see ``kernels.dedupe_segments``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.iloc[k.dedupe_segments(list(zip(pdf.start_frame, pdf.end_frame, pdf.kind)))]
+    Only segments of one kind are duplicates, so a key's kinds are groups of their own.
+    """
+    own = [order, *(c for c in df.columns if c not in (key, order, "kind"))]
+    size = lambda s: s["end_frame"] - s["start_frame"] + 1
+
+    def same(q: Column, s: Column) -> Column:
+        common = F.least(q["end_frame"], s["end_frame"]) - F.greatest(q["start_frame"], s["start_frame"]) + 1
+        return F.coalesce(common >= share * F.least(size(q), size(s)), F.lit(False))
+
+    def step(kept: Column, s: Column) -> Column:
+        return F.when(F.exists(kept, lambda q: same(q, s)), kept).otherwise(F.concat(kept, F.array(s)))
 
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    g = df.groupBy(key, "kind").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("_s"))
+    kept = F.aggregate("_s", F.filter("_s", lambda s: F.lit(False)), step)
+    return g.select(key, "kind", F.explode(kept).alias("_r")).select(key, "kind", "_r.*").select(*df.columns)
 
 
 def generated(rows: DataFrame, client, schema: str, tries: int = 3, wait: float = 3.0) -> DataFrame:
