@@ -35,7 +35,7 @@ def test_small_record_batches_share_a_partition(tmp_path):
     t = pa.table({"agent_id": list(range(1000))})
     with pa.OSFile(str(tmp_path / "s" / "agent_data_dt0.10.feather"), "wb") as f, pa.ipc.new_file(f, t.schema) as w:
         w.write_table(t, max_chunksize=5)
-    parts = records._SceneReader({"path": str(tmp_path)}, None).partitions()
+    parts = records._SceneReader({"path": str(tmp_path), "partitionBytes": records.PARTITION_BYTES}, None).partitions()
     assert [(p.first, p.last) for p in parts] == [(0, 200)]
 
 

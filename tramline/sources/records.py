@@ -330,7 +330,7 @@ def scenario_places(records: DataFrame, number: int = SCENARIO_ID) -> DataFrame:
     return ids.groupBy("scenario_id").agg(F.max(F.struct("source_file", "record_index", "offset")).alias("p")).select("scenario_id", "p.*")
 
 
-#: Bytes of record batches that a task reads, one after the other, or a batch that has more.
+#: Bytes of record batches that a task of ``scenes`` reads, one after the other, or a batch that has more.
 PARTITION_BYTES = 4 << 20
 
 
@@ -346,6 +346,7 @@ def _scene_of(path: str) -> str:
 class _SceneReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.pattern, self.schema = options["path"], options.get("pattern", "agent_data_dt*.feather"), schema
+        self.bytes = int(options.get("partitionBytes", 0))
 
     def partitions(self):
         first = {}
@@ -356,7 +357,7 @@ class _SceneReader(DataSourceReader):
             store, name = _open(p)
             with store.open_input_file(name) as f:
                 n = pa.ipc.open_file(f).num_record_batches
-                step = max(1, PARTITION_BYTES * n // f.size())
+                step = max(1, self.bytes * n // f.size())
             out += [_Batches(p, i, min(i + step, n)) for i in range(0, n, step)]
         return out
 
@@ -380,7 +381,8 @@ class _SceneReader(DataSourceReader):
 
 
 class SceneFiles(DataSource):
-    """format("scene_files"): a folder of scene folders; the first file by name of each is its scene. Options path, pattern. Needs a schema."""
+    """format("scene_files"): a folder of scene folders; the first file by name of each is its scene. Options path, pattern,
+    partitionBytes (what a task reads of consecutive batches; a batch by default). Needs a schema."""
 
     @classmethod
     def name(cls):
@@ -397,7 +399,7 @@ def scenes(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(scene, source_file, the columns of ``schema``), sorted by (scene, agent_id, scene_ts). A file without one of the columns is an error
     that names them; columns beside these aren't read."""
     spark.dataSource.register(SceneFiles)
-    df = spark.read.format("scene_files").schema(f"scene string, source_file string, {schema}").load(path)
+    df = spark.read.format("scene_files").schema(f"scene string, source_file string, {schema}").option("partitionBytes", PARTITION_BYTES).load(path)
     return df.orderBy("scene", "agent_id", "scene_ts")
 
 
