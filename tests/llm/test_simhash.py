@@ -269,6 +269,50 @@ def test_wide_group_at_the_threshold(spark):
     assert got == want
 
 
+def edited(n, seed, length, edits):
+    """Copies of one text, each with ``edits`` words of its own."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        copy = [f"w{j}" for j in range(length)]
+        for at in rng.sample(range(0, length, 6), edits(rng)):
+            copy[at] = f"x{rng.getrandbits(30)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def written(spark, rows, monkeypatch):
+    """Rows of every table that the operator writes; and its result."""
+    sizes, write = defaultdict(list), simhash.materialize
+
+    def counted(df, tag, **options):
+        out = write(df, tag, **options)
+        sizes[tag].append(out.count())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "materialize", counted)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(documents(spark, rows)).collect()}
+    return sizes, got
+
+
+def test_wide_group_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Nearly all of half a million pairs are doubtful and fail by their shingles: rows stay within those of the index."""
+    sizes, got = written(spark, edited(1000, 4, 800, lambda rng: 12), monkeypatch)
+    assert len(set(got.values())) > 500
+    assert max(n for tag, found in sizes.items() for n in found) <= sizes["met"][0] <= 1000 * 20 * len(simhash.TRIPLES)
+
+
+def test_wide_blocks_keep_all_links(spark, monkeypatch):
+    rows = edited(200, 22, 400, lambda rng: rng.randrange(3, 12))
+    _, want = written(spark, rows, monkeypatch)
+    assert 1 < len(set(want.values())) < 150
+    monkeypatch.setattr(simhash, "LIST_BLOCK", 30)
+    monkeypatch.setattr(simhash, "LIST_BYTES", 20_000)
+    _, got = written(spark, rows, monkeypatch)
+    assert got == want
+
+
 def test_wide_repeats_dont_weigh(spark):
     line = " ".join(f"l{i}" for i in range(10))
     own = lambda x: " ".join(f"{x}{i}" for i in range(104))

@@ -21,6 +21,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -349,71 +350,107 @@ def _first_list(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
     return out
 
 
-def _wide_verify(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted (group, side, across, cid, fp, key, comp) -> (a, b, bits) of pairs in different components ``comp``.
-
-    With ``nearest`` a forest of the pairs at ``sure`` or fewer differing bits, with bits 0, and of the pairs up to ``most``
-    between its trees those with the fewest bits of either end; else all of the latter. These come from the first list they
-    meet in, with their bits."""
+def _wide_pairs(t: pa.Table, words: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole lists (group, side, across, cid, fp, ...) -> fingerprints, and row numbers and differing bits of pairs up to ``most``."""
+    group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
+    across = t.column(2).to_numpy(zero_copy_only=False)
+    x = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint64).reshape(len(group), words)
+    starts, sizes = runs(group)
+    size_of = np.repeat(sizes, sizes)
+    lefts, rights, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.nonzero((size_of > 1) & (size_of <= MATRIX))[0]
+    for d in range(1, int(sizes[sizes <= MATRIX].max(initial=1))):
+        i, j = rows[:-d], rows[d:]
+        same = (group[i] == group[j]) & (~across[i] | (side[i] != side[j]))
+        i, j = i[same], j[same]
+        for s in range(0, len(i), 100_000):
+            a, b = i[s : s + 100_000], j[s : s + 100_000]
+            far = np.bitwise_count(x[a] ^ x[b]).sum(axis=1)
+            ok = far <= most
+            lefts.append(a[ok])
+            rights.append(b[ok])
+            bits.append(far[ok])
+    for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
+        own = np.arange(s, s + n)
+        for p in range(0, n, 512):
+            for q in range(p, n, 512):
+                i, j = own[p : p + 512], own[q : q + 512]
+                far = np.zeros((len(i), len(j)), dtype=np.int32)
+                for w in range(words):
+                    far += np.bitwise_count(x[i, w][:, None] ^ x[j, w][None, :])
+                r, c = np.nonzero(far <= most)
+                bits_here = far[r, c]
+                r, c = i[r], j[c]
+                ok = (r < c) & (~across[r] | (side[r] != side[c]))
+                lefts.append(r[ok])
+                rights.append(c[ok])
+                bits.append(bits_here[ok])
+    return x, np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits).astype(np.int64)
+
+
+def _clear_links(batches: Iterator[pa.RecordBatch], words: int, sure: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (group, side, across, cid, fp, key) -> (clear, a, b), at most two for each row.
+
+    Clear: a forest of the pairs at ``sure`` or fewer differing bits. Else a class ``a`` with a pair up to ``most`` bits
+    between two trees, and the key ``b`` of the first list that this pair meets in."""
     for t in whole_runs(batches):
-        group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
-        across, cid = t.column(2).to_numpy(zero_copy_only=False), t.column(3).to_numpy()
-        x = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint64).reshape(len(group), words)
-        starts, sizes = runs(group)
-        size_of = np.repeat(sizes, sizes)
-        lefts, rights, bits = [], [], []
-        rows = np.nonzero((size_of > 1) & (size_of <= MATRIX))[0]
-        for d in range(1, int(sizes[sizes <= MATRIX].max(initial=1))):
-            i, j = rows[:-d], rows[d:]
-            same = (group[i] == group[j]) & (~across[i] | (side[i] != side[j]))
-            i, j = i[same], j[same]
-            for s in range(0, len(i), 100_000):
-                a, b = i[s : s + 100_000], j[s : s + 100_000]
-                far = np.bitwise_count(x[a] ^ x[b]).sum(axis=1)
-                ok = far <= most
-                lefts.append(a[ok])
-                rights.append(b[ok])
-                bits.append(far[ok])
-        for s, n in zip(starts[sizes > MATRIX], sizes[sizes > MATRIX]):
-            own = np.arange(s, s + n)
-            for p in range(0, n, 512):
-                for q in range(p, n, 512):
-                    i, j = own[p : p + 512], own[q : q + 512]
-                    far = np.zeros((len(i), len(j)), dtype=np.int32)
-                    for w in range(words):
-                        far += np.bitwise_count(x[i, w][:, None] ^ x[j, w][None, :])
-                    r, c = np.nonzero(far <= most)
-                    bits_here = far[r, c]
-                    r, c = i[r], j[c]
-                    ok = (r < c) & (~across[r] | (side[r] != side[c]))
-                    lefts.append(r[ok])
-                    rights.append(c[ok])
-                    bits.append(bits_here[ok])
-        if lefts:
-            left, right, far = np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits)
-            near = far <= sure
-            own, row = np.unique(cid, return_inverse=True)  # a class has a row in each of its lists
-            root = forest(len(own), row[left[near]], row[right[near]])
-            apart = (root != np.arange(len(own))) & nearest
-            comp = t.column(6).to_numpy()
-            between = np.nonzero(~near & (root[row[left]] != root[row[right]]) & (comp[left] != comp[right]))[0]
-            place = t.column(5).to_numpy() >> 24
-            between = between[_first_list(x, left[between], right[between]) == place[left[between]]]
-            if nearest:
-                ends, both = np.concatenate([row[left[between]], row[right[between]]]), np.concatenate([between, between])
-                order = np.lexsort((both, far[both], ends))
-                between = np.unique(both[order[runs(ends[order])[0]]]) if len(ends) else between
-            a, b = np.concatenate([own[apart], cid[left[between]]]), np.concatenate([own[root[apart]], cid[right[between]]])
-            count = np.concatenate([np.zeros(int(apart.sum()), np.int64), far[between].astype(np.int64)])
-            a, b, count = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), count]), axis=1)
-            count = count.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count)], names=["a", "b", "bits"])
+        x, left, right, far = _wide_pairs(t, words, most)
+        cid, key = t.column(3).to_numpy(), t.column(5).to_numpy()
+        near = far <= sure
+        own, row = np.unique(cid, return_inverse=True)  # a class has a row in each of its lists
+        root = forest(len(own), row[left[near]], row[right[near]])
+        apart = root != np.arange(len(own))
+        between = np.nonzero(~near & (root[row[left]] != root[row[right]]))[0]
+        left, right = left[between], right[between]
+        first = _first_list(x, left, right) == key[left] >> 24
+        ends = np.unique(np.concatenate([left[first], right[first]]))
+        a, b = np.concatenate([own[apart], cid[ends]]), np.concatenate([own[root[apart]], key[ends]])
+        clear = np.arange(len(a)) < int(apart.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(clear), pa.array(a), pa.array(b)], names=["clear", "a", "b"])
+
+
+def _doubtful_links(batches: Iterator[pa.RecordBatch], words: int, most: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Sorted (group, side, across, cid, fp, key, comp, s) -> (a, b): links between components ``comp`` of which a pair up to
+    ``most`` bits reaches the similarity by its shingles ``s``.
+
+    A pair is looked at in the first list it meets in. Those with fewer bits go first, and what they link is not asked again,
+    so that there are fewer links than rows, however many pairs."""
+    for t in whole_runs(batches):
+        x, left, right, far = _wide_pairs(t, words, most)
+        key, sets = t.column(5).to_numpy(), t.column(7).chunk(0)
+        own, comp = np.unique(t.column(6).to_numpy(), return_inverse=True)
+        n = pc.binary_length(sets).to_numpy() // 8
+        fit = (comp[left] != comp[right]) & (np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9)
+        left, right, far = left[fit], right[fit], far[fit]
+        first = _first_list(x, left, right) == key[left] >> 24
+        order = np.nonzero(first)[0][np.argsort(far[first], kind="stable")]
+        left, right = left[order], right[order]
+        root = np.arange(len(own))
+        for s in range(0, len(left), ASKED):
+            i, j = left[s : s + ASKED], right[s : s + ASKED]
+            asked = root[comp[i]] != root[comp[j]]
+            i, j = i[asked], j[asked]
+            ok = np.array([_alike(sets[p].as_buffer(), sets[q].as_buffer(), similarity) for p, q in zip(i.tolist(), j.tolist())], dtype=bool)
+            if ok.any():
+                nodes = np.arange(len(own))
+                root = forest(len(own), np.concatenate([nodes, comp[i[ok]]]), np.concatenate([root, comp[j[ok]]]))
+        apart = root != np.arange(len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[root[apart]])], names=["a", "b"])
+
+
+def _alike(a: pa.Buffer, b: pa.Buffer, similarity: float) -> bool:
+    """Do two sorted sets of hashes reach the similarity?"""
+    p, q = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common >= similarity * (len(p) + len(q) - common) - 1e-9
 
 
 WIDE_WORDS = 20
 #: Standard errors below and above the threshold's differing bits within which a pair is checked against the shingles.
 DOUBT = (3.5, 3.5)
 LIST_BLOCK = 1024
+LIST_BYTES = 8 << 20  # of shingle sets in a block of a list
+ASKED = 512  # pairs between two looks at what is linked by now
 
 
 def differing_share(similarity: float) -> float:
@@ -453,65 +490,38 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
     error = math.sqrt(share * (1 - share) / (64 * words))
     sure, most = int((share - DOUBT[0] * error) * 64 * words), int((share + DOUBT[1] * error) * 64 * words)
 
-    def meetings(posts: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
-        """(a, b, bits) of the lists of ``posts``; ``known``: (cid, fp, comp)."""
-        split = posts.join(known, "cid").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
-        split = split.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def lists(posts: DataFrame, *more: str) -> DataFrame:
+        """Rows (group, side, across, cid, fp, key, ...) sorted by group: a list of ``blocks``, or two blocks of it."""
+        split = posts.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         low, high = F.least("side", "other"), F.greatest("side", "other")
-        grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key", "comp")
-        found = grouped.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(lambda it: _wide_verify(it, words, sure, most, nearest)), "a long, b long, bits int")
-        return materialize(found, "wide_edges")
+        grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key", *more)
+        return grouped.repartition("group").sortWithinPartitions("group")
 
-    edges = meetings(met, classes.select("cid", "fp", F.col("cid").alias("comp")), True)
-    links = edges.where("bits = 0").select("a", "b")
+    blocks = lambda size, most: F.ceil(F.col(size) / most).cast("int")
+    posted = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", blocks("n", LIST_BLOCK))
+    found = materialize(lists(posted).mapInArrow(tidy(lambda it: _clear_links(it, words, sure, most)), "clear boolean, a long, b long"), "wide_edges")
+    links = found.where("clear").select("a", "b")
     roots = materialize(connected_components(links), "roots")
-    left = materialize(edges.where("bits > 0").distinct(), "doubtful")
+    left = found.where("not clear").select(F.col("a").alias("cid"), F.col("b").alias("key")).distinct()
+    left = materialize(left.join(roots, left["cid"] == roots["node"], "left").select("cid", "key", F.coalesce("root", "cid").alias("comp")), "doubtful")
     if not left.isEmpty():
+        # a list within one component is settled; the rest goes with its shingles
+        open_lists = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        left = materialize(left.join(open_lists, "key", "left_semi"), "doubtful")
         sets = _shingle_sets(docs, left, classes.select("cid", "least"), n)
-        roots = _settled(left, roots, sets, similarity)
-        # each end of a doubtful pair is the end of a nearest one; all its pairs that still lie between components come now
-        ends = materialize(left.select(F.col("a").alias("cid")).union(left.select("b")).distinct(), "ends")
-        known = classes.join(ends, "cid", "left_semi").join(roots, F.col("cid") == roots["node"], "left").select("cid", "fp", F.coalesce("root", "cid").alias("comp"))
-        roots = _linked(meetings(met.join(ends, "cid", "left_semi"), known, False).distinct(), roots, sets, similarity)
+        sized = left.join(sets.select("cid", F.length("s").alias("bytes")), "cid")
+        sizes = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.greatest(F.lit(1), blocks("n", LIST_BLOCK), blocks("bytes", LIST_BYTES)).alias("blocks"))
+        posted = left.join(sizes, "key").join(classes.select("cid", "fp"), "cid").join(sets, "cid")
+        more = lists(posted, "comp", "s").mapInArrow(tidy(lambda it: _doubtful_links(it, words, most, similarity)), "a long, b long")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is connected goes on as one link a node
+        roots = materialize(connected_components(known.unionByName(more)), "roots")
     rooted = classes.join(roots, classes.cid == roots.node, "left").select("fp", "least", F.coalesce("root", "cid").alias("root"))
     ids = materialize(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "ids")
     return rows.join(ids, "fp").select("doc_id", "component_id")
 
 
-def _linked(asked: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``roots`` with what the pairs (a, b, bits) link. What is connected already goes on as one link a node."""
-    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar_pairs(materialize(asked, "asked"), sets, similarity))
-    return materialize(connected_components(links), "roots")
-
-
-def _settled(left: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``roots`` with what the doubtful pairs (a, b, bits) link: the nearest of each end are checked first, twice, then those
-    of the others that lie between components still."""
-    for _ in range(2):
-        asked = _nearest_pairs(left)
-        roots = _linked(asked, roots, sets, similarity)
-        left = materialize(_apart(left.join(asked.select("a", "b"), ["a", "b"], "left_anti"), roots), "doubtful")
-        if left.isEmpty():
-            return roots
-    return _linked(left, roots, sets, similarity)
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those (a, b, bits) whose ends are in different components."""
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "bits")
-
-
-def _nearest_pairs(pairs: DataFrame) -> DataFrame:
-    """The pair with the fewest bits of each end: as many as there are ends at most. Most others lie within a component once
-    these are checked."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    best = both.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """(cid, s binary): the sorted shingle hashes of the classes in ``pairs``, read from their smallest ids' texts."""
+def _shingle_sets(docs: DataFrame, ends: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """(cid, s binary): the sorted shingle hashes of the classes ``cid`` in ``ends``, read from their smallest ids' texts."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -522,29 +532,12 @@ def _shingle_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int)
                 sets.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts)), dtype=">u8").astype(np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "s"])
 
-    needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes, "cid").where("least is not null"), "needed")
+    needed = materialize(ends.select("cid").distinct().join(classes, "cid").where("least is not null"), "needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).join(needed, "least").dropDuplicates(["cid"])
     bound_batches(docs.sparkSession)
     return materialize(texts.select("cid", "text").mapInArrow(tidy(shingles), "cid long, s binary"), "sets")
 
 
-def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose shingle sets reach the similarity."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    bound_batches(pairs.sparkSession)
-    return both.select("a", "b", "sa", "sb").mapInArrow(tidy(check), "a long, b long")
-
-
 def keep_representatives(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """``docs`` with one row of each of the ``groups`` (doc_id, component_id): that with the smallest id; of wholly repeated rows one.
 
