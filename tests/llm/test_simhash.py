@@ -303,6 +303,27 @@ def test_wide_group_makes_no_rows_of_pairs(spark, monkeypatch):
     assert max(n for tag, found in sizes.items() for n in found) <= sizes["met"][0] <= 1000 * 20 * len(simhash.TRIPLES)
 
 
+def test_wide_group_of_near_copies_is_one_list(spark, monkeypatch):
+    """A class of a large group goes with its fingerprint and shingles to the group's blocks, not to each list it is in."""
+    sizes, _ = written(spark, edited(1000, 4, 800, lambda rng: 12), monkeypatch)
+    assert sizes["met"][0] > 50_000 and sizes["wide_edges"][0] <= 25_000 and max(sizes["doubtful"]) <= 10_000
+
+
+def test_wide_merged_lists_keep_all_links(spark, monkeypatch):
+    """Merged or not, with small blocks or one, beside texts that share lists with a part of the group only."""
+    rows = edited(260, 23, 400, lambda rng: rng.randrange(3, 8)) + [(1000 + i, t) for i, t in edited(40, 24, 330, lambda rng: rng.randrange(2, 8))]
+    rows += [(2000 + i, t + " tail" * i + f" own{i}") for i, t in edited(20, 23, 400, lambda rng: 25)]
+    results = []
+    for long, block, most in ((3, 20, 8), (8, 1000, 1), (1 << 40, 128, 8)):
+        monkeypatch.setattr(simhash, "LONG_LIST", long)
+        monkeypatch.setattr(simhash, "GROUP_BLOCK", block)
+        monkeypatch.setattr(simhash, "GROUP_BLOCKS", most)
+        sizes, got = written(spark, rows, monkeypatch)
+        assert (sizes["dense"][0] > 0) == (long < 1 << 40)
+        results.append(got)
+    assert all(r == results[-1] for r in results) and 10 < len(set(results[-1].values())) < 100
+
+
 def test_wide_blocks_keep_all_links(spark, monkeypatch):
     rows = edited(200, 22, 400, lambda rng: rng.randrange(3, 12))
     _, want = written(spark, rows, monkeypatch)

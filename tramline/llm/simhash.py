@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, materialize, tidy
 from .components import connected_components
-from .runs import forest, runs, survivors, whole_runs
+from .runs import forest, runs, whole_runs
 
 SEED = 42
 LIST_LIMIT = 2048
@@ -339,17 +339,66 @@ def _wide_posts(cids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys.reshape(len(fps), -1).ravel(), np.repeat(cids, keys.shape[1] * keys.shape[2])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, cid) -> (key, cid, n, low): members of lists of two or more, with the list's size and its smallest member."""
+    for t in whole_runs(batches):
+        keys, cids = t.column(0).to_numpy(), t.column(1).to_numpy()
+        starts, sizes = runs(keys)
+        keep = np.repeat(sizes > 1, sizes)
+        n, low = np.repeat(sizes, sizes)[keep], np.repeat(np.minimum.reduceat(cids, starts), sizes)[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(cids[keep]), pa.array(n, pa.int64()), pa.array(low)], names=["key", "cid", "n", "low"])
+
+
+def _blocks(size: str, most: int):
+    return F.ceil(F.col(size) / most).cast("long")
+
+
+def _group_blocks(size: str):
+    """A group of lists is dealt in up to ``GROUP_BLOCKS`` small blocks, and in as few as a list where it is large."""
+    return F.greatest(_blocks(size, LIST_BLOCK), F.least(F.lit(GROUP_BLOCKS), _blocks(size, GROUP_BLOCK)))
+
+
+def _merged(met: DataFrame, long: int) -> DataFrame:
+    """(key, cid, n, low) -> (key, cid, blocks): lists of near copies of one text become one of their own, under a negative key.
+
+    Near copies meet in up to all of their lists. Lists of ``long`` members that share some form a group; where its members, each
+    with every block of the group, are no more rows than those of its lists, and its pairs no more than theirs, the group stands
+    for all lists within it, short ones too: it holds all their pairs. Other lists stay as they are.
+    """
+    met = met.withColumn("blocks", _blocks("n", LIST_BLOCK))
+    long_lists = met.where(F.col("n") >= long)
+    lows = long_lists.groupBy("cid").agg(F.min("low").alias("b"), F.collect_set("low").alias("lows"))  # no more of them than keys a class
+    roots = materialize(connected_components(lows.select(F.explode(F.concat(F.array("cid"), "lows")).alias("a"), "b")), "grouped")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    size = members.groupBy("root").agg(F.count("*").alias("size")).withColumn("own_blocks", _group_blocks("size"))
+    lists = long_lists.where("cid = low").groupBy("low").agg(F.sum(F.col("n") * F.col("blocks")).alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    work = lists.join(members, lists["low"] == members["node"]).groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("pairs").alias("pairs"))
+    dense = size.join(work, "root").where("size * own_blocks <= rows and size * size <= pairs").select("root", "own_blocks")
+    grouped = materialize(members.join(dense, "root").select("node", "root", "own_blocks"), "dense")
+    root = F.coalesce("root", F.lit(-1))
+    listed = Window.partitionBy("key")
+    rest = met.join(grouped, met["cid"] == grouped["node"], "left").withColumn("lowest", F.min(root).over(listed)).withColumn("highest", F.max(root).over(listed))
+    rest = rest.where("lowest < 0 or lowest <> highest").select("key", "cid", "blocks")
+    return rest.unionByName(grouped.select((-1 - F.col("root")).alias("key"), F.col("node").alias("cid"), F.col("own_blocks").alias("blocks")))
+
+
 def _first_list(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The number of the first list that each pair of fingerprints meets in."""
+    """The number of the first list that each pair of fingerprints meets in, or -1."""
     out = np.zeros(len(left), dtype=np.int64)
     raw = x.view(np.uint8).reshape(len(x), x.shape[1], 8)
     for s in range(0, len(left), 20_000):
         same = raw[left[s : s + 20_000]] == raw[right[s : s + 20_000]]
-        meets = np.stack([same[:, :, a] & same[:, :, b] & same[:, :, c] for a, b, c in TRIPLES], axis=2)
-        out[s : s + 20_000] = meets.reshape(len(meets), -1).argmax(axis=1)
+        meets = np.stack([same[:, :, a] & same[:, :, b] & same[:, :, c] for a, b, c in TRIPLES], axis=2).reshape(len(same), -1)
+        out[s : s + 20_000] = np.where(meets.any(axis=1), meets.argmax(axis=1), -1)
     return out
 
 
+def _looked_at(x: np.ndarray, key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Is a pair looked at under its key: in a list if that is the first it meets in, in a group of lists if it meets in any?"""
+    first = _first_list(x, left, right)
+    return np.where(key[left] < 0, first >= 0, first == key[left] >> 24)
+
+
 def _wide_pairs(t: pa.Table, words: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whole lists (group, side, across, cid, fp, ...) -> fingerprints, and row numbers and differing bits of pairs up to ``most``."""
     group, side = t.column(0).to_numpy(), t.column(1).to_numpy()
@@ -392,18 +441,25 @@ def _clear_links(batches: Iterator[pa.RecordBatch], words: int, sure: int, most:
     """Sorted (group, side, across, cid, fp, key) -> (clear, a, b), at most two for each row.
 
     Clear: a forest of the pairs at ``sure`` or fewer differing bits. Else a class ``a`` with a pair up to ``most`` bits
-    between two trees, and the key ``b`` of the first list that this pair meets in."""
+    between two trees, and the key ``b`` that this pair is looked at under."""
     for t in whole_runs(batches):
         x, left, right, far = _wide_pairs(t, words, most)
         cid, key = t.column(3).to_numpy(), t.column(5).to_numpy()
         near = far <= sure
         own, row = np.unique(cid, return_inverse=True)  # a class has a row in each of its lists
-        root = forest(len(own), row[left[near]], row[right[near]])
+        listed = near & (key[left] >= 0)
+        root = forest(len(own), row[left[listed]], row[right[listed]])
+        grouped = np.nonzero(near & (key[left] < 0))[0]
+        for s in range(0, len(grouped), 20_000):  # in a group of lists a pair may meet in none
+            at = grouped[s : s + 20_000]
+            at = at[root[row[left[at]]] != root[row[right[at]]]]
+            at = at[_first_list(x, left[at], right[at]) >= 0]
+            root = _joined(root, row[left[at]], row[right[at]])
         apart = root != np.arange(len(own))
         between = np.nonzero(~near & (root[row[left]] != root[row[right]]))[0]
         left, right = left[between], right[between]
-        first = _first_list(x, left, right) == key[left] >> 24
-        ends = np.unique(np.concatenate([left[first], right[first]]))
+        here = _looked_at(x, key, left, right)
+        ends = np.unique(np.concatenate([left[here], right[here]]))
         a, b = np.concatenate([own[apart], cid[ends]]), np.concatenate([own[root[apart]], key[ends]])
         clear = np.arange(len(a)) < int(apart.sum())
         yield pa.RecordBatch.from_arrays([pa.array(clear), pa.array(a), pa.array(b)], names=["clear", "a", "b"])
@@ -413,8 +469,8 @@ def _doubtful_links(batches: Iterator[pa.RecordBatch], words: int, most: int, si
     """Sorted (group, side, across, cid, fp, key, comp, s) -> (a, b): links between components ``comp`` of which a pair up to
     ``most`` bits reaches the similarity by its shingles ``s``.
 
-    A pair is looked at in the first list it meets in. Those with fewer bits go first, and what they link is not asked again,
-    so that there are fewer links than rows, however many pairs."""
+    A pair is looked at once. Those with fewer bits go first, and what they link is not asked again, so that there are fewer
+    links than rows, however many pairs."""
     for t in whole_runs(batches):
         x, left, right, far = _wide_pairs(t, words, most)
         key, sets = t.column(5).to_numpy(), t.column(7).chunk(0)
@@ -422,8 +478,8 @@ def _doubtful_links(batches: Iterator[pa.RecordBatch], words: int, most: int, si
         n = pc.binary_length(sets).to_numpy() // 8
         fit = (comp[left] != comp[right]) & (np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right]) - 1e-9)
         left, right, far = left[fit], right[fit], far[fit]
-        first = _first_list(x, left, right) == key[left] >> 24
-        order = np.nonzero(first)[0][np.argsort(far[first], kind="stable")]
+        here = _looked_at(x, key, left, right)
+        order = np.nonzero(here)[0][np.argsort(far[here], kind="stable")]
         left, right = left[order], right[order]
         root = np.arange(len(own))
         for s in range(0, len(left), ASKED):
@@ -431,13 +487,16 @@ def _doubtful_links(batches: Iterator[pa.RecordBatch], words: int, most: int, si
             asked = root[comp[i]] != root[comp[j]]
             i, j = i[asked], j[asked]
             ok = np.array([_alike(sets[p].as_buffer(), sets[q].as_buffer(), similarity) for p, q in zip(i.tolist(), j.tolist())], dtype=bool)
-            if ok.any():
-                nodes = np.arange(len(own))
-                root = forest(len(own), np.concatenate([nodes, comp[i[ok]]]), np.concatenate([root, comp[j[ok]]]))
+            root = _joined(root, comp[i[ok]], comp[j[ok]])
         apart = root != np.arange(len(own))
         yield pa.RecordBatch.from_arrays([pa.array(own[apart]), pa.array(own[root[apart]])], names=["a", "b"])
 
 
+def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The roots with more pairs linked."""
+    return forest(len(root), np.concatenate([np.arange(len(root)), left]), np.concatenate([root, right])) if len(left) else root
+
+
 def _alike(a: pa.Buffer, b: pa.Buffer, similarity: float) -> bool:
     """Do two sorted sets of hashes reach the similarity?"""
     p, q = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -449,6 +508,8 @@ WIDE_WORDS = 20
 #: Standard errors below and above the threshold's differing bits within which a pair is checked against the shingles.
 DOUBT = (3.5, 3.5)
 LIST_BLOCK = 1024
+LONG_LIST = 16  # members, and six times as many as chance puts into a list: such lists are merged where they overlap
+GROUP_BLOCK, GROUP_BLOCKS = 128, 8
 LIST_BYTES = 8 << 20  # of shingle sets in a block of a list
 ASKED = 512  # pairs between two looks at what is linked by now
 
@@ -477,28 +538,28 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
         for b in batches:
             fps = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(b.num_rows, words)
             keys, cids = _wide_posts(b.column(0).to_numpy(), fps)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cids), pa.array(np.ones(len(keys), dtype=bool))], names=["key", "cid", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cids)], names=["key", "cid"])
 
     bound_batches(spark)
     rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(prints), "doc_id long, fp binary"), "wide")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     bound_batches(spark)
-    posts = classes.select("cid", "fp").mapInArrow(tidy(post), "key long, cid long, own boolean")
+    posts = classes.select("cid", "fp").mapInArrow(tidy(post), "key long, cid long")
     bound_batches(spark)
-    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(survivors), "key long, cid long, n long"), "met")
+    met = materialize(posts.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_met), "key long, cid long, n long, low long"), "met")
     share = differing_share(similarity)
     error = math.sqrt(share * (1 - share) / (64 * words))
     sure, most = int((share - DOUBT[0] * error) * 64 * words), int((share + DOUBT[1] * error) * 64 * words)
 
     def lists(posts: DataFrame, *more: str) -> DataFrame:
         """Rows (group, side, across, cid, fp, key, ...) sorted by group: a list of ``blocks``, or two blocks of it."""
-        split = posts.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        split = posts.withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
         low, high = F.least("side", "other"), F.greatest("side", "other")
         grouped = split.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)).alias("group"), "side", (low != high).alias("across"), "cid", "fp", "key", *more)
         return grouped.repartition("group").sortWithinPartitions("group")
 
-    blocks = lambda size, most: F.ceil(F.col(size) / most).cast("int")
-    posted = met.join(classes.select("cid", "fp"), "cid").withColumn("blocks", blocks("n", LIST_BLOCK))
+    long = LONG_LIST + 6 * classes.count() // (1 << 24)
+    posted = materialize(_merged(met, long), "posted").join(classes.select("cid", "fp"), "cid")
     found = materialize(lists(posted).mapInArrow(tidy(lambda it: _clear_links(it, words, sure, most)), "clear boolean, a long, b long"), "wide_edges")
     links = found.where("clear").select("a", "b")
     roots = materialize(connected_components(links), "roots")
@@ -510,7 +571,9 @@ def similar_components(docs: DataFrame, n: int = 5, similarity: float = 0.8, wor
         left = materialize(left.join(open_lists, "key", "left_semi"), "doubtful")
         sets = _shingle_sets(docs, left, classes.select("cid", "least"), n)
         sized = left.join(sets.select("cid", F.length("s").alias("bytes")), "cid")
-        sizes = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.greatest(F.lit(1), blocks("n", LIST_BLOCK), blocks("bytes", LIST_BYTES)).alias("blocks"))
+        sizes = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+        by_rows = F.when(F.col("key") < 0, _group_blocks("n")).otherwise(_blocks("n", LIST_BLOCK))
+        sizes = sizes.select("key", F.greatest(F.lit(1), by_rows, _blocks("bytes", LIST_BYTES)).alias("blocks"))
         posted = left.join(sizes, "key").join(classes.select("cid", "fp"), "cid").join(sets, "cid")
         more = lists(posted, "comp", "s").mapInArrow(tidy(lambda it: _doubtful_links(it, words, most, similarity)), "a long, b long")
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # what is connected goes on as one link a node
