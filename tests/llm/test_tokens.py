@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,3 +111,47 @@ def test_files_hold_documents(spark):
     token_files.write_files(documents(spark), to, WORDS, 1)
     got = {r["doc_id"]: r["ids"] for r in token_files.read_files(spark, to).collect()}
     assert got[6] == [*words.encode("a b c d e f g", add_special_tokens=False).ids, 1]
+
+
+def test_word_encoder_cuts_and_lowers_as_the_library():
+    e = token_files.encoder(WORDS)
+    letters = "".join(map(chr, range(0x21, 0x250)))
+    odd = ["\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ", " a\tb\x0bC\x0cd\re\n\nf ", "\x1cA\x1d b\x85c", "x\xa0y z w", "w" * 65, ("Ab" * 40 + "! ") * 3, "</w> a</w> a</ </", " ", ""]
+    texts = [*odd, *letters, *(f"{c}x{c}," for c in letters), *(f"a{c}" for c in letters), " ".join(letters), None]
+    column = pa.array(texts, pa.string())
+    want = [words.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for c in (column, column.cast(pa.large_string()), pa.concat_arrays([pa.array(["cut off"]), column, pa.array(["too"])]).slice(1, len(texts))):
+        ids, lengths = e.encode_column(c)
+        assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    for none in ([], [None, ""]):
+        ids, lengths = e.encode_column(pa.array(none, pa.string()))
+        assert len(ids) == 0 and lengths.tolist() == [0] * len(none)
+
+
+def test_word_encoder_learns_once_and_keeps_what_is_used(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_LIMIT", 60)
+    learned = []
+    learn = token_files.WordEncoder._learn_parts
+    monkeypatch.setattr(token_files.WordEncoder, "_learn_parts", lambda self, parts: learned.extend(parts) or learn(self, parts))
+    e = token_files.WordEncoder(WORDS)
+    for batch in range(12):
+        rare = [f"rare{'abcdefghijkl'[batch]}{'abcdefghijklmnopqrst'[i]}" for i in range(20)]
+        texts = ["Common words, Common, common!", " ".join(rare), "4.0 words " * 50]
+        assert [np.frombuffer(x, dtype=e.dtype).tolist() for x in e.encode(texts)] == [words.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [learned.count(w) for w in (b"common", b"words", b",", b"!")] == [1, 1, 1, 1]
+    assert len(learned) == 12 * 20 + 4 and len(e.memory.used) <= 60 + 25
+
+
+def test_files_close_within_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 100)
+    rows = [(i, "a b c " * (i % 40)) for i in range(300)]
+    to = fresh_path(spark, "t")
+    token_files.write_files(documents(spark, rows).coalesce(1), to, WORDS, 1)
+    got = token_files.read_files(spark, to).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*words.encode(t, add_special_tokens=False).ids, 1] for i, t in rows} and len(got) == 300
+    files = {}
+    for r in sorted(got, key=lambda r: r["doc_id"]):
+        files.setdefault((r["part"], r["file"]), []).append(len(r["ids"]))
+    last = {max(f for f in files if f[0] == part) for part, _ in files}
+    assert all(sum(n[:-1]) < 100 <= sum(n) for f, n in files.items() if f not in last)  # the document that reaches the bound closes
+    assert len(files) > 50

@@ -15,15 +15,15 @@ from a sampled set bit by popcounts, so that no table of 64-bit offsets is neede
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in mem
 MEMO_LIMIT = 800_000
 MEMO_BYTES = 64  # longer chunks are forgotten after a batch
 CALL = 128  # chunks in one string: the library takes longer for each in long ones
+STEP = 1 << 20  # pieces that are put together at once
 
 
 class EliasFano:
@@ -149,8 +150,8 @@ class TokenFile:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
 
     def spans(self) -> list[tuple[int, int]]:
-        """All documents' places, one select each."""
-        ends = [self.ends.select(i) for i in range(len(self))]
+        """All documents' places, decoded in one pass over the boundaries."""
+        ends = self.ends.values().tolist()
         return list(zip([0, *ends], ends))
 
     def document(self, i: int) -> np.ndarray:
@@ -158,89 +159,159 @@ class TokenFile:
         return self.ids[a:b]
 
 
+def gather(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The runs ``ids[ends[k] : ends[k + 1]]`` for all k of ``numbers``, one after the other."""
+    out = [ids[:0]]
+    for at in range(0, len(numbers), STEP):
+        begin, end = ends[numbers[at : at + STEP]], ends[numbers[at : at + STEP] + 1]
+        stop = np.cumsum(end - begin)
+        out.append(ids[np.repeat(end - stop, end - begin) + np.arange(stop[-1])])
+    return np.concatenate(out)
+
+
+class Memory:
+    """The ids of remembered pieces of text by their numbers; piece 0 is empty."""
+
+    def __init__(self, dtype: np.dtype):
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.ids = np.zeros(0, dtype)
+        self.ends = np.zeros(2, np.int64)
+        self.used = np.zeros(1, np.int64)
+        self.now = 0
+
+    def find(self, pieces: list[bytes] | np.ndarray, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The numbers of different pieces. What isn't remembered is learned: ``learn`` returns lengths and ids."""
+        found = np.fromiter(map(self.numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.nonzero(found < 0)[0]
+        if len(at):
+            new = [pieces[i] for i in at.tolist()]
+            lengths, ids = learn(new)
+            found[at] = np.arange(len(self.used), len(self.used) + len(at))
+            self.numbers.update(zip(new, found[at].tolist()))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+            self.used = np.concatenate([self.used, np.zeros(len(at), np.int64)])
+        self.used[found] = self.now
+        return found
+
+    def pass_batch(self, limit: int) -> None:
+        """Count the next batch; of more than ``limit`` pieces, forget the half that wasn't used for longest, or more."""
+        self.now += 1
+        if len(self.used) <= limit:
+            return
+        keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        keep[0] = True
+        keep = np.nonzero(keep)[0]
+        pieces = list(self.numbers)
+        self.numbers = {pieces[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, lengths = gather(self.ids, self.ends, keep), np.diff(self.ends)[keep]
+        self.ends, self.used = np.concatenate([[0], np.cumsum(lengths)]), self.used[keep]
+
+
 class WordEncoder:
-    """The tokenizers library behind a memory of white-space separated chunks.
+    """The tokenizers library behind a memory of pieces of white-space separated chunks.
 
     Its normalizer and splitter never join characters over ASCII white space, so a text's ids are those of its chunks in
-    turn. Of chunks that aren't remembered, Latin words with at most punctuation after them have two pre-tokens that need no
-    normalizing but lower case, so the library's model is asked for each alone. The others are encoded by the library in one
-    call, with a mark between them: a zero byte that stands alone is a token of its own. Chunks with a zero byte in them are
-    encoded one by one.
+    turn; a batch's different chunks are looked up once. Latin words with at most punctuation after them have two pre-tokens
+    that need no normalizing but lower case, so the library's model is asked for these, with spaces between them: a pre-token's
+    last token is one that ends a word. The other chunks are encoded by the whole library in one call, with a mark between
+    them: a zero byte that stands alone is a token of its own. Chunks with a zero byte in them are encoded one by one.
     """
 
     MARK = "\0"
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+    PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<after>[!-&(-/:-@\\[-`{-~]*)$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
         mark = self._ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.model = self.tokenizer.model
+        self.memory = Memory(self.dtype)
+        model = self.tokenizer.model
+        if not model.end_of_word_suffix:
+            raise ValueError("the tokenizer's model doesn't mark ends of words")
+        self.words = Tokenizer(model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        vocab = self.words.get_vocab()
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for t, i in vocab.items() if t.endswith(model.end_of_word_suffix)]] = True
         # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
-
-    def _part(self, part: str) -> bytes:
-        """The ids of one pre-token."""
-        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-        found = self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
+        self.alphabet = np.arange(256, dtype="<u2")
+        self.alphabet[others] = 256 + np.arange(len(others))
+        self.alphabet[32] = 32  # it stands between pre-tokens
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Remember the ids of these chunks."""
-        memo, parts, part, rest = self.memo, self.parts, self._part, []
-        if len(parts) > MEMO_LIMIT:
-            parts.clear()
-            parts[""] = b""
-        for w in new:
-            m = self.PLAIN(w.decode()) if len(w) <= MEMO_BYTES else None
-            if m is None:
-                rest.append(w)
-                continue
-            word, after = m[1].lower(), m[2]
-            ids = parts.get(word)
-            more = parts.get(after)
-            memo[w] = (part(word) if ids is None else ids) + (part(after) if more is None else more)
-        plain = [w for w in rest if self.mark is not None and b"\0" not in w]
-        for w in rest if self.mark is None else [w for w in rest if b"\0" in w]:
-            memo[w] = np.array(self._ids(w.decode()), dtype=self.dtype).tobytes()
-        parts = [plain[at : at + CALL] for at in range(0, len(plain), CALL)]
-        joined = [f" {self.MARK} ".encode().join(part).decode() for part in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype=self.dtype)
-            cuts = np.nonzero(ids == self.mark)[0]
+    def _learn_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths and ids of pre-tokens."""
+        joined = [b" ".join(parts[at : at + CALL]) for at in range(0, len(parts), CALL)]
+        shown = [self.alphabet[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le") for raw in joined]
+        ids = np.concatenate([np.array(found.ids, dtype=self.dtype) for found in self.words.encode_batch_fast(shown, add_special_tokens=False)])
+        ends = np.nonzero(self.closing[ids])[0] + 1
+        if len(ends) != len(parts) or ends[-1] != len(ids):
+            raise ValueError("pre-tokens were joined or cut")
+        return np.diff(ends, prepend=0), ids
+
+    def _learn_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths and ids of chunks of any kind."""
+        found: list[np.ndarray] = [None] * len(chunks)
+        marked = [i for i, w in enumerate(chunks) if self.mark is not None and b"\0" not in w]
+        for i in set(range(len(chunks))).difference(marked):
+            found[i] = np.array(self._ids(chunks[i].decode()), dtype=self.dtype)
+        parts = [marked[at : at + CALL] for at in range(0, len(marked), CALL)]
+        joined = [f" {self.MARK} ".encode().join([chunks[i] for i in part]).decode() for part in parts]
+        for part, encoded in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype=self.dtype)
+            cuts = np.nonzero(ids == self.mark)[0].tolist()
             if len(cuts) != len(part) - 1:
                 raise ValueError("marks were joined with chunks")
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            begin = 0
-            for w, end in zip(part, [*(cuts * width).tolist(), len(raw)]):
-                memo[w] = raw[begin:end]
-                begin = end + width
+            for i, begin, end in zip(part, [-1, *cuts], [*cuts, len(ids)]):
+                found[i] = ids[begin + 1 : end]
+        return np.array([len(ids) for ids in found], np.int64), np.concatenate([np.zeros(0, self.dtype), *found])
+
+    def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has. A null has none."""
+        memory = self.memory
+        memory.pass_batch(MEMO_LIMIT)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        numbers = np.zeros((len(chunks), 2), np.int64)  # of a chunk's word and what is after it, or of the chunk
+        short = pc.less_equal(pc.binary_length(chunks), MEMO_BYTES).to_numpy(zero_copy_only=False)
+        cut = pc.extract_regex(chunks, self.PLAIN)
+        plain = short & cut.is_valid().to_numpy(zero_copy_only=False)
+        cut = cut.filter(pa.array(plain))
+        parts = pa.concat_arrays([pc.utf8_lower(pc.struct_field(cut, "word")), pc.struct_field(cut, "after")]).dictionary_encode()
+        found = memory.find(_pieces(parts.dictionary), self._learn_parts)[parts.indices.to_numpy()]
+        numbers[plain] = found.reshape(2, -1).T
+        other = [b" " + w for w in _pieces(chunks.filter(pa.array(short & ~plain)))]  # no part starts with a space
+        numbers[short & ~plain, 0] = memory.find(other, lambda new: self._learn_chunks([w[1:] for w in new]))
+        ids, ends = memory.ids, memory.ends
+        if not short.all():  # these are forgotten after the batch
+            lengths, more = self._learn_chunks(_pieces(chunks.filter(pa.array(~short))).tolist())
+            numbers[~short, 0] = len(ends) - 1 + np.arange(len(lengths))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(lengths)])
+        places = coded.indices.to_numpy()
+        sizes = np.diff(ends)[numbers].sum(axis=1)
+        out = gather(gather(ids, ends, numbers.ravel()), np.concatenate([[0], np.cumsum(sizes)]), places)
+        words = np.concatenate([[0], np.cumsum(pc.list_value_length(split).fill_null(0).to_numpy())])
+        return out, np.diff(np.concatenate([[0], np.cumsum(sizes[places])])[words])
 
     def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``; UTF-8 if bytes."""
-        memo = self.memo
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-        split = [(t.encode() if isinstance(t, str) else t or b"").split() for t in texts]  # bytes split at ASCII white space only
-        new = set().union(*split).difference(memo)
-        self._learn(new)
-        long = [w for w in new if len(w) > MEMO_BYTES]
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for w in long:
-            del memo[w]
-        return out
+        ids, lengths = self.encode_column(pa.array([t.decode() if isinstance(t, bytes) else t for t in texts], pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
+
+
+def _pieces(strings: pa.StringArray) -> np.ndarray:
+    return strings.cast(pa.binary()).to_numpy(zero_copy_only=False)
 
 
 @lru_cache(maxsize=4)
@@ -262,22 +333,26 @@ def write_files(docs: DataFrame, to: str, path: str, end_id: int) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         e = encoder(path)
-        end = np.array([end_id], dtype=e.dtype).tobytes()
         file, keys, rows, lengths, held = 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(rows), dtype=e.dtype)
-            put_file(to, f"{part:06d}-{file:06d}.tok", pack(keys, np.array(lengths), ids))
+            put_file(to, f"{part:06d}-{file:06d}.tok", pack(keys, np.concatenate(lengths), np.concatenate(rows)))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64())], names=["part", "file", "documents", "ids"]
             )
 
         for b in batches:
-            for k, ids in zip(b.column(0).to_pylist(), e.encode(b.column(1).cast(pa.binary()).to_pylist())):
-                keys.append(k)
-                rows.append(ids + end)
-                lengths.append(len(rows[-1]) // e.dtype.itemsize)
-                held += lengths[-1]
+            ids, own = e.encode_column(b.column(1))
+            ids, own = np.insert(ids, np.cumsum(own), end_id), own + 1
+            ends = np.concatenate([[0], np.cumsum(own)])
+            at = 0
+            while at < len(own):
+                upto = min(int(np.searchsorted(ends, ends[at] + FILE_IDS - held)), len(own))
+                keys += b.column(0)[at:upto].to_pylist()
+                rows.append(ids[ends[at] : ends[upto]])
+                lengths.append(own[at:upto])
+                held += int(ends[upto] - ends[at])
+                at = upto
                 if held >= FILE_IDS:
                     yield close()
                     file, keys, rows, lengths, held = file + 1, [], [], [], 0
