@@ -34,7 +34,7 @@ FILE_IDS = 2_000_000  # a file is closed at so many ids, so that one fits in mem
 MEMO_LIMIT = 800_000
 MEMO_BYTES = 64  # longer chunks are forgotten after a batch
 CALL = 128  # chunks in one string: the library takes longer for each in long ones
-STEP = 1 << 20  # pieces that are put together at once
+STEP = 1 << 16  # pieces that are put together at once
 
 
 class EliasFano:
