@@ -146,3 +146,30 @@ def test_generation_retries(spark):
 def test_empty_inputs(n):
     assert k.match_lanes([1.0] * n, [1.0] * n, [0.0] * n, {}, set(), set()) == [None] * n
     assert k.viterbi([], lambda t: None) == []
+
+
+def test_flickers_go_one_by_one_until_none_is_left():
+    """As when all runs are looked at anew after each removal."""
+    import random
+
+    def plain(values, c):
+        out, gone = list(values), []
+        while True:
+            starts, ends, held = k.run_table(out)
+            mid = [float(np.median(c[s : e + 1])) for s, e in zip(starts, ends)]
+            low = (i for i in range(1, len(held) - 1) if held[i - 1] == held[i + 1] and ends[i] - starts[i] < 2 and all(mid[i] + 0.1 <= mid[j] and mid[i] <= mid[j] * 0.8 for j in (i - 1, i + 1)))
+            i = next(low, None)
+            if i is None:
+                return out, gone
+            out[starts[i] : ends[i] + 1] = [held[i - 1]] * (ends[i] - starts[i] + 1)
+            gone.append((starts[i], ends[i]))
+
+    r, most = random.Random(3), 0
+    for _ in range(200):
+        values = [r.choice([1, 1, 1, 1, 2, 3]) for _ in range(60)]
+        c = [r.choice([0.3, 0.5, 0.9, 0.95]) for _ in values]
+        got = k.drop_flickers(values, c, passes=None)
+        assert got == plain(values, c)
+        assert k.drop_flickers(values, c)[1] == got[1][:4]
+        most = max(most, len(got[1]))
+    assert most > 8

@@ -134,3 +134,13 @@ def test_circular_median_at_zero(spark):
 
     df = spark.createDataFrame([([359.0, 1.0, 3.0],), ([10.0, 350.0],), ([],)], T.StructType([T.StructField("h", T.ArrayType(T.DoubleType()))]))
     assert [r[0] for r in df.select(lc.circular_median(F.col("h"))).collect()] == [1.0, 0.0, None]
+
+
+def test_all_flickers_of_a_track_go(spark):
+    """Six excursions to 637; the count of passes is no bound on them unless it is given."""
+    ids = [490] * 3 + ([637] + [490] * 3) * 6
+    rows = track(ids, [0.35 if v == 637 else 0.9 for v in ids])
+    r, c, g, b, _ = chain(spark, rows, [lane(490), lane(637)])
+    assert [(x.lane_id, x.start_frame, x.end_frame) for x in r] == [(490, 0, 26)] and not c and not g and b[0].behavior == "lane_keep"
+    four = lc.stabilised(spark.createDataFrame(rows, MATCHES), E, 4)
+    assert [x.frame for x in four.where("stable = 637").orderBy("frame").collect()] == [19, 23]

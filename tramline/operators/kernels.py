@@ -5,6 +5,7 @@ All take and return plain arrays; ``tracks`` runs them per entity. A missing val
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Sequence
 
@@ -43,31 +44,43 @@ def absorb_short_runs(values: Sequence, dwell: int, passes: int = 4) -> list:
     return out
 
 
-def drop_flickers(values: Sequence, confidence: Sequence, longest: int = 2, margin: float = 0.1, ratio: float = 0.8, passes: int = 4) -> tuple[list, list[tuple[int, int]]]:
-    """(values, removed spans): short A-B-A excursions whose median confidence is clearly below both sides; one a pass."""
-    out, gone = list(values), []
-    c = np.array([np.nan if x is None else float(x) for x in confidence], dtype=float)
-
-    def middle(s: int, e: int) -> float:
-        part = c[s : e + 1]
-        part = part[np.isfinite(part)]
-        return float(np.median(part)) if len(part) else math.nan
+def drop_flickers(values: Sequence, confidence: Sequence, longest: int = 2, margin: float = 0.1, ratio: float = 0.8, passes: int | None = 4) -> tuple[list, list[tuple[int, int]]]:
+    """(values, removed spans): short A-B-A excursions whose median confidence is clearly below both sides.
 
-    for _ in range(passes):
-        starts, ends, held = run_table(out)
-        for i in range(1, len(held) - 1):
-            side = held[i - 1]
-            if held[i] is None or side is None or side != held[i + 1] or ends[i] - starts[i] >= longest:
-                continue
-            own = middle(starts[i], ends[i])
-            sides = (middle(starts[i - 1], ends[i - 1]), middle(starts[i + 1], ends[i + 1]))
-            if all(own + margin <= x and own <= x * ratio for x in sides):  # false for NaN
-                span = int(starts[i]), int(ends[i])
-                out[span[0] : span[1] + 1] = [side] * (span[1] - span[0] + 1)
-                gone.append(span)
-                break
-        else:
-            break
+    A pass removes the first one, which makes one run of three; without a number of ``passes`` they go on until none is left.
+    """
+    out, gone = list(values), []
+    c = [math.nan if x is None else float(x) for x in confidence]
+    # a run: (start, end, value, its finite confidences in order)
+    runs = [(int(s), int(e), v, sorted(x for x in c[s : e + 1] if math.isfinite(x))) for s, e, v in zip(*run_table(out))]
+
+    def middle(part: list[float]) -> float:
+        n = len(part)
+        return (part[(n - 1) // 2] + part[n // 2]) / 2 if n else math.nan
+
+    def flicker(before: tuple, run: tuple, after: tuple) -> bool:
+        if run[2] is None or before[2] is None or before[2] != after[2] or run[1] - run[0] >= longest:
+            return False
+        own = middle(run[3])
+        return all(own + margin <= x and own <= x * ratio for x in (middle(before[3]), middle(after[3])))  # false for NaN
+
+    done, ahead = runs[:1], runs[:0:-1]
+    while len(ahead) > 1 and (passes is None or len(gone) < passes):
+        if not flicker(done[-1], ahead[-1], ahead[-2]):
+            done.append(ahead.pop())
+            continue
+        before, run, after = done.pop(), ahead.pop(), ahead.pop()
+        out[run[0] : run[1] + 1] = [before[2]] * (run[1] - run[0] + 1)
+        gone.append(run[:2])
+        *rest, most = sorted((before[3], run[3], after[3]), key=len)
+        for x in (x for part in rest for x in part):
+            bisect.insort(most, x)
+        # of the runs before, only the last has a new neighbour
+        ahead.append((before[0], after[1], before[2], most))
+        if len(done) > 1:
+            ahead.append(done.pop())
+        elif not done:
+            done.append(ahead.pop())
     return out, gone
 
 

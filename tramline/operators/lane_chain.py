@@ -23,10 +23,10 @@ REACH = 8
 HEADING_FRAMES = 5
 
 
-def stabilised(matches: DataFrame, entity: list[str]) -> DataFrame:
+def stabilised(matches: DataFrame, entity: list[str], passes: int | None = None) -> DataFrame:
     """``matches`` and ``raw`` (the matched lane), ``reliable`` (where the confidence suffices), ``stable`` (without flickers).
 
-    A flicker is a short return A-B-A of lower confidence; A-B-C stays. Invalid and unmatched frames are null in all three.
+    A flicker is a short return A-B-A of lower confidence; A-B-C stays. All flickers go, or the first ``passes`` of a track. Invalid and unmatched frames are null in all three.
     """
     seen = F.col("valid") & F.col("available")
     raw = F.when(seen, F.col("lane_id")).cast("long")
@@ -37,7 +37,7 @@ def stabilised(matches: DataFrame, entity: list[str]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         values = [None if v is None or v != v else int(v) for v in pdf["reliable"]]
-        return pdf[[*entity, "frame"]].assign(stable=pd.array(k.drop_flickers(values, [c if a else None for a, c in zip(pdf["available"], pdf["confidence"])])[0], dtype="Int64"))
+        return pdf[[*entity, "frame"]].assign(stable=pd.array(k.drop_flickers(values, [c if a else None for a, c in zip(pdf["available"], pdf["confidence"])], passes=passes)[0], dtype="Int64"))
 
     held = m.select(*entity, "frame", "reliable", "available", "confidence").groupBy(*entity).applyInPandas(run, schema)
     return m.join(held, [*entity, "frame"])
