@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tramline.functions import wording
@@ -105,6 +108,18 @@ _DAMAGE = (
 )
 
 
+def _record(order: Column, customer: Column) -> Column:
+    """The text of an order's record with its damage: the pieces between what changes are literals."""
+
+    def plain(text: str) -> Column:
+        agents = {"ORDER": order, "CUSTOMER": customer}
+        return F.concat(*(agents[p].cast("string") if p in agents else F.lit(p) for p in re.split("(ORDER|CUSTOMER)", text) if p))
+
+    damage = {old: (n, new) for n, old, new, _ in _DAMAGE}
+    pieces = [p for p in re.split("(" + "|".join(map(re.escape, damage)) + ")", _RECORD) if p]
+    return F.concat(*(F.when(order % damage[p][0] == 0, damage[p][1]).otherwise(plain(p)) if p in damage else plain(p) for p in pieces))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -121,11 +136,7 @@ _WANTED = " || ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN {_quoted(''.join(e +
     SELECT o_orderkey, len(e) = 0 AS valid, len(e) AS error_count, array_to_string(e, ';') AS errors FROM s""",
 )
 def _(spark, d):
-    text = F.replace(F.lit(_RECORD), F.lit("ORDER"), F.col("o_orderkey").cast("string"))
-    for n, old, new, _ in _DAMAGE:
-        text = F.when(F.col("o_orderkey") % n == 0, F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
     # two numbers a record are little to read and the record is much to check: a file's few splits are dealt to all cores
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
-    o = o.select("o_orderkey", "o_custkey", F.replace(text, F.lit("CUSTOMER"), F.col("o_custkey").cast("string")).alias("text"))
-    e = o.select("o_orderkey", validation.pair_facts_errors(F.col("text"), F.col("o_orderkey"), F.col("o_custkey")).alias("e"))
+    e = o.select("o_orderkey", validation.pair_facts_errors(_record(F.col("o_orderkey"), F.col("o_custkey")), F.col("o_orderkey"), F.col("o_custkey")).alias("e"))
     return e.select("o_orderkey", (F.size("e") == 0).alias("valid"), F.size("e").cast("long").alias("error_count"), F.array_join("e", ";").alias("errors"))
